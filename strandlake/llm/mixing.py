@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from strandlake.llm.common import id_text, mix64, slices, written
 
 #: Documents of one source that a flight handles at a time, in the first round and in those that follow.
-BLOCK = 20_000
+BLOCK = 2_000
 EPS = 1e-9
 
 _SPACE = np.zeros(256, bool)
