@@ -156,7 +156,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, id_col: st
     groups = written(link(nodes.select("fp"), radius, tile_limit), "groups")
     least = groups.join(nodes, groups["id"] == nodes["fp"]).groupBy("root").agg(F.min("first").alias("least"))
     names = nodes.join(groups.join(least, "root").select(F.col("id").alias("fp"), "least"), "fp", "left")
-    names = names.select("fp", F.coalesce("least", "first").alias("component_id"))
+    # written, so that the last join deals both sides anew and Spark can split a hot fingerprint
+    names = written(names.select("fp", F.coalesce("least", "first").alias("component_id")), "names")
     return fps.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -13,6 +13,7 @@ uint32 chunk bits; then int64 doc_id and uint64 end offset of each document; the
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -149,6 +150,12 @@ class Dac:
         return cls(n, levels, bitmaps, ranks, chunk), doc_ids, ends
 
 
+#: White space that may join what stands beside it: two in a row, or any but space and line feed.
+ODD = ("  ", " \n", "\n ", "\n\n", *(chr(c) for c in range(1, 0x3001) if chr(c).isspace() and chr(c) not in " \n"))
+
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").match
+
+
 class WordEncoder:
     """The tokenizers library's ids of whole texts, with each word encoded once.
 
@@ -164,34 +171,77 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for piece, i in vocabulary.items() if piece.startswith("\u0120")]] = True  # a space in byte-level pieces
         self.first: dict[str, bytes] = {}
         self.inner: dict[str, bytes] = {}
 
-    def _fill(self, keep: dict[str, bytes], words: set[str], space: str) -> None:
-        missing = [w for w in words if w not in keep]
-        if len(keep) + len(missing) > self.KEEP:
-            keep.clear()
-            missing = list(words)
-        for at in range(0, len(missing), 5000):
-            part = missing[at : at + 5000]
+    def _learn(self, keep: dict[str, bytes], missing: set[str], space: str) -> None:
+        """Learn words; letters that end before another kind of character are a pre-token, so what follows is apart."""
+        split = {w: m.end() for w in missing if (m := LETTERS(w)) and m.end() < len(w)} if space else {}
+        if split:
+            stems, tails = {w[:k] for w, k in split.items()}, {w[k:] for w, k in split.items()}
+            self._ask(keep, (missing - split.keys()) | {w for w in stems if w not in keep}, space)
+            self._ask(self.first, {w for w in tails if w not in self.first}, "")
+            keep.update({w: keep[w[:k]] + self.first[w[k:]] for w, k in split.items()})
+        else:
+            self._ask(keep, missing, space)
+
+    def _ask(self, keep: dict[str, bytes], missing: set[str], space: str) -> None:
+        todo = list(missing)
+        for at in range(0, len(todo), 2000):
+            part = todo[at : at + 2000]
+            if space:
+                # words joined by single spaces keep apart, and every id whose bytes begin with a space begins one
+                ids = np.asarray(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+                cut = (4 * np.flatnonzero(self.begins[ids])).tolist()
+                if len(cut) == len(part):
+                    raw = ids.tobytes()
+                    keep.update(zip(part, map(raw.__getitem__, map(slice, cut, [*cut[1:], len(raw)])), strict=True))
+                    continue
             for w, e in zip(part, self.tokenizer.encode_batch_fast([space + w for w in part], add_special_tokens=False), strict=True):
                 keep[w] = np.asarray(e.ids, np.uint32).tobytes()
 
+    def _codes(self, keep: dict[str, bytes], words: list[str], space: str) -> list[bytes]:
+        """The ids of each word; those of words not known yet are learnt."""
+        if len(self.first) + len(self.inner) > self.KEEP:
+            self.first.clear()
+            self.inner.clear()
+        out, at, holes = list(map(keep.get, words)), -1, []
+        try:
+            while True:
+                at = out.index(None, at + 1)
+                holes.append(at)
+        except ValueError:
+            pass
+        self._learn(keep, {words[i] for i in holes}, space)
+        for i in holes:
+            out[i] = keep[words[i]]
+        return out
+
+    def _odd(self, text: str) -> bool:
+        """Whether ``text`` has white space beside a space or line end, or of another kind, or a special token."""
+        return any(x in text for x in (*ODD, *self.special))
+
     def _plain(self, text: str) -> bool:
-        return not any(s in text for s in self.special) and " ".join(text.split()) == text.replace("\n", " ") and " \n" not in text and "\n " not in text and "\n\n" not in text
+        return bool(text) and not text[0].isspace() and not text[-1].isspace() and not self._odd(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(texts)
-        plain, whole = [], []
-        for i, t in enumerate(texts):
-            (plain if self._plain(t) else whole).append(i)
-        split = [texts[i].split(" ") for i in plain]
-        self._fill(self.first, {w[0] for w in split}, "")
-        self._fill(self.inner, set().union(*[w[1:] for w in split]), " ")
-        get = self.inner.__getitem__
-        for i, words in zip(plain, split, strict=True):
-            out[i] = self.first[words[0]] + b"".join(map(get, words[1:]))
+        joined = " ".join(["|", *texts, "|"])
+        plain, whole = range(len(texts)), []
+        if self._odd(joined):
+            flags = [self._plain(t) for t in texts]
+            plain, whole = [i for i, f in enumerate(flags) if f], [i for i, f in enumerate(flags) if not f]
+            joined = " ".join(["|", *[texts[i] for i in plain], "|"])
+        words = joined.split(" ")[1:-1]
+        codes = self._codes(self.inner, words, " ")
+        starts = np.cumsum([0, *[texts[i].count(" ") + 1 for i in plain]]).tolist()
+        heads = self._codes(self.first, [words[s] for s in starts[:-1]], "")
+        for i, head, s, e in zip(plain, heads, starts, starts[1:], strict=False):
+            out[i] = head + b"".join(codes[s + 1 : e])
         for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
             out[i] = np.asarray(e.ids, np.uint32).tobytes()
         return out
@@ -217,7 +267,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
     first and is written as the smallest long. Parts are ranges of doc_id, so equal texts or sources make no hot part.
     """
     spark = docs.sparkSession
-    rows = id_text(docs, id_col, text_col)
+    rows = id_text(docs, id_col, text_col, as_binary=False)
     parts = max(1, -(-plan_bytes(rows) // (8 << 20)), int(spark.conf.get("spark.sql.shuffle.partitions")) if plan_bytes(rows) > (8 << 20) else 1)
     rows = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
 
@@ -239,7 +289,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "segment", "n_ids", "n_docs", "data"])
 
         for b in slices(batches):
-            got = e.encode([t.decode() for t in b.column("text").to_pylist()])
+            got = e.encode(b.column("text").to_pylist())
             for i, c in zip(b.column("doc_id").to_pylist(), got, strict=True):
                 ids.append(-(2**63) if i is None else i)
                 codes.append(c + end)
