@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandlake.llm.audio import op5_audio
 from strandlake.llm.mixing import op8_mixing
+from strandlake.llm.neighbours import op10_neighbours
+from strandlake.llm.pieces import op3_pieces
+from strandlake.llm.quality import op7_quality
 from strandlake.llm.simhash import op4_simhash
 from strandlake.llm.token_files import op2_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
+    "op3_pieces": op3_pieces,
     "op4_simhash": op4_simhash,
     "op5_audio": op5_audio,
+    "op7_quality": op7_quality,
     "op8_mixing": op8_mixing,
+    "op10_neighbours": op10_neighbours,
 }
 
 #: SQL expresses none of these operators over whole tables; tests hold them against brute force or the libraries.
