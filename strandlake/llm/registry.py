@@ -9,18 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from strandlake.llm.audio import op5_audio
 from strandlake.llm.mixing import op8_mixing
 from strandlake.llm.neighbours import op10_neighbours
+from strandlake.llm.passages import op1_passages
 from strandlake.llm.pieces import op3_pieces
 from strandlake.llm.quality import op7_quality
+from strandlake.llm.secrets import op9_secrets
 from strandlake.llm.simhash import op4_simhash
 from strandlake.llm.token_files import op2_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_passages": op1_passages,
     "op2_token_files": op2_token_files,
     "op3_pieces": op3_pieces,
     "op4_simhash": op4_simhash,
     "op5_audio": op5_audio,
     "op7_quality": op7_quality,
     "op8_mixing": op8_mixing,
+    "op9_secrets": op9_secrets,
     "op10_neighbours": op10_neighbours,
 }
 
