@@ -14,6 +14,7 @@ from strandlake.llm.pieces import op3_pieces
 from strandlake.llm.quality import op7_quality
 from strandlake.llm.secrets import op9_secrets
 from strandlake.llm.simhash import op4_simhash
+from strandlake.llm.suffixes import op6_suffixes
 from strandlake.llm.token_files import op2_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pieces": op3_pieces,
     "op4_simhash": op4_simhash,
     "op5_audio": op5_audio,
+    "op6_suffixes": op6_suffixes,
     "op7_quality": op7_quality,
     "op8_mixing": op8_mixing,
     "op9_secrets": op9_secrets,
