@@ -31,10 +31,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/strandlake/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: its lineage is cut and lost executors lose nothing of it."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder: its lineage is cut and lost executors lose nothing of it.
+
+    ``batch_rows`` bounds the rows that a Python worker gets at a time while this table is made, for wide rows.
+    """
+    path, key = new_path(df.sparkSession, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = df.sparkSession.conf.get(key)
+    try:
+        if batch_rows:
+            df.sparkSession.conf.set(key, str(batch_rows))
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        df.sparkSession.conf.set(key, usual)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -50,9 +59,13 @@ def drop_written(df: DataFrame) -> None:
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished jobs before the next large shuffle."""
     import gc
+    import time
 
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # Python lets go of its handles first, and the JVM hears of it a little later
+        gc.collect()
+        time.sleep(0.2)
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def plan_bytes(df: DataFrame) -> int:

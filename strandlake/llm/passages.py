@@ -28,7 +28,7 @@ from strandlake.llm.common import drop_written, id_text, mix64, pack, plan_bytes
 WIDTH = 13
 FAN_IN = 4
 #: Input bytes per bucket of the hash range, and words whose windows a worker holds at a time.
-BUCKET_BYTES, CHUNK_WORDS = 4 << 20, 1_500_000
+BUCKET_BYTES, CHUNK_WORDS = 4 << 20, 1_000_000
 BATCHES = 3
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -37,7 +37,7 @@ class _WordHashes(dict):
     """64-bit hashes of words, kept while they fit."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 300_000:
             self.clear()
         h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return h
@@ -332,10 +332,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, batches: int = BATCHES,
     release(spark)
     for run in index.runs:
         drop_written(run)
-    first = written(_remove(rows, runs, width, spell=True), "kept")
+    first = written(_remove(rows, runs, width, spell=True), "kept", 1000)
     release(spark)
     asked = first.select(F.explode("ask").alias("a")).select("a.owner", "a.words").distinct()
-    bad = written(_refuted(rows, asked, width, bits).distinct(), "refuted")
+    bad = written(_refuted(rows, asked, width, bits).distinct(), "refuted", 500)
     out = first.drop("ask")
     if not bad.isEmpty():
         wrong, right = _exact(rows, bad, width, bits)
