@@ -10,6 +10,10 @@ common prefixes: it compares two strings only beyond what both share with the st
 string's common prefix with its predecessor. A window that begins o bytes before its anchor repeats exactly if another
 anchor shares at least o bytes before it and ``length`` - o bytes after it; both kinds of classes follow from the merged
 prefixes. Equal strings of a worker are one string with several places.
+
+A piece at more than ``HOT`` places would gather one group without bound (think of a license in every document, with
+other text around it each time). Its windows go an exact way of their own: 96 bits of hash of each whole window, dealt
+by the hash, so that only equal windows meet.
 """
 
 from __future__ import annotations
@@ -25,10 +29,12 @@ from strandlake.llm.common import id_text, mix64, pack, plan_bytes, release, sli
 from strandlake.llm.passages import _bucket, _deltas, _doc_part, _put_docs
 
 LENGTH, PIECE = 400, 128
-BUCKET_BYTES, CHUNK_ANCHORS, CHUNK_BYTES = 4 << 20, 400_000, 12 << 20
+HOT = 1_000
+BUCKET_BYTES, CHUNK_ANCHORS, CHUNK_BYTES = 4 << 20, 300_000, 8 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTES = np.frombuffer(hashlib.shake_256(b"bytes").digest(2048), np.uint64)
+_BYTES_2 = np.frombuffer(hashlib.shake_256(b"bytes again").digest(2048), np.uint64)
 _LOW = np.uint64((1 << 24) - 1)
 #: Bytes scanned at a time; places within a scan have 24 bits.
 SCAN = 2 << 20
@@ -85,6 +91,18 @@ def document_anchors(text: bytes, length: int, piece: int) -> tuple[np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def window_hashes(text: bytes, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 bits of two hashes of the windows of ``text`` that begin at ``starts``."""
+    a = np.frombuffer(text, np.uint8)
+    up, down = _tables(len(a) + 1)
+    out = []
+    for table in (_BYTES, _BYTES_2):
+        sums = np.zeros(len(a) + 1, np.uint64)
+        np.cumsum(table[a] * up[: len(a)], out=sums[1:])
+        out.append(mix64((sums[starts + length] - sums[starts]) * down[starts]))
+    return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
+
+
 def common(a: bytes, b: bytes, k: int) -> int:
     """The length of the common prefix of two strings that agree on their first ``k`` bytes."""
     n = min(len(a), len(b))
@@ -268,10 +286,11 @@ def _collect_by_doc(rows: DataFrame, kinds: tuple, name: str) -> DataFrame:
 
 
 _ANCHOR = (np.uint32, np.uint16, np.uint16, np.uint64)
+_MARKED = (*_ANCHOR, np.uint8)
 
 
-def repeated_anchors(docs: DataFrame, length: int, piece: int, buckets: int) -> DataFrame:
-    """Per document (doc_id, anchors): the anchors whose piece's hash occurs at another place too."""
+def repeated_anchors(docs: DataFrame, length: int, piece: int, buckets: int, hot: int = HOT) -> DataFrame:
+    """Per document (doc_id, anchors): the anchors whose piece's hash occurs at another place too, hot ones marked."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -305,18 +324,23 @@ def repeated_anchors(docs: DataFrame, length: int, piece: int, buckets: int) ->
         h = np.concatenate([np.cumsum(g[4], dtype=np.uint64) for g in got])
         order = np.argsort(h, kind="stable")
         s = h[order]
-        same = s[1:] == s[:-1]
-        i = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        times = np.diff(np.append(first, len(s)))
+        times = np.repeat(times, times)
+        i, times = order[times > 1], times[times > 1]
         rows: list = []
-        _by_doc_part(rows, doc[i], buckets, at[i], most[i], least[i], h[i])
+        _by_doc_part(rows, doc[i], buckets, at[i], most[i], least[i], h[i], (times > hot).astype(np.uint8))
         return _table(rows, "part")
 
     packed = docs.mapInArrow(scan, "bucket int, data binary").groupBy("bucket").applyInArrow(repeated, "part int, data binary")
-    return _collect_by_doc(packed, _ANCHOR, "anchors")
+    return _collect_by_doc(packed, _MARKED, "anchors")
 
 
 def suffix_runs(docs: DataFrame, places: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Front-coded sorted runs (bucket, data) of what stands after and before the documents' anchors."""
+    """Front-coded sorted runs (bucket, kind 0, data) of what stands after and before the documents' anchors.
+
+    Rows of kind 1 are the hashes of the windows of hot anchors.
+    """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[bytes, bytes], list[tuple[int, int]]] = {}
@@ -341,11 +365,39 @@ def suffix_runs(docs: DataFrame, places: DataFrame, length: int, buckets: int) -
                 flat = np.array([p for m in members for p in m], np.int64).reshape(-1, 2)
                 data.append(_zip(pack(rp, sizes, lp, behind, np.array(order, np.uint32), n), rest, left, _pack_places(flat[:, 0], flat[:, 1].astype(np.uint32))))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(data, pa.binary())], ["bucket", "data"])
+            return _rows(some, 0, data)
+
+        def _rows(some: np.ndarray, kind: int, data: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), kind, np.int32)), pa.array(data, pa.binary())], ["bucket", "kind", "data"])
+
+        warm: list[tuple[np.ndarray, ...]] = []
+        windows = 0
+
+        def flush_windows() -> pa.RecordBatch:
+            doc, start, h, g = (np.concatenate(x) for x in zip(*warm, strict=True))
+            warm.clear()
+            order = np.argsort(h, kind="stable")
+            doc, start, h, g = doc[order], start[order], h[order], g[order]
+            cut = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1))
+            some = np.flatnonzero(cut[1:] > cut[:-1])
+            return _rows(some, 1, [_pack_places(doc[a:b], start[a:b], _deltas(h[a:b]), g[a:b]) for a, b in zip(cut[some], cut[some + 1], strict=True)])
 
         for b in slices(batches):
             for doc, text, blob in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("anchors").to_pylist(), strict=True):
-                for at, most, least, h in zip(*(x.tolist() for x in unpack(blob, *_ANCHOR)), strict=True):
+                places_, most_, least_, hashes, hot = unpack(blob, *_MARKED)
+                if hot.any():
+                    k = hot > 0
+                    first, n = places_[k].astype(np.int64) - most_[k], most_[k].astype(np.int64) - least_[k] + 1
+                    start = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                    h, g = window_hashes(text, start, length)
+                    warm.append((np.full(len(start), doc, np.int64), start.astype(np.uint32), h, g))
+                    windows += len(start)
+                    if windows > CHUNK_ANCHORS:
+                        yield flush_windows()
+                        windows = 0
+                    k = ~k
+                    places_, most_, least_, hashes = places_[k], most_[k], least_[k], hashes[k]
+                for at, most, least, h in zip(places_.tolist(), most_.tolist(), least_.tolist(), hashes.tolist(), strict=True):
                     key = (h.to_bytes(8, "big") + text[at : at - least + length], text[at - most : at][::-1])
                     found = held.get(key)
                     if found is None:
@@ -359,8 +411,10 @@ def suffix_runs(docs: DataFrame, places: DataFrame, length: int, buckets: int) -
                     total = 0
         if held:
             yield flush()
+        if warm:
+            yield flush_windows()
 
-    return docs.join(places, "doc_id").mapInArrow(build, "bucket int, data binary")
+    return docs.join(places, "doc_id").mapInArrow(build, "bucket int, kind int, data binary")
 
 
 def merged_repeats(runs: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -371,7 +425,19 @@ def merged_repeats(runs: DataFrame, length: int, buckets: int) -> DataFrame:
         weight, docs, places, owner = [], [], [], []
         most: list[int] = []
         least: list[int] = []
-        for blob in table.column("data").to_pylist():
+        rows: list = []
+        kinds = table.column("kind").to_pylist()
+        blobs = table.column("data").to_pylist()
+        warm = [_unpack_places(d, np.uint32, np.uint64, np.uint32) for d, k in zip(blobs, kinds, strict=True) if k == 1]
+        if warm:
+            doc, start, g = (np.concatenate([w[k] for w in warm]) for k in (0, 1, 3))
+            h = np.concatenate([np.cumsum(w[2], dtype=np.uint64) for w in warm])
+            order = np.lexsort([g, h])
+            h, g = h[order], g[order]
+            same = (h[1:] == h[:-1]) & (g[1:] == g[:-1])
+            i = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+            _by_doc_part(rows, doc[i], buckets, start[i], np.ones(len(i), np.uint32))
+        for blob in (d for d, k in zip(blobs, kinds, strict=True) if k == 0):
             meta, rest, left, where = _unzip(blob)
             rp, sizes, lp, behind, order, n = unpack(meta, *(np.uint32,) * 6)
             after.append((_unfront(rp, sizes, rest), rp.tolist()))
@@ -386,6 +452,8 @@ def merged_repeats(runs: DataFrame, length: int, buckets: int) -> DataFrame:
             places.append(at.astype(np.int64))
             owner.append(np.repeat(np.arange(base[-1], base[-1] + len(sizes)), n))
             base.append(base[-1] + len(sizes))
+        if not after:
+            return _table(rows, "part")
         right, right_prefix = merge_runs(after)
         left, left_prefix = merge_runs([(s, p) for s, p, _ in before])
         heads = [after[r][0][i][:8] for r, i in right]
@@ -406,7 +474,6 @@ def merged_repeats(runs: DataFrame, length: int, buckets: int) -> DataFrame:
                 got = repeated_offsets(list(range(e - s)), [max(0, p - 8) for p in right_prefix[s:e]], [local[m] for m in left[s:e]], [max(0, p - 8) for p in left_prefix[s:e]], [weight[m] for m in members], [least[m] for m in members], [most[m] for m in members], length)
                 found += [(members[i], a, b) for i, a, b in got]
             s = e
-        rows: list = []
         if found:
             f = np.array(sorted(found), np.int64)
             doc, at, own = np.concatenate(docs), np.concatenate(places), np.concatenate(owner)
@@ -420,7 +487,7 @@ def merged_repeats(runs: DataFrame, length: int, buckets: int) -> DataFrame:
     return _collect_by_doc(runs.groupBy("bucket").applyInArrow(merge, "part int, data binary"), (np.uint32, np.uint32), "spans")
 
 
-def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, piece: int | None = None, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, piece: int | None = None, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, hot: int = HOT) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256.
 
     A byte goes if a string of ``length`` bytes covers it that also starts anywhere else in the corpus, the same
@@ -432,7 +499,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, piece: int | No
     spark = docs.sparkSession
     rows = id_text(docs, id_col, text_col)
     n = buckets or max(16, -(-plan_bytes(rows) // BUCKET_BYTES))
-    places = written(repeated_anchors(rows, length, piece, n), "anchors")
+    places = written(repeated_anchors(rows, length, piece, n, hot), "anchors")
     release(spark)
     runs = written(suffix_runs(rows, places, length, n), "suffix-runs")
     release(spark)
