@@ -264,3 +264,23 @@ def quality(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCUMENTS, id
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def filtered(docs: DataFrame, chain: LineChain | None, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores at least ``least``; all columns pass through, nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = np.ones(b.num_rows, bool)
+            at = 0
+            texts = pa.RecordBatch.from_arrays([b.column(text_col).cast(pa.binary()).fill_null(b"")], ["text"])
+            for part in slices([texts]):
+                rows = [line_measures(t) for t in part.column("text").to_pylist()]
+                cut = np.cumsum([0, *(len(m) for m, _ in rows)])
+                if chain is not None:
+                    p = chain.marginals(np.concatenate([m for m, _ in rows]), cut)
+                    keep[at : at + len(rows)] = chain.score(p, np.concatenate([s for _, s in rows]), cut) >= least
+                at += len(rows)
+            yield b.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
