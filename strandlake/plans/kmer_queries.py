@@ -2,9 +2,367 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
+from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from strandlake.functions import bits, vectorised
+from strandlake.functions import nucleotides as nt
+from strandlake.operators import kmers as ops
+from strandlake.sources import fastx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+K = 8
+SEQ = f"s AS (SELECT doc_id AS seq_id, lang, translate(text, '{nt.LETTERS}', '{nt.DERIVED}') AS sequence FROM documents)"
+DIGITS = "list_reduce(list_transform(string_split(translate({0}, 'ACTG', '0123'), ''), lambda d: d::BIGINT), lambda a, b: a * 4 + b)"
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with the SQL that it must agree with."""
+
+    def add(f):
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = f(spark, sf_dir)
+            return out.select(*[F.col(c).cast("long").alias(c) if kind == "int" else c for c, kind in out.dtypes])
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), "lang", nt.derived_sequence(F.col("text")).alias("sequence"))
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; a folder of our own only where none is configured."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="strandlake-")
+    return f"{top.rstrip('/')}/strandlake/{name}-{uuid.uuid4().hex}"
+
+
+def _kmers_sql(k: int) -> str:
+    """Every k-mer of valid bases: seq_id, run, pos (from 0), kmer."""
+    return (
+        f"{SEQ}, p AS (SELECT seq_id, sequence, unnest(range(0, length(sequence) - {k - 1})) AS pos FROM s), "
+        f"v AS (SELECT seq_id, pos, substr(sequence, pos + 1, {k}) AS kmer FROM p), "
+        f"ok AS (SELECT * FROM v WHERE regexp_full_match(kmer, '[ACGT]+')), "
+        f"km AS (SELECT seq_id, pos, kmer, pos - row_number() OVER (PARTITION BY seq_id ORDER BY pos) AS run FROM ok)"
+    )
+
+
+def _fast_kmers_sql(k: int) -> str:
+    """The same without places, from the runs."""
+    return f"{SEQ}, r AS (SELECT seq_id, unnest(regexp_extract_all(sequence, '[ACGT]{{{k},}}')) AS run FROM s), km AS (SELECT seq_id, unnest(list_transform(range(1, length(run) - {k - 2}), lambda i: substr(run, i, {k}))) AS kmer FROM r)"
+
+
+def _rc_sql(x: str) -> str:
+    return f"reverse(translate({x}, 'ACGT', 'TGCA'))"
+
+
+def distinct_kmers(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return ops.kmers(sequences(spark, sf_dir), k).select("code").distinct().withColumn("kmer", nt.decode_kmer(F.col("code"), k))
+
+
+def _distinct_sql(k: int) -> str:
+    return f"WITH {_fast_kmers_sql(k)}, d AS (SELECT kmer, {DIGITS.format('kmer')} AS code, {DIGITS.format(_rc_sql('kmer'))} AS rc FROM (SELECT DISTINCT kmer FROM km))"
+
+
+def on_distinct(name: str, k: int, columns: Callable[[Column, Column], dict[str, Column]], sql: str) -> None:
+    """Register a projection of the distinct k-mers."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return distinct_kmers(spark, sf_dir, k).select("kmer", *[c.alias(n) for n, c in columns(F.col("code"), F.col("kmer")).items()])
+
+    run.__name__ = name
+    query(f"{_distinct_sql(k)} SELECT kmer, {sql} FROM d")(run)
+
+
+@query("WITH c AS (SELECT n_nationkey, unnest(string_split(n_name, '')) AS base FROM nation) SELECT base, (CASE WHEN base IN ('a','A') THEN 0 WHEN base IN ('c','C') THEN 1 WHEN base IN ('t','T') THEN 2 WHEN base IN ('g','G') THEN 3 ELSE 255 END)::BIGINT AS code, count(*) AS n FROM c GROUP BY 1, 2")
+def nuc_encode(spark, sf_dir):
+    chars = _table(spark, sf_dir, "nation").select(F.explode(F.split("n_name", "")).alias("base"))
+    return chars.groupBy("base", nt.encode_base(F.col("base")).alias("code")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {SEQ} SELECT seq_id, md5(translate(sequence, 'ACGT', 'TGCA')) AS complement_md5 FROM s")
+def complement(spark, sf_dir):
+    return sequences(spark, sf_dir).select("seq_id", F.md5(nt.complement(F.col("sequence"))).alias("complement_md5"))
+
+
+@query(f"WITH {SEQ} SELECT seq_id, md5({_rc_sql('sequence')}) AS revcomp_md5 FROM s")
+def revcomp(spark, sf_dir):
+    return sequences(spark, sf_dir).select("seq_id", F.md5(nt.reverse_complement(F.col("sequence"))).alias("revcomp_md5"))
+
+
+on_distinct("kmer_encode", K, lambda code, kmer: {"code": nt.encode_kmer(kmer)}, "code")
+on_distinct("kmer_decode", K, lambda code, kmer: {"decoded": nt.decode_kmer(code, K)}, "kmer AS decoded")
+on_distinct("revcomp_code", K, lambda code, kmer: {"rc": nt.reverse_complement_code(code, K)}, "rc")
+on_distinct("canonical_lex", K, lambda code, kmer: {"canonical": nt.canonical(code, K)}, "least(code, rc) AS canonical")
+_PARITY = "CASE WHEN bit_count(code) % 2 = 1 THEN code ELSE rc END"
+on_distinct("canonical_parity", 7, lambda code, kmer: {"canonical": nt.canonical_parity(code, 7)}, f"({_PARITY}) // 2 AS canonical")
+on_distinct("uncanonize_parity", 7, lambda code, kmer: {"strand": nt.restore_parity(nt.canonical_parity(code, 7))}, f"{_PARITY} AS strand")
+on_distinct("sub_kmer", K, lambda code, kmer: {"sub": nt.sub_kmer(code, 3, 2)}, f"{DIGITS.format('substr(kmer, 4, 3)')} AS sub")
+on_distinct("suffix_kmer", K, lambda code, kmer: {"suffix": nt.suffix_kmer(code, 5)}, f"{DIGITS.format('right(kmer, 5)')} AS suffix")
+on_distinct("prefix_kmer", K, lambda code, kmer: {"prefix": nt.prefix_kmer(code, 3)}, f"{DIGITS.format('left(kmer, 5)')} AS prefix")
+
+_M32, _M64 = (1 << 32) - 1, (1 << 64) - 1
+
+
+def _hash_sql(width: int, factors: tuple[int, int]) -> str:
+    half, mask = width // 2, _M32 if width == 32 else _M64
+    sign = f"{1 << (width - 1)}::UHUGEINT"
+    return (
+        f", h1 AS (SELECT *, (xor(code::UHUGEINT, code::UHUGEINT >> {half}) * {factors[0]}::UHUGEINT) & {mask}::UHUGEINT AS a FROM d)"
+        f", h2 AS (SELECT *, (xor(a, a >> {half}) * {factors[1]}::UHUGEINT) & {mask}::UHUGEINT AS b FROM h1)"
+        f", h3 AS (SELECT *, xor(b, b >> {half}) AS c FROM h2)"
+        f", h AS (SELECT kmer, code, CASE WHEN c >= {sign} THEN (c::HUGEINT - {1 << width}::HUGEINT)::BIGINT ELSE c::BIGINT END AS hash FROM h3)"
+    )
+
+
+@query(f"{_distinct_sql(K)}{_hash_sql(32, vectorised.MIX_32)} SELECT kmer, hash FROM h")
+def hash32(spark, sf_dir):
+    return distinct_kmers(spark, sf_dir, K).select("kmer", vectorised.hash32(F.col("code")).alias("hash"))
+
+
+@query(f"{_distinct_sql(K)}{_hash_sql(64, vectorised.MIX_64)} SELECT kmer, hash FROM h")
+def hash64(spark, sf_dir):
+    return distinct_kmers(spark, sf_dir, K).select("kmer", vectorised.hash64(F.col("code")).alias("hash"))
+
+
+@query(f"{_distinct_sql(K)} SELECT kmer, code AS back32, code AS back64 FROM d")
+def unhash_roundtrip(spark, sf_dir):
+    return distinct_kmers(spark, sf_dir, K).select("kmer", vectorised.unhash32(vectorised.hash32(F.col("code"))).alias("back32"), vectorised.unhash64(vectorised.hash64(F.col("code"))).alias("back64"))
+
+
+@query(f"{_distinct_sql(5)}{_hash_sql(64, vectorised.MIX_64)} SELECT kmer, hash, row_number() OVER (ORDER BY hash) AS place FROM h")
+def hash_order(spark, sf_dir):
+    rows = distinct_kmers(spark, sf_dir, 5).select("kmer", vectorised.hash64(F.col("code")).alias("hash"))
+    return rows.withColumn("place", F.row_number().over(Window.orderBy("hash")))  # 4^5 rows at most
+
+
+@query(f"WITH {_fast_kmers_sql(4)}, c AS (SELECT kmer, count(*) AS n FROM km GROUP BY kmer), t AS (SELECT kmer, row_number() OVER (ORDER BY n DESC, kmer) AS rank FROM c) SELECT km.seq_id, count(*) AS n, sum(t.rank)::BIGINT AS rank_sum FROM km JOIN t USING (kmer) GROUP BY km.seq_id")
+def rank_lookup(spark, sf_dir):
+    rows = ops.kmers(sequences(spark, sf_dir), 4)
+    counts = rows.groupBy("code").agg(F.count("*").alias("n")).withColumn("kmer", nt.decode_kmer(F.col("code"), 4))
+    ranks = counts.select("code", F.row_number().over(Window.orderBy(F.desc("n"), "kmer")).alias("rank"))
+    return ops.ranked(rows, F.broadcast(ranks)).groupBy("seq_id").agg(F.count("*").alias("n"), F.sum("rank").alias("rank_sum"))  # 4^4 ranks at most
+
+
+@query(f"{_distinct_sql(5)} SELECT kmer, row_number() OVER (ORDER BY {DIGITS.format('right(kmer, 3)')}, code) AS place FROM d")
+def extracted_sort(spark, sf_dir):
+    return distinct_kmers(spark, sf_dir, 5).select("kmer", F.row_number().over(Window.orderBy(nt.suffix_kmer(F.col("code"), 3), "code")).alias("place"))
+
+
+@query(f"WITH {_kmers_sql(12)}, c AS (SELECT seq_id, pos, {DIGITS.format('kmer')} AS code FROM km) SELECT seq_id, pos, code, row_number() OVER (PARTITION BY seq_id ORDER BY code, pos) AS place FROM c")
+def positioned_sort(spark, sf_dir):
+    w = Window.partitionBy("seq_id").orderBy("code", "pos")
+    return ops.kmers(sequences(spark, sf_dir), 12).select("seq_id", "pos", "code", F.row_number().over(w).alias("place"))
+
+
+@query(f"WITH {SEQ}, r AS (SELECT seq_id, unnest(regexp_extract_all(sequence, '[ACGT]{{4,}}')) AS run FROM s) SELECT seq_id, count(*) AS n_runs, sum(length(run))::BIGINT AS n_bases, max(length(run)) AS longest FROM r GROUP BY seq_id")
+def kmer_runs(spark, sf_dir):
+    n = F.length("bases")
+    return ops.runs(sequences(spark, sf_dir), 4).groupBy("seq_id").agg(F.count("*").alias("n_runs"), F.sum(n).alias("n_bases"), F.max(n).alias("longest"))
+
+
+@query(f"WITH {_kmers_sql(K)} SELECT seq_id, pos, {DIGITS.format('kmer')} AS code FROM km")
+def kmer_list(spark, sf_dir):
+    return ops.kmers(sequences(spark, sf_dir), K).select("seq_id", "pos", "code")
+
+
+_OFFSETS = ", o AS (SELECT seq_id, coalesce(sum(length(sequence)) OVER (ORDER BY seq_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM s)"
+
+
+@query(f"WITH {_kmers_sql(4)}{_OFFSETS} SELECT o.seq_id, start::BIGINT AS start, count(km.pos) AS n, coalesce(min(start + km.pos), -1)::BIGINT AS first, coalesce(max(start + km.pos), -1)::BIGINT AS last, coalesce(sum(start + km.pos), -1)::BIGINT AS total FROM o LEFT JOIN km USING (seq_id) GROUP BY o.seq_id, start")
+def kmer_positions(spark, sf_dir):
+    return _positions(sequences(spark, sf_dir), None)
+
+
+def _positions(seqs: DataFrame, keep: Column | None) -> DataFrame:
+    placed = ops.with_offsets(seqs).withColumnRenamed("offset", "start")
+    placed = placed if keep is None else placed.filter(keep)
+    rows = ops.kmers(placed, 4).groupBy("seq_id").agg(F.count("*").alias("k"), F.min("pos").alias("a"), F.max("pos").alias("b"), F.sum("pos").alias("s"))
+    out = placed.select("seq_id", "start").join(rows, "seq_id", "left")
+    return out.select("seq_id", "start", F.coalesce("k", F.lit(0)).alias("n"), F.coalesce(F.col("start") + F.col("a"), F.lit(-1)).alias("first"), F.coalesce(F.col("start") + F.col("b"), F.lit(-1)).alias("last"), F.coalesce(F.col("start") * F.col("k") + F.col("s"), F.lit(-1)).alias("total"))
+
+
+@query(f"WITH {_kmers_sql(4)}{_OFFSETS} SELECT o.seq_id, start::BIGINT AS start, count(km.pos) AS n, coalesce(min(start + km.pos), -1)::BIGINT AS first, coalesce(max(start + km.pos), -1)::BIGINT AS last, coalesce(sum(start + km.pos), -1)::BIGINT AS total FROM o JOIN s ON s.seq_id = o.seq_id AND s.lang = 'en' LEFT JOIN km ON km.seq_id = o.seq_id GROUP BY o.seq_id, start")
+def sequence_filter(spark, sf_dir):
+    """Skipped sequences still advance the position: offsets come before the filter."""
+    return _positions(sequences(spark, sf_dir), F.col("lang") == "en")
+
+
+@query(f"WITH {_kmers_sql(5)} SELECT seq_id, max(pos) + 5 AS run_end, max_by(kmer, pos) AS last_kmer, count(*) AS n FROM km GROUP BY seq_id, run")
+def run_ends(spark, sf_dir):
+    rows = ops.kmers(sequences(spark, sf_dir), 5).groupBy("seq_id", "run").agg(F.max("pos").alias("p"), F.max_by("code", "pos").alias("c"), F.count("*").alias("n"))
+    return rows.select("seq_id", (F.col("p") + 5).alias("run_end"), nt.decode_kmer(F.col("c"), 5).alias("last_kmer"), "n")
+
+
+@query(f"WITH {_fast_kmers_sql(4)}, c AS (SELECT least({DIGITS.format('kmer')}, {DIGITS.format(_rc_sql('kmer'))}) AS code, n FROM (SELECT kmer, count(*) AS n FROM km GROUP BY kmer)) SELECT code, sum(n)::BIGINT AS count FROM c GROUP BY code")
+def kmer_count(spark, sf_dir):
+    return ops.count_kmers(sequences(spark, sf_dir), 4)
+
+
+def _entropy_sql(k: int) -> str:
+    table = "[" + ", ".join(map(str, nt.entropy_table(k))) + "]"
+    return f"list_sum(list_transform(list_distinct(pairs), lambda d: {table}[1 + length(list_filter(pairs, lambda p: p = d))]))::BIGINT"
+
+
+_PAIRS = f", e AS (SELECT kmer, list_transform(range(1, {K}), lambda i: substr(kmer, i, 2)) AS pairs FROM d)"
+
+
+@query(f"{_distinct_sql(K)}{_PAIRS} SELECT kmer, {_entropy_sql(K)} AS numerator FROM e")
+def entropy(spark, sf_dir):
+    return distinct_kmers(spark, sf_dir, K).select("kmer", nt.entropy_numerator(F.col("kmer"), K).cast("long").alias("numerator"))
+
+
+@query(f"{_distinct_sql(K)}{_PAIRS} SELECT kmer FROM e WHERE {_entropy_sql(K)} >= {nt.entropy_threshold(2.5)}")
+def entropy_filter(spark, sf_dir):
+    return distinct_kmers(spark, sf_dir, K).filter(nt.entropy_numerator(F.col("kmer"), K) >= nt.entropy_threshold(2.5)).select("kmer")
+
+
+@query(f"WITH g AS (SELECT x, list_reduce(list_transform(range(0, {K}), lambda i: substr('ACTG', 1 + (x >> (2 * ({K - 1} - i))) % 4, 1)), lambda a, b: a || b) AS kmer FROM range({4**K}) t(x)), e AS (SELECT list_transform(range(1, {K}), lambda i: substr(kmer, i, 2)) AS pairs FROM g) SELECT {_entropy_sql(K)} AS numerator, count(*) AS n FROM e GROUP BY 1")
+def entropy_hist(spark, sf_dir):
+    rows = spark.range(4**K).select(nt.entropy_numerator(nt.decode_kmer(F.col("id"), K), K).cast("long").alias("numerator"))
+    return rows.groupBy("numerator").agg(F.count("*").alias("n"))
+
+
+_BIG = 1 << 30
+_MINIMA = f"WITH {_kmers_sql(5)}, c AS (SELECT seq_id, run, pos, {DIGITS.format('kmer')} AS code FROM km), w AS (SELECT *, min(code * {_BIG} + ({_BIG - 1} - pos)) OVER f AS m, count(*) OVER f AS n FROM c WINDOW f AS (PARTITION BY seq_id, run ORDER BY pos ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)), x AS (SELECT seq_id, run, pos, m // {_BIG} AS min_value, {_BIG - 1} - m % {_BIG} AS min_pos FROM w WHERE n = 4)"
+
+
+def _minima(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.window_minimum(ops.kmers(sequences(spark, sf_dir), 5), 4, F.col("code"), ["seq_id", "run"])
+
+
+@query(f"{_MINIMA} SELECT seq_id, pos, min_value, min_pos FROM x")
+def window_min(spark, sf_dir):
+    return _minima(spark, sf_dir).select("seq_id", "pos", "min_value", "min_pos")
+
+
+@query(f"{_MINIMA}, y AS (SELECT seq_id, min_pos IS DISTINCT FROM lag(min_pos) OVER (PARTITION BY seq_id, run ORDER BY pos) AS changed FROM x) SELECT seq_id, count(*) AS n, count(*) FILTER (WHERE changed) AS n_changed FROM y GROUP BY seq_id")
+def min_changed(spark, sf_dir):
+    rows = ops.minimum_changes(_minima(spark, sf_dir), ["seq_id", "run"])
+    return rows.groupBy("seq_id").agg(F.count("*").alias("n"), F.count_if("changed").alias("n_changed"))
+
+
+@query(
+    f"WITH {_kmers_sql(4)}, c AS (SELECT seq_id, run, pos, least({DIGITS.format('kmer')}, {DIGITS.format(_rc_sql('kmer'))}) AS code FROM km), w AS (SELECT *, min(code * {_BIG} + ({_BIG - 1} - pos)) OVER f AS m, count(*) OVER f AS n FROM c WINDOW f AS (PARTITION BY seq_id, run ORDER BY pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)), "
+    "x AS (SELECT *, m IS DISTINCT FROM lag(m) OVER (PARTITION BY seq_id, run ORDER BY pos) AS changed FROM w WHERE n = 5), y AS (SELECT *, sum(changed::INT) OVER (PARTITION BY seq_id, run ORDER BY pos) AS island FROM x) "
+    f"SELECT seq_id, min(pos) - 4 AS start, max(pos) + 4 AS \"end\", min(m // {_BIG}) AS minimizer FROM y GROUP BY seq_id, run, island"
+)
+def superkmers(spark, sf_dir):
+    return ops.superkmers(sequences(spark, sf_dir), 8, 4).select("seq_id", "start", "end", "minimizer")
+
+
+@query(f"WITH {_fast_kmers_sql(11)} SELECT sum(least({DIGITS.format('kmer')}, {DIGITS.format(_rc_sql('kmer'))}))::BIGINT AS checksum, count(*) AS n FROM km")
+def kmer_checksum(spark, sf_dir):
+    rows = ops.kmers(sequences(spark, sf_dir), 11)
+    return rows.agg(F.sum(nt.canonical(F.col("code"), 11)).alias("checksum"), F.count("*").alias("n"))
+
+
+@query(f"WITH {_kmers_sql(5)}, n AS (SELECT seq_id, count(*) AS n_valid FROM km GROUP BY seq_id) SELECT s.seq_id, coalesce(n_valid, 0) AS n_valid, greatest(length(sequence) - 4, 0) - coalesce(n_valid, 0) AS n_invalid FROM s LEFT JOIN n USING (seq_id)")
+def valid_kmers(spark, sf_dir):
+    seqs = sequences(spark, sf_dir)
+    good = ops.kmers(seqs, 5).groupBy("seq_id").agg(F.count("*").alias("g"))
+    n = F.coalesce("g", F.lit(0))
+    return seqs.join(good, "seq_id", "left").select("seq_id", n.alias("n_valid"), (F.greatest(F.length("sequence") - 4, F.lit(0)) - n).alias("n_invalid"))
+
+
+WORDS = "w AS (SELECT o_orderkey, (o_orderkey * 2654435761) % 4294967296 AS x FROM orders)"
+
+def on_words(name: str, columns: Callable[[Column], dict[str, Column]], sql: str) -> None:
+    """Register a projection of 32-bit words derived from the order keys."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * F.lit(2654435761) % F.lit(4294967296)).alias("x"))
+        return rows.select("o_orderkey", *[c.alias(n) for n, c in columns(F.col("x")).items()])
+
+    run.__name__ = name
+    query(f"WITH {WORDS} SELECT o_orderkey, {sql} FROM w")(run)
+
+
+_LEN = "CASE WHEN {0} = 0 THEN 0 ELSE length(bin({0})) END"
+_REVERSED = "list_reduce(list_transform(string_split(reverse(lpad(bin(x), 32, '0')), ''), lambda d: d::BIGINT), lambda a, b: a * 2 + b)"
+on_words("bit_parity", lambda x: {"odd": bits.parity(x)}, "bit_count(x)::BIGINT % 2 AS odd")
+on_words("bit_popcount", lambda x: {"ones": F.bit_count(x)}, "bit_count(x)::BIGINT AS ones")
+on_words("bit_clz", lambda x: {"zeros": bits.count_leading_zeros(x, 32)}, f"32 - {_LEN.format('x')} AS zeros")
+on_words("bit_ilog2", lambda x: {"up": bits.ilog2(x), "width": bits.ilog2p1(x)}, f"CASE WHEN x > 1 THEN {_LEN.format('(x - 1)')} ELSE 0 END AS up, greatest({_LEN.format('x')}, 1) AS width")
+on_words("bit_rot", lambda x: {"l": bits.rotate_left(x, 7, 32), "r": bits.rotate_right(x, 7, 32)}, "(x * 128) % 4294967296 + x // 33554432 AS l, x // 128 + (x % 128) * 33554432 AS r")
+on_words("bit_mask", lambda x: {"masked": x.bitwiseAND(bits.bitmask(9, 5)), "mask": bits.bitmask(9, 5)}, "x & 16352::BIGINT AS masked, 16352::BIGINT AS mask")
+on_words("bit_peek", lambda x: {"group": bits.peek(x, 5, 11)}, "(x // 2048) % 32 AS \"group\"")
+on_words("bit_poke", lambda x: {"poked": bits.poke(x, F.col("o_orderkey"), 6, 3)}, "x - x // 8 % 64 * 8 + o_orderkey % 64 * 8 AS poked")
+on_words("bit_reverse", lambda x: {"bits": bits.reverse_groups(x, 1, 32), "bytes": bits.byte_swap(x, 32)}, f"{_REVERSED} AS bits, x % 256 * 16777216 + x // 256 % 256 * 65536 + x // 65536 % 256 * 256 + x // 16777216 AS bytes")
+on_words("bit_tile", lambda x: {"tiled": bits.tile_group(bits.peek(x, 4), 4, 32)}, "x % 16 * 286331153 AS tiled")
+_VB = "CASE WHEN x < 128 THEN printf('%02X', x) WHEN x < 16384 THEN printf('%02X%02X', x % 128 + 128, x // 128) WHEN x < 2097152 THEN printf('%02X%02X%02X', x % 128 + 128, x // 128 % 128 + 128, x // 16384) WHEN x < 268435456 THEN printf('%02X%02X%02X%02X', x % 128 + 128, x // 128 % 128 + 128, x // 16384 % 128 + 128, x // 2097152) ELSE printf('%02X%02X%02X%02X%02X', x % 128 + 128, x // 128 % 128 + 128, x // 16384 % 128 + 128, x // 2097152 % 128 + 128, x // 268435456) END"
+on_words("varbyte", lambda x: {"bytes": F.hex(bits.variable_bytes(x)), "back": bits.from_variable_bytes(bits.variable_bytes(x))}, f"{_VB} AS bytes, x AS back")
+
+_PARTS = "p AS (SELECT l_orderkey, list_sort(list(l_partkey)) AS v, max(l_partkey) AS m FROM lineitem GROUP BY l_orderkey)"
+
+
+def _order_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_partkey")).alias("v"), F.max("l_partkey").alias("m"))
+    return rows.withColumn("width", bits.ilog2p1(F.col("m")))
+
+
+@query(f"WITH {_PARTS} SELECT l_orderkey, length(bin(m)) AS width, length(v) AS n, (length(v) * length(bin(m)) + 7) // 8 AS n_bytes, array_to_string(v, ',') AS \"values\" FROM p")
+def packed_roundtrip(spark, sf_dir):
+    rows = _order_parts(spark, sf_dir).withColumn("packed", vectorised.pack("v", "width")).withColumn("n", F.size("v"))
+    return rows.select("l_orderkey", "width", "n", F.length("packed").alias("n_bytes"), F.array_join(vectorised.unpack("packed", "width", "n").cast("array<string>"), ",").alias("values"))
+
+
+@query("SELECT l_orderkey, array_to_string(list_sort(list(l_partkey)), ',') AS ordered, max(l_partkey) AS largest FROM lineitem GROUP BY l_orderkey")
+def packed_sort(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("v"), F.max("l_partkey").alias("largest"))
+    rows = rows.withColumns({"width": bits.ilog2p1(F.col("largest")), "n": F.size("v")})
+    back = vectorised.unpack(vectorised.pack("v", "width"), F.col("width"), F.col("n"))
+    return rows.select("l_orderkey", F.array_join(F.array_sort(back).cast("array<string>"), ",").alias("ordered"), "largest")
+
+
+@query(f"WITH {_PARTS} SELECT l_orderkey, length(list_filter(v, lambda a: a < o_custkey)) AS place FROM p JOIN orders ON o_orderkey = l_orderkey")
+def lower_bound(spark, sf_dir):
+    rows = _order_parts(spark, sf_dir).join(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    return rows.select("l_orderkey", vectorised.lower_bound("v", "o_custkey").alias("place"))
+
+
+@query("SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY line")
+def lines(spark, sf_dir):
+    path = _scratch(spark, "lines")
+    _table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit(""))).write.text(path)
+    return fastx.read_lines(spark, path).groupBy("line").agg(F.count("*").alias("n"))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bases = F.concat_ws("", F.regexp_extract_all("sequence", F.lit("[ACGT]+"), F.lit(0)))
+    rows = sequences(spark, sf_dir).select(F.concat(F.lit("s"), F.col("seq_id").cast("string")).alias("header"), bases.alias("sequence")).filter("sequence <> ''")
+    return rows.withColumn("quality", F.translate("sequence", "ACTG", "@IF#"))
+
+
+_RECORDS = f"WITH {SEQ}, r AS (SELECT 's' || seq_id AS header, regexp_replace(sequence, '[^ACGT]', '', 'g') AS sequence FROM s)"
+
+
+@query(f"{_RECORDS} SELECT header, length(sequence) AS n, md5(sequence) AS sequence_md5 FROM r WHERE sequence <> ''")
+def fasta_scan(spark, sf_dir):
+    path = _scratch(spark, "fasta")
+    wrapped = F.regexp_replace("sequence", "(.{70})(?=.)", "$1\n")
+    fastx.write_fasta(_records(spark, sf_dir).withColumn("sequence", wrapped), path)
+    return fastx.read_fasta(spark, path).select("header", F.length("sequence").alias("n"), F.md5("sequence").alias("sequence_md5"))
+
+
+@query(f"{_RECORDS} SELECT header, md5(sequence) AS sequence_md5, md5(translate(sequence, 'ACTG', 'JIF#')) AS quality_md5 FROM r WHERE sequence <> ''")
+def fastq_scan(spark, sf_dir):
+    path = _scratch(spark, "fastq")
+    fastx.write_fastq(_records(spark, sf_dir).withColumn("quality", F.translate("sequence", "ACTG", "JIF#")), path)
+    return fastx.read_fastq(spark, path).select("header", F.md5("sequence").alias("sequence_md5"), F.md5("quality").alias("quality_md5"))
