@@ -13,7 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker handles at a time; a longer document is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: Rows that Spark hands to a Python worker at a time, where the session has its default of 10,000: texts are wide rows.
+BATCH_ROWS = 1_500
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,14 +40,14 @@ def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFram
 
     ``batch_rows`` bounds the rows that a Python worker gets at a time while this table is made, for wide rows.
     """
-    path, key = new_path(df.sparkSession, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
-    usual = df.sparkSession.conf.get(key)
+    path, conf = new_path(df.sparkSession, name), df.sparkSession.conf
+    usual = conf.get(_BATCH)
     try:
         if batch_rows:
-            df.sparkSession.conf.set(key, str(batch_rows))
+            conf.set(_BATCH, str(batch_rows))
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        df.sparkSession.conf.set(key, usual)
+        conf.set(_BATCH, usual)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -68,6 +72,12 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark hand fewer rows at a time to Python workers, unless the session says how many."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of ``df``: only sizes partitions, never changes a result."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -75,6 +85,7 @@ def plan_bytes(df: DataFrame) -> int:
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_binary: bool = True) -> DataFrame:
     """The two columns that the operators read, whatever else ``df`` has; a null text is an empty one."""
+    small_batches(df.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return df.select(F.col(id_col).cast("long").alias("doc_id"), (text.cast("binary") if as_binary else text).alias("text"))
 

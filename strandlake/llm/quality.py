@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import id_text, pack, slices, unpack
+from strandlake.llm.common import id_text, pack, slices, small_batches, unpack
 
 #: Labelled documents that training reads at most: those of the smallest hashes of their ids.
 TRAIN_DOCUMENTS = 4_000
@@ -283,4 +283,5 @@ def filtered(docs: DataFrame, chain: LineChain | None, least: float = 0.5, text_
                 at += len(rows)
             yield b.filter(pa.array(keep))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -30,14 +30,14 @@ from strandlake.llm.passages import _bucket, _deltas, _doc_part, _put_docs
 
 LENGTH, PIECE = 400, 128
 HOT = 1_000
-BUCKET_BYTES, CHUNK_ANCHORS, CHUNK_BYTES = 4 << 20, 300_000, 8 << 20
+BUCKET_BYTES, CHUNK_ANCHORS, CHUNK_BYTES = 4 << 20, 300_000, 6 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTES = np.frombuffer(hashlib.shake_256(b"bytes").digest(2048), np.uint64)
 _BYTES_2 = np.frombuffer(hashlib.shake_256(b"bytes again").digest(2048), np.uint64)
 _LOW = np.uint64((1 << 24) - 1)
 #: Bytes scanned at a time; places within a scan have 24 bits.
-SCAN = 2 << 20
+SCAN = 1 << 20
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
