@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -102,6 +103,16 @@ def slices(batches: Iterable[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterat
             to = max(at + 1, int(np.searchsorted(ends, done + size, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    tidy()
+
+
+def tidy() -> None:
+    """Give memory that a task no longer needs back to the system; workers live on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
 
 
 def encode_array(a: np.ndarray) -> bytes:

@@ -37,7 +37,7 @@ class _WordHashes(dict):
     """64-bit hashes of words, kept while they fit."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return h

@@ -29,7 +29,7 @@ LONG = 128
 class PieceModel:
     """A byte-fallback BPE model of sentencepiece with an identity normaliser, a dummy prefix and kept white space."""
 
-    KEEP = 1_000_000
+    KEEP = 500_000
 
     def __init__(self, path: str):
         import sentencepiece
@@ -51,7 +51,6 @@ class PieceModel:
         self.ranks = np.array([p[1] for p in pairs] + [NONE], np.int32)
         self.merged = np.array([p[2] for p in pairs] + [0], np.int32)
         self.known: dict[str, bytes] = {}
-        self.decimal = [str(i) for i in range(n)]
 
     def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Where each pair stands in the table; its last place for none."""
@@ -182,6 +181,7 @@ class PieceModel:
 
 
 _MODELS: dict[str, PieceModel] = {}
+_PROCESSORS: dict = {}
 
 
 def model(path: str) -> PieceModel:
@@ -191,6 +191,15 @@ def model(path: str) -> PieceModel:
     return _MODELS[path]
 
 
+def processor(path: str):
+    """The library's own, to decode with."""
+    import sentencepiece
+
+    if path not in _PROCESSORS:
+        _PROCESSORS[path] = sentencepiece.SentencePieceProcessor(model_file=path)
+    return _PROCESSORS[path]
+
+
 def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (array of int, the end id last). A null or empty text has the end id only."""
 
@@ -208,13 +217,14 @@ def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and the digests of the decimal ids and of the text that the library decodes from them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
+        sp = processor(path)
+        decimal = [str(i) for i in range(sp.get_piece_size())]
         for big in batches:
             for at in range(0, big.num_rows, 500):
                 b = big.slice(at, 500)
                 ids = b.column("ids").to_pylist()
-                shas = [hashlib.sha256(" ".join(map(m.decimal.__getitem__, x)).encode()).hexdigest() for x in ids]
-                texts = [hashlib.sha256(t.encode()).hexdigest() for t in m.sp.decode(ids)] if ids else []
+                shas = [hashlib.sha256(" ".join(map(decimal.__getitem__, x)).encode()).hexdigest() for x in ids]
+                texts = [hashlib.sha256(t.encode()).hexdigest() for t in sp.decode(ids)] if ids else []
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

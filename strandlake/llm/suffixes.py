@@ -76,7 +76,8 @@ def anchors(text: np.ndarray, length: int, piece: int) -> tuple[np.ndarray, np.n
     at = (np.minimum(behind[:windows], ahead[span - 1 : span - 1 + windows]) & _LOW).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     last = np.append(first[1:], windows) - 1
-    return at[first], first, last, h[at[first]]
+    # small hashes are what anchors have in common, so they are mixed once more before they deal anything out
+    return at[first], first, last, mix64(h[at[first]] ^ _P)
 
 
 def document_anchors(text: bytes, length: int, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
