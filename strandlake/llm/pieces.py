@@ -213,6 +213,15 @@ def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     return id_text(docs, id_col, text_col, as_binary=False).mapInArrow(run, "doc_id long, ids array<int>")
 
 
+_DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _digests(doc_ids: pa.Array, ids: list[list[int]], sp, decimal: list[str]) -> pa.RecordBatch:
+    shas = [hashlib.sha256(" ".join(map(decimal.__getitem__, x)).encode()).hexdigest() for x in ids]
+    texts = [hashlib.sha256(t.encode()).hexdigest() for t in sp.decode(ids, num_threads=1)] if ids else []
+    return pa.RecordBatch.from_arrays([doc_ids, pa.array([len(x) for x in ids], pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
 def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and the digests of the decimal ids and of the text that the library decodes from them."""
 
@@ -222,17 +231,25 @@ def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:
         for big in batches:
             for at in range(0, big.num_rows, 500):
                 b = big.slice(at, 500)
-                ids = b.column("ids").to_pylist()
-                shas = [hashlib.sha256(" ".join(map(decimal.__getitem__, x)).encode()).hexdigest() for x in ids]
-                texts = [hashlib.sha256(t.encode()).hexdigest() for t in sp.decode(ids)] if ids else []
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield _digests(b.column("doc_id"), b.column("ids").to_pylist(), sp, decimal)
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, _DIGESTS)
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
+def piece_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encode, decode and digest every document in one worker, so that ids don't travel.
+
+    Rows are handled one by one, so repeats, ties and other columns are free; a null or empty text has the end id only.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model(path)
+        decimal = [str(i) for i in range(m.size)]
+        for b in slices(batches):
+            ids = [[*a.tolist(), m.end] for a in m.encode(b.column("text").to_pylist())]
+            yield _digests(b.column("doc_id"), ids, m.sp, decimal)
 
-def piece_digests(docs: DataFrame, path: str) -> DataFrame:
-    """Encode, decode and digest every document; rows are handled one by one, so repeats and other columns are free."""
-    return decode_pieces(encode_pieces(docs, path), path)
+    return id_text(docs, id_col, text_col, as_binary=False).mapInArrow(run, _DIGESTS)
 
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
