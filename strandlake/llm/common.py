@@ -80,8 +80,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of ``df``: only sizes partitions, never changes a result."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's estimate of the size of ``df``: only sizes partitions, never changes a result.
+
+    Where Catalyst knows nothing (rows of an RDD count as endless), the session's number of partitions decides.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) << 23
 
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_binary: bool = True) -> DataFrame:
