@@ -269,12 +269,15 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
     spark = docs.sparkSession
     rows = id_text(docs, id_col, text_col, as_binary=False)
     parts = max(1, -(-plan_bytes(rows) // (8 << 20)), int(spark.conf.get("spark.sql.shuffle.partitions")) if plan_bytes(rows) > (8 << 20) else 1)
-    rows = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    # bounds come from the ids alone: a range exchange would read the texts once more to sample them
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
+    bounds = (ids.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10_000).alias("b")).first()["b"] or []) if parts > 1 else []
+    bounds = sorted(set(bounds))
+    part = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < F.col("doc_id")))) if bounds else F.lit(0)
+    rows = rows.withColumn("part", part.cast("int")).repartition(len(bounds) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, number, e = TaskContext.get().partitionId(), 0, encoder(tokenizer)
+        part, number, e = -1, 0, encoder(tokenizer)
         end = np.uint32(end_id).tobytes()
         ids: list[int] = []
         codes: list[bytes] = []
@@ -290,7 +293,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
 
         for b in slices(batches):
             got = e.encode(b.column("text").to_pylist())
-            for i, c in zip(b.column("doc_id").to_pylist(), got, strict=True):
+            for p, i, c in zip(b.column("part").to_pylist(), b.column("doc_id").to_pylist(), got, strict=True):
+                if p != part:
+                    if ids:
+                        yield segment()
+                    part, number = p, 0
                 ids.append(-(2**63) if i is None else i)
                 codes.append(c + end)
                 held += len(c) // 4 + 1
