@@ -164,7 +164,7 @@ class WordEncoder:
     words, each with its space, encoded alone. Words are kept (at most ``KEEP``); any other text is encoded whole.
     """
 
-    KEEP = 1_000_000
+    KEEP = 1_500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -274,7 +274,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
     bounds = (ids.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10_000).alias("b")).first()["b"] or []) if parts > 1 else []
     bounds = sorted(set(bounds))
     part = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < F.col("doc_id")))) if bounds else F.lit(0)
-    rows = rows.withColumn("part", part.cast("int")).repartition(len(bounds) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first())
+    rows = rows.withColumn("part", part.cast("int")).repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, e = -1, 0, encoder(tokenizer)
