@@ -86,7 +86,9 @@ def test_word_encoder():
     random.seed(11)
     odd = ["".join(random.choice("abclstve  \n\t.,'12_-\u00b5\u00aałğŁé日Ж\u00ad\u0301\u0660😀") for _ in range(random.randint(0, 80))) for _ in range(3000)]
     odd += ["met Erdoğan and Erdoğan's, zażółć gęślą", "don't we'll 'tis a's", "x<|endoftext|>y", "", " ", "a\nb", "ab\r\nc d", "abc日本 日本abc"]
-    want = [np.asarray(e.ids, np.uint32).tobytes() for e in Tokenizer.from_file(BPE).encode_batch(odd, add_special_tokens=False)]
+    t = Tokenizer.from_file(BPE)
+    odd += ["".join(t.decode([random.randrange(50_000)]) for _ in range(random.randint(0, 30))) for _ in range(3000)]
+    want = [np.asarray(e.ids, np.uint32).tobytes() for e in t.encode_batch(odd, add_special_tokens=False)]
     e = token_files.WordEncoder(BPE)
     assert e.encode(odd) == want
     assert e.encode(odd[::-1]) == want[::-1]  # words known by now
