@@ -174,10 +174,96 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_extract("r", "^([^\r\n]*)", 1).alias("header"), F.regexp_replace(body, "[\r\n]", "").alias("sequence")).filter("header <> '' OR sequence <> ''")
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """header, sequence and quality of FASTQ whose records end before a line of @: records are rows split at newline-@."""
-    rows = spark.read.option("lineSep", "\n@").text(path).select(F.split(F.regexp_replace("value", "^@", ""), "\r?\n").alias("l"))
-    return rows.filter(F.size("l") >= 4).select(F.get("l", F.lit(0)).alias("header"), F.get("l", F.lit(1)).alias("sequence"), F.get("l", F.lit(3)).alias("quality"))
+def _step(state: int, line: str) -> int:
+    """The place in a record after a line: 0 between records, 1 to 3 after so many of its lines. Counting needs no marks inside."""
+    return (state + 1) % 4 if state or line.startswith("@") else 0
+
+
+def _block_lines(batches) -> Iterator[tuple[tuple[str, int], list[str]]]:
+    """The lines of each batch by the block they stand in; a block's lines come in order."""
+    for batch in batches:
+        paths, blocks, lines = (batch.column(k) for k in range(3))
+        cuts = [i for i in range(1, len(lines)) if blocks[i] != blocks[i - 1] or paths[i] != paths[i - 1]] if len(set(blocks.to_pylist())) > 1 or len(paths.unique()) > 1 else []
+        for a, z in zip([0, *cuts], [*cuts, len(lines)]):
+            if z > a:
+                yield (paths[a].as_py(), blocks[a].as_py()), [x.removesuffix("\r") for x in lines.slice(a, z - a).to_pylist()]
+
+
+def _block_ends(batches):
+    """For each block the number of lines and where a record stands at its end, by where it stands at its start."""
+    import pyarrow as pa
+
+    found: dict[tuple[str, int], list] = {}
+    for block, lines in _block_lines(batches):
+        n, ends = found.get(block, (0, [0, 1, 2, 3]))
+        for line in lines:
+            ends = [_step(s, line) for s in ends]
+        found[block] = (n + len(lines), ends)
+    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([b for _, b in found], pa.int64()), pa.array([n for n, _ in found.values()], pa.int64()), pa.array([e for _, e in found.values()], pa.list_(pa.int32()))], ["path", "block", "n", "ends"])
+
+
+def _block_records(starts: dict, strict: bool, crossing: bool):
+    """Records that lie in one block, or (crossing) the lines of those that don't, with the block where they begin."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def rows(found):
+            columns = list(zip(*found)) or [[], [], [], []]
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string())]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["path", "origin", "block", "lines"])
+
+        at, state, origin, part, found = None, 0, 0, [], []
+        for block, lines in _block_lines(batches):
+            if block != at:
+                if part and crossing:
+                    found.append((at[0], origin, at[1], part))
+                at, (state, origin), part = block, starts[block], []
+            for line in lines:
+                if state == 0:
+                    if not line.startswith("@"):
+                        if strict and line:
+                            raise ValueError("Expected header")
+                        continue
+                    origin, part = block[1], []
+                part.append(line)
+                state = _step(state, line)
+                if state == 0:
+                    if (len(part) < 4) == crossing:
+                        found.append((block[0], origin, block[1], part))
+                    part = []
+            yield rows(found)
+            found = []
+        if part and crossing:
+            found.append((at[0], origin, at[1], part))
+        yield rows(found)
+
+    return run
+
+
+def read_fastq(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """header, sequence and quality of FASTQ files or folders by Spark's own text reader, any store.
+
+    Lines are counted from the start of each file, so any line may begin with @ or +. A first pass finds where records
+    stand at the ends of Spark's blocks; the lines of a record that crosses blocks are brought together by a shuffle of
+    those records only. ``strict``: malformed input is an error, otherwise it is skipped.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value"))
+    starts, last = {}, {}
+    for r in sorted(lines.mapInArrow(_block_ends, "path string, block long, n long, ends array<int>").collect(), key=lambda r: (r["path"], r["block"])):
+        state, origin = starts[r["path"], r["block"]] = last.get(r["path"], (0, 0))
+        last[r["path"]] = (r["ends"][state], origin if 0 < state and r["n"] < 4 - state else r["block"])
+    if strict and any(state for state, _ in last.values()):
+        raise ValueError("Truncated record")
+    kind = "path string, origin long, block long, lines array<string>"
+    rows = lines.mapInArrow(_block_records(starts, strict, False), kind).select("lines")
+    if any(state for state, _ in starts.values()):
+        parts = lines.mapInArrow(_block_records(starts, strict, True), kind).groupBy("path", "origin").agg(F.sort_array(F.collect_list(F.struct("block", "lines"))).alias("parts"))
+        rows = rows.union(parts.select(F.flatten("parts.lines").alias("lines")).filter(F.size("lines") == 4))
+    header, sequence, plus, quality = (F.get("lines", F.lit(k)) for k in range(4))
+    problem = F.when(~plus.startswith("+"), "Expected quality header").when(F.length(sequence) != F.length(quality), "Expected newline after quality")
+    right = F.when(problem.isNull(), True).otherwise(F.raise_error(problem).cast("boolean") if strict else F.lit(False))
+    return rows.filter(right).select(header.substr(2, 1 << 30).alias("header"), sequence.alias("sequence"), quality.alias("quality"))
 
 
 def write_fasta(df: DataFrame, path: str, header: str = "header", sequence: str = "sequence") -> None:

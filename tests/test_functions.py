@@ -78,3 +78,26 @@ def test_bits(spark):
     x = F.col("x")
     r = spark.createDataFrame([(0x0123456789ABCDEF,)], "x long").select(bits.byte_swap(x), bits.rotate_left(x, 8), bits.peek(x, 8, 4), bits.poke(x, F.lit(0).cast("long"), 8, 0), bits.from_variable_bytes(bits.variable_bytes(x)), bits.count_leading_zeros(x)).first()
     assert [v & (2**64 - 1) for v in r] == [0xEFCDAB8967452301, 0x23456789ABCDEF01, 0xDE, 0x0123456789ABCD00, 0x0123456789ABCDEF, 7]
+
+
+def test_fastq_by_text_reader(spark, tmp_path):
+    data = FQ + b"@@x\n@A\n+x\n@@\n\n@\n\n+\n\n@last\nACG\n+\n+@I"
+    (tmp_path / "a.fq").write_bytes(data)
+    (tmp_path / "b.fq").write_bytes(data.replace(b"\n", b"\r\n"))
+    want = sorted(r[1:] for r in fastx.read_range(io.BytesIO(data), 0, len(data), "fastq"))
+    assert ("s3", "AC", "@E") in want
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (1, 2, 3, 5, 7, 11, 16, 1 << 20):  # records cross any number of blocks
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            assert sorted(map(tuple, fastx.read_fastq(spark, str(tmp_path)).collect())) == sorted(want * 2), size
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize(("data", "message"), [(b"AC\n@s\nA\n+\nI\n", "Expected header"), (b"@s\nAC\nx\nII\n", "quality header"), (b"@s\nAC\n+\nI\n", "newline after quality"), (b"@s\nAC\n+\n", "Truncated")])
+def test_fastq_by_text_reader_malformed(spark, tmp_path, data, message):
+    (tmp_path / "a.fq").write_bytes(data)
+    with pytest.raises(Exception, match=message):
+        fastx.read_fastq(spark, str(tmp_path)).collect()
+    assert fastx.read_fastq(spark, str(tmp_path), strict=False).count() == (1 if data.startswith(b"AC") else 0)
