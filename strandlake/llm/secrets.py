@@ -1,7 +1,8 @@
 """Secret scans: candidates by one regular expression, false positives removed by a random forest.
 
-Everything on the rows is DataFrame functions. A candidate is a run of key characters with a digit or a known
-prefix in it, or a private key block; the pieces between candidates give its neighbouring words. A forest, grown on the driver from a bounded
+Everything on the rows is DataFrame functions. A candidate is a private key block, the value of an assignment (after
+a key word whatever its characters), or a run of key characters with a digit or a known prefix in it; the text around
+it gives its neighbouring words. A forest, grown on the driver from a bounded
 table of labelled findings, is compiled to a column expression over measures of the candidate: its length, transitions
 between kinds of characters, coverage by dictionary words, the path it stands in and the words around it.
 """
@@ -21,7 +22,17 @@ TREES, DEPTH, LEAST = 15, 6, 3
 #: Characters of a candidate, and how much of the text before and after it counts as neighbouring.
 KEY = r"A-Za-z0-9+/_.\-"
 PREFIXES = "AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|sk-|AIza|eyJ|npm_|pypi-"
-CANDIDATE = rf"-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----[^-]*+-----END [A-Z ]{{0,30}}PRIVATE KEY-----|(?<![{KEY}])(?:{PREFIXES})[{KEY}]{{12,}}+={{0,2}}|(?<![{KEY}])[A-Za-z+/_.\-]*+[0-9][{KEY}]*+={{0,2}}"
+WORDS = "key|token|secret|passw|pwd|auth|bearer|credential|private|signature"
+#: A private key up to its END line, headers included, not past the BEGIN line of another.
+BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----[^-]*+(?:(?!-----(?:BEGIN|END) )-[^-]*+){0,200}+-----END [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
+#: A value up to its closing quote, or else up to white space, a quote that ends it, the next field of an address or a tag.
+QUOTED = r"""(?<=")[^"\n]{8,}+(?=")|(?<=')[^'\n]{8,}+(?=')"""
+BARE = r"""[^\s"'&<][^\s"'&<]*+(?:(?:&(?!\w{1,30}=)|<(?!/)|["'](?=[A-Za-z0-9]))[^\s"'&<]*+){0,100}+"""
+#: After a key word and = or :, after another name and =, or after a scheme of authorization.
+ASSIGNED = rf"""(?<=[=: \t"'])(?:(?<=[=:][ \t]{{0,2}}["']?)(?:(?<=(?i:{WORDS})[\w \t"'.\-\]]{{0,16}}[=:][ \t]{{0,2}}["']?)|(?<=\w["'\]]?[ \t]?=[ \t]{{0,2}}["']?)|(?<=\w["'][ \t]?:[ \t]{{0,2}}["'])(?=[^\s"']{{8}}))|(?<=(?i:bearer|basic)[ \t])(?=\S{{16}}))(?:{QUOTED}|{BARE})"""
+CANDIDATE = rf"{BLOCK}|{ASSIGNED}|(?<![{KEY}])(?:{PREFIXES})[{KEY}]{{12,}}+={{0,2}}|(?<![{KEY}])[A-Za-z+/_.\-]*+[0-9][{KEY}]*+={{0,2}}"
+#: Characters at the end of a candidate that belong to the sentence or the code around it.
+CLOSING = r"[,;:)\]}>]+$"
 SHORTEST, BEFORE, AFTER = 8, 48, 24
 MARK = "[SECRET]"
 
@@ -65,7 +76,7 @@ def measures(before: Column, value: Column, after: Column) -> Column:
         F.array_max(F.transform(F.split(value, "[^0-9]+"), lambda x: F.length(x))),
         flag(before.rlike(r"(://|[?&/\\@])[^\s]*$") | value.rlike("^/|://")),
         flag(after.rlike("^@") | before.rlike(r"@$")),
-        flag(before.rlike(r"(?i)(key|token|secret|passw|pwd|auth|bearer|credential|private|signature)[^\n]{0,16}$")),
+        flag(before.rlike(rf"(?i)({WORDS})[^\n]{{0,16}}$")),
         flag(before.rlike(r"(?i)(sha|md5|hash|digest|checksum|commit|uuid|guid|version|revision|build|serial|isbn|etag|phone|tel|card|ip|address|order|id)[^a-zA-Z\n]{0,6}$")),
         flag(before.rlike(r"[=:]\s?['\"]?$")),
         flag(before.rlike(r"['\"]$") & after.rlike(r"^['\"]")),
@@ -149,6 +160,15 @@ def example_findings(spark: SparkSession, n: int = 2_400) -> DataFrame:
     assign = one("as", "=", " = ", ": ", "=\"", " = \"", ": \"", "='")
     closing = F.when(F.endswith(assign, F.lit('"')), '"').when(F.endswith(assign, F.lit("'")), "'").otherwise("")
     named = F.concat(word, key, assign)
+    letters = lambda k, m: F.translate(mixed(k, m), "+/0123456789", "QgTzKpLmRsYb")
+    symbols = F.concat(mixed("sy", 5), one("s1", "!", "#", "$", "!x"), letters("sz", 4), one("s2", "%", "^k", "*", "@"), mixed("s3", 5))
+    coined = F.concat(*[one(f"c{k}", "correct", "horse", "battery", "staple", "purple", "monkey", "dragon", "winter", "velvet", "copper", "rocket", "tulip") for k in range(4)])
+    other = F.concat(word, one("on", "OAUTH2_TOKEN", "S3_SECRET", "DB2_PASSWORD", "GITHUB_PAT", "db_pass", "x"), one("oa", "=", "=\"", " = \""))
+    ends = F.when(F.endswith(other, F.lit('"')), '"').otherwise(" ")
+    asking = F.concat(word, one("ak", "password: ", "Password: ", "key: ", "token: ", "the secret: ", "author: ", "authors = ", "keywords: ", "key = ", "signature: "))
+    prose = lambda k: one(k, "required", "important", "international", "communication", "understanding", "Johnathan", "everything", "responsibility", "available", "optional", "yesterday", "together", "patience", "information", "development")
+    blank = F.concat(word, one("bk", "name=", "class=", "title = ", "type=", "href=", "mode = ", "name=\"", "class=\""))
+    shut = F.when(F.endswith(blank, F.lit('"')), '"').otherwise(" ")
     kinds = [
         (word, F.concat(F.lit("AKIA"), upper), F.lit(" "), 1),
         (named, F.concat(F.lit("AKIA"), upper), closing, 1),
@@ -175,8 +195,28 @@ def example_findings(spark: SparkSession, n: int = 2_400) -> DataFrame:
         (F.concat(word, one("dd", "order ", "item ", "serial ", "call ")), F.concat(one("ee", "SKU-", "ORD", "No.", "X-"), digits("ff", 8)), F.lit(" "), 0),
         (word, F.concat(one("gg", "covid", "windows", "chapter", "section", "python", "area"), one("hh", "-", "_", ""), number("ii", 3000), one("jj", "-update", "_final", "th-report", "a")), F.lit(" "), 0),
     ]
-    cases = F.array(*[F.struct(b.alias("before"), v.alias("value"), a.alias("after"), F.lit(y).alias("label")) for b, v, a, y in kinds])
-    return spark.range(n).select(F.inline(F.array(F.element_at(cases, (i % len(kinds) + 1).cast("int")))))
+    kinds += [
+        (named, letters("k1", 24), closing, 1),
+        (named, letters("k2", 16), closing, 1),
+        (named, coined, closing, 1),
+        (named, symbols, closing, 1),
+        (other, h("k3", 40), ends, 1),
+        (other, letters("k4", 24), ends, 1),
+        (other, mixed("k5", 24), ends, 1),
+        (word, F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,"), F.upper(h("k6", 32)), F.lit("\n\n"), mixed("k7", 64), F.lit("\n-----END RSA PRIVATE KEY-----")), F.lit("\n"), 1),
+        (asking, prose("n1"), F.lit(" "), 0),
+        (asking, F.concat(one("n2", "get", "user", "read", "make", "load", "current"), one("n3", "Token", "Value", "Password", "Secret", "Name"), one("n4", "()", "", "_here", "(user)", ".text")), F.lit(" "), 0),
+        (asking, F.concat(prose("n5"), F.lit(" "), prose("n6"), F.lit(" "), prose("n7")), F.lit('"'), 0),
+        (blank, F.concat(prose("n8"), one("n9", "", "-item", "_view", ".html", "/index")), shut, 0),
+        (word, one("nf", "OAUTH2_TOKEN=", "S3_SECRET=", "DB2_PASSWORD=", "KEY1_VALUE="), h("n0", 24), 0),
+        (F.concat(word, one("nb", "bearer ", "basic ", "Basic ")), F.concat(prose("nc"), one("nd", "-", "_"), prose("ne")), F.lit(" "), 0),
+    ]
+    parts = []
+    for at in range(0, len(kinds), 10):  # by parts, which Java methods can hold
+        cases = F.array(*[F.struct(b.alias("before"), v.alias("value"), a.alias("after"), F.lit(y).alias("label")) for b, v, a, y in kinds[at : at + 10]])
+        rows = spark.range(n).filter((i % len(kinds) >= at) & (i % len(kinds) < at + 10))
+        parts.append(rows.select(F.inline(F.array(F.element_at(cases, (i % len(kinds) - at + 1).cast("int"))))))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def grow(findings: DataFrame, limit: int = TRAIN_FINDINGS, seed: int = 3) -> Forest:
@@ -196,18 +236,26 @@ def with_secrets(docs: DataFrame, forest: Forest, text_col: str = "text", name:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
     gaps = F.split(text, CANDIDATE)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast("array<struct<start:int,before:string>>").alias("places"))
 
     def walk(acc: Column, x: Column) -> Column:
         at = acc["at"] + F.length(x["gap"])
-        return F.struct((at + F.length(x["value"])).alias("at"), F.array_append(acc["starts"], at).alias("starts"))
+        before = F.right(F.concat(acc["tail"], F.right(x["gap"], F.lit(BEFORE))), F.lit(BEFORE))
+        tail = F.right(F.concat(before, F.right(x["value"], F.lit(BEFORE))), F.lit(BEFORE))
+        return F.struct((at + F.length(x["value"])).alias("at"), tail.alias("tail"), F.array_append(acc["places"], F.struct(at.alias("start"), before.alias("before"))).alias("places"))
 
-    tmp = [f"__{name}_{k}" for k in ("found", "gaps", "starts")]
+    tmp = [f"__{name}_{k}" for k in ("found", "gaps", "places")]
     base = docs.withColumns({tmp[0]: found, tmp[1]: gaps})
     found, gaps = F.col(tmp[0]), F.col(tmp[1])
     pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("value"))
-    base = base.withColumn(tmp[2], F.when(F.size(found) > 0, F.aggregate(pairs, start, walk)["starts"]).otherwise(F.array().cast("array<int>")))
-    rows = F.transform(found, lambda v, i: F.struct(v.alias("value"), F.get(F.col(tmp[2]), i).alias("start"), F.right(F.get(gaps, i), F.lit(BEFORE)).alias("before"), F.left(F.coalesce(F.get(gaps, i + 1), F.lit("")), F.lit(AFTER)).alias("after")))
+    base = base.withColumn(tmp[2], F.when(F.size(found) > 0, F.aggregate(pairs, start, walk)["places"]).otherwise(F.array().cast("array<struct<start:int,before:string>>")))
+
+    def cut(v: Column, i: Column) -> Column:
+        value, place = F.regexp_replace(v, CLOSING, ""), F.get(F.col(tmp[2]), i)
+        rest = F.concat(F.substr(v, F.length(value) + 1), F.coalesce(F.get(gaps, i + 1), F.lit("")), F.coalesce(F.get(found, i + 1), F.lit("")))
+        return F.struct(value.alias("value"), place["start"].alias("start"), place["before"].alias("before"), F.left(rest, F.lit(AFTER)).alias("after"))
+
+    rows = F.transform(found, cut)
     rows = F.filter(rows, lambda r: F.length(r["value"]) >= SHORTEST)
     rows = F.transform(rows, lambda r: F.struct(r["start"].alias("start"), r["value"].alias("value"), measures(r["before"], r["value"], r["after"]).alias("x")))
     rows = F.transform(rows, lambda r: F.struct(r["start"].alias("start"), r["value"].alias("value"), forest.column(r["x"]).alias("score")))
