@@ -270,9 +270,14 @@ def find_secrets(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_c
 
 
 def redact_secrets(docs: DataFrame, forest: Forest, text_col: str = "text", mark: str = MARK, least: float = 0.5) -> DataFrame:
-    """``docs`` with every secret of the text column replaced by ``mark``; the other columns stay as they are."""
+    """``docs`` with every secret of the text column replaced by ``mark`` where it stands; the other columns stay as they are."""
     rows = with_secrets(docs, forest, text_col, "__found", least)
-    clean = F.aggregate("__found", F.col(text_col).cast("string"), lambda t, s: F.replace(t, s["value"], F.lit(mark)))
+    text = F.col(text_col).cast("string")
+
+    def put(acc: Column, s: Column) -> Column:
+        return F.struct((s["start"] + F.length(s["value"])).alias("at"), F.concat(acc["done"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("done"))
+
+    clean = F.aggregate("__found", F.struct(F.lit(0).alias("at"), F.lit("").alias("done")), put, lambda acc: F.concat(acc["done"], F.substr(text, acc["at"] + 1)))
     return rows.withColumn(text_col, F.when(F.size("__found") > 0, clean).otherwise(F.col(text_col))).drop("__found").select(*docs.columns)
 
 

@@ -285,6 +285,15 @@ def test_secrets_without_digits_or_after_names(spark):
     assert sorted((r.doc_id, r.start, r.secret_sha256) for r in found) == want
 
 
+def test_redaction_cuts_where_secrets_stand(spark):
+    forest = secrets.grow(secrets.example_findings(spark))
+    short = "96d17ded865a61704b5b8dc58aafba7d26a3c1ef"
+    texts = [f'é token = "{short}" and secret = "{short}0f0f0f0f0f0f0f0f" end', f'token = "{short}" but commit {short} stays']
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in secrets.redact_secrets(table, forest).collect()}
+    assert clean == {0: 'é token = "[SECRET]" and secret = "[SECRET]" end', 1: f'token = "[SECRET]" but commit {short} stays'}
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(600, 16)).astype(np.float32)
