@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import id_text, mix64, slices, written
+from strandlake.llm.common import mix64, slices, written
 
 #: Documents of one source that a flight handles at a time, in the first round and in those that follow.
 BLOCK = 2_000
@@ -46,15 +46,18 @@ def word_counts(texts: pa.Array) -> np.ndarray:
     return upto[offsets[1:]] - upto[offsets[:-1]]
 
 
-def document_sizes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """doc_id, source and size (the words of the text; null or empty: 0)."""
+def document_sizes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """doc_id, source and size (the words of the text; null or empty: 0), and row, the key in ``row_col``, if there is one."""
+    own = [F.col(row_col).cast("long").alias("row")] if row_col else []
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(word_counts(b.column("text")))], ["doc_id", "source", "size"])
+            keys = [b.column("row")] if row_col else []
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(word_counts(b.column("text"))), *keys], ["doc_id", "source", "size", "row"][: 3 + len(keys)])
 
-    rows = id_text(docs, id_col, text_col).withColumn("source", F.lit(None).cast("string")) if source_col not in docs.columns else docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"), F.col(source_col).cast("string").alias("source"))
-    return rows.mapInArrow(count, "doc_id long, source string, size long")
+    source = F.col(source_col) if source_col in docs.columns else F.lit(None)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"), source.cast("string").alias("source"), *own)
+    return rows.mapInArrow(count, "doc_id long, source string, size long" + (", row long" if row_col else ""))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: float = 3.0) -> DataFrame:
@@ -153,18 +156,19 @@ def _draws(ids: np.ndarray, seed: int) -> np.ndarray:
 
 
 def cube_sample(units: DataFrame, seed: int = 1, block: int = BLOCK) -> DataFrame:
-    """``units`` (source, doc_id, size, p, n: the units of its source) with take 0 or 1, balanced per source."""
+    """``units`` (source, doc_id, size, p, n: the units of its source) with take 0 or 1, balanced per source; a column row stays."""
+    own = ["row"] if "row" in units.columns else []
 
     def round_of(last: bool, salt: int):
         def fly(pdf: pd.DataFrame) -> pd.DataFrame:
             # large documents first: those that are still fractional at the end are the small ones
-            pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
+            pdf = pdf.sort_values(["size", "doc_id", *own], ascending=[False, True, *[True] * len(own)], kind="stable").reset_index(drop=True)
             pdf["p"] = flight(pdf["p"].to_numpy(), pdf["size"].to_numpy(), last, _draws(pdf["doc_id"].to_numpy(), seed + salt))
             return pdf
 
         return fly
 
-    schema = "source string, doc_id long, size long, p double, n long, block long"
+    schema = "source string, doc_id long, size long, p double, n long, block long" + (", row long" if own else "")
     spark, done, rest, salt = units.sparkSession, [], units, 0
     most = units.agg(F.max("n")).first()[0] or 0
     while True:
@@ -180,28 +184,30 @@ def cube_sample(units: DataFrame, seed: int = 1, block: int = BLOCK) -> DataFram
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select("doc_id", "source", "size", F.col("p").cast("int").alias("take"))
+    return out.select("doc_id", "source", "size", F.col("p").cast("int").alias("take"), *own)
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: float = 3.0, seed: int = 1, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: float = 3.0, seed: int = 1, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """Per document: doc_id, size, source_size, target, copies (how often the mix takes it), taken (copies * size).
+    With ``row_col``, a column that no two rows share, also row, its value.
 
     A null text has size 0, a null source is a source of its own (the last). Units are flown by falling size, equal
     ones by doc_id; rows that repeat a doc_id are units of their own. A source without words keeps target 0 and takes
     none. An empty table gives an empty one. The draws depend on doc_id and ``seed`` only, so reruns agree.
     """
-    sizes = written(document_sizes(docs, text_col, id_col, source_col), "sizes")
+    sizes = written(document_sizes(docs, text_col, id_col, source_col, row_col), "sizes")
     targets = source_targets(sizes, weights, cap)
     counts = sizes.groupBy("source").agg(F.count("*").alias("n")).withColumnRenamed("source", "c_source")
     t = targets.withColumnRenamed("source", "t_source").join(counts, F.col("t_source").eqNullSafe(F.col("c_source"))).drop("c_source")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(cap))).otherwise(0.0)
     rows = written(sizes.join(t, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source").withColumn("rate", rate), "rates")
+    own = ["row"] if row_col else []
     whole = F.floor(F.col("rate") + EPS)
-    flown = cube_sample(rows.select("source", "doc_id", "size", F.greatest(F.col("rate") - whole, F.lit(0.0)).alias("p"), "n"), seed, block)
+    flown = cube_sample(rows.select("source", "doc_id", "size", F.greatest(F.col("rate") - whole, F.lit(0.0)).alias("p"), "n", *own), seed, block)
     per = rows.select(F.col("source").alias("t_source"), "source_size", "target", whole.cast("long").alias("base")).distinct()
     out = flown.join(per, F.col("source").eqNullSafe(F.col("t_source")))
     copies = F.col("base") + F.col("take")
-    return out.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken"), *own)
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

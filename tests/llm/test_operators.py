@@ -326,3 +326,15 @@ def test_pipeline(spark):
         assert out.columns == docs.columns, name
         docs = out
     assert 0 < corpus_pipeline.run(spark, "/root/testdata/sf0.001").count()
+
+
+def test_source_mix_keeps_rows_without_or_with_shared_ids(spark):
+    import corpus_pipeline
+
+    rows = [(None, f"one two three {i}", "a") for i in range(5)] + [(7, f"same id {i}", "a") for i in range(3)] + [(8, None, "a"), (9, "alone", "a")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    once = lambda df: sorted(map(str, df.collect()))
+    assert once(corpus_pipeline.mix_sources(spark, table, "")) == once(table)  # one source takes every row once
+    pairs = spark.createDataFrame([(i, f"w{i} x y", s) for i in range(30) for s in ("a", "b")], table.schema)
+    got = {r.source: r["count"] for r in corpus_pipeline.mix_sources(spark, pairs, "").groupBy("source").count().collect()}
+    assert got == {"a": 20, "b": 40}  # weights 1 and 2 of 60 rows of one size
