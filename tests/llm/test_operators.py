@@ -338,3 +338,11 @@ def test_source_mix_keeps_rows_without_or_with_shared_ids(spark):
     pairs = spark.createDataFrame([(i, f"w{i} x y", s) for i in range(30) for s in ("a", "b")], table.schema)
     got = {r.source: r["count"] for r in corpus_pipeline.mix_sources(spark, pairs, "").groupBy("source").count().collect()}
     assert got == {"a": 20, "b": 40}  # weights 1 and 2 of 60 rows of one size
+
+
+def test_small_near_duplicates_beyond_the_usual_radius():
+    words = [f"w1239{c}" for c in "abcdefghi"]  # four shingles of five shared, fingerprints 73 bits apart
+    sets = [shingles.shingle_set(" ".join(w).encode()) for w in (words[:8], words)]
+    prints = np.array([shingles.wide_fingerprint(s) for s in sets])
+    assert shingles.jaccard(*sets) == 0.8 and (shingles.bands(sets[0]) == shingles.bands(sets[1])).any()
+    assert [sorted(x) for x in shingles.tile_links(prints, sets, shingles.SIMILARITY, shingles.RADIUS)] == [[0, 1]]
