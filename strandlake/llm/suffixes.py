@@ -1,40 +1,40 @@
 """Removal of repeated byte strings by a distributed, common-prefix-aware merge sort of suffixes.
 
 Sorting every suffix would move the corpus hundreds of times over, so suffixes start at anchors only: the anchor of a
-window of ``length`` bytes is the leftmost of its ``PIECE``-byte pieces with the smallest hash. It depends on the
-window's bytes alone, so equal windows have their anchors at the same place, and windows with one anchor are
-neighbours. Anchors whose piece occurs once can't repeat and drop out first. For the others, workers sort what stands
-after each anchor, and what stands before it read backwards, as two runs of front-coded strings (common prefix with the
-string before, and the rest). A reducer of a range of piece hashes merges the runs with a loser tree that knows the
-common prefixes: it compares two strings only beyond what both share with the string output last, and yields each
-string's common prefix with its predecessor. A window that begins o bytes before its anchor repeats exactly if another
-anchor shares at least o bytes before it and ``length`` - o bytes after it; both kinds of classes follow from the merged
-prefixes. Equal strings of a worker are one string with several places.
-
-A piece at more than ``HOT`` places would gather one group without bound (think of a license in every document, with
-other text around it each time). Its windows go an exact way of their own: 96 bits of hash of each whole window, dealt
-by the hash, so that only equal windows meet.
+window of ``shared`` bytes is the leftmost of its ``PIECE``-byte pieces with the smallest hash. It depends on the
+window's bytes alone, so equal windows have their anchors at the same place, and windows with one anchor are neighbours.
+Anchors whose piece occurs once can't repeat and drop out first. For the others, workers sort what stands after each
+anchor, and what stands before it read backwards, as two runs of front-coded strings (common prefix with the string
+before, and the rest). A reducer of a range of piece hashes merges the runs with a loser tree that knows the common
+prefixes: it compares two strings only beyond what both share with the string output last, and yields each string's
+common prefix with its predecessor. A window of n bytes that begins o bytes before its anchor repeats exactly if another
+anchor shares at least o bytes before it and n - o bytes after it; both kinds of classes follow from the merged
+prefixes, for windows of ``length`` bytes (which are removed) and of ``shared`` bytes (which tell passages that
+documents share).
+
+Groups of copies are taken together before anything is exchanged: of the places of one piece, and of one surrounding of
+an anchor, in a worker's chunk only representatives go to the reducer, the others are settled at once. So a reducer gets
+a copied passage once per chunk, however many rows hold it.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm.common import id_text, mix64, pack, plan_bytes, release, slices, unpack, written
-from strandlake.llm.passages import _bucket, _deltas, _doc_part, _put_docs
+from strandlake.llm.common import drop_written, mix64, pack, plan_bytes, release, slices, unpack, written
+from strandlake.llm.places import Keys, by_part, collected, deltas, hash_bucket, joined, keyed_text, numbered, pack_places, parted, runs_of, unpack_places
 
-LENGTH, PIECE = 400, 128
-HOT = 1_000
+LENGTH, SHARED, PIECE = 400, 200, 100
 BUCKET_BYTES, CHUNK_ANCHORS, CHUNK_BYTES = 4 << 20, 300_000, 6 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTES = np.frombuffer(hashlib.shake_256(b"bytes").digest(2048), np.uint64)
-_BYTES_2 = np.frombuffer(hashlib.shake_256(b"bytes again").digest(2048), np.uint64)
 _LOW = np.uint64((1 << 24) - 1)
 #: Bytes scanned at a time; places within a scan have 24 bits.
 SCAN = 1 << 20
@@ -92,18 +92,6 @@ def document_anchors(text: bytes, length: int, piece: int) -> tuple[np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def window_hashes(text: bytes, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """64 and 32 bits of two hashes of the windows of ``text`` that begin at ``starts``."""
-    a = np.frombuffer(text, np.uint8)
-    up, down = _tables(len(a) + 1)
-    out = []
-    for table in (_BYTES, _BYTES_2):
-        sums = np.zeros(len(a) + 1, np.uint64)
-        np.cumsum(table[a] * up[: len(a)], out=sums[1:])
-        out.append(mix64((sums[starts + length] - sums[starts]) * down[starts]))
-    return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
-
-
 def common(a: bytes, b: bytes, k: int) -> int:
     """The length of the common prefix of two strings that agree on their first ``k`` bytes."""
     n = min(len(a), len(b))
@@ -179,32 +167,43 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[tuple[in
     return order, prefixes
 
 
-def repeated_offsets(right: list[int], right_prefix: list[int], left: list[int], left_prefix: list[int], weight: list[int], least: list[int], most: list[int], length: int) -> list[tuple[int, int, int]]:
-    """(member, first offset, last offset) of the windows that repeat, for anchors of one piece.
+def repeated_offsets(right: list[int], right_prefix: list[int], left: list[int], left_prefix: list[int], least: np.ndarray, most: np.ndarray, length: int, low: np.ndarray, high: np.ndarray) -> list[tuple[int, int, int]]:
+    """(member, first offset, last offset) of the windows of ``length`` bytes that repeat, for anchors of one piece.
 
     ``right`` and ``left`` are the members in the order of what stands after and before them, with the common prefixes
-    of neighbours; a member stands for ``weight`` places and has windows that begin ``least`` to ``most`` bytes before it.
+    of neighbours; a member has windows that begin ``least`` to ``most`` bytes before it, and stands for places marked
+    from ``low`` to ``high``: windows repeat if they occur under two marks.
     """
     out = []
     n = len(right)
-    low = min(least)
-    if n == 2 and weight[right[0]] == weight[right[1]] == 1:
+    if n == 2:
         a, b = length - right_prefix[1], left_prefix[1]
-        return [(i, max(a, least[i]), min(b, most[i])) for i in right if max(a, least[i]) <= min(b, most[i])]
-    steps = sorted({low, *(p + 1 for p in left_prefix[1:]), *(length - p for p in right_prefix[1:])})
-    high = max(most)
-    steps = [s for s in steps if low <= s <= high]
+        if low[0] == high[0] == low[1] == high[1]:
+            return []
+        if low[0] == high[0] and low[1] == high[1]:
+            return [(i, max(a, int(least[i])), min(b, int(most[i]))) for i in (0, 1) if max(a, least[i]) <= min(b, most[i])]
+    start, high_end = int(least.min()), int(most.max())
+    steps = sorted({start, *(p + 1 for p in left_prefix[1:]), *(length - p for p in right_prefix[1:])})
+    steps = [s for s in steps if start <= s <= high_end]
+    if not steps:
+        return out
     rp, lp, ro, lo = np.array(right_prefix), np.array(left_prefix), np.array(right), np.array(left)
     rp[0] = lp[0] = -1
-    w, mn, mx = np.array(weight), np.array(least), np.array(most)
     r, l = np.empty(n, np.int64), np.empty(n, np.int64)
-    for s, e in zip(steps, [*(x - 1 for x in steps[1:]), high], strict=True):
+    for s, e in zip(steps, [*(x - 1 for x in steps[1:]), high_end], strict=True):
+        a, b = np.maximum(least, s), np.minimum(most, e)
+        some = a <= b
+        if not some.any():
+            continue
         r[ro] = np.cumsum(rp < length - s)
         l[lo] = np.cumsum(lp < s)
-        _, which = np.unique(r * (n + 1) + l, return_inverse=True)
-        again = np.bincount(which, w)[which] > 1
-        a, b = np.maximum(mn, s), np.minimum(mx, e)
-        for i in np.flatnonzero(again & (a <= b)).tolist():
+        key = r * (n + 1) + l
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+        apart = np.minimum.reduceat(low[order], first) != np.maximum.reduceat(high[order], first)
+        again = np.empty(n, bool)
+        again[order] = np.repeat(apart, np.diff(np.append(first, n)))
+        for i in np.flatnonzero(again & some).tolist():
             out.append((i, int(a[i]), int(b[i])))
     return out
 
@@ -229,303 +228,273 @@ def _unfront(prefix: np.ndarray, sizes: np.ndarray, rests: bytes) -> list[bytes]
     return out
 
 
-def _zip(*parts: bytes) -> bytes:
-    raw = b"".join(parts)
-    head = np.array([len(parts), len(raw), *map(len, parts)], np.int64).tobytes()
-    return head + pa.Codec("zstd", 1).compress(raw).to_pybytes()
-
-
-def _unzip(blob: bytes) -> list[bytes]:
-    n, size = np.frombuffer(blob, np.int64, 2).tolist()
-    sizes = np.frombuffer(blob, np.int64, n, 16).tolist()
-    raw = pa.Codec("zstd").decompress(memoryview(blob)[16 + 8 * n :], decompressed_size=size).to_pybytes()
-    ends = np.cumsum(sizes).tolist()
-    return [raw[e - s : e] for s, e in zip(sizes, ends, strict=True)]
-
-
-def _pack_places(docs: np.ndarray, *more: np.ndarray) -> bytes:
-    table, at = _put_docs(docs)
-    return np.int64(at.itemsize).tobytes() + _zip(pack(table), pack(at, *more))
-
-
-def _unpack_places(blob: bytes, *kinds) -> list[np.ndarray]:
-    size = int(np.frombuffer(blob, np.int64, 1)[0])
-    a, b = _unzip(blob[8:])
-    table = np.cumsum(unpack(a, np.int64)[0])
-    at, *rest = unpack(b, np.uint16 if size == 2 else np.uint32, *kinds)
-    return [table[at], *rest]
-
-
-def _by_doc_part(bucket_rows: list, docs: np.ndarray, parts: int, *more: np.ndarray) -> None:
-    part = _doc_part(docs, parts)
-    order = np.argsort(part, kind="stable")
-    part = part[order]
-    cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist() if len(part) else []
-    for a, b in zip(cut, [*cut[1:], len(part)], strict=False):
-        i = order[a:b]
-        bucket_rows.append((int(part[a]), _pack_places(docs[i], *(m[i] for m in more))))
-
+_ANCHOR = (np.uint32, np.uint16, np.uint16, np.uint64)
+_TOLD = (*_ANCHOR, np.uint8)
+#: Spans of repeated windows: first start, how many, and whether they are of the shorter length.
+_SPAN = (np.uint32, np.uint32, np.uint8)
 
-def _table(rows: list, *names: str) -> pa.Table:
-    cols = list(zip(*rows, strict=True)) if rows else [()] * 2
-    return pa.table({names[0]: pa.array(cols[0], pa.int32()), "data": pa.array(cols[1], pa.binary())})
 
+def _table(rows: list[tuple[int, bytes]], first: str) -> pa.Table:
+    return pa.table({first: pa.array([r[0] for r in rows], pa.int32()), "data": pa.array([r[1] for r in rows], pa.binary())})
 
-def _collect_by_doc(rows: DataFrame, kinds: tuple, name: str) -> DataFrame:
-    """Packed places (part, data) to one row per document: its places sorted by the first array."""
 
-    def join(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        got = [_unpack_places(d, *kinds) for d in table.column("data").to_pylist()]
-        docs, first, *more = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort([first, docs])
-        docs, first, more = docs[order], first[order], [m[order] for m in more]
-        cut = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])).tolist()
-        ends = [*cut[1:], len(docs)]
-        return pa.table({"doc_id": pa.array(docs[cut]), name: pa.array([pack(first[a:b], *(m[a:b] for m in more)) for a, b in zip(cut, ends, strict=True)], pa.binary())})
+def _batch(settled: list[tuple[int, bytes]], open_: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    """Rows for the reducers: kind 1 are settled and only pass through to their part, kind 0 are to be merged."""
+    rows = [(*r, 1) for r in settled] + [(*r, 0) for r in open_]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "kind", "data"])
 
-    return rows.groupBy("part").applyInArrow(join, f"doc_id long, {name} binary")
 
+def _passed(table: pa.Table) -> tuple[list[tuple[int, bytes]], list[bytes]]:
+    """What only passes through a reducer, and what it is to merge."""
+    rows = list(zip(*(table.column(c).to_pylist() for c in ("bucket", "kind", "data")), strict=True))
+    return [(b, d) for b, k, d in rows if k == 1], [d for _, k, d in rows if k == 0]
 
-_ANCHOR = (np.uint32, np.uint16, np.uint16, np.uint64)
-_MARKED = (*_ANCHOR, np.uint8)
 
+def repeated_anchors(docs: DataFrame, window: int, piece: int, buckets: int) -> DataFrame:
+    """Per row (a, h, anchors): the anchors whose piece's hash occurs at another place too.
 
-def repeated_anchors(docs: DataFrame, length: int, piece: int, buckets: int, hot: int = HOT) -> DataFrame:
-    """Per document (doc_id, anchors): the anchors whose piece's hash occurs at another place too, hot ones marked."""
+    Of several places in a chunk the first goes to the reducer, marked as settled, for the places of other chunks.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
+        held, count, keys = [], 0, Keys()
 
         def flush() -> pa.RecordBatch:
-            doc, at, most, least, h = (np.concatenate(x) for x in zip(*held, strict=True))
+            nonlocal keys, count
+            number, at, most, least, h = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             order = np.argsort(h, kind="stable")
-            h = h[order]
-            cut = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1))
-            some = np.flatnonzero(cut[1:] > cut[:-1])
-            data = [_pack_places(doc[order[a:b]], at[order[a:b]], most[order[a:b]], least[order[a:b]], _deltas(h[a:b])) for a, b in zip(cut[some], cut[some + 1], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(data, pa.binary())], ["bucket", "data"])
+            number, at, most, least, h = number[order], at[order], most[order], least[order], h[order]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            times = np.diff(np.append(first, len(h)))
+            several = np.repeat(times > 1, times)
+            tables = keys.tables()
+            settled = by_part(number[several], *tables, buckets, at[several], most[several], least[several], h[several])
+            told = (times > 1).astype(np.uint8)
+            open_ = [(int(b), pack_places(number[i], *tables, at[i], most[i], least[i], deltas(h[i]), told[x:y])) for (x, y), b in _cut(hash_bucket(h[first], buckets)) for i in [first[x:y]]]
+            keys, count = Keys(), 0
+            return _batch(settled, open_)
 
         for b in slices(batches, SCAN):
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if doc is None or len(text) < length:
+            for a, h, text in zip(*(b.column(c).to_pylist() for c in ("a", "h", "text")), strict=True):
+                if len(text) < window:
                     continue
-                at, first, last, h = document_anchors(text, length, piece)
-                held.append((np.full(len(at), doc, np.int64), at.astype(np.uint32), (at - first).astype(np.uint16), (at - last).astype(np.uint16), h))
+                at, first, last, piece_hash = document_anchors(text, window, piece)
+                held.append((np.full(len(at), keys.number(a, h), np.int64), at.astype(np.uint32), (at - first).astype(np.uint16), (at - last).astype(np.uint16), piece_hash))
                 count += len(at)
                 if count >= CHUNK_ANCHORS:
                     yield flush()
-                    count = 0
         if held:
             yield flush()
 
     def repeated(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        got = [_unpack_places(d, *_ANCHOR) for d in table.column("data").to_pylist()]
-        doc, at, most, least = (np.concatenate([g[k] for g in got]) for k in range(4))
-        h = np.concatenate([np.cumsum(g[4], dtype=np.uint64) for g in got])
-        order = np.argsort(h, kind="stable")
-        s = h[order]
-        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        times = np.diff(np.append(first, len(s)))
-        times = np.repeat(times, times)
-        i, times = order[times > 1], times[times > 1]
-        rows: list = []
-        _by_doc_part(rows, doc[i], buckets, at[i], most[i], least[i], h[i], (times > hot).astype(np.uint8))
+        rows, blobs = _passed(table)
+        if blobs:
+            got = [unpack_places(d, *_TOLD) for d in blobs]
+            a, h, at, most, least = (np.concatenate([g[k] for g in got]) for k in range(5))
+            piece_hash = np.concatenate([np.cumsum(g[5], dtype=np.uint64) for g in got])
+            told = np.concatenate([g[6] for g in got]) > 0
+            order = np.argsort(piece_hash, kind="stable")
+            s = piece_hash[order]
+            first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            times = np.diff(np.append(first, len(s)))
+            i = order[np.repeat(times > 1, times)]
+            i = i[~told[i]]
+            rows += by_part(*numbered(a[i], h[i]), buckets, at[i], most[i], least[i], piece_hash[i])
         return _table(rows, "part")
 
-    packed = docs.mapInArrow(scan, "bucket int, data binary").groupBy("bucket").applyInArrow(repeated, "part int, data binary")
-    return _collect_by_doc(packed, _MARKED, "anchors")
+    packed = docs.select("a", "h", "text").mapInArrow(scan, "bucket int, kind int, data binary").groupBy("bucket").applyInArrow(repeated, "part int, data binary")
+    return collected(packed, _ANCHOR, "anchors")
+
+
+def _cut(sorted_: np.ndarray) -> list[tuple[tuple[int, int], int]]:
+    return [((x, y), sorted_[x]) for x, y in runs_of(sorted_)]
 
 
 def suffix_runs(docs: DataFrame, places: DataFrame, length: int, buckets: int) -> DataFrame:
     """Front-coded sorted runs (bucket, kind 0, data) of what stands after and before the documents' anchors.
 
-    Rows of kind 1 are the hashes of the windows of hot anchors.
+    Equal surroundings are one string. If rows of different keys have it in one chunk, all their windows repeat, so they
+    are settled (kind 1: spans) and two of the places stand for the rest.
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[bytes, bytes], list[tuple[int, int]]] = {}
-        total = 0
+        held: dict[tuple[bytes, bytes, int], list[tuple[int, int]]] = {}
+        total, keys = 0, Keys()
 
         def flush() -> pa.RecordBatch:
+            nonlocal total, keys
             after = sorted(held)
+            tables = keys.tables()
+            members, told, spans = [], np.zeros(len(after), np.uint8), []
+            for i, k in enumerate(after):
+                found = held[k]
+                other = next((p for p in found if p[0] != found[0][0]), None)
+                if other:
+                    told[i] = 1
+                    most, least = len(k[1]), k[2]
+                    longer = max(least, length - (len(k[0]) - 8))
+                    spans += [(p, at - most, most - least + 1, 1) for p, at in found]
+                    if longer <= most:
+                        spans += [(p, at - most, most - longer + 1, 0) for p, at in found]
+                    found = [found[0], other]
+                elif len(found) > 2:  # of equal rows two do
+                    found = [p for p, times in Counter(found).items() for _ in range(min(times, 2))]
+                members.append(found)
+            done = np.array(spans, np.int64).reshape(-1, 4)
+            settled = by_part(done[:, 0], *tables, buckets, done[:, 1].astype(np.uint32), done[:, 2].astype(np.uint32), done[:, 3].astype(np.uint8))
             hashes = np.array([int.from_bytes(k[0][:8], "big") for k in after], np.uint64)
-            cut = np.searchsorted(_bucket(hashes, buckets), np.arange(buckets + 1))
-            some = np.flatnonzero(cut[1:] > cut[:-1])
-            data = []
-            for a, b in zip(cut[some].tolist(), cut[some + 1].tolist(), strict=True):
-                keys = after[a:b]
-                rp, rest = _front([k[0] for k in keys])
-                before = [k[0][:8] + k[1] for k in keys]
-                order = sorted(range(len(keys)), key=before.__getitem__)
+            open_ = []
+            for (x, y), b in _cut(hash_bucket(hashes, buckets)):
+                part = after[x:y]
+                rp, rest = _front([k[0] for k in part])
+                before = [k[0][:8] + k[1] for k in part]
+                order = sorted(range(len(part)), key=before.__getitem__)
                 lp, left = _front([before[i] for i in order])
-                sizes = np.array([len(k[0]) for k in keys], np.uint32)
+                sizes = np.array([len(k[0]) for k in part], np.uint32)
                 behind = np.array([len(before[i]) for i in order], np.uint32)
-                members = [held[k] for k in keys]
-                n = np.array([len(m) for m in members], np.uint32)
-                flat = np.array([p for m in members for p in m], np.int64).reshape(-1, 2)
-                data.append(_zip(pack(rp, sizes, lp, behind, np.array(order, np.uint32), n), rest, left, _pack_places(flat[:, 0], flat[:, 1].astype(np.uint32))))
+                n = np.array([len(m) for m in members[x:y]], np.uint32)
+                flat = np.array([p for m in members[x:y] for p in m], np.int64).reshape(-1, 2)
+                meta = pack(rp, sizes, lp, behind, np.array(order, np.uint32), n, np.array([k[2] for k in part], np.uint16), told[x:y])
+                open_.append((int(b), joined(meta, rest, left, pack_places(flat[:, 0], *tables, flat[:, 1].astype(np.uint32)))))
             held.clear()
-            return _rows(some, 0, data)
-
-        def _rows(some: np.ndarray, kind: int, data: list[bytes]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), kind, np.int32)), pa.array(data, pa.binary())], ["bucket", "kind", "data"])
-
-        warm: list[tuple[np.ndarray, ...]] = []
-        windows = 0
-
-        def flush_windows() -> pa.RecordBatch:
-            doc, start, h, g = (np.concatenate(x) for x in zip(*warm, strict=True))
-            warm.clear()
-            order = np.argsort(h, kind="stable")
-            doc, start, h, g = doc[order], start[order], h[order], g[order]
-            cut = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1))
-            some = np.flatnonzero(cut[1:] > cut[:-1])
-            return _rows(some, 1, [_pack_places(doc[a:b], start[a:b], _deltas(h[a:b]), g[a:b]) for a, b in zip(cut[some], cut[some + 1], strict=True)])
+            total, keys = 0, Keys()
+            return _batch(settled, open_)
 
         for b in slices(batches):
-            for doc, text, blob in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("anchors").to_pylist(), strict=True):
-                places_, most_, least_, hashes, hot = unpack(blob, *_MARKED)
-                if hot.any():
-                    k = hot > 0
-                    first, n = places_[k].astype(np.int64) - most_[k], most_[k].astype(np.int64) - least_[k] + 1
-                    start = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                    h, g = window_hashes(text, start, length)
-                    warm.append((np.full(len(start), doc, np.int64), start.astype(np.uint32), h, g))
-                    windows += len(start)
-                    if windows > CHUNK_ANCHORS:
-                        yield flush_windows()
-                        windows = 0
-                    k = ~k
-                    places_, most_, least_, hashes = places_[k], most_[k], least_[k], hashes[k]
-                for at, most, least, h in zip(places_.tolist(), most_.tolist(), least_.tolist(), hashes.tolist(), strict=True):
-                    key = (h.to_bytes(8, "big") + text[at : at - least + length], text[at - most : at][::-1])
+            for a, h, text, blob in zip(*(b.column(c).to_pylist() for c in ("a", "h", "text", "anchors")), strict=True):
+                number = keys.number(a, h)
+                for at, most, least, piece_hash in zip(*(x.tolist() for x in unpack(blob, *_ANCHOR)), strict=True):
+                    key = (piece_hash.to_bytes(8, "big") + text[at : at - least + length], text[at - most : at][::-1], least)
                     found = held.get(key)
                     if found is None:
-                        held[key] = [(doc, at)]
+                        held[key] = [(number, at)]
                         total += length + most
                     else:
-                        found.append((doc, at))
+                        found.append((number, at))
                         total += 24
-                if total > CHUNK_BYTES:
-                    yield flush()
-                    total = 0
+                    if total > CHUNK_BYTES:
+                        yield flush()
+                        number = keys.number(a, h)
         if held:
             yield flush()
-        if warm:
-            yield flush_windows()
 
-    return docs.join(places, "doc_id").mapInArrow(build, "bucket int, kind int, data binary")
+    return docs.join(places, ["a", "h"]).select("a", "h", "text", "anchors").mapInArrow(build, "bucket int, kind int, data binary")
 
 
-def merged_repeats(runs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Merge the runs of each bucket; per document (doc_id, spans): starts and counts of repeated windows."""
+def merged_repeats(runs: DataFrame, length: int, shared: int, buckets: int) -> DataFrame:
+    """Merge the runs of each bucket; per row (a, h, spans): starts and counts of repeated windows of both lengths."""
 
     def merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        rows, blobs = _passed(table)
+        if not blobs:
+            return _table(rows, "part")
         after, before, base = [], [], [0]
-        weight, docs, places, owner = [], [], [], []
-        most: list[int] = []
-        least: list[int] = []
-        rows: list = []
-        kinds = table.column("kind").to_pylist()
-        blobs = table.column("data").to_pylist()
-        warm = [_unpack_places(d, np.uint32, np.uint64, np.uint32) for d, k in zip(blobs, kinds, strict=True) if k == 1]
-        if warm:
-            doc, start, g = (np.concatenate([w[k] for w in warm]) for k in (0, 1, 3))
-            h = np.concatenate([np.cumsum(w[2], dtype=np.uint64) for w in warm])
-            order = np.lexsort([g, h])
-            h, g = h[order], g[order]
-            same = (h[1:] == h[:-1]) & (g[1:] == g[:-1])
-            i = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-            _by_doc_part(rows, doc[i], buckets, start[i], np.ones(len(i), np.uint32))
-        for blob in (d for d, k in zip(blobs, kinds, strict=True) if k == 0):
-            meta, rest, left, where = _unzip(blob)
-            rp, sizes, lp, behind, order, n = unpack(meta, *(np.uint32,) * 6)
+        n_, a_, h_, at_, most_, least_, longer_, told_ = ([] for _ in range(8))
+        for blob in blobs:
+            meta, rest, left, where = parted(blob)
+            rp, sizes, lp, behind, order, n, least, told = unpack(meta, *(np.uint32,) * 6, np.uint16, np.uint8)
             after.append((_unfront(rp, sizes, rest), rp.tolist()))
             before.append((_unfront(lp, behind, left), lp.tolist(), order.tolist()))
             reach = np.empty(len(order), np.int64)
             reach[order] = behind.astype(np.int64) - 8
-            most += reach.tolist()
-            least += (length + 8 - sizes.astype(np.int64)).tolist()
-            weight += n.tolist()
-            doc, at = _unpack_places(where, np.uint32)
-            docs.append(doc)
-            places.append(at.astype(np.int64))
-            owner.append(np.repeat(np.arange(base[-1], base[-1] + len(sizes)), n))
+            a, h, at = unpack_places(where, np.uint32)
+            for held, x in zip((n_, a_, h_, at_, most_, least_, longer_, told_), (n, a, h, at, reach, least, np.maximum(least, length + 8 - sizes.astype(np.int64)), told), strict=True):
+                held.append(x.astype(np.int64))
             base.append(base[-1] + len(sizes))
-        if not after:
-            return _table(rows, "part")
+        n, a, h, at, most, least, longer, told = (np.concatenate(x) for x in (n_, a_, h_, at_, most_, least_, longer_, told_))
+        starts = np.cumsum(n) - n
+        mark = mix64(a.view(np.uint64)) ^ h.view(np.uint64)
+        low, high = np.minimum.reduceat(mark, starts), np.maximum.reduceat(mark, starts)
+        # for removal every place is a mark of its own
+        place_low, place_high = starts, starts + n - 1
         right, right_prefix = merge_runs(after)
         left, left_prefix = merge_runs([(s, p) for s, p, _ in before])
         heads = [after[r][0][i][:8] for r, i in right]
         right = [base[r] + i for r, i in right]
         left = [base[r] + before[r][2][i] for r, i in left]
-        found: list[tuple[int, int, int]] = []
-        n, s = len(right), 0
-        while s < n:
+        found: list[tuple[int, int, int, int]] = []
+        s = 0
+        while s < len(right):
             e = s + 1
-            while e < n and heads[e] == heads[s]:
+            while e < len(right) and heads[e] == heads[s]:
                 e += 1
             members = right[s:e]
             if e - s == 1:
-                if weight[members[0]] > 1:
-                    found.append((members[0], least[members[0]], most[members[0]]))
-            else:
+                i = members[0]
+                if n[i] > 1 and not told[i]:  # one row that holds it several times
+                    found.append((i, int(longer[i]), int(most[i]), 0))
+            elif not told[members].all():
                 local = {m: i for i, m in enumerate(members)}
-                got = repeated_offsets(list(range(e - s)), [max(0, p - 8) for p in right_prefix[s:e]], [local[m] for m in left[s:e]], [max(0, p - 8) for p in left_prefix[s:e]], [weight[m] for m in members], [least[m] for m in members], [most[m] for m in members], length)
-                found += [(members[i], a, b) for i, a, b in got]
+                rights, rps = list(range(e - s)), [max(0, p - 8) for p in right_prefix[s:e]]
+                lefts, lps = [local[m] for m in left[s:e]], [max(0, p - 8) for p in left_prefix[s:e]]
+                for kind, size, least_of, lo, hi in ((0, length, longer, place_low, place_high), (1, shared, least, low, high)):
+                    got = repeated_offsets(rights, rps, lefts, lps, least_of[members], most[members], size, lo[members], hi[members])
+                    found += [(members[i], x, y, kind) for i, x, y in got]
             s = e
-        if found:
-            f = np.array(sorted(found), np.int64)
-            doc, at, own = np.concatenate(docs), np.concatenate(places), np.concatenate(owner)
-            first, last = np.searchsorted(own, f[:, 0]), np.searchsorted(own, f[:, 0], side="right")
-            reps = last - first
-            i = np.repeat(first - np.concatenate([[0], np.cumsum(reps)[:-1]]), reps) + np.arange(reps.sum())
-            a, b = np.repeat(f[:, 1], reps), np.repeat(f[:, 2], reps)
-            _by_doc_part(rows, doc[i], buckets, (at[i] - b).astype(np.uint32), (b - a + 1).astype(np.uint32))
+        f = np.array(found, np.int64).reshape(-1, 4)
+        f = f[(told[f[:, 0]] == 0) & (f[:, 1] <= f[:, 2])]
+        if len(f):
+            reps = n[f[:, 0]]
+            i = np.repeat(starts[f[:, 0]] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
+            first, last, kind = (np.repeat(f[:, k], reps) for k in (1, 2, 3))
+            rows += by_part(*numbered(a[i], h[i]), buckets, (at[i] - last).astype(np.uint32), (last - first + 1).astype(np.uint32), kind.astype(np.uint8))
         return _table(rows, "part")
 
-    return _collect_by_doc(runs.groupBy("bucket").applyInArrow(merge, "part int, data binary"), (np.uint32, np.uint32), "spans")
+    return collected(runs.groupBy("bucket").applyInArrow(merge, "part int, data binary"), _SPAN, "spans")
+
+
+def covered(size: int, start: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
+    """Which of ``size`` bytes the windows of ``length`` bytes cover that begin at ``start`` and the ``count`` - 1 places after."""
+    mark = np.zeros(size + 1, np.int64)
+    np.add.at(mark, start, 1)
+    np.add.at(mark, start + count + length - 1, -1)
+    return np.cumsum(mark[:-1]) > 0
 
 
-def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, piece: int | None = None, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, hot: int = HOT) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256.
+def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, shared: int = SHARED, piece: int = PIECE, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, n_shared.
 
     A byte goes if a string of ``length`` bytes covers it that also starts anywhere else in the corpus, the same
-    document included and overlaps too. A null text is empty; shorter texts keep all. Rows that repeat a
-    doc_id are documents of their own, so equal ones repeat each other; a place that goes in one of them goes in all.
-    Rows of a null doc_id are returned whole and never match. Ties of hashes only cost comparisons: what is removed is decided by bytes. An empty table gives one.
+    document included and overlaps too. n_shared counts the bytes that a string of ``shared`` bytes (at most ``length``)
+    covers which another document also holds; they stay unless the longer strings cover them. A null text is empty;
+    shorter texts keep all. Every row is a document of its own, rows without or with the same doc_id as well, so equal
+    rows repeat each other (but count as one document in n_shared) and get equal results. Ties of hashes only cost
+    comparisons: what is removed is decided by bytes. An empty table gives one.
     """
-    piece = piece or min(PIECE, max(1, length // 3))
+    if not 0 < piece <= shared <= length:
+        raise ValueError("needs piece <= shared <= length")
     spark = docs.sparkSession
-    rows = id_text(docs, id_col, text_col)
+    rows = keyed_text(docs, id_col, text_col)
     n = buckets or max(16, -(-plan_bytes(rows) // BUCKET_BYTES))
-    places = written(repeated_anchors(rows, length, piece, n, hot), "anchors")
+    places = written(repeated_anchors(rows, shared, piece, n), "anchors")
     release(spark)
     runs = written(suffix_runs(rows, places, length, n), "suffix-runs")
     release(spark)
-    spans = written(merged_repeats(runs, length, n), "spans")
+    drop_written(places)
+    spans = written(merged_repeats(runs, length, shared, n), "spans")
     release(spark)
+    drop_written(runs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             out = []
             for doc, text, blob in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
-                gone, runs_, kept = 0, 0, text
+                gone, runs_, kept, common_ = 0, 0, text, 0
                 if blob is not None:
-                    start, count = (x.astype(np.int64) for x in unpack(blob, np.uint32, np.uint32))
-                    mark = np.zeros(len(text) + 1, np.int64)
-                    np.add.at(mark, start.clip(0, len(text)), 1)
-                    np.add.at(mark, (start + count + length - 1).clip(0, len(text)), -1)
-                    stay = np.cumsum(mark[:-1]) == 0
-                    gone = len(text) - int(np.count_nonzero(stay))
-                    runs_ = int(np.count_nonzero(~stay & np.concatenate([[True], stay[:-1]])))
-                    kept = np.frombuffer(text, np.uint8)[stay].tobytes()
-                out.append((doc, len(text), gone, runs_, hashlib.sha256(kept).hexdigest()))
-            kinds = (pa.int64(),) * 4 + (pa.string(),)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return rows.join(spans, "doc_id", "left").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+                    start, count, short = unpack(blob, *_SPAN)
+                    start, count, short = start.astype(np.int64), count.astype(np.int64), short > 0
+                    common_ = int(covered(len(text), start[short], count[short], shared).sum())
+                    cover = covered(len(text), start[~short], count[~short], length)
+                    gone = int(cover.sum())
+                    if gone:
+                        runs_ = int(np.count_nonzero(cover[1:] & ~cover[:-1])) + int(cover[0])
+                        kept = np.frombuffer(text, np.uint8)[~cover].tobytes()
+                out.append((doc, len(text), gone, runs_, hashlib.sha256(kept).hexdigest(), common_))
+            kinds = (*(pa.int64(),) * 4, pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared"])
+
+    return rows.join(spans, ["a", "h"], "left").select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long")
 
 
 def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

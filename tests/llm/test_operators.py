@@ -177,26 +177,55 @@ def test_audio_parser_resynchronises():
     assert audio.parse(b"").headers == [] and audio.parse(b"\xff" * 50).headers == []
 
 
+def without_repeats(rows, length, shared):
+    """Brute force: (doc_id, bytes, removed, spans, digest, shared) of every row of (doc_id, text)."""
+    count, holders = {}, {}
+    for i, t in rows:
+        for p in range(len(t) - length + 1):
+            count[t[p : p + length]] = count.get(t[p : p + length], 0) + 1
+        for p in range(len(t) - shared + 1):
+            holders.setdefault(t[p : p + shared], set()).add((i, t))
+    out = []
+    for i, t in rows:
+        gone, common = np.zeros(len(t) + 1, bool), np.zeros(len(t) + 1, bool)
+        for p in range(len(t) - length + 1):
+            if count[t[p : p + length]] > 1:
+                gone[p : p + length] = True
+        for p in range(len(t) - shared + 1):
+            if len(holders[t[p : p + shared]]) > 1:
+                common[p : p + shared] = True
+        n_spans = int((gone[:-1] & ~gone[1:]).sum())
+        out.append((i, len(t), int(gone.sum()), n_spans, hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~gone[:-1]])).hexdigest(), int(common.sum())))
+    return out
+
+
+def suffix_rows(df):
+    return sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_shared) for r in df.collect()], key=str)
+
+
 def test_suffixes(docs, empty):
-    texts_ = {i: (t or "").encode() for i, t in texts()}
-    for length, hot in ((60, 10_000), (60, 2), (400, 1000)):
-        count = {}
-        for t in texts_.values():
-            for p in range(len(t) - length + 1):
-                count[t[p : p + length]] = count.get(t[p : p + length], 0) + 1
-        want = {}
-        for i, t in texts_.items():
-            gone = np.zeros(len(t), bool)
-            for p in range(len(t) - length + 1):
-                if count[t[p : p + length]] > 1:
-                    gone[p : p + length] = True
-            n_spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(t) else 0
-            want[i] = (len(t), int(gone.sum()), n_spans, hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~gone])).hexdigest())
-        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeated_bytes(docs, length, buckets=3, hot=hot).collect()}
-        assert got == want
+    rows = [(i, (t or "").encode()) for i, t in texts()]
+    for length, shared, piece in ((60, 40, 20), (60, 60, 9), (400, 200, 100)):
+        got = suffixes.remove_repeated_bytes(docs, length, shared, piece, buckets=3)
+        assert suffix_rows(got) == sorted(without_repeats(rows, length, shared), key=str)
     assert suffixes.remove_repeated_bytes(empty).collect() == []
 
 
+def test_suffixes_of_repeated_null_and_hot_rows(spark, monkeypatch):
+    random.seed(8)
+    word = lambda: "".join(random.choice("abcdef") for _ in range(random.randint(2, 6)))
+    a, b, c = (" ".join(word() for _ in range(60)) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (2, "short one"), (3, c), (3, c), (None, a[:150]), (None, c[20:200]), (None, None), (4, None), (5, "q" * 700)]
+    notice = " ".join(word() for _ in range(40))  # in many rows, with other text around it each time
+    rows += [(10 + k, " ".join(word() for _ in range(k % 7)) + " " + notice + " " + word()) for k in range(150)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted(without_repeats([(i, (t or "").encode()) for i, t in rows], 60, 40), key=str)
+    assert suffix_rows(suffixes.remove_repeated_bytes(table, 60, 40, 20, buckets=3)) == want
+    for name in ("CHUNK_ANCHORS", "CHUNK_BYTES", "SCAN"):  # many small chunks: what they settle and what meets later
+        monkeypatch.setattr(suffixes, name, 200)
+    assert suffix_rows(suffixes.remove_repeated_bytes(table, 60, 40, 20, buckets=2)) == want
+
+
 def test_merge_of_runs():
     random.seed(1)
     runs = [sorted("".join(random.choice("ab") for _ in range(random.randint(0, 9))).encode() for _ in range(random.randint(0, 30))) for _ in range(7)]
