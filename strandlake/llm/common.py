@@ -54,11 +54,14 @@ def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFram
 
 def drop_written(df: DataFrame) -> None:
     """Delete the files of a table that ``written`` made."""
-    spark = df.sparkSession
-    tops = {f.rpartition("/")[0] for f in df.inputFiles()}
-    for top in tops:
-        path = spark._jvm.org.apache.hadoop.fs.Path(top)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for top in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        drop_path(df.sparkSession, top)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder in any store; one that isn't there is fine."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -6,8 +6,8 @@ a row of the smallest doc_id that has each. Runs are bucketed tables, so a batch
 merge-joined there with every run where it lies: history is read but never shuffled again. A window whose fingerprint
 belongs to a row of a smaller doc_id is a candidate. Candidates that follow each other in a document and have one owner
 are joined into passages, and each passage is verified against the owner's words. The batch then becomes a run, and
-runs are compacted into one, bucket by bucket, when there are ``FAN_IN``. Fingerprints that collide go to an exact path:
-their windows are grouped by their words.
+``FAN_IN`` runs of one level are compacted into one of the next, bucket by bucket. Fingerprints that collide go to an
+exact path: their windows are grouped by their words.
 
 Of the places of one fingerprint in a worker's chunk only those of the smallest doc_id go to its bucket; for the others
 that one is an owner already. So a passage that any number of documents share comes once per chunk.
@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import drop_written, mix64, new_path, pack, plan_bytes, release, slices, unpack, written
+from strandlake.llm.common import drop_path, mix64, new_path, pack, plan_bytes, release, slices, unpack, written
 from strandlake.llm.places import Keys, by_part, collected, deltas, hash_bucket, keyed_text, numbered, pack_places, runs_of, unpack_places
 
 WIDTH = 13
-FAN_IN = 3
+FAN_IN = 2
 #: Input bytes per bucket of the hash range, and words whose windows a worker holds at a time.
 BUCKET_BYTES, CHUNK_WORDS = 4 << 20, 1_000_000
 BATCHES = 4
@@ -76,40 +76,42 @@ def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
 class FingerprintIndex:
     """Runs of window fingerprints as bucketed tables in the shared folder, and the operations on them.
 
-    ``runs`` are their paths; an index is opened again from them with the same ``buckets``, ``width`` and ``bits``.
+    ``runs`` are their paths and levels; an index is opened again from them with the same ``buckets``, ``width`` and
+    ``bits``.
     """
 
     spark: SparkSession
     buckets: int
     width: int = WIDTH
     bits: int = 64
-    runs: list[str] = field(default_factory=list)
+    runs: list[tuple[str, int]] = field(default_factory=list)
+    hits: list[str] = field(default_factory=list)
     _names: dict[str, str] = field(default_factory=dict)
 
-    def table(self, path: str) -> DataFrame:
-        """A run as a bucketed table; its path is all that an index keeps of it."""
+    def _table(self, path: str, kind: int) -> DataFrame:
+        """One kind of a run's rows as a bucketed table; their folder is all that an index keeps of it."""
+        path = f"{path}/kind={kind}"
         if path not in self._names:
             name = self._names[path] = f"strandlake_run_{uuid.uuid4().hex}"
-            self.spark.sql(f"CREATE TABLE {name} (bucket INT, kind INT, part INT, data BINARY) USING parquet CLUSTERED BY (bucket) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+            self.spark.sql(f"CREATE TABLE {name} (bucket INT, part INT, data BINARY) USING parquet CLUSTERED BY (bucket) INTO {self.buckets} BUCKETS LOCATION '{path}'")
         return self.spark.table(self._names[path])
 
     def run(self, path: str) -> DataFrame:
-        return self.table(path).filter("kind = 0")
+        return self._table(path, 0).select("bucket", F.lit(0).alias("kind"), "part", "data")
 
     def _save(self, rows: DataFrame) -> str:
-        """Write rows that are dealt by their bucket; each task has whole buckets, so a bucket is one file."""
+        """Write rows that are dealt by their bucket; each task has whole buckets, so a bucket is one file of each kind."""
         path, name = new_path(self.spark, "window-run"), f"strandlake_run_{uuid.uuid4().hex}"
-        rows.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(self.buckets, "bucket").saveAsTable(name)
-        self._names[path] = name
+        rows.write.format("parquet").option("compression", "zstd").option("path", path).partitionBy("kind").bucketBy(self.buckets, "bucket").saveAsTable(name)
+        self.spark.sql(f"DROP TABLE {name}")  # the files stay
         return path
 
-    def drop(self, path: str) -> None:
-        """Forget a run and delete its files."""
-        files = self.table(path)
-        drop_written(files)
-        self.spark.sql(f"DROP TABLE IF EXISTS {self._names.pop(path)}")
-        if path in self.runs:
-            self.runs.remove(path)
+    def drop(self, path: str, kind: int) -> None:
+        """Delete the files of one kind of a run."""
+        drop_path(self.spark, f"{path}/kind={kind}")
+        name = self._names.pop(f"{path}/kind={kind}", None)
+        if name:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
     def _windows(self, batch: DataFrame) -> DataFrame:
         """The batch's windows, sorted by fingerprint within a worker's chunk, and candidates that the chunk settles."""
@@ -187,18 +189,18 @@ class FingerprintIndex:
             return _rows(out)
 
         rows = self._windows(batch).repartition(buckets, "bucket")
-        for path in self.runs:
+        for path, _ in self.runs:
             rows = rows.unionByName(self.run(path))
         path = self._save(rows.groupBy("bucket").applyInArrow(join, _KINDS))
-        found = self.table(path).filter("kind = 2").select("part", "data")
+        self.hits.append(path)
         if keep:
-            self.runs.append(path)
-            if len(self.runs) >= FAN_IN:
-                self.compact()
-        return found
+            self.runs.append((path, 0))
+            while len(alike := [r for r in self.runs if r[1] == self.runs[-1][1]]) >= FAN_IN:
+                self.compact(alike)
+        return self._table(path, 2).select("part", "data")
 
-    def compact(self) -> None:
-        """Replace the runs by one; each bucket is a merge of sorted runs, and nothing is shuffled."""
+    def compact(self, runs: list[tuple[str, int]]) -> None:
+        """Replace runs by one of the next level; each bucket is a merge of sorted runs, and nothing is shuffled."""
 
         def merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             got = [unpack_places(data, np.uint64) for data in table.column("data").to_pylist()]
@@ -208,10 +210,13 @@ class FingerprintIndex:
             a, h, fp = a[order], h[order], fp[order]
             return _rows([(key[0].as_py(), 0, 0, pack_places(*numbered(a, h), deltas(fp)))])
 
-        rows = self.run(self.runs[0])
-        for path in self.runs[1:]:
+        rows = self.run(runs[0][0])
+        for path, _ in runs[1:]:
             rows = rows.unionByName(self.run(path))
-        self.runs = [self._save(rows.groupBy("bucket").applyInArrow(merge, _KINDS))]
+        merged = self._save(rows.groupBy("bucket").applyInArrow(merge, _KINDS))
+        for path, _ in runs:
+            self.drop(path, 0)
+        self.runs = [r for r in self.runs if r not in runs] + [(merged, runs[0][1] + 1)]
 
 
 def _stretches(pos: np.ndarray, *owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -348,8 +353,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, batches: int = BATCHES,
         candidates = candidates.unionByName(f)
     hits = written(collected(candidates, _HIT, "hits"), "passages")
     release(spark)
-    for path in list(index._names):
-        index.drop(path)
+    for path, _ in index.runs:
+        index.drop(path, 0)
+    for path in index.hits:
+        index.drop(path, 2)
     first = written(_remove(rows, hits, width, spell=True), "kept", 1000)
     release(spark)
     asked = first.select(F.explode("ask").alias("a")).select("a.a", "a.h", "a.words").distinct()
