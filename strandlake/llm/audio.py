@@ -1,7 +1,7 @@
 """MPEG audio as a media column: write payloads as frames, and parse any MPEG audio stream.
 
 The parser skips or reads ID3v2 and ID3v1 tags, resynchronises on a chain of two frame headers, reads Xing/Info and
-VBRI tables, verifies the CRC-16 of protected frames, and gives exact durations (samples over rate) and the byte
+VBRI tables, verifies the CRC-16 of protected frames (of all layers), and gives exact durations (samples over rate) and the byte
 offset of every frame, which is what a seek needs. The writer stores a payload losslessly in the ancillary data of
 protected layer III frames: their side information says that no main data is coded, so players hear silence and every
 byte after it belongs to the payload. An ID3v2 private frame holds its length and a Xing table makes the file seekable.
@@ -46,6 +46,8 @@ class Header:
     length: int
     samples: int
     side: int  # bytes of side information (layer III)
+    channels: int = 1
+    bound: int = 32  # the first subband that both channels share (layers I and II)
 
 
 @lru_cache(1 << 16)
@@ -61,8 +63,9 @@ def header(b: bytes) -> Header | None:
     bitrate, rate, pad = BITRATES[one, layer][b[2] >> 4] * 1000, RATES[version][b[2] >> 2 & 3], b[2] >> 1 & 1
     samples = 384 if layer == 1 else 1152 if layer == 2 or one else 576
     length = (12 * bitrate // rate + pad) * 4 if layer == 1 else samples // 8 * bitrate // rate + pad
-    mono = b[3] >> 6 == 3
-    return Header(version, layer, not b[1] & 1, bitrate, rate, length, samples, (17 if mono else 32) if one else (9 if mono else 17))
+    mode = b[3] >> 6
+    mono, bound = mode == 3, 4 + 4 * (b[3] >> 4 & 3) if mode == 1 else 32
+    return Header(version, layer, not b[1] & 1, bitrate, rate, length, samples, (17 if mono else 32) if one else (9 if mono else 17), 1 if mono else 2, bound)
 
 
 @lru_cache(1 << 16)
@@ -76,6 +79,59 @@ def crc16(data: bytes) -> int:
     return crc
 
 
+def crc16_bits(data: bytes, n: int, crc: int = 0xFFFF) -> int:
+    """The same over the first ``n`` bits."""
+    for i in range(n):
+        bit = data[i >> 3] >> (7 - (i & 7)) & 1
+        crc = (crc << 1 ^ (0x8005 if (crc >> 15) ^ bit else 0)) & 0xFFFF
+    return crc
+
+
+# Fixed values of ISO/IEC 11172-3 and 13818-3: bits of a layer II allocation per subband, as (subbands, bits) in order.
+ALLOCATION = {
+    "a": ((11, 4), (12, 3), (4, 2)),
+    "b": ((11, 4), (12, 3), (7, 2)),
+    "c": ((2, 4), (6, 3)),
+    "d": ((2, 4), (10, 3)),
+    "low": ((4, 4), (7, 3), (19, 2)),
+}
+
+
+def _allocation_bits(h: Header) -> list[int]:
+    """Bits of each subband's allocation in a layer I or II frame."""
+    if h.layer == 1:
+        return [4] * 32
+    each = h.bitrate // h.channels // 1000
+    table = "low" if h.version != "1" else ("d" if h.rate == 32000 else "c") if each <= 48 else "a" if each <= 80 or h.rate == 48000 else "b"
+    return [bits for n, bits in ALLOCATION[table] for _ in range(n)]
+
+
+def protected_bits(data: bytes, at: int, h: Header) -> int:
+    """How many bits after the checksum it covers: side information, or allocations and (layer II) scale factor choices."""
+    if h.layer == 3:
+        return 8 * h.side
+    widths = [bits for sb, bits in enumerate(_allocation_bits(h)) for _ in range(h.channels if sb < h.bound else 1)]
+    if h.layer == 1:
+        return sum(widths)
+    body = data[at + 6 : at + 6 + (sum(widths) + 7) // 8]
+    value, left, chosen = int.from_bytes(body, "big"), 8 * len(body), 0
+    shares = [1 if sb < h.bound else h.channels for sb, bits in enumerate(_allocation_bits(h)) for _ in range(h.channels if sb < h.bound else 1)]
+    for bits, share in zip(widths, shares, strict=True):
+        left -= bits
+        if left >= 0 and value >> left & ((1 << bits) - 1):
+            chosen += share  # two bits for each channel of a subband that is coded
+    return sum(widths) + 2 * chosen
+
+
+def checksum_holds(data: bytes, at: int, h: Header) -> bool:
+    """Whether the CRC-16 of a protected frame agrees with what it covers."""
+    want = int.from_bytes(data[at + 4 : at + 6], "big")
+    if h.layer == 3:
+        return crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) == want
+    n = protected_bits(data, at, h)
+    return 6 + (n + 7) // 8 <= h.length and crc16_bits(data[at + 6 : at + h.length], n, crc16_bits(data[at + 2 : at + 4], 16)) == want
+
+
 @dataclass
 class Stream:
     """What a stream holds; offsets are of the audio frames, without the table's frame."""
@@ -147,24 +203,24 @@ def parse(data: bytes) -> Stream:
     """Parse a stream; broken input gives what could be read of it (an empty one: no frames)."""
     s = Stream()
     at, end = _id3v2(data, s), len(data)
-    if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
-        s.tags["TAG"] = data[end:]
-    locked, first = None, True
+    locked, first, done = None, True, at
     while at + 4 <= end:
         h = header(data[at : at + 4])
-        if h and h is not locked and at + h.length < end:  # a new kind of frame counts if another one follows it
+        if h and at + h.length > end:
+            h = None
+        if h and h is not locked and not (at == done and _is_end(data, at + h.length)):
+            # a new kind of frame counts if another one follows it, or if it ends a stream without a gap before it
             after = header(data[at + h.length : at + h.length + 4])
             if not (after and (after.version, after.layer, after.rate) == (h.version, h.layer, h.rate)):
                 h = None
-        if h is None or at + h.length > end:
+        if h is None:
             found = data.find(b"\xff", at + 1, end)
             s.skipped += (end if found < 0 else found) - at
             at, locked = (end if found < 0 else found), None
             continue
-        if h.protected and h.layer == 3:
+        if h.protected:
             s.crc_checked += 1
-            s.crc_wrong += crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) != int.from_bytes(data[at + 4 : at + 6], "big")
+            s.crc_wrong += not checksum_holds(data, at, h)
         table = _table(data, at, h) if first else {}
         first = False
         if table:
@@ -173,10 +229,19 @@ def parse(data: bytes) -> Stream:
             s.offsets.append(at)
             s.headers.append(h)
         locked, at = h, at + h.length
+        done = at
     s.skipped += max(0, end - at)
+    if end - done >= 128 and data[end - 128 : end - 125] == b"TAG":  # after the last whole frame only: frames may hold anything
+        s.tags["TAG"] = data[end - 128 :]
+        s.skipped -= 128
     return s
 
 
+def _is_end(data: bytes, at: int) -> bool:
+    """Whether the audio ends at ``at``: with the stream, or before an ID3v1 tag."""
+    return at == len(data) or at + 128 == len(data) and data[at : at + 3] == b"TAG"
+
+
 def _frame(index: int, protected: bool = True) -> tuple[bytes, int]:
     """Header, checksum and side information of a mono layer III frame at 44.1 kHz, and the frame's length."""
     head = bytes([0xFF, 0xFA if protected else 0xFB, index << 4, 0xC0])
@@ -247,7 +312,11 @@ def store_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def audio_features(media: DataFrame) -> DataFrame:
-    """Parse stored streams: digests of payload and media, exact duration and the offsets of the frames."""
+    """Parse stored streams (doc_id, n_bytes, media): digests of payload and media, exact duration, offsets of the frames.
+
+    Each stream is parsed by itself: repeated rows and ties agree, a null doc_id stays, an empty table gives one, and
+    memory is that of the streams of 500 rows. A stream that ``store_audio`` didn't write is an error.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -268,4 +337,4 @@ NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "
 
 
 def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio_features(written(store_audio(spark.read.parquet(f"{sf_dir}/documents.parquet")), "audio")).drop("frame_offsets")
+    return audio_features(written(store_audio(spark.read.parquet(f"{sf_dir}/documents.parquet")), "audio"))

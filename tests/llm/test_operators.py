@@ -190,6 +190,40 @@ def test_audio(docs, empty):
     assert audio.audio_features(audio.store_audio(empty)).collect() == []
 
 
+def test_audio_payloads_that_look_like_tags_and_frames():
+    random.seed(6)
+    marks = [b"TAG", b"ID3\x03\0\0", b"Xing\0\0\0\x0f", b"Info", b"VBRI", b"\xff\xfb\x90\xc0", b"\xff\xfa\xe0\xc0" + bytes(30), b"\xff" * 9, audio.write(b"inner")]
+    for size in (64, 128, 192, 256, 384, 1000, 1024, 1088, 2100, 5000):
+        for mark in marks:
+            for at in {0, 1, *range(0, size, 97), *(max(0, size - k) for k in (1, 3, 64, 100, 125, 127, 128, 129, 160, 200, 256))}:
+                p = audio.padded((bytes(random.randrange(256) for _ in range(at)) + mark * 3)[:size].ljust(size, b"x"))
+                data = audio.write(p)
+                s = audio.parse(data)
+                assert audio.payload_of(data, s) == p and s.crc_wrong == s.skipped == 0 and "TAG" not in s.tags
+                tagged = audio.parse(data + b"TAG" + bytes(125))
+                assert audio.payload_of(data, tagged) == p and "TAG" in tagged.tags and tagged.skipped == 0
+
+
+def test_audio_checksums_of_layers_one_and_two():
+    # by bits: header, checksum, allocations, scale factor choices
+    for head, layer, bits in ((b"\xff\xfe\x90\xc0", 1, 128), (b"\xff\xfe\x90\x00", 1, 256), (b"\xff\xfe\x90\x50", 1, 4 * (2 * 8 + 24)), (b"\xff\xfc\x90\xc0", 2, 11 * 4 + 12 * 3 + 7 * 2)):
+        h = audio.header(head)
+        assert (h.layer, h.protected) == (layer, True)
+        for fill in (0, 1):
+            n = bits + (2 * 2 if fill and layer == 2 else 0)
+            body = bytearray(h.length - 6)
+            if fill:
+                body[0] = 0x11  # two subbands (or channels of one) have allocations
+            crc = audio.crc16_bits(bytes(body), n, audio.crc16_bits(head[2:], 16))
+            frame = head + crc.to_bytes(2, "big") + bytes(body)
+            good = audio.parse(frame * 3)
+            assert (good.crc_checked, good.crc_wrong) == (3, 0)
+            bad = bytearray(frame)
+            bad[6] ^= 0x80
+            assert audio.parse(bytes(bad) * 3).crc_wrong == 3
+    assert audio.crc16_bits(b"123456789", 72) == audio.crc16(b"123456789")
+
+
 def test_audio_parser_resynchronises():
     data = audio.write(b"x" * 5000)
     s = audio.parse(data)
