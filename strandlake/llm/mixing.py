@@ -4,9 +4,11 @@ A source that must give t words out of s gives every document floor(t / s) times
 that is left is an inclusion probability, and the cube method (Deville and Tille, 2004) turns it into 0 or 1 while it
 keeps the source's totals of documents and of tokens. The flight moves the probabilities along the null space of the
 two constraints, three documents at a time, until one of them is 0 or 1. It runs block by block: the documents of a
-source are dealt over blocks by a hash of their id, each block leaves at most two fractional documents, and the left
-ones of all blocks meet in a flight of fewer blocks, until a source is one block. There the
-last fractional documents are drawn and the smallest ones absorb what the draws add or lack. So no task ever holds a whole source, and what is balanced is the whole source.
+source are dealt over blocks by a hash of their row, each block keeps back its smallest documents and leaves at most two
+others fractional, and what is left of all blocks meets in a flight of fewer blocks, until a source is one block. The
+landing there draws the last two documents and then exchanges taken documents for others of about the size that the
+draw added or lacks, so that the words stay at the target and the number of documents with them. No task ever holds a
+whole source, and what is balanced is the whole source.
 """
 
 from __future__ import annotations
@@ -15,15 +17,17 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import mix64, slices, written
+from strandlake.llm.places import keyed_text, numbered
 
 #: Documents of one source that a flight handles at a time, in the first round and in those that follow.
 BLOCK = 2_000
+#: The smallest documents of a block that only the last flight decides, for the landing.
+KEPT_BACK = 8
 EPS = 1e-9
 
 _SPACE = np.zeros(256, bool)
@@ -46,18 +50,25 @@ def word_counts(texts: pa.Array) -> np.ndarray:
     return upto[offsets[1:]] - upto[offsets[:-1]]
 
 
-def document_sizes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", row_col: str | None = None) -> DataFrame:
-    """doc_id, source and size (the words of the text; null or empty: 0), and row, the key in ``row_col``, if there is one."""
-    own = [F.col(row_col).cast("long").alias("row")] if row_col else []
+def document_sizes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """doc_id, source, size (the words of the text; null or empty: 0), a and h (the row's key) and salt.
+
+    Equal rows have one key; the salt numbers those that a worker gets at a time, so that many of them spread.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            keys = [b.column("row")] if row_col else []
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(word_counts(b.column("text"))), *keys], ["doc_id", "source", "size", "row"][: 3 + len(keys)])
+            a, h = np.asarray(b.column("a")), np.asarray(b.column("h"))
+            at, _, _ = numbered(a, h)
+            order = np.argsort(at, kind="stable")
+            first = np.searchsorted(at[order], at[order])
+            salt = np.empty(len(at), np.int64)
+            salt[order] = np.arange(len(at)) - first
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(word_counts(b.column("text"))), b.column("a"), b.column("h"), pa.array(salt)], ["doc_id", "source", "size", "a", "h", "salt"])
 
-    source = F.col(source_col) if source_col in docs.columns else F.lit(None)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"), source.cast("string").alias("source"), *own)
-    return rows.mapInArrow(count, "doc_id long, source string, size long" + (", row long" if row_col else ""))
+    source = (F.col(source_col) if source_col in docs.columns else F.lit(None)).cast("string")
+    rows = keyed_text(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), source.alias("source")), keep=["source"])
+    return rows.mapInArrow(count, "doc_id long, source string, size long, a long, h long, salt long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: float = 3.0) -> DataFrame:
@@ -119,96 +130,129 @@ def _fly(q: list[float], x: list[float], units: range, draws: list[float]) -> li
     return live
 
 
-def flight(p: np.ndarray, size: np.ndarray, land: bool, draws: np.ndarray) -> np.ndarray:
-    """Probabilities after the cube method's flight over units in falling order of size.
+def flight(p: np.ndarray, size: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Probabilities after the cube method's flight over units in falling order of size; at most two stay fractional."""
+    q, x = p.astype(float).tolist(), (size / max(1.0, float(size.max(initial=1)))).tolist()
+    _fly(q, x, range(len(q)), draws.tolist())
+    return np.asarray(q)
+
 
-    At most two units stay fractional. With ``land`` none does: each flight keeps back the smallest units, of together
-    four times its largest size; the units that it leaves are drawn, the words that a draw adds or lacks are taken from
-    or given to the probabilities of those kept back (in expectation nothing), and they fly next. What is left in the
-    end is of the smallest size.
+def landed(p: np.ndarray, q: np.ndarray, size: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """The landing: the fractional units of ``q`` are drawn, then exchanges bring the words back to those of ``p``.
+
+    An exchange takes one unit for another and keeps their number; a single unit changes only where no exchange helps.
+    Every step brings the words nearer to the target, and units that were certain stay so.
     """
-    q, x, d = p.astype(float).tolist(), (size / max(1.0, float(size.max(initial=1)))).tolist(), draws.tolist()
-    n = len(q)
-    if not land:
-        _fly(q, x, range(n), d)
-        return np.asarray(q)
-    at = 0
-    upto = np.concatenate([[0.0], np.cumsum(x)])  # sizes before each unit
-    while at < n:
-        first_kept = int(np.searchsorted(upto, upto[n] - 4 * x[at], side="right")) - 1
-        to = min(n, max(at + 1, first_kept))
-        more = 0.0
-        for k in _fly(q, x, range(at, to), d):
-            drawn = float(d[k] < q[k])
-            more, q[k] = more + x[k] * (q[k] - drawn), drawn
-        if more and to < n:
-            room = sum(x[i] * (1 - q[i] if more > 0 else q[i]) for i in range(to, n))
-            share = min(1.0, abs(more) / room) if room > 0 else 0.0
-            for i in range(to, n):
-                q[i] += share * (1 - q[i]) if more > 0 else -share * q[i]
-        at = to
-    return np.asarray(q)
+    q = np.where((q > 0) & (q < 1), (draws < q).astype(float), q)
+    free = (p > EPS) & (p < 1 - EPS)
+    lack = float(((p - q) * size).sum())
+    while abs(lack) >= 1 or free.any() and abs(lack) > 0.5:
+        out, in_ = np.flatnonzero(free & (q == 0)), np.flatnonzero(free & (q == 1))
+        out, in_ = out[np.argsort(size[out], kind="stable")], in_[np.argsort(size[in_], kind="stable")]
+        best, change = abs(lack), None
+        if len(out) and len(in_):
+            at = np.searchsorted(size[in_], size[out] - lack)
+            for near in (at.clip(0, len(in_) - 1), (at - 1).clip(0, len(in_) - 1)):
+                left = np.abs(lack - (size[out] - size[in_[near]]))
+                k = int(np.argmin(left))
+                if left[k] < best:
+                    best, change = float(left[k]), [(out[k], 1.0), (in_[near[k]], 0.0)]
+        side = out if lack > 0 else in_
+        if change is None and len(side):
+            left = np.abs(abs(lack) - size[side])
+            k = int(np.argmin(left))
+            if left[k] < best:
+                best, change = float(left[k]), [(side[k], float(lack > 0))]
+        if change is None:
+            break
+        for i, v in change:
+            q[i] = v
+        lack = float(((p - q) * size).sum())
+    return q
 
 
-def _draws(ids: np.ndarray, seed: int) -> np.ndarray:
+def _draws(keys: np.ndarray, seed: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return (mix64(ids.astype(np.int64).view(np.uint64) + np.uint64(seed)) >> np.uint64(11)).astype(float) / 2.0**53
+        return (mix64(keys.view(np.uint64) + np.uint64(seed)) >> np.uint64(11)).astype(float) / 2.0**53
+
+
+_UNIT = "source string, doc_id long, size long, p double, n long, a long, h long, key long"
 
 
 def cube_sample(units: DataFrame, seed: int = 1, block: int = BLOCK) -> DataFrame:
-    """``units`` (source, doc_id, size, p, n: the units of its source) with take 0 or 1, balanced per source; a column row stays."""
-    own = ["row"] if "row" in units.columns else []
+    """``units`` (source, doc_id, size, p, n: the units of its source, a, h, key: a hash of the row) with take 0 or 1."""
+
+    if block < 3:
+        raise ValueError("a flight needs three units at least")
+    kept = max(0, min(KEPT_BACK, block // 4 - 2))
 
     def round_of(last: bool, salt: int):
-        def fly(pdf: pd.DataFrame) -> pd.DataFrame:
-            # large documents first: those that are still fractional at the end are the small ones
-            pdf = pdf.sort_values(["size", "doc_id", *own], ascending=[False, True, *[True] * len(own)], kind="stable").reset_index(drop=True)
-            pdf["p"] = flight(pdf["p"].to_numpy(), pdf["size"].to_numpy(), last, _draws(pdf["doc_id"].to_numpy(), seed + salt))
-            return pdf
+        def fly(table: pa.Table) -> pa.Table:
+            size, p, key = (np.asarray(table.column(c).combine_chunks()) for c in ("size", "p", "key"))
+            order = np.lexsort([key, -size])  # large documents first: those that are still fractional at the end are small
+            size, p, draws = size[order], p[order], _draws(key[order], seed + salt)
+            if last:
+                q = landed(p, flight(p, size, draws), size, draws)
+            else:
+                upto = max(0, len(p) - kept)
+                q = np.concatenate([flight(p[:upto], size[:upto], draws[:upto]), p[upto:]])
+            table = table.take(pa.array(order))
+            return table.set_column(table.column_names.index("p"), "p", pa.array(q))
 
         return fly
 
-    schema = "source string, doc_id long, size long, p double, n long, block long" + (", row long" if own else "")
-    spark, done, rest, salt = units.sparkSession, [], units, 0
+    done, rest, salt = [], units, 0
     most = units.agg(F.max("n")).first()[0] or 0
     while True:
         last = most <= block
-        blocks = F.lit(0).cast("long") if last else F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.ceil(F.col("n") / block))
-        flown = written(rest.withColumn("block", blocks).groupBy("source", "block").applyInPandas(round_of(last, salt), schema), "cube")
-        done.append(flown.filter((F.col("p") == 0) | (F.col("p") == 1)))
+        blocks = F.lit(0).cast("long") if last else F.pmod(F.xxhash64("key", F.lit(salt)), F.ceil(F.col("n") / block))
+        flown = written(rest.withColumn("block", blocks).groupBy("source", "block").applyInArrow(round_of(last, salt), _UNIT + ", block long"), "cube")
+        done.append(flown if last else flown.filter((F.col("p") == 0) | (F.col("p") == 1)))
         if last:
             break
-        # each block leaves two units at most, so a source has at most this many in the next round
-        rest = flown.filter((F.col("p") > 0) & (F.col("p") < 1)).withColumn("n", (2 * F.ceil(F.col("n") / block)).cast("long")).drop("block")
-        most, salt = 2 * math.ceil(most / block), salt + 1
+        # each block leaves two units and those kept back at most, so a source has at most this many in the next round
+        left = kept + 2
+        rest = flown.filter((F.col("p") > 0) & (F.col("p") < 1)).withColumn("n", F.least("n", (left * F.ceil(F.col("n") / block)).cast("long"))).drop("block")
+        most, salt = left * math.ceil(most / block), salt + 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select("doc_id", "source", "size", F.col("p").cast("int").alias("take"), *own)
+    return out.select("doc_id", "source", "size", "a", "h", F.round("p").cast("int").alias("take"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: float = 3.0, seed: int = 1, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, copies (how often the mix takes it), taken (copies * size).
-    With ``row_col``, a column that no two rows share, also row, its value.
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: float = 3.0, seed: int = 1, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Per row: doc_id, size, source_size, target, copies (how often the mix takes it), taken (copies * size), a, h (its key).
 
-    A null text has size 0, a null source is a source of its own (the last). Units are flown by falling size, equal
-    ones by doc_id; rows that repeat a doc_id are units of their own. A source without words keeps target 0 and takes
-    none. An empty table gives an empty one. The draws depend on doc_id and ``seed`` only, so reruns agree.
+    A null text has size 0, a null source is a source of its own (the last). Rows without a doc_id and rows that repeat
+    one are units of their own. A source without words keeps target 0 and takes none. An empty table gives an empty one.
+    The draws depend on the rows and ``seed`` only, so reruns agree; of equal rows any may be the one that is taken.
     """
-    sizes = written(document_sizes(docs, text_col, id_col, source_col, row_col), "sizes")
+    sizes = written(document_sizes(docs, text_col, id_col, source_col), "sizes")
     targets = source_targets(sizes, weights, cap)
     counts = sizes.groupBy("source").agg(F.count("*").alias("n")).withColumnRenamed("source", "c_source")
     t = targets.withColumnRenamed("source", "t_source").join(counts, F.col("t_source").eqNullSafe(F.col("c_source"))).drop("c_source")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(cap))).otherwise(0.0)
-    rows = written(sizes.join(t, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source").withColumn("rate", rate), "rates")
-    own = ["row"] if row_col else []
     whole = F.floor(F.col("rate") + EPS)
-    flown = cube_sample(rows.select("source", "doc_id", "size", F.greatest(F.col("rate") - whole, F.lit(0.0)).alias("p"), "n", *own), seed, block)
-    per = rows.select(F.col("source").alias("t_source"), "source_size", "target", whole.cast("long").alias("base")).distinct()
-    out = flown.join(per, F.col("source").eqNullSafe(F.col("t_source")))
+    t = written(t.withColumn("rate", rate).withColumn("base", whole.cast("long")).withColumn("p", F.greatest(F.col("rate") - whole, F.lit(0.0))), "source-rates")
+    rows = sizes.join(t, F.col("source").eqNullSafe(F.col("t_source")))
+    flown = cube_sample(rows.select("source", "doc_id", "size", "p", "n", "a", "h", F.xxhash64("a", "h", "salt").alias("key")), seed, block)
+    out = flown.join(t.select("t_source", "source_size", "target", "base"), F.col("source").eqNullSafe(F.col("t_source")))
     copies = F.col("base") + F.col("take")
-    return out.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken"), *own)
+    return out.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken"), "a", "h")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, with all their columns.
+
+    Rows that share a key (doc_id and text) share what the mix takes of them, the first ones in turn taking the odd one.
+    """
+    taken = mix(docs, id_col=id_col, text_col=text_col, **how).groupBy("a", "h").agg(F.sum("copies").alias("__c"), F.count("*").alias("__m"))
+    keyed = keyed_text(docs.withColumns({"__id": F.col(id_col), "__text": F.col(text_col)}), "__id", "__text", keep=docs.columns, names=("__doc", "__a", "__h", "__bytes"))
+    one = Window.partitionBy("__a", "__h").orderBy(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map" not in kind])
+    rows = keyed.drop("__doc", "__bytes").join(written(taken, "copies"), (F.col("__a") == F.col("a")) & (F.col("__h") == F.col("h")))
+    share = F.floor((F.col("__c") + F.col("__m") - F.row_number().over(one)) / F.col("__m"))
+    return rows.withColumn("__n", share.cast("long")).filter("__n > 0").withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("a", "h")

@@ -7,18 +7,24 @@ numbers in a small table of the keys that a worker saw.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import id_text, mix64, pack, unpack
+from strandlake.llm.common import mix64, pack, small_batches, unpack
 
 
-def keyed_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, a, h and text (binary; null: empty) of every row, read again in the same way at any time."""
-    rows = id_text(df, id_col, text_col)
-    return rows.select("doc_id", F.coalesce("doc_id", F.xxhash64(F.lit("no id"), "text")).alias("a"), F.xxhash64("text").alias("h"), "text")
+def keyed_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), names: tuple[str, ...] = ("doc_id", "a", "h", "text")) -> DataFrame:
+    """doc_id, a, h and text (binary; null: empty) of every row, the same whenever they are read, and the columns ``keep``."""
+    small_batches(df.sparkSession)
+    doc, a, h, text = names
+    binary = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    doc_id = F.col(id_col).cast("long")
+    key = F.coalesce(doc_id, F.xxhash64(F.lit("no id"), binary))
+    return df.select(doc_id.alias(doc), key.alias(a), F.xxhash64(binary).alias(h), binary.alias(text), *[F.col(f"`{c}`") for c in keep])
 
 
 class Keys:
