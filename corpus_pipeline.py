@@ -32,16 +32,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row as often as the mix takes it.
-
-    Rows are told apart by a key written with them, so rows that share a doc_id are units of their own, and so is each
-    row without one, which draws by its key.
-    """
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    units = rows.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.col("__row")))
-    copies = written(mixing.mix(units, row_col="__row").select(F.col("row").alias("__row"), "copies").filter("copies > 0"), "copies")
-    taken = rows.join(copies, "__row")
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    """Every row as often as the mix takes it; rows without or with shared doc_ids are units of their own."""
+    return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
