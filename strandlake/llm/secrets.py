@@ -1,10 +1,12 @@
 """Secret scans: candidates by one regular expression, false positives removed by a random forest.
 
 Everything on the rows is DataFrame functions. A candidate is a private key block, the value of an assignment (after
-a key word whatever its characters), or a run of key characters with a digit or a known prefix in it; the text around
-it gives its neighbouring words. A forest, grown on the driver from a bounded
-table of labelled findings, is compiled to a column expression over measures of the candidate: its length, transitions
-between kinds of characters, coverage by dictionary words, the path it stands in and the words around it.
+a key word whatever its characters), the password of an address, or a run of key characters with a digit or a known
+prefix in it, of any length; the text around it gives its neighbouring words. One pass of the expression marks the
+candidates, the text is split at the marks, and every candidate becomes a row with its place and surroundings, so a text
+costs as much as it is long. A forest, grown on the driver from a bounded table of labelled findings, is compiled to a
+column expression over measures of the candidate: its length, transitions between kinds of characters, coverage by
+dictionary words, the path it stands in and the words around it.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.llm.common import written
+
 #: Labelled findings that training reads at most: those of the smallest hashes.
 TRAIN_FINDINGS = 3_000
 TREES, DEPTH, LEAST = 15, 6, 3
@@ -26,14 +30,18 @@ WORDS = "key|token|secret|passw|pwd|auth|bearer|credential|private|signature"
 #: A private key up to its END line, headers included, not past the BEGIN line of another.
 BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----[^-]*+(?:(?!-----(?:BEGIN|END) )-[^-]*+){0,200}+-----END [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
 #: A value up to its closing quote, or else up to white space, a quote that ends it, the next field of an address or a tag.
-QUOTED = r"""(?<=")[^"\n]{8,}+(?=")|(?<=')[^'\n]{8,}+(?=')"""
+QUOTED = r"""(?<=")[^"\n]++(?=")|(?<=')[^'\n]++(?=')"""
 BARE = r"""[^\s"'&<][^\s"'&<]*+(?:(?:&(?!\w{1,30}=)|<(?!/)|["'](?=[A-Za-z0-9]))[^\s"'&<]*+){0,100}+"""
 #: After a key word and = or :, after another name and =, or after a scheme of authorization.
-ASSIGNED = rf"""(?<=[=: \t"'])(?:(?<=[=:][ \t]{{0,2}}["']?)(?:(?<=(?i:{WORDS})[\w \t"'.\-\]]{{0,16}}[=:][ \t]{{0,2}}["']?)|(?<=\w["'\]]?[ \t]?=[ \t]{{0,2}}["']?)|(?<=\w["'][ \t]?:[ \t]{{0,2}}["'])(?=[^\s"']{{8}}))|(?<=(?i:bearer|basic)[ \t])(?=\S{{16}}))(?:{QUOTED}|{BARE})"""
-CANDIDATE = rf"{BLOCK}|{ASSIGNED}|(?<![{KEY}])(?:{PREFIXES})[{KEY}]{{12,}}+={{0,2}}|(?<![{KEY}])[A-Za-z+/_.\-]*+[0-9][{KEY}]*+={{0,2}}"
+ASSIGNED = rf"""(?<=[=: \t"'])(?:(?<=[=:][ \t]{{0,2}}["']?)(?:(?<=(?i:{WORDS})[\w \t"'.\-\]]{{0,16}}[=:][ \t]{{0,2}}["']?)|(?<=\w["'\]]?[ \t]?=[ \t]{{0,2}}["']?)|(?<=\w["'][ \t]?:[ \t]{{0,2}}["'])(?=[^\s"']{{8}}))|(?<=(?i:bearer|basic)[ \t])(?=\S{{16}}))(?!(?i:bearer|basic)[ \t]\S)(?:{QUOTED}|{BARE})"""
+#: The password of an address: after a scheme and a user, up to the last @ before the host.
+ADDRESS = r"""(?<=:)(?<=://[\w.+%\-]{0,40}:)[^\s/@"']++(?=@[\w\[])"""
+CANDIDATE = rf"{BLOCK}|{ADDRESS}|{ASSIGNED}|(?<![{KEY}])(?:{PREFIXES})[{KEY}]++={{0,2}}|(?<![{KEY}])[A-Za-z+/_.\-]*+[0-9][{KEY}]*+={{0,2}}"
 #: Characters at the end of a candidate that belong to the sentence or the code around it.
 CLOSING = r"[,;:)\]}>]+$"
-SHORTEST, BEFORE, AFTER = 8, 48, 24
+BEFORE, AFTER = 48, 24
+#: So many parts of a text (a candidate and what follows it) give the text before the next candidate.
+PARTS = 6
 MARK = "[SECRET]"
 
 DICTIONARY = (
@@ -146,7 +154,7 @@ class Forest:
         return sum(t.value(x) for t in self.trees) / len(self.trees)
 
 
-def example_findings(spark: SparkSession, n: int = 2_400) -> DataFrame:
+def example_findings(spark: SparkSession, n: int = 3_000) -> DataFrame:
     """Labelled findings (before, value, after, label) made by rule: secrets of common forms, and what looks like them."""
     i = F.col("id")
     h = lambda k, m: F.sha2(F.concat_ws("-", i, F.lit(k)), 256).substr(1, m)
@@ -211,6 +219,25 @@ def example_findings(spark: SparkSession, n: int = 2_400) -> DataFrame:
         (word, one("nf", "OAUTH2_TOKEN=", "S3_SECRET=", "DB2_PASSWORD=", "KEY1_VALUE="), h("n0", 24), 0),
         (F.concat(word, one("nb", "bearer ", "basic ", "Basic ")), F.concat(prose("nc"), one("nd", "-", "_"), prose("ne")), F.lit(" "), 0),
     ]
+    address = F.concat(word, one("ad", "postgres", "mysql", "https", "redis", "amqp", "mongodb"), F.lit("://"), one("au", "admin", "root", "app", "svc_1", ""), F.lit(":"))
+    kinds += [
+        (address, mixed("a1", 14), F.lit("@db.example.com"), 1),
+        (address, coined, F.lit("@10.0.0.5:5432"), 1),
+        (address, h("a2", 9), F.lit("@host/name"), 1),
+        (address, F.concat(letters("a3", 6), one("a4", "!", "1", "99")), F.lit("@cache.local"), 1),
+        (named, F.concat_ws("-", *[one(f"b{k}", "correct", "horse", "battery", "staple", "purple", "monkey", "dragon", "winter", "velvet", "copper", "rocket", "tulip") for k in range(4)]), closing, 1),
+        (F.concat(word, one("q1", "password=", "pwd=", "passwd: ", "password = \"", "pwd='")), F.concat(letters("b5", 4), number("b6", 99)), one("q2", "\"", "'", " "), 1),
+        (F.concat(word, one("q1", "password=", "pwd=", "passwd: ", "password = \"", "pwd='")), F.concat(letters("b7", 3), one("b8", "!", "#1", "$x", "7")), one("q2", "\"", "'", " "), 1),
+        (word, number("b9", 99999).cast("string"), F.lit(" "), 0),
+        (word, F.concat(number("bA", 99), one("bB", "th", "st", "km", "x", "%", "")), F.lit(" "), 0),
+        (word, F.concat(letters("bJ", 2), number("bK", 99)), one("bL", " ", ",", ".", "\n"), 0),
+        (word, F.concat(one("bM", "x", "an", "Ti", "room", "B", "area", "mid", "iso", "Web"), number("bN", 99)), one("bO", " ", ",", ".", "\n"), 0),
+        (word, F.concat(number("bP", 9), letters("bQ", 3)), one("bL", " ", ",", ".", "\n"), 0),
+        (F.concat(word, one("bC", "integrity=\"", "integrity: \"", "checksum = \"", "digest: ")), F.concat(one("bD", "sha512-", "sha384-", "sha256-"), mixed("bE", 60), F.lit("==")), F.lit('"'), 0),
+        (asking, one("bF", "yes", "no", "none", "true", "null", "a", "the", "my", "your", "it", "see", "1", "0", "***", "xxx"), F.lit(" "), 0),
+        (blank, one("bG", "a", "btn", "1", "12", "en", "utf-8", "x1", "main", "100%"), shut, 0),
+        (F.concat(word, one("bH", "http", "https", "ftp"), F.lit("://www.example.com:")), number("bI", 9999).cast("string"), F.lit("/index"), 0),
+    ]
     parts = []
     for at in range(0, len(kinds), 10):  # by parts, which Java methods can hold
         cases = F.array(*[F.struct(b.alias("before"), v.alias("value"), a.alias("after"), F.lit(y).alias("label")) for b, v, a, y in kinds[at : at + 10]])
@@ -227,58 +254,85 @@ def grow(findings: DataFrame, limit: int = TRAIN_FINDINGS, seed: int = 3) -> For
     return Forest([_grow([draw.choice(sample) for _ in sample], DEPTH, draw) for _ in range(TREES)] if sample else [Node(0.0)])
 
 
-def with_secrets(docs: DataFrame, forest: Forest, text_col: str = "text", name: str = "secrets", least: float = 0.5) -> DataFrame:
-    """``docs`` with an array column ``name`` of structs (start, value, score): the candidates that the forest keeps.
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is evaluated once: a generator of one row, which the optimizer can't copy into its users."""
+    return df.withColumn(name, F.explode_outer(F.array(value)))
+
+
+def _starts(lengths: Column, block: int = 256) -> Column:
+    """Sums of the lengths before each element, in blocks, so that the cost is linear."""
+    none = F.array().cast("array<int>")
+
+    def sums(xs: Column, first: Column) -> Column:
+        begin = F.struct(first.alias("at"), none.alias("done"))
+        return F.aggregate(xs, begin, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["done"], acc["at"]).alias("done")), lambda acc: acc["done"])
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / block).cast("int")), lambda b: F.slice(lengths, b * block + 1, F.lit(block)))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda x, n: x + n)
+    return F.flatten(F.zip_with(blocks, sums(F.transform(blocks, total), F.lit(0)), sums))
+
+
+def candidates(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """A row per candidate: the columns ``keep``, __start (characters from 0), __value, __before and __after.
 
-    ``start`` counts characters from 0. A null or empty text has none. Nothing is shuffled: each row is handled alone,
-    so repeated rows, ties and clashing names of other columns don't matter.
+    The control characters 1 and 2, which mark candidates meanwhile, count as the control character 3.
     """
+    mark, end = "\x01", "\x02"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    gaps = F.split(text, CANDIDATE)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast("array<struct<start:int,before:string>>").alias("places"))
-
-    def walk(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.length(x["gap"])
-        before = F.right(F.concat(acc["tail"], F.right(x["gap"], F.lit(BEFORE))), F.lit(BEFORE))
-        tail = F.right(F.concat(before, F.right(x["value"], F.lit(BEFORE))), F.lit(BEFORE))
-        return F.struct((at + F.length(x["value"])).alias("at"), tail.alias("tail"), F.array_append(acc["places"], F.struct(at.alias("start"), before.alias("before"))).alias("places"))
-
-    tmp = [f"__{name}_{k}" for k in ("found", "gaps", "places")]
-    base = docs.withColumns({tmp[0]: found, tmp[1]: gaps})
-    found, gaps = F.col(tmp[0]), F.col(tmp[1])
-    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("value"))
-    base = base.withColumn(tmp[2], F.when(F.size(found) > 0, F.aggregate(pairs, start, walk)["places"]).otherwise(F.array().cast("array<struct<start:int,before:string>>")))
-
-    def cut(v: Column, i: Column) -> Column:
-        value, place = F.regexp_replace(v, CLOSING, ""), F.get(F.col(tmp[2]), i)
-        rest = F.concat(F.substr(v, F.length(value) + 1), F.coalesce(F.get(gaps, i + 1), F.lit("")), F.coalesce(F.get(found, i + 1), F.lit("")))
-        return F.struct(value.alias("value"), place["start"].alias("start"), place["before"].alias("before"), F.left(rest, F.lit(AFTER)).alias("after"))
-
-    rows = F.transform(found, cut)
-    rows = F.filter(rows, lambda r: F.length(r["value"]) >= SHORTEST)
-    rows = F.transform(rows, lambda r: F.struct(r["start"].alias("start"), r["value"].alias("value"), measures(r["before"], r["value"], r["after"]).alias("x")))
-    rows = F.transform(rows, lambda r: F.struct(r["start"].alias("start"), r["value"].alias("value"), forest.column(r["x"]).alias("score")))
-    return base.withColumn(name, F.when(F.size(found) > 0, F.filter(rows, lambda r: r["score"] >= least))).withColumn(name, F.coalesce(F.col(name), F.array().cast("array<struct<start:int,value:string,score:double>>"))).drop(*tmp)
+    rows = docs.select(*keep, text.alias("__text"))
+    marked = F.regexp_replace(F.translate("__text", mark + end, "\x03\x03"), CANDIDATE, f"{mark}$0{end}")
+    rows = _once(rows, "__parts", F.split(marked, mark)).filter(F.size("__parts") > 1)
+    parts = F.col("__parts")
+    rows = _once(rows, "__at", _starts(F.transform(parts, lambda p, i: F.length(p) - F.when(i > 0, 1).otherwise(0))))
+
+    def cut(i: Column) -> Column:
+        value = F.regexp_replace(F.substring_index(F.get(parts, i), end, 1), CLOSING, "")
+        piece = lambda k: F.coalesce(F.get(parts, k), F.lit(""))
+        head = lambda k, n: F.translate(F.left(piece(k), n + 1), end, "")
+        before = F.concat(*[F.right(F.translate(F.right(piece(i - k), F.lit(BEFORE + 1)), end, ""), F.lit(BEFORE)) for k in range(PARTS, 0, -1)])
+        after = F.concat(F.substr(head(i, F.length(value) + AFTER), F.length(value) + 1), head(i + 1, F.lit(AFTER)), head(i + 2, F.lit(AFTER)))
+        return F.struct(F.get(F.col("__at"), i).alias("__start"), value.alias("__value"), F.right(before, F.lit(BEFORE)).alias("__before"), F.left(after, F.lit(AFTER)).alias("__after"))
+
+    found = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), cut)
+    return rows.select(*keep, F.inline(found)).filter("__value <> ''")
+
+
+def judged(docs: DataFrame, forest: Forest, keep: list[str], text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The candidates that the forest keeps: the columns ``keep``, __start, __value and __score."""
+    rows = _once(candidates(docs, keep, text_col), "__x", measures(F.col("__before"), F.col("__value"), F.col("__after")))
+    rows = _once(rows, "__score", forest.column(F.col("__x")))
+    return rows.filter(F.col("__score") >= least).select(*keep, "__start", "__value", "__score")
 
 
 def find_secrets(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """One row per secret: doc_id, start, n_chars, secret_sha256 (the secret itself is not spread further), score."""
-    rows = with_secrets(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), forest, "text", "found", least)
-    rows = rows.select("doc_id", F.explode("found").alias("s"))
-    return rows.select("doc_id", F.col("s.start").alias("start"), F.length("s.value").alias("n_chars"), F.sha2("s.value", 256).alias("secret_sha256"), F.col("s.score").alias("score"))
+    """One row per secret: doc_id, start, n_chars, secret_sha256 (the secret itself is not spread further), score.
+
+    ``start`` counts characters from 0. A null or empty text has no secret, an empty table gives an empty one. Nothing is
+    shuffled: each row is handled alone, so repeated rows are reported each, a null doc_id stays, and clashing names of
+    other columns don't matter. Of candidates that overlap the first one counts.
+    """
+    rows = judged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), forest, ["doc_id"], "text", least)
+    return rows.select("doc_id", F.col("__start").alias("start"), F.length("__value").alias("n_chars"), F.sha2("__value", 256).alias("secret_sha256"), F.col("__score").alias("score"))
 
 
 def redact_secrets(docs: DataFrame, forest: Forest, text_col: str = "text", mark: str = MARK, least: float = 0.5) -> DataFrame:
-    """``docs`` with every secret of the text column replaced by ``mark`` where it stands; the other columns stay as they are."""
-    rows = with_secrets(docs, forest, text_col, "__found", least)
+    """``docs`` with every secret of the text column replaced by ``mark`` where it stands; the other columns stay as they are.
+
+    Rows are told apart by two hashes of their text (together 128 bits), so rows of one text are searched for each and
+    get the same result; null and empty texts stay. The findings are written; if they are few (Spark's own threshold on
+    the size of what was written decides) they are broadcast, otherwise both sides are dealt by the hashes.
+    """
     text = F.col(text_col).cast("string")
+    keys = {"__a": F.xxhash64(text), "__b": F.xxhash64(F.lit("again"), F.reverse(text))}
+    found = judged(docs.select(F.col(text_col).alias("__t")).select(F.xxhash64(F.col("__t").cast("string")).alias("__a"), F.xxhash64(F.lit("again"), F.reverse(F.col("__t").cast("string"))).alias("__b"), "__t"), forest, ["__a", "__b"], "__t", least)
+    places = written(found.select("__a", "__b", F.struct(F.col("__start").alias("start"), F.length("__value").alias("n")).alias("s")).groupBy("__a", "__b").agg(F.sort_array(F.collect_set("s")).alias("__found")), "secret-places")
+    rows = docs.withColumns(keys).join(places, ["__a", "__b"], "left")
 
     def put(acc: Column, s: Column) -> Column:
-        return F.struct((s["start"] + F.length(s["value"])).alias("at"), F.concat(acc["done"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("done"))
+        return F.struct((s["start"] + s["n"]).alias("at"), F.array_append(F.array_append(acc["done"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"])), F.lit(mark)).alias("done"))
 
-    clean = F.aggregate("__found", F.struct(F.lit(0).alias("at"), F.lit("").alias("done")), put, lambda acc: F.concat(acc["done"], F.substr(text, acc["at"] + 1)))
-    return rows.withColumn(text_col, F.when(F.size("__found") > 0, clean).otherwise(F.col(text_col))).drop("__found").select(*docs.columns)
+    clean = F.aggregate("__found", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("done")), put, lambda acc: F.concat(F.concat_ws("", acc["done"]), F.substr(text, acc["at"] + 1)))
+    return rows.withColumn(text_col, F.when(F.size("__found") > 0, clean).otherwise(F.col(text_col))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

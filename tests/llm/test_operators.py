@@ -366,7 +366,7 @@ def test_mixing_keeps_words_and_documents(spark, block):
         own = [r for r in rows if r.source == source]
         assert abs(sum(r.taken for r in own) - own[0].target) <= max(3, 0.005 * own[0].target), source
         want = len(own) * own[0].target / own[0].source_size
-        assert abs(sum(r.copies for r in own) - want) <= 3, source
+        assert abs(sum(r.copies for r in own) - want) <= 6, source
         assert all(r.taken <= 3 * r.size for r in own)
 
 
@@ -408,6 +408,58 @@ def test_secrets_without_digits_or_after_names(spark):
     assert sorted((r.doc_id, r.start, r.secret_sha256) for r in found) == want
 
 
+def test_short_and_address_secrets_and_look_alikes(spark):
+    forest = secrets.grow(secrets.example_findings(spark))
+    secret = [('password = "', "correct-horse-battery-staple", '"'), ("postgres://admin:", "s3cr3tPassw0rd", "@db.example.com/x"), ("pwd=", "gTz41", " "), ("password='", "xK!9", "'")]
+    clean = ['integrity="sha512-oqVuAfXRKap7fdgcCY5uykM6+R9GqQ8K/uxy9rx7HNQlGYl1kPzQho1wx4JwY8wC+Q=="', "in 1998 about 250 km and 3 x 4", "password: required", "http://www.example.com:8080/index"]
+    rows = [(i, a + v + b) for i, (a, v, b) in enumerate(secret)] + [(100 + i, c) for i, c in enumerate(clean)]
+    found = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"), forest).collect()
+    want = [(i, len(a), hashlib.sha256(v.encode()).hexdigest()) for i, (a, v, _) in enumerate(secret)]
+    assert sorted((r.doc_id, r.start, r.secret_sha256) for r in found) == want
+
+
+def test_secrets_agree_with_forest_and_expression_by_hand(spark):
+    """Brute force: candidates by scanning the text once, the forest by walking its trees."""
+    import regex
+
+    forest = secrets.grow(secrets.example_findings(spark))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    odd = [(-1, "\x01 key\x02=ab12cd34 \x01"), (-2, "é☃ token = 'Zx9Kq81LmNopQ2' 😀 pwd=1"), (-3, None), (None, "pwd=Ab9!x")]
+    docs = docs.union(spark.createDataFrame(odd, "doc_id long, text string"))
+    got = {}
+    for r in secrets.candidates(docs, ["doc_id"]).collect():
+        got.setdefault(r.doc_id, []).append((r["__start"], r["__value"], r["__before"], r["__after"]))
+    pattern = regex.compile(secrets.CANDIDATE, regex.ASCII)
+    for r in docs.collect():
+        text, want = r.text or "", []
+        clean = text.replace("\x01", "\x03").replace("\x02", "\x03")
+        for m in pattern.finditer(clean):
+            value = regex.sub(secrets.CLOSING, "", m.group())
+            if value:
+                want.append((m.start(), value, m.start(), value))
+        assert [(a, b) for a, b, _, _ in got.get(r.doc_id, [])] == [(a, b) for a, b, _, _ in want], r.doc_id
+        for (start, value, before, after), _ in zip(got.get(r.doc_id, []), want, strict=True):
+            assert clean[:start].endswith(before) and (len(before) == secrets.BEFORE or start == len(before) or len(want) > secrets.PARTS)
+            assert clean[start + len(value) :].startswith(after)
+    rows = secrets.candidates(docs, ["doc_id"]).select(secrets.measures(F.col("__before"), F.col("__value"), F.col("__after")).alias("x"))
+    scored = rows.select("x", forest.column(F.col("x")).alias("score")).collect()
+    assert len(scored) > 40 and all(abs(forest.value(list(r.x)) - r.score) < 1e-12 for r in scored)
+
+
+def test_many_candidates_in_one_text_cost_as_much_as_they_are(spark):
+    import time
+
+    forest = secrets.grow(secrets.example_findings(spark))
+    seconds = []
+    for n in (5_000, 50_000):
+        text = " ".join(f'token = "{hashlib.sha1(str(i).encode()).hexdigest()}"' for i in range(n))
+        table = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        assert secrets.find_secrets(table, forest).count() == n
+        seconds.append(time.time() - began)
+    assert seconds[1] < 30 * max(1, seconds[0])
+
+
 def test_redaction_cuts_where_secrets_stand(spark):
     forest = secrets.grow(secrets.example_findings(spark))
     short = "96d17ded865a61704b5b8dc58aafba7d26a3c1ef"
