@@ -99,3 +99,61 @@ def variable_bytes(x: Column) -> Column:
 def from_variable_bytes(b: Column) -> Column:
     places = F.sequence(F.lit(0), F.length(b) - 1)
     return F.aggregate(places, F.lit(0).cast("long"), lambda a, i: a + F.call_function("shiftleft", F.conv(F.hex(F.substring(b, i + 1, F.lit(1))), 16, 10).cast("long").bitwiseAND(F.lit(127)), 7 * i))
+
+
+def parity_of(values: Column) -> Column:
+    """The parity of all bits of an array of longs, as 0 or 1."""
+    return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(parity(x).cast("long")))
+
+
+def store_be(x: Column, n: int = 8) -> Column:
+    """The lowest n bytes of a long, highest first."""
+    return F.unhex(F.right(F.lpad(F.hex(x), 16, "0"), F.lit(2 * n)))
+
+
+def store_le(x: Column, n: int = 8) -> Column:
+    """The lowest n bytes of a long, lowest first."""
+    return F.unhex(F.concat(*[F.substring(F.lpad(F.hex(x), 16, "0"), 15 - 2 * i, 2) for i in range(n)]))
+
+
+def load_be(b: Column, n: int = 8) -> Column:
+    """The first n bytes of a binary as an unsigned number (n = 8: as the long of those bits)."""
+    return F.conv(F.hex(F.substring(b, 1, n)), 16, -10).cast("long")
+
+
+def load_le(b: Column, n: int = 8) -> Column:
+    return F.conv(F.concat(*[F.hex(F.substring(b, i, 1)) for i in range(n, 0, -1)]), 16, -10).cast("long")
+
+
+def shift_left_wide(words: list[Column], n: int, width: int = 64) -> list[Column]:
+    """An integer in words of ``width`` bits, lowest first, shifted by any number of bits; what leaves the words is lost."""
+    by, n = divmod(n, width)
+    zero = F.lit(0).cast("long")
+    full = [zero] * by + words
+    out = []
+    for i in range(len(words)):
+        low = F.shiftrightunsigned(full[i - 1], width - n) if n and i else zero
+        out.append(F.shiftleft(full[i], n).bitwiseOR(low).bitwiseAND(bitmask(width)))
+    return out
+
+
+def shift_right_wide(words: list[Column], n: int, width: int = 64) -> list[Column]:
+    """The same to the right, without sign."""
+    by, n = divmod(n, width)
+    zero = F.lit(0).cast("long")
+    full = words[by:] + [zero] * (by + 1)
+    return [F.shiftrightunsigned(full[i], n).bitwiseOR(F.shiftleft(full[i + 1], width - n) if n else zero).bitwiseAND(bitmask(width)) for i in range(len(words))]
+
+
+def peek_wide(words: list[Column], n: int, pos: int, width: int = 64) -> Column:
+    """The n bits (at most ``width``) from ``pos`` on of an integer in words, across their bounds."""
+    return shift_right_wide(words, pos, width)[0].bitwiseAND(bitmask(n))
+
+
+def poke_wide(words: list[Column], value: Column, n: int, pos: int, width: int = 64) -> list[Column]:
+    """The words with the n bits from ``pos`` on replaced by those of ``value``."""
+    zero = F.lit(0).cast("long")
+    rest = [zero] * (len(words) - 1)
+    new = shift_left_wide([value.bitwiseAND(bitmask(n)), *rest], pos, width)
+    hole = shift_left_wide([bitmask(n), *rest], pos, width)
+    return [w.bitwiseAND(F.bitwise_not(h)).bitwiseOR(v) for w, h, v in zip(words, hole, new, strict=True)]

@@ -90,6 +90,40 @@ def prefix_kmer(code: Column, offset: int) -> Column:
     return F.shiftrightunsigned(code, 2 * offset)
 
 
+def push_back(code: Column, k: int, base: int) -> Column:
+    """The window one base further to the right: the first base goes, ``base`` (0 to 3) comes last."""
+    return F.shiftleft(suffix_kmer(code, k - 1), 2).bitwiseOR(F.lit(base).cast("long"))
+
+
+def push_front(code: Column, k: int, base: int) -> Column:
+    """The window one base further to the left: the last base goes, ``base`` comes first."""
+    return F.shiftrightunsigned(code, 2).bitwiseOR(F.lit(base << 2 * (k - 1)).cast("long"))
+
+
+def base_at(code: Column, k: int, i: int) -> Column:
+    """The base at place ``i`` (from 0 on the left) of a packed k-mer."""
+    return F.element_at(F.array(*map(F.lit, ALPHABET)), (sub_kmer(code, 1, k - 1 - i) + 1).cast("int"))
+
+
+def to_digits(kmer: Column) -> Column:
+    """A k-mer of any length in base-4 digits, whose order as strings is that of the codes."""
+    return F.translate(kmer, ALPHABET, "0123")
+
+
+def from_digits(digits: Column) -> Column:
+    return F.translate(digits, "0123", ALPHABET)
+
+
+def canonical_digits(kmer: Column) -> Column:
+    """The smaller strand of a k-mer of any length, in base-4 digits: beyond 31 bases no long holds it."""
+    return F.least(to_digits(kmer), to_digits(reverse_complement(kmer)))
+
+
+def require_valid(seq: Column) -> Column:
+    """The sequence itself, or an error if it holds anything but bases."""
+    return F.when(is_valid(seq), seq).otherwise(F.raise_error(F.lit("Invalid DNA")).cast("string"))
+
+
 # Fixed value: fixed-point units per bit of entropy.
 PRECISION = 65535 * 1.88416938536372
 DENOMINATOR = int(PRECISION)

@@ -55,13 +55,25 @@ def pack_ints(values: np.ndarray, width: int) -> bytes:
     """Values of ``width`` bits one after the other, lowest bits first."""
     if not len(values):
         return b""
-    bits = (values.astype(np.uint64)[:, None] >> np.arange(width, dtype=np.uint64) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(bits.ravel(), bitorder="little").tobytes()
+    v = values.astype(np.uint64)
+    v &= np.uint64((1 << width) - 1)
+    at = np.arange(len(v), dtype=np.int64) * width
+    word, bit = at >> 6, (at & 63).astype(np.uint64)
+    words = np.zeros((len(v) * width >> 6) + 2, np.uint64)
+    np.bitwise_or.at(words, word, v << bit)
+    over = bit + np.uint64(width) > 64
+    np.bitwise_or.at(words, word[over] + 1, v[over] >> (np.uint64(64) - bit[over]))
+    return words.astype("<u8").tobytes()[: (len(v) * width + 7) // 8]
 
 
 def unpack_ints(data: bytes, width: int, n: int) -> np.ndarray:
-    bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")[: n * width].reshape(n, width)
-    return (bits.astype(np.uint64) << np.arange(width, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).astype(np.int64)
+    words = np.frombuffer(bytes(data).ljust((len(data) + 7) // 8 * 8 + 8, b"\0"), "<u8")
+    at = np.arange(n, dtype=np.int64) * width
+    word, bit = at >> 6, (at & 63).astype(np.uint64)
+    out = words[word] >> bit
+    over = bit + np.uint64(width) > 64
+    out[over] |= words[word[over] + 1] << (np.uint64(64) - bit[over])
+    return (out & np.uint64((1 << width) - 1)).astype(np.int64)
 
 
 @F.pandas_udf(BinaryType())
@@ -79,3 +91,37 @@ def unpack(data: pd.Series, width: pd.Series, n: pd.Series) -> pd.Series:
 def lower_bound(ordered: pd.Series, target: pd.Series) -> pd.Series:
     """The first place in a sorted array whose value isn't below the target."""
     return pd.Series([None if a is None else int(np.searchsorted(np.asarray(a), t)) for a, t in zip(ordered, target, strict=True)])
+
+
+def words_required(n: Column, width: Column, word_bits: int = 64) -> Column:
+    """Words for n packed integers, with slack so that a whole word can be loaded at any of them."""
+    return F.when(n > 0, F.floor(((n - 1) * width + (2 * word_bits - 8)) / word_bits)).otherwise(0).cast("long")
+
+
+def resized(values: Column, n: Column) -> Column:
+    """The first n values; zeros follow where there are fewer."""
+    n = n.cast("int")
+    return F.concat(F.slice(values, F.lit(1), n), F.array_repeat(F.lit(0).cast("long"), F.greatest(n - F.size(values), F.lit(0))))
+
+
+@F.pandas_udf(BinaryType())
+def pack_with_header(values: pd.Series, width: pd.Series) -> pd.Series:
+    """Packed values after a 64-bit header (size << 8 | width), in whole words with the slack of ``words_required``."""
+    out = []
+    for v, w in zip(values, width, strict=True):
+        if v is None:
+            out.append(None)
+            continue
+        n, w = len(v), int(w)
+        words = ((n - 1) * w + 120) // 64 if n else 0
+        out.append((n << 8 | w).to_bytes(8, "little") + pack_ints(np.asarray(v), w).ljust(8 * words, b"\0"))
+    return pd.Series(out)
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def unpack_with_header(data: pd.Series) -> pd.Series:
+    def one(d: bytes | None) -> np.ndarray | None:
+        head = int.from_bytes(d[:8], "little") if d is not None else 0
+        return None if d is None else unpack_ints(d[8:], head & 255, head >> 8)
+
+    return pd.Series([one(d) for d in data])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,51 +23,204 @@ def runs(seqs: DataFrame, k: int, id_col: str = "seq_id", seq_col: str = "sequen
     return seqs.select(id_col, F.posexplode(found).alias("run", "bases"))
 
 
-def _codes(text: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places, codes and run numbers of the k-mers of one sequence; places count characters."""
-    b = text.encode("latin-1", "replace")  # one byte per character; what isn't Latin becomes "?"
-    code = _CODE[np.frombuffer(b, np.uint8)]
-    n = len(code) - k + 1
-    if n <= 0:
-        return (np.zeros(0, np.int64),) * 3
-    wrong = np.concatenate([[0], np.cumsum(code == 255)])
-    at = np.flatnonzero(wrong[k:] == wrong[:-k])
-    value = np.zeros(len(at), np.int64)
-    for j in range(k):
-        value = value << 2 | code[at + j]
-    run = np.cumsum(np.concatenate([[1], (np.diff(at) > 1).astype(np.int64)])) - 1 if len(at) else at
-    return at, value, run
+#: K-mers of a sequence that a worker handles at a time, and rows of a batch, about.
+SLICE, BATCH = 1 << 19, 500_000
 
 
-def kmers(seqs: DataFrame, k: int, id_col: str = "seq_id", seq_col: str = "sequence") -> DataFrame:
-    """One row per k-mer of valid bases: (id, run, pos from 0 in the sequence, code). k is 31 at most.
+def _scan(text: str, k: int, extra: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs, places and codes of the k-mers of valid bases, by slices; places count characters.
 
-    The scan of a batch is vectorised; rows leave in batches of bounded size, so a chromosome is no problem.
+    Neighbouring slices share ``extra`` k-mers, so every window of ``extra`` + 1 k-mers lies in one slice.
     """
+    b = np.frombuffer(text.encode("latin-1", "replace"), np.uint8)  # a byte per character; what isn't Latin becomes "?"
+    n, before, going = len(b) - k + 1, 0, False
+    for s in range(0, max(0, n), SLICE):
+        code = _CODE[b[s : s + SLICE + extra + k - 1]]
+        wrong = np.concatenate([[0], np.cumsum(code == 255)])
+        at = np.flatnonzero(wrong[k:] == wrong[:-k])
+        value = np.zeros(len(at), np.int64)
+        for j in range(k):
+            value = value << 2 | code[at + j]
+        new = np.ones(len(at), bool)
+        new[1:] = np.diff(at) > 1
+        if len(at) and at[0] == 0 and going:
+            new[0] = False
+        yield before + np.cumsum(new) - 1, at + s, value
+        before += int(np.count_nonzero(new[at < SLICE]))
+        going = bool(len(at)) and bool((at == SLICE - 1).any())
+
+
+def _batches(columns: list[str], found: Iterator[tuple[int, tuple[np.ndarray, ...]]], id_col: str) -> Iterator[pa.RecordBatch]:
+    """Arrays of many sequences as batches of about ``BATCH`` rows."""
+    parts: list[tuple[np.ndarray, ...]] = []
+    held = 0
+    for i, arrays in found:
+        if len(arrays[0]):
+            parts.append((np.full(len(arrays[0]), i, np.int64), *arrays))
+            held += len(arrays[0])
+        if held > BATCH:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], [id_col, *columns])
+            parts, held = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], [id_col, *columns])
+
+
+def _each(seqs: DataFrame, scan: Callable[[str], Iterator[tuple[np.ndarray, ...]]], columns: dict[str, str], id_col: str, seq_col: str) -> DataFrame:
+    """The rows that ``scan`` makes of every sequence, with its id; nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((i, arrays) for b in batches for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if text is not None for arrays in scan(text))
+        yield from _batches(list(columns), rows, id_col)
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in ({id_col: "long"} | columns).items())
+    return seqs.select(F.col(id_col).cast("long").alias(id_col), seq_col).mapInArrow(run, schema)
+
+
+def _check(k: int) -> None:
     if not 1 <= k <= MAX_LONG_K:
         raise ValueError("k must be 1 to 31")
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def kmers(seqs: DataFrame, k: int, id_col: str = "seq_id", seq_col: str = "sequence") -> DataFrame:
+    """One row per k-mer of valid bases: (id, run, pos from 0 in the sequence, code). k is 31 at most.
+
+    The scan is vectorised over slices of a sequence, so memory doesn't grow with its length but for its text.
+    """
+    _check(k)
+
+    def scan(text: str) -> Iterator[tuple[np.ndarray, ...]]:
+        for run, at, value in _scan(text, k):
+            yield run.astype(np.int32), at, value
+
+    return _each(seqs, scan, {"run": "int", "pos": "long", "code": "long"}, id_col, seq_col)
+
+
+def wide_kmers(seqs: DataFrame, k: int, id_col: str = "seq_id", seq_col: str = "sequence") -> DataFrame:
+    """One row per k-mer of valid bases of any length k: (id, kmer in upper case)."""
+    found = runs(seqs, k, id_col, seq_col)
+    bases = F.upper("bases")
+    return found.select(id_col, F.explode(F.transform(F.sequence(F.lit(1), F.length("bases") - (k - 1)), lambda i: F.substr(bases, i, F.lit(k)))).alias("kmer"))
+
+
+def reverse_complement_codes(code: np.ndarray, k: int) -> np.ndarray:
+    """The codes of the other strand."""
+    out = np.zeros_like(code)
+    for _ in range(k):
+        out, code = out << 2 | (code & 3 ^ 2), code >> 2
+    return out
+
+
+def _window_minima(text: str, k: int, w: int, canonical: bool, allowed: np.ndarray | None) -> Iterator[tuple[np.ndarray, ...]]:
+    """Run, place of the last k-mer, minimum and its place, for each w consecutive k-mers of a run."""
+    for run, at, value in _scan(text, k, w - 1):
+        if canonical:
+            value = np.minimum(value, reverse_complement_codes(value, k))
+        rank = value if allowed is None else np.where(allowed[value], value, np.int64(4**k))
+        n = len(at) - w + 1
+        if n <= 0:
+            yield run[:0].astype(np.int32), at[:0], value[:0], at[:0]
+            continue
+        best, place = rank[:n].copy(), at[:n].copy()
+        for j in range(1, w):
+            better = rank[j : j + n] <= best  # of several the rightmost
+            best[better], place[better] = rank[j : j + n][better], at[j : j + n][better]
+        whole = at[w - 1 :] - at[:n] == w - 1
+        if allowed is not None:
+            whole &= best < 4**k
+        yield run[w - 1 :][whole].astype(np.int32), at[w - 1 :][whole], best[whole], place[whole]
+
+
+def _allowed(k: int, codes: set[int] | None) -> np.ndarray | None:
+    """A table of the k-mers that may be minimizers, without ``codes``."""
+    if codes is None:
+        return None
+    if k > 12:
+        raise ValueError("a table of k-mers needs k of at most 12")
+    table = np.ones(4**k, bool)
+    table[list(codes)] = False
+    return table
+
+
+def minimizers(seqs: DataFrame, k: int, w: int, canonical: bool = False, forbidden: set[int] | None = None, id_col: str = "seq_id", seq_col: str = "sequence") -> DataFrame:
+    """For each w consecutive k-mers of a run the least code, the rightmost if several: (id, run, pos, min_value, min_pos).
+
+    Only full windows give a row, which stands at its last k-mer. K-mers in ``forbidden`` are never chosen; a window of
+    nothing else has no row. It is one scan: no row per k-mer leaves the worker.
+    """
+    _check(k)
+    allowed = _allowed(k, forbidden)
+    return _each(seqs, lambda text: _window_minima(text, k, w, canonical, allowed), {"run": "int", "pos": "long", "min_value": "long", "min_pos": "long"}, id_col, seq_col)
+
+
+def ends_of_runs(seqs: DataFrame, k: int, id_col: str = "seq_id", seq_col: str = "sequence") -> DataFrame:
+    """The last k-mer of each run: (id, run, pos, code, n: the k-mers of the run)."""
+    _check(k)
+
+    def scan(text: str) -> Iterator[tuple[np.ndarray, ...]]:
+        open_ = None
+        for run, at, value in _scan(text, k):
+            if not len(run):
+                continue
+            last = np.flatnonzero(np.append(run[1:] != run[:-1], True))
+            n = np.diff(np.append(-1, last))
+            if open_ is not None:
+                if open_[0] == run[0]:
+                    n[0] += open_[3]
+                else:
+                    yield tuple(np.array([x], t) for x, t in zip(open_, (np.int32, np.int64, np.int64, np.int64), strict=True))
+            yield run[last[:-1]].astype(np.int32), at[last[:-1]], value[last[:-1]], n[:-1]
+            open_ = (run[-1], at[-1], value[-1], n[-1])
+        if open_ is not None:
+            yield tuple(np.array([x], t) for x, t in zip(open_, (np.int32, np.int64, np.int64, np.int64), strict=True))
+
+    return _each(seqs, scan, {"run": "int", "pos": "long", "code": "long", "n": "long"}, id_col, seq_col)
+
+
+def placed_kmers(seqs: DataFrame, k: int, id_col: str = "seq_id", seq_col: str = "sequence") -> DataFrame:
+    """K-mers with their place (from 1) in the order of (code, pos) in their sequence: (id, pos, code, place).
+
+    A sequence is sorted where it is scanned: 24 bytes per k-mer of one sequence at a time.
+    """
+    _check(k)
+
+    def scan(text: str) -> Iterator[tuple[np.ndarray, ...]]:
+        parts = list(_scan(text, k))
+        if parts:
+            at, value = (np.concatenate([p[j] for p in parts]) for j in (1, 2))
+            order = np.argsort(value, kind="stable")
+            for s in range(0, len(order), BATCH):
+                i = order[s : s + BATCH]
+                yield at[i], value[i], np.arange(s + 1, s + len(i) + 1)
+
+    return _each(seqs, scan, {"pos": "long", "code": "long", "place": "long"}, id_col, seq_col)
+
+
+def with_entropy(rows: DataFrame, k: int, code: str = "code", name: str = "numerator") -> DataFrame:
+    """``rows`` with the fixed-point 2-mer entropy of a k-mer column, vectorised; it is evaluated where it stands.
+
+    A filter on the new column doesn't move below what comes before, such as a distinct.
+    """
+    from strandlake.functions.nucleotides import entropy_table
+
+    table = np.array([*entropy_table(k), 0], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, parts, held = [], [], 0
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if text is None:
-                    continue
-                found = _codes(text, k)
-                ids.append(np.full(len(found[0]), i, np.int64))
-                parts.append(found)
-                held += len(found[0])
-                if held > 500_000:
-                    yield rows(ids, parts)
-                    ids, parts, held = [], [], 0
-            if held:
-                yield rows(ids, parts)
-
-    def rows(ids: list, parts: list) -> pa.RecordBatch:
-        at, value, run = (np.concatenate(x) for x in zip(*parts, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(run.astype(np.int32)), pa.array(at), pa.array(value)], [id_col, "run", "pos", "code"])
-
-    return seqs.select(F.col(id_col).cast("long").alias(id_col), seq_col).mapInArrow(scan, f"{id_col} long, run int, pos long, code long")
+            x = np.asarray(b.column(code))
+            pairs = np.stack([x >> (2 * j) & 15 for j in range(k - 1)]) if k > 1 else np.zeros((0, len(x)), np.int64)
+            total = np.zeros(len(x), np.int64)
+            for p in range(16):
+                total += table[(pairs == p).sum(axis=0)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(total)], [*b.schema.names, name])
+
+    schema = rows.select("*", F.lit(0).cast("long").alias(name)).schema
+    return rows.mapInArrow(run, schema)
+
+
+def joined_chunks(chunks: DataFrame, id_col: str = "seq_id", part_col: str = "part", seq_col: str = "sequence") -> DataFrame:
+    """Sequences that arrive in chunks, joined in the order of ``part_col``: windows continue across chunks."""
+    parts = F.sort_array(F.collect_list(F.struct(F.col(part_col).alias("p"), F.coalesce(seq_col, F.lit("")).alias("s"))))
+    return chunks.groupBy(id_col).agg(parts.alias("__parts")).select(id_col, F.concat_ws("", F.transform("__parts", lambda x: x["s"])).alias(seq_col))
 
 
 def with_offsets(seqs: DataFrame, order_col: str = "seq_id", seq_col: str = "sequence", name: str = "offset") -> DataFrame:
@@ -106,16 +259,38 @@ def minimum_changes(windows: DataFrame, by: list[str], order: str = "pos") -> Da
     return windows.withColumn("changed", ~F.col("min_pos").eqNullSafe(F.lag("min_pos").over(w)))
 
 
-def superkmers(seqs: DataFrame, k: int, m: int, id_col: str = "seq_id", seq_col: str = "sequence") -> DataFrame:
-    """Maximal runs of consecutive k-mers with one canonical m-mer minimizer: (id, run, start, end, minimizer)."""
-    from strandlake.functions.nucleotides import canonical
+def superkmers(seqs: DataFrame, k: int, m: int, forbidden: set[int] | None = None, id_col: str = "seq_id", seq_col: str = "sequence") -> DataFrame:
+    """Maximal runs of consecutive k-mers with one canonical m-mer minimizer: (id, run, start, end, minimizer).
+
+    One scan; ``forbidden`` m-mers are never minimizers, and k-mers of nothing else belong to no super-k-mer.
+    """
+    _check(m)
+    allowed = _allowed(m, forbidden)
+
+    def scan(text: str) -> Iterator[tuple[np.ndarray, ...]]:
+        open_ = None  # run, first and last place, minimum, its place
+        for run, at, low, place in _window_minima(text, m, k - m + 1, True, allowed):
+            if not len(run):
+                continue
+            new = np.ones(len(run), bool)
+            new[1:] = (run[1:] != run[:-1]) | (place[1:] != place[:-1]) | (np.diff(at) > 1)
+            cut = np.flatnonzero(new)
+            ends = np.append(cut[1:], len(run)) - 1
+            first, last = at[cut], at[ends]
+            if open_ is not None:
+                if open_[0] == run[0] and open_[4] == place[0] and open_[2] + 1 == at[0]:
+                    first[0] = open_[1]
+                else:
+                    yield _super(*(np.array([x]) for x in open_[:4]))
+            yield _super(run[cut[:-1]], first[:-1], last[:-1], low[cut[:-1]])
+            open_ = (run[-1], first[-1], last[-1], low[cut[-1]], place[-1])
+        if open_ is not None:
+            yield _super(*(np.array([x]) for x in open_[:4]))
+
+    def _super(run: np.ndarray, first: np.ndarray, last: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, ...]:
+        return run.astype(np.int32), first - (k - m), last + m, low
 
-    mers = kmers(seqs, m, id_col, seq_col)
-    low = window_minimum(mers, k - m + 1, canonical(F.col("code"), m), [id_col, "run"])
-    marked = minimum_changes(low, [id_col, "run"])
-    island = F.sum(F.col("changed").cast("int")).over(Window.partitionBy(id_col, "run").orderBy("pos"))
-    out = marked.withColumn("island", island).groupBy(id_col, "run", "island").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.first("min_value").alias("minimizer"))
-    return out.select(id_col, "run", (F.col("first") - (k - m)).alias("start"), (F.col("last") + m).alias("end"), "minimizer")
+    return _each(seqs, scan, {"run": "int", "start": "long", "end": "long", "minimizer": "long"}, id_col, seq_col)
 
 
 def count_kmers(seqs: DataFrame, k: int, canonical_form: bool = True, id_col: str = "seq_id", seq_col: str = "sequence") -> DataFrame:

@@ -167,8 +167,7 @@ def extracted_sort(spark, sf_dir):
 
 @query(f"WITH {_kmers_sql(12)}, c AS (SELECT seq_id, pos, {DIGITS.format('kmer')} AS code FROM km) SELECT seq_id, pos, code, row_number() OVER (PARTITION BY seq_id ORDER BY code, pos) AS place FROM c")
 def positioned_sort(spark, sf_dir):
-    w = Window.partitionBy("seq_id").orderBy("code", "pos")
-    return ops.kmers(sequences(spark, sf_dir), 12).select("seq_id", "pos", "code", F.row_number().over(w).alias("place"))
+    return ops.placed_kmers(sequences(spark, sf_dir), 12)
 
 
 @query(f"WITH {SEQ}, r AS (SELECT seq_id, unnest(regexp_extract_all(sequence, '[ACGT]{{4,}}')) AS run FROM s) SELECT seq_id, count(*) AS n_runs, sum(length(run))::BIGINT AS n_bases, max(length(run)) AS longest FROM r GROUP BY seq_id")
@@ -206,8 +205,8 @@ def sequence_filter(spark, sf_dir):
 
 @query(f"WITH {_kmers_sql(5)} SELECT seq_id, max(pos) + 5 AS run_end, max_by(kmer, pos) AS last_kmer, count(*) AS n FROM km GROUP BY seq_id, run")
 def run_ends(spark, sf_dir):
-    rows = ops.kmers(sequences(spark, sf_dir), 5).groupBy("seq_id", "run").agg(F.max("pos").alias("p"), F.max_by("code", "pos").alias("c"), F.count("*").alias("n"))
-    return rows.select("seq_id", (F.col("p") + 5).alias("run_end"), nt.decode_kmer(F.col("c"), 5).alias("last_kmer"), "n")
+    rows = ops.ends_of_runs(sequences(spark, sf_dir), 5)
+    return rows.select("seq_id", (F.col("pos") + 5).alias("run_end"), nt.decode_kmer(F.col("code"), 5).alias("last_kmer"), "n")
 
 
 @query(f"WITH {_fast_kmers_sql(4)}, c AS (SELECT least({DIGITS.format('kmer')}, {DIGITS.format(_rc_sql('kmer'))}) AS code, n FROM (SELECT kmer, count(*) AS n FROM km GROUP BY kmer)) SELECT code, sum(n)::BIGINT AS count FROM c GROUP BY code")
@@ -225,12 +224,13 @@ _PAIRS = f", e AS (SELECT kmer, list_transform(range(1, {K}), lambda i: substr(k
 
 @query(f"{_distinct_sql(K)}{_PAIRS} SELECT kmer, {_entropy_sql(K)} AS numerator FROM e")
 def entropy(spark, sf_dir):
-    return distinct_kmers(spark, sf_dir, K).select("kmer", nt.entropy_numerator(F.col("kmer"), K).cast("long").alias("numerator"))
+    return ops.with_entropy(ops.kmers(sequences(spark, sf_dir), K).select("code").distinct(), K).select(nt.decode_kmer(F.col("code"), K).alias("kmer"), "numerator")
 
 
 @query(f"{_distinct_sql(K)}{_PAIRS} SELECT kmer FROM e WHERE {_entropy_sql(K)} >= {nt.entropy_threshold(2.5)}")
 def entropy_filter(spark, sf_dir):
-    return distinct_kmers(spark, sf_dir, K).filter(nt.entropy_numerator(F.col("kmer"), K) >= nt.entropy_threshold(2.5)).select("kmer")
+    rows = ops.with_entropy(ops.kmers(sequences(spark, sf_dir), K).select("code").distinct(), K)
+    return rows.filter(F.col("numerator") >= nt.entropy_threshold(2.5)).select(nt.decode_kmer(F.col("code"), K).alias("kmer"))
 
 
 @query(f"WITH g AS (SELECT x, list_reduce(list_transform(range(0, {K}), lambda i: substr('ACTG', 1 + (x >> (2 * ({K - 1} - i))) % 4, 1)), lambda a, b: a || b) AS kmer FROM range({4**K}) t(x)), e AS (SELECT list_transform(range(1, {K}), lambda i: substr(kmer, i, 2)) AS pairs FROM g) SELECT {_entropy_sql(K)} AS numerator, count(*) AS n FROM e GROUP BY 1")
@@ -244,7 +244,7 @@ _MINIMA = f"WITH {_kmers_sql(5)}, c AS (SELECT seq_id, run, pos, {DIGITS.format(
 
 
 def _minima(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.window_minimum(ops.kmers(sequences(spark, sf_dir), 5), 4, F.col("code"), ["seq_id", "run"])
+    return ops.minimizers(sequences(spark, sf_dir), 5, 4)
 
 
 @query(f"{_MINIMA} SELECT seq_id, pos, min_value, min_pos FROM x")
@@ -254,8 +254,9 @@ def window_min(spark, sf_dir):
 
 @query(f"{_MINIMA}, y AS (SELECT seq_id, min_pos IS DISTINCT FROM lag(min_pos) OVER (PARTITION BY seq_id, run ORDER BY pos) AS changed FROM x) SELECT seq_id, count(*) AS n, count(*) FILTER (WHERE changed) AS n_changed FROM y GROUP BY seq_id")
 def min_changed(spark, sf_dir):
-    rows = ops.minimum_changes(_minima(spark, sf_dir), ["seq_id", "run"])
-    return rows.groupBy("seq_id").agg(F.count("*").alias("n"), F.count_if("changed").alias("n_changed"))
+    """A window's minimum is another element than the window's before it: one for each place that is a minimum of its run."""
+    rows = _minima(spark, sf_dir).groupBy("seq_id", "run").agg(F.count("*").alias("n"), F.count_distinct("min_pos").alias("changed"))
+    return rows.groupBy("seq_id").agg(F.sum("n").alias("n"), F.sum("changed").alias("n_changed"))
 
 
 @query(
@@ -267,10 +268,10 @@ def superkmers(spark, sf_dir):
     return ops.superkmers(sequences(spark, sf_dir), 8, 4).select("seq_id", "start", "end", "minimizer")
 
 
-@query(f"WITH {_fast_kmers_sql(11)} SELECT sum(least({DIGITS.format('kmer')}, {DIGITS.format(_rc_sql('kmer'))}))::BIGINT AS checksum, count(*) AS n FROM km")
+@query(f"WITH {_fast_kmers_sql(11)} SELECT sum(least({DIGITS.format('kmer')}, {DIGITS.format(_rc_sql('kmer'))}))::VARCHAR AS checksum, count(*) AS n FROM km")
 def kmer_checksum(spark, sf_dir):
     rows = ops.kmers(sequences(spark, sf_dir), 11)
-    return rows.agg(F.sum(nt.canonical(F.col("code"), 11)).alias("checksum"), F.count("*").alias("n"))
+    return rows.agg(F.sum(nt.canonical(F.col("code"), 11).cast("decimal(38,0)")).cast("string").alias("checksum"), F.count("*").alias("n"))
 
 
 @query(f"WITH {_kmers_sql(5)}, n AS (SELECT seq_id, count(*) AS n_valid FROM km GROUP BY seq_id) SELECT s.seq_id, coalesce(n_valid, 0) AS n_valid, greatest(length(sequence) - 4, 0) - coalesce(n_valid, 0) AS n_invalid FROM s LEFT JOIN n USING (seq_id)")
@@ -361,8 +362,95 @@ def fasta_scan(spark, sf_dir):
     return fastx.read_fasta(spark, path).select("header", F.length("sequence").alias("n"), F.md5("sequence").alias("sequence_md5"))
 
 
-@query(f"{_RECORDS} SELECT header, md5(sequence) AS sequence_md5, md5(translate(sequence, 'ACTG', 'JIF#')) AS quality_md5 FROM r WHERE sequence <> ''")
+@query(f"{_RECORDS} SELECT header, md5(sequence) AS sequence_md5, md5(translate(sequence, 'ACTG', '@IF#')) AS quality_md5 FROM r WHERE sequence <> ''")
 def fastq_scan(spark, sf_dir):
     path = _scratch(spark, "fastq")
-    fastx.write_fastq(_records(spark, sf_dir).withColumn("quality", F.translate("sequence", "ACTG", "JIF#")), path)
+    fastx.write_fastq(_records(spark, sf_dir), path)  # half of the qualities begin with @ or hold it
     return fastx.read_fastq(spark, path).select("header", F.md5("sequence").alias("sequence_md5"), F.md5("quality").alias("quality_md5"))
+
+
+@query(f"{_RECORDS} SELECT header, length(sequence) AS n, md5(sequence) AS sequence_md5, md5(translate(sequence, 'ACTG', '@IF#')) AS quality_md5 FROM r WHERE sequence <> ''")
+def fastx_scan(spark, sf_dir):
+    """A folder of FASTQ files through the ``fastx`` data source, in byte ranges that begin inside of records."""
+    path = _scratch(spark, "fastx")
+    fastx.write_fastq(_records(spark, sf_dir), path)
+    fastx.register(spark)
+    rows = spark.read.format("fastx").option("path", path).option("format", "fastq").option("split_bytes", str(1 << 20)).load()
+    return rows.select("header", F.length("sequence").alias("n"), F.md5("sequence").alias("sequence_md5"), F.md5("quality").alias("quality_md5"))
+
+
+on_distinct("push_right", K, lambda code, kmer: {"pushed": nt.push_back(code, K, 1)}, f"{DIGITS.format("(right(kmer, 7) || 'C')")} AS pushed")
+on_distinct("push_left", K, lambda code, kmer: {"pushed": nt.push_front(code, K, 3)}, f"{DIGITS.format("('G' || left(kmer, 7))")} AS pushed")
+on_distinct("two_bit_view", K, lambda code, kmer: {"third": nt.base_at(code, K, 2), "last": nt.base_at(code, K, K - 1)}, "substr(kmer, 3, 1) AS third, right(kmer, 1) AS last")
+
+_WIDE = 40
+_WIDE_KMERS = f"{_RECORDS}, km AS (SELECT header, unnest(list_transform(range(1, length(sequence) - {_WIDE - 2}), lambda i: substr(sequence, i, {_WIDE}))) AS kmer FROM r), c AS (SELECT header, least(translate(kmer, 'ACTG', '0123'), translate({_rc_sql('kmer')}, 'ACTG', '0123')) AS digits FROM km)"
+
+
+@query(f"{_WIDE_KMERS} SELECT header, count(*) AS n, translate(min(digits), '0123', 'ACTG') AS least, translate(max(digits), '0123', 'ACTG') AS most FROM c GROUP BY header")
+def canonical_wide(spark, sf_dir):
+    """Canonical forms of k-mers beyond a long (k = 40), of all bases of a document."""
+    rows = ops.wide_kmers(_records(spark, sf_dir), _WIDE, "header")
+    digits = nt.canonical_digits(F.col("kmer"))
+    out = rows.groupBy("header").agg(F.count("*").alias("n"), F.min(digits).alias("a"), F.max(digits).alias("z"))
+    return out.select("header", "n", nt.from_digits(F.col("a")).alias("least"), nt.from_digits(F.col("z")).alias("most"))
+
+
+_POOR = "'AAAAA', 'CCCCC', 'TTTTT', 'GGGGG'"
+
+
+@query(f"WITH {_kmers_sql(5)}, c AS (SELECT seq_id, run, pos, CASE WHEN kmer IN ({_POOR}) THEN {4**5} ELSE {DIGITS.format('kmer')} END AS code FROM km), w AS (SELECT *, min(code * {_BIG} + ({_BIG - 1} - pos)) OVER f AS m, count(*) OVER f AS n FROM c WINDOW f AS (PARTITION BY seq_id, run ORDER BY pos ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)) SELECT seq_id, pos, m // {_BIG} AS min_value, {_BIG - 1} - m % {_BIG} AS min_pos FROM w WHERE n = 4 AND m // {_BIG} < {4**5}")
+def minimizer_allowed(spark, sf_dir):
+    """Window minima where k-mers of one base are not allowed."""
+    poor = {d * (4**5 - 1) // 3 for d in range(4)}
+    return ops.minimizers(sequences(spark, sf_dir), 5, 4, forbidden=poor).select("seq_id", "pos", "min_value", "min_pos")
+
+
+@query(
+    f"WITH {_kmers_sql(4)}, c AS (SELECT seq_id, run, pos, least({DIGITS.format('kmer')}, {DIGITS.format(_rc_sql('kmer'))}) AS code FROM km), w AS (SELECT *, min(code * {_BIG} + ({_BIG - 1} - pos)) OVER f AS m, count(*) OVER f AS n FROM c WINDOW f AS (PARTITION BY seq_id, run ORDER BY pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)), "
+    "x AS (SELECT *, m IS DISTINCT FROM lag(m) OVER (PARTITION BY seq_id, run ORDER BY pos) AS changed FROM w WHERE n = 5) SELECT count(*) AS n_kmers, count(*) FILTER (WHERE changed) AS n_superkmers FROM x"
+)
+def superkmer_totals(spark, sf_dir):
+    rows = ops.superkmers(sequences(spark, sf_dir), 8, 4)
+    return rows.agg(F.sum(F.col("end") - F.col("start") - 7).alias("n_kmers"), F.count("*").alias("n_superkmers"))
+
+
+@query(f"WITH {_kmers_sql(K)} SELECT seq_id, count(*) AS n, max(pos) AS last FROM km GROUP BY seq_id")
+def chunked_feed(spark, sf_dir):
+    """Sequences fed in chunks of a third of their length; k-mers across chunks count."""
+    third = F.ceil(F.length("sequence") / 3).cast("int")
+    chunk = lambda i: F.substr("sequence", third * i + 1, third)
+    chunks = sequences(spark, sf_dir).select("seq_id", F.posexplode(F.array(*[chunk(F.lit(i)) for i in range(3)])).alias("part", "sequence"))
+    return ops.kmers(ops.joined_chunks(chunks), K).groupBy("seq_id").agg(F.count("*").alias("n"), F.max("pos").alias("last"))
+
+
+@query(f"{_RECORDS} SELECT header, md5(sequence) AS checked_md5 FROM r WHERE sequence <> ''")
+def strict_bases(spark, sf_dir):
+    return _records(spark, sf_dir).select("header", F.md5(nt.require_valid(F.col("sequence"))).alias("checked_md5"))
+
+
+@query(f"WITH {_PARTS} SELECT l_orderkey, bit_count(list_reduce(v, lambda a, b: xor(a, b)))::BIGINT % 2 AS odd FROM p")
+def parity_fold(spark, sf_dir):
+    return _order_parts(spark, sf_dir).select("l_orderkey", bits.parity_of(F.col("v")).alias("odd"))
+
+
+@query(f"WITH {_PARTS} SELECT l_orderkey, ((length(v) - 1) * length(bin(m)) + 120) // 64 AS words, array_to_string(list_slice(v, 1, length(v) * 2 // 3), ',') AS shrunk, array_to_string(list_concat(v, list_transform(range(0, length(v) * 4 // 3 - length(v)), lambda i: 0)), ',') AS grown FROM p")
+def packed_resize(spark, sf_dir):
+    rows = _order_parts(spark, sf_dir)
+    v, n = F.col("v"), F.size("v")
+    text = lambda size: F.array_join(vectorised.resized(v, size).cast("array<string>"), ",")
+    return rows.select("l_orderkey", vectorised.words_required(n, F.col("width")).alias("words"), text(F.floor(n * 2 / 3)).alias("shrunk"), text(F.floor(n * 4 / 3)).alias("grown"))
+
+
+@query(f"WITH {_PARTS} SELECT l_orderkey, length(v) * 256 + length(bin(m)) AS header, 8 + 8 * (((length(v) - 1) * length(bin(m)) + 120) // 64) AS n_bytes, array_to_string(v, ',') AS back FROM p")
+def packed_header(spark, sf_dir):
+    """A packed vector with its header of size and width, written and read."""
+    rows = _order_parts(spark, sf_dir).withColumn("b", vectorised.pack_with_header("v", "width"))
+    return rows.select("l_orderkey", bits.load_le(F.col("b"), 8).alias("header"), F.length("b").alias("n_bytes"), F.array_join(vectorised.unpack_with_header("b").cast("array<string>"), ",").alias("back"))
+
+
+_BYTES = "lower(printf('%08X', x))"
+on_words("load_store", lambda x: {"le": F.lower(F.hex(bits.store_le(x, 4))), "be": F.lower(F.hex(bits.store_be(x, 4))), "back": bits.load_le(bits.store_le(x, 4), 4), "swapped": bits.load_le(bits.store_be(x, 4), 4)}, f"substr({_BYTES}, 7, 2) || substr({_BYTES}, 5, 2) || substr({_BYTES}, 3, 2) || substr({_BYTES}, 1, 2) AS le, {_BYTES} AS be, x AS back, x % 256 * 16777216 + x // 256 % 256 * 65536 + x // 65536 % 256 * 256 + x // 16777216 AS swapped")
+_PAIR = "(x::HUGEINT * 4294967296 + o_orderkey)"
+on_words("wide_shift", lambda x: dict(zip(("left_high", "left_low", "right_high", "right_low"), (*bits.shift_left_wide([F.col("o_orderkey"), x], 13, 32)[::-1], *bits.shift_right_wide([F.col("o_orderkey"), x], 13, 32)[::-1]))), f"(({_PAIR} * 8192) // 4294967296 % 4294967296)::BIGINT AS left_high, ({_PAIR} * 8192 % 4294967296)::BIGINT AS left_low, ({_PAIR} // 8192 // 4294967296)::BIGINT AS right_high, ({_PAIR} // 8192 % 4294967296)::BIGINT AS right_low")
+on_words("wide_peek", lambda x: {"group": bits.peek_wide([F.col("o_orderkey"), x], 20, 22, 32), "poked": bits.peek_wide(bits.poke_wide([F.col("o_orderkey"), x], F.lit(0xABCDE).cast("long"), 20, 22, 32), 30, 17, 32)}, f"({_PAIR} // 4194304 % 1048576)::BIGINT AS \"group\", (({_PAIR} - {_PAIR} // 4194304 % 1048576 * 4194304 + 703710::HUGEINT * 4194304) // 131072 % 1073741824)::BIGINT AS poked")

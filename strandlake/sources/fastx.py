@@ -1,6 +1,6 @@
 """FASTA and FASTQ as a Spark data source, ``spark.read.format("fastx")``, and native readers and writers.
 
-Options: path (a file), format (fasta or fastq; from the suffix otherwise), strict (true: malformed input is an error,
+Options: path (a file, or a folder of files), format (fasta or fastq; from the suffix otherwise), strict (true: malformed input is an error,
 false: it is skipped), strict_terminator (true: an unterminated last record is dropped), split_bytes. Splits are byte
 ranges; a reader starts at the first record that begins in its range and reads the last one to its end.
 """
@@ -29,6 +29,7 @@ def format_of(path: str) -> str:
 class ByteRange(InputPartition):
     start: int
     end: int
+    path: str = ""
 
 
 class Lines:
@@ -63,7 +64,7 @@ def _align(data, start: int, mark: bytes, fastq: bool) -> int | None:
         seen.append(line)
         if len(seen) >= 2 and seen[-2][1].startswith(mark):
             return seen[-1][0] if seen[-1][1].startswith(mark) else seen[-2][0]
-    return seen[-1][0] if fastq and seen and seen[-1][1].startswith(mark) else None
+    return None  # a last line that begins with @ is a quality: a record has four lines
 
 
 def read_range(data, start: int, end: int, kind: str, strict: bool = True, strict_terminator: bool = False) -> Iterator[tuple[int, str, str, str | None]]:
@@ -125,23 +126,53 @@ def _open(path: str):
     return store.open_input_file(inner)
 
 
+def _files(path: str) -> list[tuple[str, int]]:
+    """The data files of a path and their sizes; names that begin with . or _ are none."""
+    from pyarrow import fs
+
+    local = "://" not in path and not path.startswith("file:")
+    plain = path.removeprefix("file://").removeprefix("file:") if path.startswith("file:") else path
+    store, inner = (fs.LocalFileSystem(), plain) if local or path.startswith("file:") else fs.FileSystem.from_uri(path)
+    top = store.get_file_info(inner)
+    if top.type == fs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    if top.type == fs.FileType.File:
+        return [(path, top.size)]
+    found = [f for f in store.get_file_info(fs.FileSelector(inner, recursive=True)) if f.type == fs.FileType.File and f.base_name[0] not in "._"]
+    prefix = path[: len(path) - len(inner)] if path.endswith(inner) else ""
+    return sorted((prefix + f.path, f.size) for f in found)
+
+
+#: Rows of an Arrow batch.
+BATCH_ROWS = 4096
+
+
 class FastxReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
-        self.kind = options.get("format") or format_of(self.path)
+        self.kind = options.get("format")
         self.strict = options.get("strict", "true").lower() == "true"
         self.strict_terminator = options.get("strict_terminator", "false").lower() == "true"
         self.split = int(options.get("split_bytes", 32 << 20))
+        if not self.kind:
+            for path, _ in _files(self.path):
+                format_of(path)
 
     def partitions(self) -> list[ByteRange]:
-        with _open(self.path) as f:
-            f.seek(0, 2)
-            size = f.tell()
-        return [ByteRange(s, min(size, s + self.split)) for s in range(0, size, self.split)] or [ByteRange(0, 0)]
+        found = [ByteRange(s, min(size, s + self.split), path) for path, size in _files(self.path) for s in range(0, size, self.split)]
+        return found or [ByteRange(0, 0, "")]
 
-    def read(self, partition: ByteRange) -> Iterator[tuple]:
-        with _open(self.path) as f:
-            yield from read_range(f, partition.start, partition.end, self.kind, self.strict, self.strict_terminator)
+    def read(self, partition: ByteRange) -> Iterator:
+        """The records of a byte range, as Arrow batches."""
+        import pyarrow as pa
+        from itertools import batched
+
+        if not partition.path:
+            return
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.string())
+        with _open(partition.path) as f:
+            for rows in batched(read_range(f, partition.start, partition.end, self.kind or format_of(partition.path), self.strict, self.strict_terminator), BATCH_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["offset", "header", "sequence", "quality"])
 
 
 class FastxSource(DataSource):
@@ -168,8 +199,28 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """header and sequence of FASTA files or folders by Spark's own text reader: a record per row, any store."""
-    rows = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("r"))
+    """header and sequence of FASTA files or folders by Spark's own text reader: a record per row, any store.
+
+    What stands before the first ``>`` of a file belongs to no record and is left out.
+    """
+    block = F.col("_metadata.file_block_start")
+    rows = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("path"), block.alias("block"), "value")
+
+    def records(batches):
+        import pyarrow as pa
+
+        at = None
+        for b in batches:
+            keep = []
+            for p, k, value in zip(*(b.column(c).to_pylist() for c in ("path", "block", "value")), strict=True):
+                first, at = (p, k) != at and k == 0, (p, k)  # the first row of a file still has its mark
+                if not first:
+                    keep.append(value)
+                elif value.startswith(">"):
+                    keep.append(value[1:])
+            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.string())], ["r"])
+
+    rows = rows.mapInArrow(records, "r string")
     body = F.regexp_replace(F.col("r"), "^[^\n]*\n?", "")
     return rows.select(F.regexp_extract("r", "^([^\r\n]*)", 1).alias("header"), F.regexp_replace(body, "[\r\n]", "").alias("sequence")).filter("header <> '' OR sequence <> ''")
 

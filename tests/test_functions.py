@@ -101,3 +101,49 @@ def test_fastq_by_text_reader_malformed(spark, tmp_path, data, message):
     with pytest.raises(Exception, match=message):
         fastx.read_fastq(spark, str(tmp_path)).collect()
     assert fastx.read_fastq(spark, str(tmp_path), strict=False).count() == (1 if data.startswith(b"AC") else 0)
+
+
+def test_fasta_leaves_out_what_precedes_the_first_record(spark, tmp_path):
+    (tmp_path / "a.fa").write_text("stray\nlines\n>s1\nAC\n\nGT\n>s2\nTT")
+    (tmp_path / "b.fa").write_text(">s3\nGG\n")
+    got = {(r.header, r.sequence) for r in fastx.read_fasta(spark, str(tmp_path)).collect()}
+    assert got == {("s1", "ACGT"), ("s2", "TT"), ("s3", "GG")}
+
+
+def test_fastx_reads_folders_in_splits_of_any_size(spark, tmp_path):
+    for n in range(3):
+        (tmp_path / f"f{n}.fq").write_text("".join(f"@{n}{i}\nAC\n+\n@E\n" for i in range(4)))
+    fastx.register(spark)
+    for size in (1, 7, 13, 1000):
+        rows = spark.read.format("fastx").option("path", str(tmp_path)).option("split_bytes", str(size)).load().collect()
+        assert sorted((r.header, r.quality) for r in rows) == [(f"{n}{i}", "@E") for n in range(3) for i in range(4)]
+
+
+def test_slices_of_a_long_sequence_agree_with_the_whole(monkeypatch):
+    import random
+
+    from strandlake.operators import kmers as ops
+
+    random.seed(2)
+    text = "".join(random.choice("ACGTACGTACGTN") for _ in range(700))
+    flat = lambda parts: [x.tolist() for x in (np.concatenate(c) for c in zip(*parts, strict=True))]
+    whole = flat(ops._scan(text, 3)), flat(ops._window_minima(text, 3, 4, True, None))
+    for size in (1, 2, 5, 64):
+        monkeypatch.setattr(ops, "SLICE", size)
+        assert (flat(ops._scan(text, 3)), flat(ops._window_minima(text, 3, 4, True, None))) == whole
+
+
+def test_strict_bases_and_wide_words(spark):
+    from strandlake.functions import bits
+    from strandlake.functions import nucleotides as nt
+
+    with pytest.raises(Exception, match="Invalid DNA"):
+        spark.createDataFrame([("ACN",)], "s string").select(nt.require_valid(F.col("s"))).collect()
+    x, mask = 0x0123456789ABCDEF_FEDCBA9876543210, (1 << 64) - 1
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    row = spark.createDataFrame([(signed(x & mask), signed(x >> 64))], "lo long, hi long")
+    for n in (0, 1, 13, 64, 77, 127):
+        left = row.select(*bits.shift_left_wide([F.col("lo"), F.col("hi")], n)).first()
+        right = row.select(*bits.shift_right_wide([F.col("lo"), F.col("hi")], n)).first()
+        assert [v & mask for v in left] == [x << n & mask, x << n >> 64 & mask]
+        assert [v & mask for v in right] == [x >> n & mask, x >> n >> 64]
