@@ -1,16 +1,17 @@
 """SentencePiece BPE encoding by vectorised merge rounds, and decoding.
 
 A piece never holds a space after another character, so a text falls apart at its spaces into segments that merge
-alone. Each distinct segment is encoded once: the symbols of many segments lie in one flat array; a round looks up the
-rank of every adjacent pair, takes the minimum of each segment, merges its leftmost pair of that rank in all segments
-at the same time, and compacts the array. A segment leaves when no pair of it is in the vocabulary. Very long segments
-are merged with a heap instead, in the same order. Characters that no piece covers become byte pieces.
+alone. Each distinct segment is encoded once: the symbols of many segments lie in one flat array, with the rank of the
+pair that begins at each. A round takes the minimum rank of each segment and merges its pairs of that rank from the left
+on, in all segments at the same time: those that don't overlap, up to the first one that makes a new pair of that rank
+or a lower one, which the library would merge before the rest. Merged symbols leave the array when they are many, and a
+segment leaves when no pair of it is in the vocabulary; all segments go this way, however long. Characters that no piece
+covers become byte pieces.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -22,8 +23,6 @@ from strandlake.llm.common import id_text, slices
 
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
-#: Symbols above which a segment is merged with a heap.
-LONG = 128
 
 
 class PieceModel:
@@ -70,49 +69,8 @@ class PieceModel:
             for i in unknown.tolist():
                 sym[i] = extra.setdefault(text[i], base + len(extra))
         names = {v: k for k, v in extra.items()} | {v: k for k, v in self.symbols.items() if v >= self.size}
-        lengths = np.array([len(s) for s in segments], np.int64)
-        seg = np.repeat(np.arange(len(segments)), lengths)
-        done_sym, done_seg = [], []
-        long = lengths > LONG
-        if long.any():
-            ends = np.cumsum(lengths)
-            for k in np.flatnonzero(long).tolist():
-                out = self._heap(sym[ends[k] - lengths[k] : ends[k]].tolist())
-                done_sym.append(np.array(out, np.int64))
-                done_seg.append(np.full(len(out), k))
-            short = ~long[seg]
-            sym, seg = sym[short], seg[short]
-        at = self._between(sym, seg)
-        while len(sym):
-            first = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
-            rank = self.ranks[at]
-            low = np.minimum.reduceat(rank, first)
-            sizes = np.diff(np.append(first, len(sym)))
-            stop = low == NONE
-            if stop.any():
-                gone = np.repeat(stop, sizes)
-                done_sym.append(sym[gone])
-                done_seg.append(seg[gone])
-                stay = ~gone
-                sym, seg, at, rank, low, sizes = sym[stay], seg[stay], at[stay], rank[stay], low[~stop], sizes[~stop]
-                if not len(sym):
-                    break
-            hit = np.flatnonzero(rank == np.repeat(low, sizes))
-            hit = hit[np.concatenate([[True], seg[hit][1:] != seg[hit][:-1]])]
-            sym[hit] = self.merged[at[hit]]
-            keep = np.ones(len(sym), bool)
-            keep[hit + 1] = False
-            sym, seg, at = sym[keep], seg[keep], at[keep]
-            hit = hit - np.arange(len(hit))  # one symbol before it has gone for each earlier segment
-            for i in (hit - 1, hit):
-                i = i[(i >= 0) & (i < len(sym))]
-                last = i == len(sym) - 1
-                right = np.where(last, 0, i + 1)
-                at[i] = np.where(last | (seg[i] != seg[right]), len(self.keys), self.pairs(sym[i], sym[right]))
-        if done_sym:
-            sym, seg = np.concatenate(done_sym), np.concatenate(done_seg)
-            order = np.argsort(seg, kind="stable")
-            sym, seg = sym[order], seg[order]
+        seg = np.repeat(np.arange(len(segments)), [len(s) for s in segments])
+        sym, seg = self._rounds(sym, seg)
         out = sym.astype(np.uint32)
         if (odd := np.flatnonzero(sym >= self.size)).size:
             spelled = [[self.bytes[b] for b in names[x].encode()] for x in sym[odd].tolist()]
@@ -126,38 +84,72 @@ class PieceModel:
         raw = out.tobytes()
         return [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
 
-    def _between(self, sym: np.ndarray, seg: np.ndarray) -> np.ndarray:
-        at = np.full(len(sym), len(self.keys))
-        if len(sym) > 1:
-            at[:-1] = np.where(seg[1:] == seg[:-1], self.pairs(sym[:-1], sym[1:]), len(self.keys))
-        return at
-
-    def _heap(self, sym: list[int]) -> list[int]:
-        """The same merges for one long segment: lowest rank first, then leftmost."""
-        n = len(sym)
-        following, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        table = self._table()
-        heap = [(*table[k], i, sym[i], sym[i + 1]) for i in range(n - 1) if (k := sym[i] << 32 | sym[i + 1]) in table]
-        heap = [(r, i, m, a, b) for r, m, i, a, b in heap]
-        heapq.heapify(heap)
-        while heap:
-            _, i, m, a, b = heapq.heappop(heap)
-            j = following[i]
-            if sym[i] != a or j >= n or sym[j] != b:
+    def _rounds(self, sym: np.ndarray, seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols that no merge changes any more, and their segments, in order."""
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        none = len(self.keys)
+
+        def fresh(sym: np.ndarray, seg: np.ndarray) -> tuple[np.ndarray, ...]:
+            """What stands before and after each symbol in its segment (-1: nothing), and its pair."""
+            n = len(sym)
+            following, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+            ends = np.append(seg[1:] != seg[:-1], True)
+            following[ends] = -1
+            before[np.append(True, ends[:-1])] = -1
+            at = np.full(n, none)
+            i = np.flatnonzero(~ends)
+            at[i] = self.pairs(sym[i], sym[i + 1])
+            return following, before, at
+
+        following, before, at = fresh(sym, seg)
+        alive, rank = np.ones(len(sym), bool), self.ranks[at]
+        first = np.flatnonzero(np.append(True, seg[1:] != seg[:-1])) if len(seg) else np.zeros(0, np.int64)
+        dead = 0
+        while len(sym):
+            sizes = np.diff(np.append(first, len(sym)))
+            low = np.minimum.reduceat(rank, first)
+            stop = low == NONE
+            idle = dead + int(sizes[stop].sum())
+            if stop.all() or 4 * idle > len(sym):
+                gone = np.repeat(stop, sizes)
+                done.append((sym[gone & alive], seg[gone & alive]))
+                stay = alive & ~gone
+                where = np.cumsum(stay) - 1
+                following, before = (np.where(x[stay] < 0, -1, where[x[stay]]) for x in (following, before))
+                sym, seg, at, rank = sym[stay], seg[stay], at[stay], rank[stay]
+                alive, dead = np.ones(len(sym), bool), 0
+                first = np.flatnonzero(np.append(True, seg[1:] != seg[:-1])) if len(seg) else first[:0]
                 continue
-            sym[i], sym[j] = m, -1
-            following[i] = k = following[j]
-            if k < n:
-                before[k] = i
-            for x, y in ((before[i], i), (i, k)):
-                if x >= 0 and y < n and (key := sym[x] << 32 | sym[y]) in table:
-                    heapq.heappush(heap, (table[key][0], x, table[key][1], sym[x], sym[y]))
-        return [s for s in sym if s >= 0]
-
-    def _table(self) -> dict[int, tuple[int, int]]:
-        if not hasattr(self, "_pairs"):
-            self._pairs = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.merged.tolist(), strict=True), strict=False))
-        return self._pairs
+            hit = np.flatnonzero((rank == np.repeat(low, sizes)) & (rank != NONE))
+            # of pairs that overlap each other in a row, every second one is merged
+            chained = np.append(False, following[hit[:-1]] == hit[1:])
+            start = np.flatnonzero(~chained)
+            hit = hit[(np.arange(len(hit)) - np.repeat(start, np.diff(np.append(start, len(hit))))) % 2 == 0]
+            second, new, own = following[hit], self.merged[at[hit]].astype(np.int64), rank[hit]
+            left, right = before[hit], following[second]
+            beside = np.append(False, (left[1:] == second[:-1]) & (left[1:] >= 0))
+            left_sym = np.where(beside, np.append(0, new[:-1]), sym[left])
+            early = (left >= 0) & (self.ranks[self.pairs(left_sym, new)] <= own)
+            early |= (right >= 0) & (self.ranks[self.pairs(new, sym[right])] <= own)
+            if early.any():
+                held = seg[hit]
+                upto = np.cumsum(early) - early
+                begin = np.append(True, held[1:] != held[:-1])
+                now = upto == np.repeat(upto[begin], np.diff(np.append(np.flatnonzero(begin), len(hit))))
+                hit, second, new, right = hit[now], second[now], new[now], right[now]
+            sym[hit], following[hit] = new, right
+            alive[second], rank[second] = False, NONE
+            dead += len(second)
+            before[right[right >= 0]] = hit[right >= 0]
+            change = np.concatenate([hit, before[hit][before[hit] >= 0]])
+            other = following[change]
+            at[change] = np.where(other >= 0, self.pairs(sym[change], sym[other]), none)
+            rank[change] = self.ranks[at[change]]
+        if not done:
+            return sym, seg
+        sym, seg = (np.concatenate([d[k] for d in done]) for k in (0, 1))
+        order = np.argsort(seg, kind="stable")
+        return sym[order], seg[order]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, without an end id."""
@@ -201,7 +193,10 @@ def processor(path: str):
 
 
 def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids (array of int, the end id last). A null or empty text has the end id only."""
+    """doc_id and ids (array of int, the end id last). A null or empty text has the end id only.
+
+    Every row is encoded by itself: repeated rows and ties agree, a null doc_id stays, an empty table gives one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)

@@ -141,6 +141,12 @@ def test_pieces(docs, empty):
     random.seed(3)
     odd = ["".join(random.choice("abeth  \n\t▁éß日\x00😀.,-09") for _ in range(random.randint(0, 200))) for _ in range(400)] + ["ab" * 500, "aaaa" * 100]
     assert [a.tolist() for a in m.encode(odd)] == m.sp.encode(odd)
+    # long ones without a space go the same way: repeats that overlap, random letters, words run together
+    words = [m.sp.id_to_piece(random.randrange(300, 32_000)).strip("▁") for _ in range(20_000)]
+    long = ["a" * 50_000, "ab" * 9_999, "aab" * 7_000, "".join(random.choice("aAbB") for _ in range(20_000)), "".join(random.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(20_000)), "".join(words), "=" * 1001 + "-" * 777, "é☃" * 500]
+    assert [a.tolist() for a in m.encode(long)] == m.sp.encode(long)
+    alone = ["".join(random.choice(x) for _ in range(random.randint(1, 30))) for x in ("ab", "aab", "then", "0123", "tion-") for _ in range(400)]
+    assert [a.tolist() for a in m.encode(alone)] == m.sp.encode(alone)
 
 
 def test_simhash(docs, empty):
