@@ -221,7 +221,7 @@ def cube_sample(units: DataFrame, seed: int = 1, block: int = BLOCK) -> DataFram
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: float = 3.0, seed: int = 1, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per row: doc_id, size, source_size, target, copies (how often the mix takes it), taken (copies * size), a, h (its key).
+    """Per row: doc_id, size, source_size, target, copies (how often the mix takes it), taken (copies * size), source, a, h (its key).
 
     A null text has size 0, a null source is a source of its own (the last). Rows without a doc_id and rows that repeat
     one are units of their own. A source without words keeps target 0 and takes none. An empty table gives an empty one.
@@ -238,21 +238,23 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: floa
     flown = cube_sample(rows.select("source", "doc_id", "size", "p", "n", "a", "h", F.xxhash64("a", "h", "salt").alias("key")), seed, block)
     out = flown.join(t.select("t_source", "source_size", "target", "base"), F.col("source").eqNullSafe(F.col("t_source")))
     copies = F.col("base") + F.col("take")
-    return out.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken"), "a", "h")
+    return out.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken"), "source", "a", "h")
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with all their columns.
 
-    Rows that share a key (doc_id and text) share what the mix takes of them, the first ones in turn taking the odd one.
+    Rows of one doc_id, text and source share what the mix takes of them, the first ones in turn taking the odd one.
     """
-    taken = mix(docs, id_col=id_col, text_col=text_col, **how).groupBy("a", "h").agg(F.sum("copies").alias("__c"), F.count("*").alias("__m"))
-    keyed = keyed_text(docs.withColumns({"__id": F.col(id_col), "__text": F.col(text_col)}), "__id", "__text", keep=docs.columns, names=("__doc", "__a", "__h", "__bytes"))
-    one = Window.partitionBy("__a", "__h").orderBy(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map" not in kind])
-    rows = keyed.drop("__doc", "__bytes").join(written(taken, "copies"), (F.col("__a") == F.col("a")) & (F.col("__h") == F.col("h")))
+    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
+    taken = taken.groupBy("a", "h", "source").agg(F.sum("copies").alias("__c"), F.count("*").alias("__m")).select(F.col("a").alias("__x"), F.col("h").alias("__y"), F.col("source").alias("__z"), "__c", "__m")
+    source = (F.col(source_col) if source_col in docs.columns else F.lit(None)).cast("string")
+    keyed = keyed_text(docs.withColumns({"__id": F.col(id_col), "__text": F.col(text_col), "__s": source}), "__id", "__text", keep=[*docs.columns, "__s"], names=("__doc", "__a", "__h", "__bytes"))
+    one = Window.partitionBy("__a", "__h", "__s").orderBy(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map" not in kind])
+    rows = keyed.drop("__doc", "__bytes").join(written(taken, "copies"), (F.col("__a") == F.col("__x")) & (F.col("__h") == F.col("__y")) & F.col("__s").eqNullSafe(F.col("__z")))
     share = F.floor((F.col("__c") + F.col("__m") - F.row_number().over(one)) / F.col("__m"))
     return rows.withColumn("__n", share.cast("long")).filter("__n > 0").withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("a", "h")
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("source", "a", "h")

@@ -54,7 +54,8 @@ def line_measures(text: bytes) -> tuple[np.ndarray, np.ndarray]:
             out[i, 0] = w
             out[i, 1] = len(set(words)) / w
             out[i, 2] = sum(map(eq, words, words[1:])) / w
-            out[i, 3] = len(set(words[:200])) / min(w, 200)
+            # the mean over stretches of 200 words, so that the length of a line doesn't decide
+            out[i, 3] = sum(len(set(words[k : k + 200])) for k in range(0, w, 200)) / w
         out[i, 4] = seen[line] > 1 and w > 0
     full = np.maximum(1, sizes - (out[:, 0] - 1).clip(0))
     out[:, 5], out[:, 6], out[:, 7], out[:, 8], out[:, 9] = upper / full, digit / full, mark / full, odd / full, lower / full
@@ -216,7 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCUMENTS, id_c
 
     The chosen ids are at most ``limit``, so broadcasting them is bounded; only their lines' measures reach the driver.
     """
-    ids = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), "quality").dropDuplicates(["doc_id"])
+    ids = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +225,8 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCUMENTS, id_c
             rows = [line_measures(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array([pack(m.reshape(-1)) for m, _ in rows], pa.binary())], ["doc_id", "quality", "measures"])
 
-    rows = id_text(docs, id_col, text_col).join(F.broadcast(ids), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(measure, "doc_id long, quality int, measures binary").collect()
+    rows = id_text(docs, id_col, text_col).join(F.broadcast(ids), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(measure, "doc_id long, quality int, measures binary")
+    rows = rows.orderBy(F.xxhash64("doc_id", "measures"), "doc_id", "measures").limit(limit).collect()  # an id may have many rows
     rows = sorted(rows, key=lambda r: (r["doc_id"], bytes(r["measures"])))
     y = np.array([r["quality"] for r in rows], np.int64)
     if len(set(y.tolist())) < 2:
@@ -256,7 +258,7 @@ def quality(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCUMENTS, id
     """Per document: doc_id, held_out, score (0 to 1), predicted, n_lines, n_good.
 
     A null text is an empty one: one empty line. Rows of a null id are scored and never train. Labels other than 0 and
-    1, and labels without a document, are ignored; a document labelled twice trains once. Equal texts score equally.
+    1, and labels without a document, are ignored; a document labelled twice counts as the worse. Equal texts score equally.
     """
     out = scored(docs, train(docs, labels, limit, id_col, text_col), id_col, text_col)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_lines", "n_good")
@@ -267,7 +269,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filtered(docs: DataFrame, chain: LineChain | None, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text scores at least ``least``; all columns pass through, nothing is shuffled."""
+    """The rows of ``docs`` whose text scores at least ``least``; all columns pass through, nothing is shuffled.
+
+    Without a chain all rows stay. A null text is scored as an empty one; null doc_ids, repeated rows and ties are rows
+    like any other, and an empty table gives one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -30,5 +30,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_neighbours": op10_neighbours,
 }
 
-#: SQL expresses none of these operators over whole tables; tests hold them against brute force or the libraries.
-ORACLE_SQL: dict[str, str] = {}
+#: SQL says what op1 removes. The others hold tokenizers, 64-bit hashes over shingles, stored streams, windows of bytes, trained
+#: models, draws or approximate searches, which it can't express (or not over whole tables); tests hold them against
+#: brute force or the libraries.
+ORACLE_SQL: dict[str, str] = {
+    "op1_passages": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        x AS (SELECT doc_id, unnest(list_transform(range(1, len(words) - 11), lambda i: {'p': i, 't': array_to_string(words[i:i + 12], ' ')})) AS v FROM w),
+        win AS (SELECT doc_id, v.p AS p, v.t AS t FROM x),
+        own AS (SELECT t, min(doc_id) AS owner FROM win GROUP BY t),
+        hit AS (SELECT doc_id, p FROM win JOIN own USING (t) WHERE doc_id > owner),
+        gone AS (SELECT DISTINCT doc_id, p + k AS p FROM hit, range(0, 13) r(k)),
+        word AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM w),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT w.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+    """,
+}

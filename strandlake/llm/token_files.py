@@ -12,6 +12,7 @@ uint32 chunk bits; then int64 doc_id and uint64 end offset of each document; the
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import zlib
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import id_text, new_path, plan_bytes, slices
@@ -30,6 +31,8 @@ BLOCK_BITS = 512
 MAGIC = b"DAC1"
 #: Ids of a segment, about; a longer document makes a longer segment.
 SEGMENT_IDS = 1 << 20
+#: Ranges of doc_id at most, each written by one task.
+MOST_PARTS = 65_536
 
 
 class Dac:
@@ -258,6 +261,20 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def _range_of(x: Column, bounds: list[int]) -> Column:
+    """How many of the sorted ``bounds`` are below ``x``, in two steps, so that a row meets about twice their root."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, math.isqrt(len(bounds)))
+    # one literal each instead of one per bound
+    longs = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
+    below = lambda xs: F.size(F.filter(xs, lambda b: b < x))
+    blocks = [bounds[k : k + step] for k in range(0, len(bounds), step)]
+    coarse = below(longs([b[-1] for b in blocks]))  # whole blocks below
+    inside = F.split(F.get(F.split(F.lit(";".join(",".join(map(str, b)) for b in blocks)), ";"), coarse), ",").cast("array<bigint>")
+    return coarse * step + F.coalesce(F.when(coarse < len(blocks), below(inside)), F.lit(len(bounds) - len(blocks) * step))
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", segment_ids: int = SEGMENT_IDS) -> None:
     """Encode every document and write segments, in ascending doc_id order, to the folder ``path``.
 
@@ -268,12 +285,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
     """
     spark = docs.sparkSession
     rows = id_text(docs, id_col, text_col, as_binary=False)
-    parts = max(1, -(-plan_bytes(rows) // (8 << 20)), int(spark.conf.get("spark.sql.shuffle.partitions")) if plan_bytes(rows) > (8 << 20) else 1)
+    parts = max(1, min(MOST_PARTS, -(-plan_bytes(rows) // (8 << 20))), int(spark.conf.get("spark.sql.shuffle.partitions")) if plan_bytes(rows) > (8 << 20) else 1)
     # bounds come from the ids alone: a range exchange would read the texts once more to sample them
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
-    bounds = (ids.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10_000).alias("b")).first()["b"] or []) if parts > 1 else []
+    bounds = (ids.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], max(10_000, 4 * parts)).alias("b")).first()["b"] or []) if parts > 1 else []
     bounds = sorted(set(bounds))
-    part = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < F.col("doc_id")))) if bounds else F.lit(0)
+    part = F.when(F.col("doc_id").isNull(), 0).otherwise(_range_of(F.col("doc_id"), bounds))
     rows = rows.withColumn("part", part.cast("int")).repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,21 +323,45 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
         if ids:
             yield segment()
 
-    rows.mapInArrow(encode, "part int, segment int, n_ids long, n_docs long, data binary").write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(encode, "part int, segment int, n_ids long, n_docs long, data binary").write.option("compression", "none").parquet(path)
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """Per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
+def _segment_starts(table: DataFrame) -> DataFrame:
+    """part, segment, n and first: the ids of a segment and of all segments before it.
 
-    Only one number per part reaches the driver's plan: the parts' totals, summed in order.
+    Windows run inside a part, and over one row per part (``MOST_PARTS`` at most).
     """
-    table = spark.read.parquet(path)
-    from pyspark.sql import Window
-
     totals = table.groupBy("part", "segment").agg(F.sum("n_ids").alias("n"))
     before = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     parts = totals.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("part_start"))
-    starts = totals.withColumn("in_part", F.coalesce(F.sum("n").over(before), F.lit(0))).join(parts, "part").select("part", "segment", (F.col("part_start") + F.col("in_part")).alias("first"))
+    return totals.withColumn("in_part", F.coalesce(F.sum("n").over(before), F.lit(0))).join(parts, "part").select("part", "segment", "n", (F.col("part_start") + F.col("in_part")).alias("first"))
+
+
+def tokens_at(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """position and id for the positions (from 0, over all documents) in column ``position`` of ``wanted``.
+
+    Each id is read by its own path through the levels of its segment; nothing else of the segment is decoded. The
+    segments are stored as they are, so only those that hold a position are read on. Null positions and positions
+    outside of the files have no row; repeated ones have one each.
+    """
+    table = spark.read.parquet(path)
+    starts = _segment_starts(table)
+    places = wanted.select(F.col("position").cast("long").alias("position")).join(starts, (F.col("position") >= F.col("first")) & (F.col("position") < F.col("first") + F.col("n")))
+    asked = places.groupBy("part", "segment").agg(F.collect_list("position").alias("positions"), F.first("first").alias("first"))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data, positions, first in zip(*(b.column(c).to_pylist() for c in ("data", "positions", "first")), strict=True):
+                at = np.array(positions, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(Dac.from_bytes(data)[0].access(at - first).astype(np.int64))], ["position", "id"])
+
+    return table.select("part", "segment", "data").join(asked, ["part", "segment"]).select("data", "positions", "first").mapInArrow(look, "position long, id long")
+
+
+def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+    """Per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
+    table = spark.read.parquet(path)
+    starts = _segment_starts(table).select("part", "segment", "first")
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -101,10 +101,50 @@ def test_token_files(spark, docs, empty, tmp_path):
         want[i] = (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
     assert got == want
+    flat = [x for _, t_ in texts() for x in [*t.encode(t_ or "", add_special_tokens=False).ids, 2]]
+    asked = [0, 1, 499, 500, 501, 777, len(flat) - 1, 777]
+    places = spark.createDataFrame([(p,) for p in [*asked, None, -1, len(flat)]], "position long")
+    assert sorted((r.position, r.id) for r in token_files.tokens_at(spark, path, places).collect()) == sorted((p, flat[p]) for p in asked)
     token_files.write_token_files(empty, BPE, f"{path}0")
     assert token_files.read_token_files(spark, f"{path}0").collect() == []
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 10, 99])
+def test_ranges_of_ids(spark, n):
+    bounds = [5 * k - 20 for k in range(n)]
+    rows = spark.range(-40, 600).select("id", token_files._range_of(F.col("id"), bounds).alias("part")).collect()
+    assert all(r.part == sum(b < r.id for b in bounds) for r in rows)
+
+
+def test_rows_without_or_with_shared_ids(spark, tmp_path):
+    """Null and repeated ids, with equal and with other texts, in the operators that handle rows one by one."""
+    from tokenizers import Tokenizer
+
+    rows = [(None, "one two"), (None, None), (3, "x " * 40), (3, "other text"), (3, "other text"), (1, ""), (2**62 + 1, "large id"), (None, "é" * 5000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    ids = sorted(str(i) for i, _ in rows)
+    m, t = pieces.PieceModel(PIECE), Tokenizer.from_file(BPE)
+    assert sorted((str(r.doc_id), r.n_tokens) for r in pieces.piece_digests(table, PIECE).collect()) == sorted((str(i), len(m.sp.encode(x or "", add_eos=True))) for i, x in rows)
+    token_files.write_token_files(table, BPE, f"file://{tmp_path}/n")
+    got = token_files.read_token_files(spark, f"file://{tmp_path}/n").collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == sorted((str(i), len(t.encode(x or "", add_special_tokens=False).ids) + 1) for i, x in rows)
+    for out in (simhash.near_duplicates(table), audio.audio_features(audio.store_audio(table)), quality.quality(table, spark.createDataFrame([], "doc_id long, quality int"))):
+        assert sorted(str(r.doc_id) for r in out.collect()) == ids
+    twice = spark.createDataFrame([(3, 0), (3, 1), (1, 1), (None, 1)], "doc_id long, quality int")
+    assert {r.score for r in quality.quality(table, twice).collect()} == {r.score for r in quality.quality(table, twice).collect()}
+
+
+def test_passages_agree_with_sql(spark):
+    import duckdb
+
+    from strandlake.llm import registry
+
+    con = duckdb.connect()
+    con.execute("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    want = con.execute(f"select doc_id, n_words, n_removed, kept_sha256 from ({registry.ORACLE_SQL['op1_passages']})").fetchall()
+    assert passage_rows(registry.QUERIES["op1_passages"](spark, "/root/testdata/sf0.001")) == sorted(want, key=str)
+
+
 def test_word_encoder():
     from tokenizers import Tokenizer
 
@@ -370,7 +410,7 @@ def test_mixing_keeps_words_and_documents(spark, block):
     rows = mixing.mix(docs, block=block).join(docs.select("doc_id", "source"), "doc_id").collect()
     for source in {r.source for r in rows}:
         own = [r for r in rows if r.source == source]
-        assert abs(sum(r.taken for r in own) - own[0].target) <= max(3, 0.005 * own[0].target), source
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(3, (0.01 if block == 40 else 0.001) * own[0].target), source
         want = len(own) * own[0].target / own[0].source_size
         assert abs(sum(r.copies for r in own) - want) <= 6, source
         assert all(r.taken <= 3 * r.size for r in own)
