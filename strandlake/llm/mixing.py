@@ -4,8 +4,8 @@ A source that must give t words out of s gives every document floor(t / s) times
 that is left is an inclusion probability, and the cube method (Deville and Tille, 2004) turns it into 0 or 1 while it
 keeps the source's totals of documents and of tokens. The flight moves the probabilities along the null space of the
 two constraints, three documents at a time, until one of them is 0 or 1. It runs block by block: the documents of a
-source are dealt over blocks by a hash of their row, each block keeps back its smallest documents and leaves at most two
-others fractional, and what is left of all blocks meets in a flight of fewer blocks, until a source is one block. The
+source are dealt over blocks by a hash of their row, each block keeps back a few documents of all sizes and leaves at most
+two others fractional, and what is left of all blocks meets in a flight of fewer blocks, until a source is one block. The
 landing there draws the last two documents and then exchanges taken documents for others of about the size that the
 draw added or lacks, so that the words stay at the target and the number of documents with them. No task ever holds a
 whole source, and what is balanced is the whole source.
@@ -26,7 +26,7 @@ from strandlake.llm.places import keyed_text, numbered
 
 #: Documents of one source that a flight handles at a time, in the first round and in those that follow.
 BLOCK = 2_000
-#: The smallest documents of a block that only the last flight decides, for the landing.
+#: Documents of a block, of all sizes, that only the last flight decides, so that the landing has what to exchange.
 KEPT_BACK = 8
 EPS = 1e-9
 
@@ -140,7 +140,8 @@ def flight(p: np.ndarray, size: np.ndarray, draws: np.ndarray) -> np.ndarray:
 def landed(p: np.ndarray, q: np.ndarray, size: np.ndarray, draws: np.ndarray) -> np.ndarray:
     """The landing: the fractional units of ``q`` are drawn, then exchanges bring the words back to those of ``p``.
 
-    An exchange takes one unit for another and keeps their number; a single unit changes only where no exchange helps.
+    An exchange takes one unit for another and keeps their number; a single unit changes only where no exchange helps
+    and it halves what is lacking at least.
     Every step brings the words nearer to the target, and units that were certain stay so.
     """
     q = np.where((q > 0) & (q < 1), (draws < q).astype(float), q)
@@ -161,7 +162,7 @@ def landed(p: np.ndarray, q: np.ndarray, size: np.ndarray, draws: np.ndarray) ->
         if change is None and len(side):
             left = np.abs(abs(lack) - size[side])
             k = int(np.argmin(left))
-            if left[k] < best:
+            if left[k] < best / 2:
                 best, change = float(left[k]), [(side[k], float(lack > 0))]
         if change is None:
             break
@@ -194,8 +195,10 @@ def cube_sample(units: DataFrame, seed: int = 1, block: int = BLOCK) -> DataFram
             if last:
                 q = landed(p, flight(p, size, draws), size, draws)
             else:
-                upto = max(0, len(p) - kept)
-                q = np.concatenate([flight(p[:upto], size[:upto], draws[:upto]), p[upto:]])
+                fly_now = np.ones(len(p), bool)
+                fly_now[np.linspace(0, len(p) - 1, kept).astype(int)] = False  # of all sizes
+                q = p.copy()
+                q[fly_now] = flight(p[fly_now], size[fly_now], draws[fly_now])
             table = table.take(pa.array(order))
             return table.set_column(table.column_names.index("p"), "p", pa.array(q))
 
