@@ -182,7 +182,7 @@ class WordEncoder:
 
     def _learn(self, keep: dict[str, bytes], missing: set[str], space: str) -> None:
         """Learn words; letters that end before an ASCII character of another kind are a pre-token, so what follows is apart."""
-        split = {w: k for w in missing if (m := LETTERS(w)) and (k := m.end()) < len(w) and w[k] < "\x80"} if space else {}
+        split = {w: k for w in missing if not w.isalpha() and (m := LETTERS(w)) and (k := m.end()) < len(w) and w[k] < "\x80"} if space else {}
         if split:
             stems, tails = {w[:k] for w, k in split.items()}, {w[k:] for w, k in split.items()}
             self._ask(keep, (missing - split.keys()) | {w for w in stems if w not in keep}, space)
