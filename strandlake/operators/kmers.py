@@ -96,10 +96,24 @@ def kmers(seqs: DataFrame, k: int, id_col: str = "seq_id", seq_col: str = "seque
 
 
 def wide_kmers(seqs: DataFrame, k: int, id_col: str = "seq_id", seq_col: str = "sequence") -> DataFrame:
-    """One row per k-mer of valid bases of any length k: (id, kmer in upper case)."""
-    found = runs(seqs, k, id_col, seq_col)
-    bases = F.upper("bases")
-    return found.select(id_col, F.explode(F.transform(F.sequence(F.lit(1), F.length("bases") - (k - 1)), lambda i: F.substr(bases, i, F.lit(k)))).alias("kmer"))
+    """One row per k-mer of valid bases of any length k: (id, kmer in upper case). Batches are of bounded size."""
+    found = runs(seqs, k, id_col, seq_col).select(id_col, F.upper("bases").alias("bases"))
+    schema = found.select(id_col, F.col("bases").alias("kmer")).schema
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kind, ids, parts = b.schema.field(0).type, [], []
+            for i, bases in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for s in range(0, len(bases) - k + 1, BATCH):
+                    part = [bases[j : j + k] for j in range(s, min(s + BATCH, len(bases) - k + 1))]
+                    ids += [i] * len(part)
+                    parts += part
+                    if len(parts) > BATCH // 4:
+                        yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(parts, pa.string())], [id_col, "kmer"])
+                        ids, parts = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(parts, pa.string())], [id_col, "kmer"])
+
+    return found.mapInArrow(cut, schema)
 
 
 def reverse_complement_codes(code: np.ndarray, k: int) -> np.ndarray:
