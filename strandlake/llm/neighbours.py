@@ -4,11 +4,13 @@ Vectors x of norm at most M become (x, sqrt(M^2 - |x|^2)) / M and a query q beco
 inner product is the smallest distance. A line is one random projection; a block of vectors keeps, per line, its
 projections in one sorted array. A query stands in the middle of a window on every line. Virtual rehashing widens all
 windows by a factor at a time and counts only what each widening adds; a vector whose count reaches the threshold is
-verified by its exact inner product, and widening stops when enough have been. Equal vectors are one entry of a block.
+verified by its exact inner product, and widening stops by the distance of the k-th best verified vector. Equal vectors
+are one entry of a block. Queries travel to the blocks, an index is built once for up to PARTS parts of them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,12 +21,13 @@ from pyspark.sql import functions as F
 from strandlake.llm.common import pack, written
 
 #: Lines, share of them in which a vector must collide, first half-width over the median projection, and its factor.
-#: They are fitted on vectors with hardly any structure (neighbours at cosine 0.4 of 64 dimensions), where windows must
-#: be wide; measured recall is in the README.
-LINES, SHARE, FIRST, WIDER = 48, 0.75, 1.2, 1.25
-#: A query widens its windows until this many candidates, and this share of a block, have reached the threshold.
-ENOUGH, ENOUGH_SHARE = 400, 0.3
-BLOCK_ROWS, QUERY_ROWS = 16_384, 1_024
+LINES, SHARE, FIRST, WIDER = 64, 0.75, 1.6, 1.1
+#: A query is done with a block once its windows' half-width is so many times the distance of its k-th best verified
+#: vector: one at that distance collides in a line with probability erf(REACH / sqrt 2) = 0.81, so that it misses the
+#: threshold with 0.1, and nearer ones with less. Measured recall is in the README.
+REACH = 1.3
+#: Vectors of a block and queries of a part at 64 dimensions (fewer at more), and parts that one index is built for.
+BLOCK_ROWS, QUERY_ROWS, PARTS = 16_384, 1_024, 32
 
 
 class CollisionIndex:
@@ -42,6 +45,7 @@ class CollisionIndex:
         at = np.hstack([self.vectors / norm, lift[:, None]]) @ self.lines
         self.order = np.argsort(at, axis=0, kind="stable").T.astype(np.intp, order="C")
         self.sorted = np.take_along_axis(at, self.order.T, axis=0).T.copy()
+        self.room = np.empty(self.order.size, np.intp)
         self.width = float(np.median(np.abs(at))) * FIRST or 1e-3
 
     def windows(self, centres: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
@@ -50,34 +54,60 @@ class CollisionIndex:
         high = np.stack([np.searchsorted(s, c + width, side="right") for s, c in zip(self.sorted, centres.T, strict=True)], axis=1)
         return low, high
 
-    def candidates(self, queries: np.ndarray) -> Iterator[np.ndarray]:
-        """For each query the entries whose collisions reach the threshold when enough do."""
+    def _within(self, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """The entries at places a to b and c to d of every line."""
+        places = zip(self.order, a.tolist(), b.tolist(), c.tolist(), d.tolist(), strict=True)
+        size = int((b - a + d - c).sum())
+        return np.concatenate([part for o, i, j, k, m in places for part in (o[i:j], o[k:m])], out=self.room[:size])
+
+    def candidates(self, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query the entries that reached the threshold, and their exact scores, in the order of verification.
+
+        Windows widen by steps, the last one to REACH times the ``k``-th best distance so far, or hold the whole block.
+        """
         n = len(self.vectors)
-        enough = min(n, max(ENOUGH, int(ENOUGH_SHARE * n)))
-        centres = (queries / np.linalg.norm(queries, axis=1, keepdims=True)) @ self.lines[:-1]
-        steps: list[tuple[list, list]] = []  # windows after each widening, for all queries
-        for q in range(len(queries)):
-            counts, step, low, high = np.zeros(n, np.int64), 0, None, None
+        lengths = np.linalg.norm(queries, axis=1)
+        centres = (queries / lengths[:, None]) @ self.lines[:-1]
+        middle = self.windows(centres, 0.0)[0]
+        steps: list[tuple[np.ndarray, np.ndarray]] = []  # windows after each widening, for all queries
+        for q, query in enumerate(queries):
+            counts, new, found, scores = np.zeros(n, np.int64), np.ones(n, bool), [], []
+            step, width, goal = 0, self.width, math.inf
+            low = high = middle[q]  # empty windows
             while True:
-                if step == len(steps):
-                    steps.append(tuple(w.tolist() for w in self.windows(centres, self.width * WIDER**step)))
-                to_low, to_high = steps[step][0][q], steps[step][1][q]
-                if low is None:
-                    added = [o[a:b] for o, a, b in zip(self.order, to_low, to_high, strict=True)]
+                if goal <= width:
+                    width = goal
+                    to_low, to_high = (w[0] for w in self.windows(centres[q : q + 1], width))
+                else:
+                    if step == len(steps):
+                        steps.append(self.windows(centres, width))
+                    to_low, to_high = steps[step][0][q], steps[step][1][q]
+                # count what the widening adds, or afresh what is still outside, whichever is less
+                outside = int((n - to_high + to_low).sum())
+                if int((to_high - high + low - to_low).sum()) <= outside:
+                    counts += np.bincount(self._within(to_low, low, high, to_high), minlength=n)
                 else:
-                    added = [o[a:b] for o, a, b in zip(self.order, to_low, low, strict=True)] + [o[a:b] for o, a, b in zip(self.order, high, to_high, strict=True)]
-                counts += np.bincount(np.concatenate(added), minlength=n)
-                low, high, step = to_low, to_high, step + 1
-                reached = counts >= self.threshold
-                if np.count_nonzero(reached) >= enough or not any(low) and all(b == n for b in high):
-                    yield np.flatnonzero(reached)
+                    counts = len(self.order) - np.bincount(self._within(np.zeros_like(to_low), to_low, to_high, np.full_like(to_high, n)), minlength=n)
+                low, high = to_low, to_high
+                reached = np.flatnonzero(new & (counts >= self.threshold))
+                if len(reached):
+                    new[reached] = False
+                    found.append(reached)
+                    scores.append(np.einsum("ij,j->i", self.vectors[reached], query))
+                    if sum(map(len, found)) >= k:
+                        kth = float(np.partition(np.concatenate(scores), -k)[-k])
+                        # of the lifted unit vectors: the squared distance is 2 - 2 <x, q> / (norm |q|)
+                        goal = REACH * math.sqrt(max(0.0, 2.0 - 2.0 * kth / (self.norm * lengths[q])))
+                if goal <= width or not low.any() and (high == n).all():
+                    yield np.concatenate(found), np.concatenate(scores)
                     break
+                step, width = step + 1, width * WIDER
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per query the ids and exact scores of the k best candidates, ties to the smaller id, without its own id."""
         out = []
-        for query_id, query, found in zip(query_ids.tolist(), queries, self.candidates(queries), strict=True):
-            scores = np.einsum("ij,j->i", self.vectors[found], query)
+        # its own entry may hold a query's own id alone, hence k + 1
+        for query_id, (found, scores) in zip(query_ids.tolist(), self.candidates(queries, k + 1), strict=True):
             best = np.argsort(-scores, kind="stable")
             by_score = scores[best]
             # k + 1 entries and those that tie with the last of them, each with its k + 1 smallest ids
@@ -125,24 +155,35 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, norm = stats["dim"], float(np.sqrt(stats["norm"]))
     asked = sound(queries).filter(F.size("v") == dim)
-    n_vectors, n_queries = max(1, -(-stats["n"] // block_rows)), max(1, -(-asked.count() // query_rows))
-    left = written(_blocks(rows.filter(F.size("v") == dim), "block", n_vectors), "vector-blocks")
-    right = written(_blocks(asked, "part", n_queries), "query-blocks")
-    pairs = left.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_queries - 1).cast("long")))).join(right, "part")
+    thin = max(1.0, dim / 64)  # blocks of few dimensions are no longer than these, of many no larger
+    n_blocks, n_parts = max(1, math.ceil(stats["n"] * thin / block_rows)), max(1, math.ceil(asked.count() * thin / query_rows))
+    # an index serves a lane of parts; there are more lanes only where blocks alone would leave cores idle
+    cores = spark.sparkContext.defaultParallelism
+    lanes = min(n_parts, max(math.ceil(n_parts / PARTS), math.ceil(cores / n_blocks)))
+    left = written(_blocks(rows.filter(F.size("v") == dim), "block", n_blocks), "vector-blocks")
+    right = written(_blocks(asked, "part", n_parts), "query-blocks")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    of_blocks = left.select("block", each(lanes).alias("lane"), F.lit(-1).cast("long").alias("part"), F.col("block_ids").alias("ids"), F.col("block_data").alias("data"))
+    of_parts = right.select(each(n_blocks).alias("block"), (F.col("part") % lanes).alias("lane"), "part", F.col("part_ids").alias("ids"), F.col("part_data").alias("data"))
+    # a partition is one block and its lane of parts, the block first
+    met = of_blocks.unionByName(of_parts).repartitionById(n_blocks * lanes, (F.col("block") * lanes + F.col("lane")).cast("int")).sortWithinPartitions("block", "lane", "part")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from strandlake.llm.common import unpack
 
+        index = None
         for b in batches:
-            for r in b.to_pylist():
-                ids, qids = unpack(r["block_ids"], np.int64)[0], unpack(r["part_ids"], np.int64)[0]
-                index = CollisionIndex(ids, np.frombuffer(r["block_data"], np.float64).reshape(-1, dim), norm)
-                asks = np.frombuffer(r["part_data"], np.float64).reshape(-1, dim)
-                found = index.search(qids, asks, k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, [len(f[0]) for f in found])), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], ["query_id", "vec_id", "score"])
+            for r in range(b.num_rows):
+                ids = unpack(b.column("ids")[r].as_py(), np.int64)[0]
+                vectors = np.frombuffer(b.column("data")[r].as_buffer(), np.float64).reshape(-1, dim)
+                if b.column("part")[r].as_py() < 0:
+                    index = CollisionIndex(ids, vectors, norm)
+                elif index is not None:  # a hash may leave a block without vectors
+                    found = index.search(ids, vectors, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(f[0]) for f in found])), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], ["query_id", "vec_id", "score"])
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = pairs.repartition(max(1, n_vectors * n_queries), "block", "part").mapInArrow(search, schema)
+    found = met.mapInArrow(search, schema)
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

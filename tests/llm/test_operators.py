@@ -538,6 +538,40 @@ def test_neighbours(spark):
     assert neighbours.nearest(table.limit(0), table.limit(0)).collect() == []
 
 
+def test_neighbour_search_stops_by_distance():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 32))
+    x = centres[np.arange(4000) % 40] + 0.2 * rng.normal(size=(4000, 32))
+    x *= rng.uniform(0.9, 1.0, size=(4000, 1))
+    index = neighbours.CollisionIndex(np.arange(4000), x, float(np.linalg.norm(x, axis=1).max()))
+    asked, hits, judged = np.arange(0, 4000, 100), 0, 0
+    for found, scores in index.candidates(x[asked], 21):
+        assert len(set(found.tolist())) == len(found) == len(scores)
+        judged += len(found)
+    assert judged < 0.1 * 4000 * len(asked)
+    for q, (ids, scores) in zip(asked, index.search(asked, x[asked], 20), strict=True):
+        assert q not in ids and np.allclose(scores, x[ids] @ x[q])
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20].tolist()) & set(ids.tolist()))
+    assert hits >= 0.9 * 20 * len(asked)
+
+
+@pytest.mark.parametrize("block_rows,query_rows", [(4, 2), (64, 3), (1000, 1000)])
+def test_neighbours_of_few_rows_in_blocks_of_any_size(spark, block_rows, query_rows):
+    """Blocks without vectors, lanes of several parts, fewer candidates than k, repeated rows, null ids."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(15)] + [(3, [1.0, 2.0, 0.0, 0.0]), (None, [1.0] * 4)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(table, table.filter("vec_id % 5 = 0"), 20, block_rows, query_rows).collect()
+    want = []
+    for q, v in rows:
+        if q is not None and q % 5 == 0:
+            best = sorted((-float(np.dot(v, w)), i) for i, w in rows if i is not None and i != q)
+            want += [(q, n + 1, i, round(-s, 9)) for n, (s, i) in enumerate(best)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got) == sorted(want)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
