@@ -19,10 +19,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near duplicates (five-word shingles, similarity 0.8 or more)."""
+    """The smallest doc_id of each group of near duplicates (five-word shingles, similarity 0.8 or more).
+
+    Rows of one doc_id with different texts are judged each by its own text; rows of a null doc_id all stay.
+    """
     groups = shingles.near_duplicate_groups(docs)
-    gone = written(groups.filter("doc_id <> group").select("doc_id").distinct(), "duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = written(groups.filter("doc_id <> group").select("doc_id", F.col("text_hash").alias("__text")).distinct(), "duplicates")
+    return docs.withColumn("__text", shingles.text_key("text")).join(gone, ["doc_id", "__text"], "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

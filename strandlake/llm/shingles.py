@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import id_text, mix64, pack, slices, unpack, written
@@ -112,45 +112,50 @@ def tile_links(prints: np.ndarray, sets: list[np.ndarray], similarity: float, ra
     return links
 
 
+def text_key(text_col: str) -> Column:
+    """A hash that tells the texts of one doc_id apart; a null text is an empty one."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary")))
+
+
 def near_duplicate_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", member_limit: int = 4096) -> DataFrame:
-    """doc_id and group (the smallest doc_id reached by links of at least ``similarity``), for documents that have links.
+    """doc_id, text_hash (``text_key`` of the text) and group: the smallest doc_id reached by links of at least ``similarity``.
 
     Texts of one shingle set are one class before any comparison; classes are compared, never copies. A band's bucket of
     more than ``member_limit`` classes is compared in blocks: block pairs meet in tasks of their own. Blank and null texts
-    are one class. Rows of a null doc_id take no part.
+    are one class. Rows of a null doc_id take no part; rows that share a doc_id but not their text are grouped each by its own.
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             sets = [shingle_set(t, width) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in sets], pa.string()), pa.array([wide_fingerprint(s).tobytes() for s in sets], pa.binary()), pa.array([bands(s).view(np.int64).tolist() for s in sets], pa.list_(pa.int64()))],
-                ["doc_id", "class", "print", "bands"],
+                [b.column("doc_id"), b.column("text_hash"), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in sets], pa.string()), pa.array([wide_fingerprint(s).tobytes() for s in sets], pa.binary()), pa.array([bands(s).view(np.int64).tolist() for s in sets], pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "class", "print", "bands"],
             )
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("print"), pa.array([pack(np.diff(shingle_set(t, width), prepend=np.uint64(0))) for t in b.column("text").to_pylist()], pa.binary())], ["doc_id", "print", "shingles"])
-
-    texts = id_text(docs, id_col, text_col).filter("doc_id is not null")
-    rows = written(texts.mapInArrow(sketch, "doc_id long, class string, print binary, bands array<long>"), "sketches", 2000)
-    classes = rows.groupBy("class").agg(F.min("doc_id").alias("rep"))
-    rep = rows.join(classes.select(F.col("rep").alias("doc_id"), F.col("class").alias("c")), "doc_id").filter("class = c").select("doc_id", "print", "bands").dropDuplicates(["doc_id"])
-    rep = written(rep, "classes")
-    buckets = rep.select("doc_id", F.explode("bands").alias("band"))
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("print"), pa.array([pack(np.diff(shingle_set(t, width), prepend=np.uint64(0))) for t in b.column("text").to_pylist()], pa.binary())], ["rep", "print", "shingles"])
+
+    texts = id_text(docs, id_col, text_col).filter("doc_id is not null").withColumn("text_hash", text_key("text"))
+    rows = written(texts.mapInArrow(sketch, "doc_id long, text_hash long, class string, print binary, bands array<long>"), "sketches", 2000)
+    classes = rows.groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    classes = written(classes.select("class", F.monotonically_increasing_id().alias("rep"), "first.*"), "class-numbers")
+    rep = written(rows.join(classes, ["class", "doc_id", "text_hash"]).select("rep", "doc_id", "text_hash", "print", "bands").dropDuplicates(["rep"]), "classes")
+    buckets = rep.select("rep", F.explode("bands").alias("band"))
     # buckets of the same members, as two copies have in most bands, are compared once
-    sums = [F.sum(f("doc_id").cast("decimal(38,0)")).alias(k) for f, k in ((F.xxhash64, "h"), (F.hash, "g"))]
-    counts = buckets.groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), *sums).filter("n > 1")
+    sums = [F.sum(f("rep").cast("decimal(38,0)")).alias(k) for f, k in ((F.xxhash64, "h"), (F.hash, "g"))]
+    counts = buckets.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high"), *sums).filter("n > 1")
     counts = written(counts.groupBy("n", "low", "high", "h", "g").agg(F.min("band").alias("band")).select("band", "n"), "bands")
     met = buckets.join(counts, "band").withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("n") * 2 / member_limit)).cast("int"))
-    met = met.withColumn("p", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id"), F.col("parts"))).otherwise(0).cast("int"))
-    met = met.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("band", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "doc_id")
+    met = met.withColumn("p", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("rep"), F.col("parts"))).otherwise(0).cast("int"))
+    met = met.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("band", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "rep")
     met = written(met, "band-members")
-    asked = rep.join(met.select("doc_id").distinct(), "doc_id").select("doc_id", "print")
-    sets = written(texts.join(asked, "doc_id").mapInArrow(spell, "doc_id long, print binary, shingles binary"), "shingle-sets", 2000).dropDuplicates(["doc_id"])
+    asked = rep.join(met.select("rep").distinct(), "rep").select("rep", "doc_id", "text_hash", "print")
+    sets = written(texts.join(asked, ["doc_id", "text_hash"]).mapInArrow(spell, "rep long, print binary, shingles binary"), "shingle-sets", 2000).dropDuplicates(["rep"])
 
     def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        ids = np.asarray(table.column("doc_id").combine_chunks())
+        ids = np.asarray(table.column("rep").combine_chunks())
         order = np.argsort(ids, kind="stable")
         prints = np.frombuffer(b"".join(table.column("print").to_pylist()), np.uint64).reshape(len(ids), -1)
         blobs = table.column("shingles").to_pylist()
@@ -158,8 +163,9 @@ def near_duplicate_groups(docs: DataFrame, width: int = WIDTH, similarity: float
         ids = ids[order]
         return pa.table({"u": pa.array([ids[x] for x, _ in links], pa.int64()), "v": pa.array([ids[y] for _, y in links], pa.int64())})
 
-    full = met.join(sets, "doc_id")
+    full = met.join(sets, "rep")
     edges = full.groupBy("band", "a", "b").applyInArrow(compare, "u long, v long")
-    groups = components(edges).withColumnRenamed("id", "rep")
-    named = classes.join(groups, "rep", "left").select("class", F.coalesce("root", "rep").alias("group"))
-    return rows.select("doc_id", "class").join(written(named, "groups"), "class").select("doc_id", "group")
+    linked = written(components(edges).withColumnRenamed("id", "rep").join(classes.select("rep", "doc_id"), "rep"), "linked")
+    least = linked.groupBy("root").agg(F.min("doc_id").alias("group"))
+    named = classes.join(linked.join(least, "root").select("rep", "group"), "rep", "left").select("class", F.coalesce("group", "doc_id").alias("group"))
+    return rows.select("doc_id", "text_hash", "class").join(written(named, "groups"), "class").select("doc_id", "text_hash", "group")

@@ -226,6 +226,18 @@ def test_near_duplicate_groups(docs, empty):
     assert shingles.near_duplicate_groups(empty).collect() == []
 
 
+def test_near_duplicates_of_null_and_shared_ids(spark):
+    import corpus_pipeline
+
+    one, other = " ".join(f"one{i}" for i in range(60)), " ".join(f"other{i}" for i in range(60))
+    rows = [(3, one), (5, one + " more"), (5, other), (7, other + " more"), (None, one), (None, other), (9, None), (10, ""), (11, "short")]
+    table = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, table, "")
+    assert kept.columns == table.columns
+    key = lambda x: (x[0] or -1, x[1] or "")
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == sorted((r for r in rows if r not in ((5, one + " more"), (7, other + " more"), (10, ""))), key=key)
+
+
 def test_audio(docs, empty):
     rows = {r.doc_id: r for r in audio.audio_features(audio.store_audio(docs)).collect()}
     for i, t in texts():
