@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import mix64, slices, written
@@ -248,13 +248,18 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """The rows of ``docs``, each as often as the mix takes it, with all their columns.
 
     Rows of one doc_id, text and source share what the mix takes of them, the first ones in turn taking the odd one.
+    The source is a key that is never null: the join and the window then have the same keys and texts are shuffled once.
     """
+
+    def never_null(c: Column) -> Column:
+        return F.coalesce(F.concat(F.lit("="), c), F.lit(""))
+
     taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
-    taken = taken.groupBy("a", "h", "source").agg(F.sum("copies").alias("__c"), F.count("*").alias("__m")).select(F.col("a").alias("__x"), F.col("h").alias("__y"), F.col("source").alias("__z"), "__c", "__m")
+    taken = taken.groupBy("a", "h", "source").agg(F.sum("copies").alias("__c"), F.count("*").alias("__m")).select(F.col("a").alias("__x"), F.col("h").alias("__y"), never_null(F.col("source")).alias("__z"), "__c", "__m")
     source = (F.col(source_col) if source_col in docs.columns else F.lit(None)).cast("string")
-    keyed = keyed_text(docs.withColumns({"__id": F.col(id_col), "__text": F.col(text_col), "__s": source}), "__id", "__text", keep=[*docs.columns, "__s"], names=("__doc", "__a", "__h", "__bytes"))
+    keyed = keyed_text(docs.withColumns({"__id": F.col(id_col), "__text": F.col(text_col), "__s": never_null(source)}), "__id", "__text", keep=[*docs.columns, "__s"], names=("__doc", "__a", "__h", "__bytes"))
     one = Window.partitionBy("__a", "__h", "__s").orderBy(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map" not in kind])
-    rows = keyed.drop("__doc", "__bytes").join(written(taken, "copies"), (F.col("__a") == F.col("__x")) & (F.col("__h") == F.col("__y")) & F.col("__s").eqNullSafe(F.col("__z")))
+    rows = keyed.drop("__doc", "__bytes").join(written(taken, "copies"), (F.col("__a") == F.col("__x")) & (F.col("__h") == F.col("__y")) & (F.col("__s") == F.col("__z")))
     share = F.floor((F.col("__c") + F.col("__m") - F.row_number().over(one)) / F.col("__m"))
     return rows.withColumn("__n", share.cast("long")).filter("__n > 0").withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 

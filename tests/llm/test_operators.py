@@ -609,6 +609,26 @@ def test_source_mix_keeps_rows_without_or_with_shared_ids(spark):
     assert corpus_pipeline.mix_sources(spark, clash, "").columns == clash.columns
 
 
+def test_source_mix_shuffles_texts_once(spark):
+    rows = [(i, f"w{i} x y", s) for i in range(30) for s in (None, "", "=", "b")] + [(None, None, None)] * 2
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size = {s: sum(3 for _, t, own in rows if own == s and t) for s in (None, "", "=", "b")}
+    usual = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(usual, ("false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        out = mixing.mixed(table)
+        plan = out._jdf.queryExecution().executedPlan().toString().splitlines()
+        got = [tuple(r) for r in out.collect()]
+    finally:
+        for k, v in usual.items():
+            spark.conf.set(k, v)
+    assert sum("Exchange hashpartitioning(__a" in line for line in plan) == 1, plan
+    # null and empty sources stay apart: weights 1, 2, 3 of "", "=", "b", and 1 of the null one, which comes last
+    for s, weight in zip(("", "=", "b", None), (1, 2, 3, 1), strict=True):
+        assert sum(3 for _, t, own in got if own == s and t) == pytest.approx(sum(size.values()) * weight / 7, abs=3), s
+
+
 def test_small_near_duplicates_beyond_the_usual_radius():
     words = [f"w1239{c}" for c in "abcdefghi"]  # four shingles of five shared, fingerprints 73 bits apart
     sets = [shingles.shingle_set(" ".join(w).encode()) for w in (words[:8], words)]
