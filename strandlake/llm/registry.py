@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strandlake.llm.audio import op5_audio
+from strandlake.llm.middles import op11_middles
 from strandlake.llm.mixing import op8_mixing
+from strandlake.llm.negatives import op13_negatives
 from strandlake.llm.neighbours import op10_neighbours
 from strandlake.llm.passages import op1_passages
 from strandlake.llm.pieces import op3_pieces
@@ -16,6 +18,7 @@ from strandlake.llm.secrets import op9_secrets
 from strandlake.llm.simhash import op4_simhash
 from strandlake.llm.suffixes import op6_suffixes
 from strandlake.llm.token_files import op2_token_files
+from strandlake.llm.word_table import op12_word_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_passages": op1_passages,
@@ -28,6 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_secrets": op9_secrets,
     "op10_neighbours": op10_neighbours,
+    "op11_middles": op11_middles,
+    "op12_word_table": op12_word_table,
+    "op13_negatives": op13_negatives,
 }
 
 #: SQL says what op1 removes. The others hold tokenizers, 64-bit hashes over shingles, stored streams, windows of bytes, trained
