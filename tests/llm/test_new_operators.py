@@ -100,9 +100,18 @@ def test_words_are_cut_where_the_library_cuts(library):
             assert [i for w in word_table.WORDS.findall(t) for i in library.encode(w, add_special_tokens=False).ids] == whole, repr(t)
 
 
-@pytest.mark.parametrize("chunk_bytes,chunk_words", [(1, 10**6), (3000, 10**6), (1 << 20, 7), (1 << 24, 10**6)])
-def test_word_table(docs, rows, library, chunk_bytes, chunk_words):
-    got = sorted(map(str, (tuple(r) for r in word_table.encode_decode(docs, BPE, chunk_bytes, chunk_words).collect())))
+def test_words_are_cut_at_marks_as_the_library_cuts(library):
+    random.seed(11)
+    pieces = ["don't", "'s", "'x", "1.5", "e.g.", "é,", "日,", "日本a.", "☃,x", "☃", "foo☃!", ",", "...", "(", ")", "ß-", "²", "½.", "ª,", " ", "  ", "\n", "\u0301,", "a\u0301,", "×,", "Ω;", "<|endoftext|>", "x_y", "#1"]
+    for _ in range(3000):
+        t = "".join(random.choices(pieces, k=random.randint(1, 12)))
+        assert [i for w in word_table.split(t, ["<|endoftext|>"]) for i in library.encode(w, add_special_tokens=False).ids] == library.encode(t, add_special_tokens=False).ids, repr(t)
+        assert "".join(word_table.split(t, [])) == t
+
+
+@pytest.mark.parametrize("chunk_bytes,chunk_words,buckets", [(1, 10**6, 3), (3000, 10**6, 1), (1 << 20, 7, 40), (1 << 24, 10**6, None)])
+def test_word_table(docs, rows, library, chunk_bytes, chunk_words, buckets):
+    got = sorted(map(str, (tuple(r) for r in word_table.encode_decode(docs, BPE, chunk_bytes, chunk_words, buckets).collect())))
     want = []
     for i, t in rows:
         ids = library.encode(t or "", add_special_tokens=False).ids
@@ -110,12 +119,13 @@ def test_word_table(docs, rows, library, chunk_bytes, chunk_words):
     assert got == sorted(want)
 
 
-def test_word_table_encodes_each_word_once(spark, docs):
-    parts = word_table.written(word_table.cut(docs, 2000), "t")
-    words = parts.select(F.explode("words").alias("word"))
-    table = word_table.encode_words(words, BPE)
-    assert parts.select("chunk").distinct().count() > 2
-    assert table.count() == words.distinct().count() < words.count()
+def test_word_table_encodes_each_word_once(spark, docs, rows):
+    parts = word_table.written(word_table.cut(docs, BPE, 4, 2000), "t")
+    asked = parts.filter("bucket >= 0").repartitionById(4, "bucket").sortWithinPartitions("bucket", "chunk")
+    table = word_table.written(word_table.word_ids(asked, BPE), "w")
+    distinct = {w for _, t in rows for w in word_table.split(t or "", ["<|endoftext|>"])}
+    assert parts.select("chunk").distinct().count() > 5
+    assert table.filter("w IS NOT NULL").select("bucket", "w").distinct().count() == len(distinct)
 
 
 def test_word_table_of_nothing_and_of_long_texts(spark, docs, library):
