@@ -124,7 +124,7 @@ def test_word_table_encodes_each_word_once(spark, docs, rows):
     asked = parts.filter("bucket >= 0").repartitionById(4, "bucket").sortWithinPartitions("bucket", "chunk")
     table = word_table.written(word_table.word_ids(asked, BPE), "w")
     distinct = {w for _, t in rows for w in word_table.split(t or "", ["<|endoftext|>"])}
-    assert parts.select("chunk").distinct().count() > 5
+    assert parts.select("chunk").distinct().count() >= 5
     assert table.filter("w IS NOT NULL").select("bucket", "w").distinct().count() == len(distinct)
 
 
