@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandlake.functions import bits, vectorised
+from strandlake.functions import bits, packed, vectorised
 from strandlake.functions import nucleotides as nt
 from strandlake.operators import kmers as ops
+from strandlake.operators import ordering
+from strandlake.scratch import scratch_path
 from strandlake.sources import fastx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,12 +47,6 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), "lang", nt.derived_sequence(F.col("text")).alias("sequence"))
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; a folder of our own only where none is configured."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="strandlake-")
-    return f"{top.rstrip('/')}/strandlake/{name}-{uuid.uuid4().hex}"
-
-
 def _kmers_sql(k: int) -> str:
     """Every k-mer of valid bases: seq_id, run, pos (from 0), kmer."""
     return (
@@ -90,10 +84,10 @@ def on_distinct(name: str, k: int, columns: Callable[[Column, Column], dict[str,
     query(f"{_distinct_sql(k)} SELECT kmer, {sql} FROM d")(run)
 
 
-@query("WITH c AS (SELECT n_nationkey, unnest(string_split(n_name, '')) AS base FROM nation) SELECT base, (CASE WHEN base IN ('a','A') THEN 0 WHEN base IN ('c','C') THEN 1 WHEN base IN ('t','T') THEN 2 WHEN base IN ('g','G') THEN 3 ELSE 255 END)::BIGINT AS code, count(*) AS n FROM c GROUP BY 1, 2")
+@query(f"WITH {SEQ}, c AS (SELECT unnest(string_split(sequence, '')) AS base FROM s) SELECT base, (CASE WHEN base IN ('a','A') THEN 0 WHEN base IN ('c','C') THEN 1 WHEN base IN ('t','T') THEN 2 WHEN base IN ('g','G') THEN 3 ELSE 255 END)::BIGINT AS code, count(*) AS n FROM c WHERE base <> '' GROUP BY 1, 2")
 def nuc_encode(spark, sf_dir):
-    chars = _table(spark, sf_dir, "nation").select(F.explode(F.split("n_name", "")).alias("base"))
-    return chars.groupBy("base", nt.encode_base(F.col("base")).alias("code")).agg(F.count("*").alias("n"))
+    chars = sequences(spark, sf_dir).select(F.explode(F.split("sequence", "")).alias("base")).filter("base <> ''").groupBy("base").agg(F.count("*").alias("n"))
+    return chars.select("base", nt.encode_base(F.col("base")).alias("code"), "n")
 
 
 @query(f"WITH {SEQ} SELECT seq_id, md5(translate(sequence, 'ACGT', 'TGCA')) AS complement_md5 FROM s")
@@ -146,10 +140,11 @@ def unhash_roundtrip(spark, sf_dir):
     return distinct_kmers(spark, sf_dir, K).select("kmer", vectorised.unhash32(vectorised.hash32(F.col("code"))).alias("back32"), vectorised.unhash64(vectorised.hash64(F.col("code"))).alias("back64"))
 
 
-@query(f"{_distinct_sql(5)}{_hash_sql(64, vectorised.MIX_64)} SELECT kmer, hash, row_number() OVER (ORDER BY hash) AS place FROM h")
+@query(f"{_distinct_sql(12)}{_hash_sql(64, vectorised.MIX_64)} SELECT kmer, hash, row_number() OVER (ORDER BY hash) AS place FROM h")
 def hash_order(spark, sf_dir):
-    rows = distinct_kmers(spark, sf_dir, 5).select("kmer", vectorised.hash64(F.col("code")).alias("hash"))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy("hash")))  # 4^5 rows at most
+    """All 12-mers in the order of their hash, with their places; the hash is a bijection, so there are no ties."""
+    rows = distinct_kmers(spark, sf_dir, 12).select("kmer", vectorised.hash64(F.col("code")).alias("hash"))
+    return ordering.numbered(rows, "hash")
 
 
 @query(f"WITH {_fast_kmers_sql(4)}, c AS (SELECT kmer, count(*) AS n FROM km GROUP BY kmer), t AS (SELECT kmer, row_number() OVER (ORDER BY n DESC, kmer) AS rank FROM c) SELECT km.seq_id, count(*) AS n, sum(t.rank)::BIGINT AS rank_sum FROM km JOIN t USING (kmer) GROUP BY km.seq_id")
@@ -160,9 +155,18 @@ def rank_lookup(spark, sf_dir):
     return ops.ranked(rows, F.broadcast(ranks)).groupBy("seq_id").agg(F.count("*").alias("n"), F.sum("rank").alias("rank_sum"))  # 4^4 ranks at most
 
 
-@query(f"{_distinct_sql(5)} SELECT kmer, row_number() OVER (ORDER BY {DIGITS.format('right(kmer, 3)')}, code) AS place FROM d")
+@query(f"{_distinct_sql(12)} SELECT kmer, row_number() OVER (ORDER BY {DIGITS.format('right(kmer, 3)')}, code) AS place FROM d")
 def extracted_sort(spark, sf_dir):
-    return distinct_kmers(spark, sf_dir, 5).select("kmer", F.row_number().over(Window.orderBy(nt.suffix_kmer(F.col("code"), 3), "code")).alias("place"))
+    rows = distinct_kmers(spark, sf_dir, 12).select("kmer", F.translate("kmer", "ACTG", "0123").alias("order"))
+    return ordering.numbered(rows, F.right("order", F.lit(3)), "order").select("kmer", "place")
+
+
+@query(f"WITH {_kmers_sql(12)}, c AS (SELECT seq_id, pos, {DIGITS.format('kmer')} % 64 AS part, {DIGITS.format('kmer')} AS code FROM km), o AS (SELECT seq_id, row_number() OVER (ORDER BY part, code, seq_id, pos) AS place FROM c) SELECT seq_id, count(*) AS n, min(place) AS first, max(place) AS last, sum(place)::BIGINT AS total FROM o GROUP BY seq_id")
+def positioned_order(spark, sf_dir):
+    """All k-mers of all sequences under an extractor (the last three bases), ties by code, then by sequence and position."""
+    rows = ops.kmers(sequences(spark, sf_dir), 12).select("seq_id", "pos", "code")
+    out = ordering.numbered(rows, nt.suffix_kmer(F.col("code"), 3), "code", "seq_id", "pos")
+    return out.groupBy("seq_id").agg(F.count("*").alias("n"), F.min("place").alias("first"), F.max("place").alias("last"), F.sum("place").alias("total"))
 
 
 @query(f"WITH {_kmers_sql(12)}, c AS (SELECT seq_id, pos, {DIGITS.format('kmer')} AS code FROM km) SELECT seq_id, pos, code, row_number() OVER (PARTITION BY seq_id ORDER BY code, pos) AS place FROM c")
@@ -233,10 +237,11 @@ def entropy_filter(spark, sf_dir):
     return rows.filter(F.col("numerator") >= nt.entropy_threshold(2.5)).select(nt.decode_kmer(F.col("code"), K).alias("kmer"))
 
 
-@query(f"WITH g AS (SELECT x, list_reduce(list_transform(range(0, {K}), lambda i: substr('ACTG', 1 + (x >> (2 * ({K - 1} - i))) % 4, 1)), lambda a, b: a || b) AS kmer FROM range({4**K}) t(x)), e AS (SELECT list_transform(range(1, {K}), lambda i: substr(kmer, i, 2)) AS pairs FROM g) SELECT {_entropy_sql(K)} AS numerator, count(*) AS n FROM e GROUP BY 1")
+@query(f"WITH {_fast_kmers_sql(K)}, d AS (SELECT kmer, count(*) AS c FROM km GROUP BY kmer){_PAIRS.replace('SELECT kmer,', 'SELECT kmer, c,')} SELECT {_entropy_sql(K)} AS numerator, count(*) AS n_distinct, sum(c)::BIGINT AS n FROM e GROUP BY 1")
 def entropy_hist(spark, sf_dir):
-    rows = spark.range(4**K).select(nt.entropy_numerator(nt.decode_kmer(F.col("id"), K), K).cast("long").alias("numerator"))
-    return rows.groupBy("numerator").agg(F.count("*").alias("n"))
+    """The histogram of the entropies of all k-mers of all documents, distinct ones and all."""
+    counts = ops.count_kmers(sequences(spark, sf_dir), K, canonical_form=False)
+    return ops.with_entropy(counts, K).groupBy("numerator").agg(F.count("*").alias("n_distinct"), F.sum("count").alias("n"))
 
 
 _BIG = 1 << 30
@@ -328,19 +333,38 @@ def packed_roundtrip(spark, sf_dir):
 def packed_sort(spark, sf_dir):
     rows = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("v"), F.max("l_partkey").alias("largest"))
     rows = rows.withColumns({"width": bits.ilog2p1(F.col("largest")), "n": F.size("v")})
-    back = vectorised.unpack(vectorised.pack("v", "width"), F.col("width"), F.col("n"))
-    return rows.select("l_orderkey", F.array_join(F.array_sort(back).cast("array<string>"), ",").alias("ordered"), "largest")
+    ordered = packed.sort_packed(vectorised.pack("v", "width"), F.col("width"), F.col("n"))
+    return rows.select("l_orderkey", F.array_join(vectorised.unpack(ordered, F.col("width"), F.col("n")).cast("array<string>"), ",").alias("ordered"), "largest")
 
 
 @query(f"WITH {_PARTS} SELECT l_orderkey, length(list_filter(v, lambda a: a < o_custkey)) AS place FROM p JOIN orders ON o_orderkey = l_orderkey")
 def lower_bound(spark, sf_dir):
     rows = _order_parts(spark, sf_dir).join(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
-    return rows.select("l_orderkey", vectorised.lower_bound("v", "o_custkey").alias("place"))
+    rows = rows.withColumn("data", vectorised.pack("v", "width"))
+    return rows.select("l_orderkey", packed.lower_bound(F.col("data"), F.col("width"), F.size("v"), F.col("o_custkey")).alias("place"))
+
+
+@query("WITH v AS (SELECT l_partkey AS x, count(*) AS n FROM lineitem GROUP BY 1), c AS (SELECT x, sum(n) OVER (ORDER BY x) AS upto FROM v) SELECT o_orderkey, coalesce(upto, 0)::BIGINT AS place FROM orders ASOF LEFT JOIN c ON o_custkey > x")
+def column_search(spark, sf_dir):
+    """The place of every order's customer number in the whole ascending column of part numbers."""
+    blocks = ordering.sorted_blocks(_table(spark, sf_dir, "lineitem"), "l_partkey")
+    return ordering.lower_bounds(blocks, _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey").select("o_orderkey", "place")
+
+
+@query(f"WITH {_PARTS} SELECT o_orderkey, v[1 + o_custkey % length(v)] AS element, o_custkey % (1 << length(bin(m))) AS stored, list_sum(v) - v[1 + o_custkey % length(v)] + o_custkey % (1 << length(bin(m))) AS total FROM p JOIN orders ON o_orderkey = l_orderkey")
+def packed_access(spark, sf_dir):
+    """One element of every order's packed vector, read and then overwritten where it lies."""
+    rows = _order_parts(spark, sf_dir).join(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    rows = rows.select(F.col("l_orderkey").alias("o_orderkey"), "o_custkey", "width", F.size("v").alias("n"), (F.col("o_custkey") % F.size("v")).alias("i"), vectorised.pack("v", "width").alias("data"))
+    d, w, i = F.col("data"), F.col("width"), F.col("i")
+    rows = rows.withColumn("put", packed.with_element(d, w, i, F.col("o_custkey")))
+    total = F.aggregate(vectorised.unpack("put", "width", "n"), F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("o_orderkey", packed.element(d, w, i).alias("element"), packed.element(F.col("put"), w, i).alias("stored"), total.alias("total"))
 
 
 @query("SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY line")
 def lines(spark, sf_dir):
-    path = _scratch(spark, "lines")
+    path = scratch_path(spark, "lines")
     _table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit(""))).write.text(path)
     return fastx.read_lines(spark, path).groupBy("line").agg(F.count("*").alias("n"))
 
@@ -356,7 +380,7 @@ _RECORDS = f"WITH {SEQ}, r AS (SELECT 's' || seq_id AS header, regexp_replace(se
 
 @query(f"{_RECORDS} SELECT header, length(sequence) AS n, md5(sequence) AS sequence_md5 FROM r WHERE sequence <> ''")
 def fasta_scan(spark, sf_dir):
-    path = _scratch(spark, "fasta")
+    path = scratch_path(spark, "fasta")
     wrapped = F.regexp_replace("sequence", "(.{70})(?=.)", "$1\n")
     fastx.write_fasta(_records(spark, sf_dir).withColumn("sequence", wrapped), path)
     return fastx.read_fasta(spark, path).select("header", F.length("sequence").alias("n"), F.md5("sequence").alias("sequence_md5"))
@@ -364,7 +388,7 @@ def fasta_scan(spark, sf_dir):
 
 @query(f"{_RECORDS} SELECT header, md5(sequence) AS sequence_md5, md5(translate(sequence, 'ACTG', '@IF#')) AS quality_md5 FROM r WHERE sequence <> ''")
 def fastq_scan(spark, sf_dir):
-    path = _scratch(spark, "fastq")
+    path = scratch_path(spark, "fastq")
     fastx.write_fastq(_records(spark, sf_dir), path)  # half of the qualities begin with @ or hold it
     return fastx.read_fastq(spark, path).select("header", F.md5("sequence").alias("sequence_md5"), F.md5("quality").alias("quality_md5"))
 
@@ -372,13 +396,23 @@ def fastq_scan(spark, sf_dir):
 @query(f"{_RECORDS} SELECT header, length(sequence) AS n, md5(sequence) AS sequence_md5, md5(translate(sequence, 'ACTG', '@IF#')) AS quality_md5 FROM r WHERE sequence <> ''")
 def fastx_scan(spark, sf_dir):
     """A folder of FASTQ files through the ``fastx`` data source, in byte ranges that begin inside of records."""
-    path = _scratch(spark, "fastx")
+    path = scratch_path(spark, "fastx")
     fastx.write_fastq(_records(spark, sf_dir), path)
     fastx.register(spark)
     rows = spark.read.format("fastx").option("path", path).option("format", "fastq").option("split_bytes", str(1 << 20)).load()
     return rows.select("header", F.length("sequence").alias("n"), F.md5("sequence").alias("sequence_md5"), F.md5("quality").alias("quality_md5"))
 
 
+@query(f"{_RECORDS} SELECT header, length(sequence) AS n, md5(sequence) AS sequence_md5 FROM r WHERE sequence <> ''")
+def fastx_fasta_scan(spark, sf_dir):
+    """A folder of FASTA files, lines of 70, through the ``fastx`` data source in small byte ranges."""
+    path = scratch_path(spark, "fastx-fasta")
+    fastx.write_fasta(_records(spark, sf_dir).withColumn("sequence", F.regexp_replace("sequence", "(.{70})(?=.)", "$1\n")), path)
+    fastx.register(spark)
+    rows = spark.read.format("fastx").option("path", path).option("format", "fasta").option("split_bytes", str(1 << 18)).load()
+    return rows.select("header", F.length("sequence").alias("n"), F.md5("sequence").alias("sequence_md5"))
+
+
 on_distinct("push_right", K, lambda code, kmer: {"pushed": nt.push_back(code, K, 1)}, f"{DIGITS.format("(right(kmer, 7) || 'C')")} AS pushed")
 on_distinct("push_left", K, lambda code, kmer: {"pushed": nt.push_front(code, K, 3)}, f"{DIGITS.format("('G' || left(kmer, 7))")} AS pushed")
 on_distinct("two_bit_view", K, lambda code, kmer: {"third": nt.base_at(code, K, 2), "last": nt.base_at(code, K, K - 1)}, "substr(kmer, 3, 1) AS third, right(kmer, 1) AS last")
@@ -436,10 +470,11 @@ def parity_fold(spark, sf_dir):
 
 @query(f"WITH {_PARTS} SELECT l_orderkey, ((length(v) - 1) * length(bin(m)) + 120) // 64 AS words, array_to_string(list_slice(v, 1, length(v) * 2 // 3), ',') AS shrunk, array_to_string(list_concat(v, list_transform(range(0, length(v) * 4 // 3 - length(v)), lambda i: 0)), ',') AS grown FROM p")
 def packed_resize(spark, sf_dir):
-    rows = _order_parts(spark, sf_dir)
-    v, n = F.col("v"), F.size("v")
-    text = lambda size: F.array_join(vectorised.resized(v, size).cast("array<string>"), ",")
-    return rows.select("l_orderkey", vectorised.words_required(n, F.col("width")).alias("words"), text(F.floor(n * 2 / 3)).alias("shrunk"), text(F.floor(n * 4 / 3)).alias("grown"))
+    """Vectors made shorter and longer while they stay packed."""
+    rows = _order_parts(spark, sf_dir).withColumns({"data": vectorised.pack("v", "width"), "n": F.size("v")})
+    rows = rows.withColumns({"less": F.floor(F.col("n") * 2 / 3), "more": F.floor(F.col("n") * 4 / 3)})
+    text = lambda m: F.array_join(vectorised.unpack(packed.resize(F.col("data"), F.col("width"), F.col(m)), F.col("width"), F.col(m)).cast("array<string>"), ",")
+    return rows.select("l_orderkey", vectorised.words_required(F.col("n"), F.col("width")).alias("words"), text("less").alias("shrunk"), text("more").alias("grown"))
 
 
 @query(f"WITH {_PARTS} SELECT l_orderkey, length(v) * 256 + length(bin(m)) AS header, 8 + 8 * (((length(v) - 1) * length(bin(m)) + 120) // 64) AS n_bytes, array_to_string(v, ',') AS back FROM p")
