@@ -31,10 +31,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import id_text, new_path, pack, plan_bytes, slices, unpack, written
+from strandlake.llm.common import id_text, new_path, pack, plan_bytes, slices, tidy, unpack, written
 
 #: Text bytes and distinct words of a chunk, about; a longer document is a chunk of its own.
-CHUNK_BYTES, CHUNK_WORDS = 32 << 20, 600_000
+CHUNK_BYTES, CHUNK_WORDS = 16 << 20, 600_000
 #: Bytes of input (as Catalyst sizes it) for each word bucket, and buckets at most: more input makes larger buckets.
 BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 1 << 16
 #: Words that the library gets at a time, and bytes of text that leave a worker at a time, about.
@@ -189,6 +189,8 @@ def word_ids(asked: DataFrame, path: str) -> DataFrame:
                 asks.append((chunk, numbers, pack(np.array(mine, np.int32))))
         if asks:
             yield from close()
+        known, asks = {}, []
+        tidy()
 
     return asked.mapInArrow(run, "bucket int, w int, id int, chunk long, numbers binary, asks binary")
 
@@ -222,6 +224,8 @@ def answers(words: DataFrame) -> DataFrame:
                     w, = unpack(asks, np.int32)
                     row = [chunk, numbers, pack(n_ids[w].astype(np.int32), n_raw[w].astype(np.int32)), pack(_gather(ids, id_at[w], n_ids[w])), _squeeze(_gather(raw, raw_at[w], n_raw[w]).tobytes())]
                     yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds.values(), strict=True)], list(kinds))
+        held, table = [], None
+        tidy()
 
     return words.mapInArrow(run, "chunk long, numbers binary, sizes binary, ids binary, raw binary")
 
@@ -251,7 +255,7 @@ def encode_decode(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, ch
     spark = docs.sparkSession
     size = plan_bytes(docs.select(id_col, text_col))
     buckets = buckets or max(1, min(MOST_BUCKETS, math.ceil(size / BUCKET_BYTES)))
-    homes = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / (2 * CHUNK_BYTES)))
+    homes = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / (4 * CHUNK_BYTES)))
     rows = bucketed(cut(docs, path, buckets, chunk_bytes, chunk_words, id_col, text_col), "chunk", homes)
     asked = rows.filter("bucket >= 0").select("chunk", "bucket", "numbers", "sizes", "words").repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "chunk")
     back = answers(word_ids(asked, path).join(piece_table(spark, path), "id", "left").select("bucket", "w", "id", "piece", "chunk", "numbers", "asks"))
@@ -260,10 +264,12 @@ def encode_decode(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, ch
     def assemble(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         got = [(unpack(r["numbers"], np.int32)[0], *unpack(r["sizes"], np.int32, np.int32), unpack(r["ids"], np.int32)[0], _unsqueeze(r["raw"])) for r in right.to_pylist()]
         numbers, n_ids, n_raw, ids = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int32) for k in range(4))
+        tidy()  # of the chunk before
         order = np.argsort(numbers, kind="stable")
         ends, raw = np.cumsum(n_raw.astype(np.int64)), b"".join(g[4] for g in got)
         words = [raw[e - n : e] for e, n in zip(ends[order].tolist(), n_raw[order].tolist(), strict=True)]
         starts = (np.cumsum(n_ids.astype(np.int64)) - n_ids)[order]
+        del got, raw, ends
         parts = [p for r in range(left.num_rows) for p in _documents(left.column("doc_ids")[r].values, np.array(left.column("counts")[r].as_py(), np.int64), unpack(left.column("numbers")[r].as_py(), np.int32)[0], n_ids[order].astype(np.int64), starts, ids, words)]
         return pa.Table.from_batches(parts) if parts else pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32())), "raw": pa.array([], pa.binary())})
 
