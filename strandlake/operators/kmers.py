@@ -231,12 +231,6 @@ def with_entropy(rows: DataFrame, k: int, code: str = "code", name: str = "numer
     return rows.mapInArrow(run, schema)
 
 
-def joined_chunks(chunks: DataFrame, id_col: str = "seq_id", part_col: str = "part", seq_col: str = "sequence") -> DataFrame:
-    """Sequences that arrive in chunks, joined in the order of ``part_col``: windows continue across chunks."""
-    parts = F.sort_array(F.collect_list(F.struct(F.col(part_col).alias("p"), F.coalesce(seq_col, F.lit("")).alias("s"))))
-    return chunks.groupBy(id_col).agg(parts.alias("__parts")).select(id_col, F.concat_ws("", F.transform("__parts", lambda x: x["s"])).alias(seq_col))
-
-
 def with_offsets(seqs: DataFrame, order_col: str = "seq_id", seq_col: str = "sequence", name: str = "offset") -> DataFrame:
     """Add the number of bases in all sequences before each one, in the order of ``order_col``.
 

@@ -48,6 +48,20 @@ def numbered(df: DataFrame, *order: Column | str, name: str = "place", ranges: i
     return at.withColumn("__part", part).join(F.broadcast(starts), "__part").withColumn(name, F.col("__before") + inside + 1).drop("__at", "__part", "__before")
 
 
+def running_totals(df: DataFrame, value: str, *order: Column | str, name: str = "before", ranges: int | None = None) -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows before each one in the order of ``order``, in the same two phases.
+
+    Name order columns that leave no ties; a null value counts as 0.
+    """
+    n = F.coalesce(F.col(value).cast("long"), F.lit(0))
+    dealt = df.repartitionByRange(_ranges(df, ranges), *order).sortWithinPartitions(*order)
+    at = stored(dealt.withColumn("__part", F.spark_partition_id()), "ordered")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    starts = at.groupBy("__part").agg(F.sum(n).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = F.coalesce(F.sum(n).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return at.withColumn("__inside", inside).join(F.broadcast(starts), "__part").withColumn(name, F.col("__before") + F.col("__inside")).drop("__part", "__before", "__inside")
+
+
 def sorted_blocks(values: DataFrame, col: str, ranges: int | None = None, block_values: int = BLOCK_VALUES) -> DataFrame:
     """The longs of a column in ascending order, packed: start (values before the block), after, n, low, width, data.
 

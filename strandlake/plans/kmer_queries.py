@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import bits, packed, vectorised
 from strandlake.functions import nucleotides as nt
+from strandlake.operators import feeds, ordering
 from strandlake.operators import kmers as ops
-from strandlake.operators import ordering
 from strandlake.scratch import scratch_path
 from strandlake.sources import fastx
+from strandlake.streaming import kmer_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -451,11 +452,62 @@ def superkmer_totals(spark, sf_dir):
 
 @query(f"WITH {_kmers_sql(K)} SELECT seq_id, count(*) AS n, max(pos) AS last FROM km GROUP BY seq_id")
 def chunked_feed(spark, sf_dir):
-    """Sequences fed in chunks of a third of their length; k-mers across chunks count."""
+    """Sequences fed in chunks of a third of their length; k-mers across chunks count, and no sequence is joined."""
+    return _feed_totals(feeds.chunked_kmers(_chunks(spark, sf_dir), K))
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     third = F.ceil(F.length("sequence") / 3).cast("int")
     chunk = lambda i: F.substr("sequence", third * i + 1, third)
-    chunks = sequences(spark, sf_dir).select("seq_id", F.posexplode(F.array(*[chunk(F.lit(i)) for i in range(3)])).alias("part", "sequence"))
-    return ops.kmers(ops.joined_chunks(chunks), K).groupBy("seq_id").agg(F.count("*").alias("n"), F.max("pos").alias("last"))
+    return sequences(spark, sf_dir).select("seq_id", F.posexplode(F.array(*[chunk(F.lit(i)) for i in range(3)])).alias("part", "sequence")).withColumn("part", F.col("part").cast("long"))
+
+
+def _feed_totals(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("seq_id").agg(F.count("*").alias("n"), F.max("pos").alias("last"))
+
+
+@query(f"WITH {_kmers_sql(K)} SELECT seq_id, count(*) AS n, max(pos) AS last FROM km GROUP BY seq_id")
+def streamed_feed(spark, sf_dir):
+    """The same chunks as a stream of several micro-batches, in which later chunks may come first."""
+    chunks, top = _chunks(spark, sf_dir), scratch_path(spark, "chunks")
+    chunks.repartition(3, F.xxhash64("seq_id", "part")).write.parquet(f"{top}/in")
+    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", "1").parquet(f"{top}/in")
+    out = kmer_stream.stream_chunked_kmers(stream, K).writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/state")
+    out.trigger(availableNow=True).start().awaitTermination()
+    return _feed_totals(spark.read.schema("seq_id long, pos long, code long").parquet(f"{top}/out"))
+
+
+_MASKED = f"WITH {SEQ}, r AS (SELECT seq_id, 's' || seq_id AS header, regexp_replace(sequence, '[^ACGT]', 'N', 'g') AS sequence FROM s)"
+_MASKED_KMERS = f"{_MASKED}, p AS (SELECT seq_id, header, sequence, unnest(range(0, length(sequence) - {K - 1})) AS pos FROM r), km AS (SELECT seq_id, header, pos, substr(sequence, pos + 1, {K}) AS kmer FROM p WHERE NOT contains(substr(sequence, pos + 1, {K}), 'N'))"
+
+
+def _masked_files(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Four FASTA files of all documents in the order of their ids, in lines of 70; what is no base is an N."""
+    path = scratch_path(spark, name)
+    rows = sequences(spark, sf_dir).select("seq_id", F.concat(F.lit("s"), F.col("seq_id").cast("string")).alias("header"), F.regexp_replace("sequence", "[^ACGT]", "N").alias("sequence"))
+    ordered = rows.withColumn("sequence", F.regexp_replace("sequence", "(.{70})(?=.)", "$1\n")).repartitionByRange(4, "seq_id").sortWithinPartitions("seq_id")
+    fastx.write_fasta(ordered, path)
+    return path
+
+
+@query(f"{_MASKED_KMERS} SELECT header, count(*) AS n, min(pos) AS first, max(pos) AS last, sum(pos)::BIGINT AS total, sum({DIGITS.format('kmer')})::BIGINT AS codes FROM km GROUP BY header")
+def split_records(spark, sf_dir):
+    """K-mers of FASTA records that lie over several byte ranges, each read by its own task."""
+    pieces = feeds.stitched(spark, _masked_files(spark, sf_dir, "split-records"), K, 20_000)
+    heads = pieces.filter("header IS NOT NULL").select("path", "record", "header")
+    rows = feeds.fed_kmers(pieces, K, ["path", "record"]).groupBy("path", "record").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.sum("pos").alias("total"), F.sum("code").alias("codes"))
+    return rows.join(heads, ["path", "record"]).select("header", "n", "first", "last", "total", "codes")
+
+
+@query(f"{_MASKED_KMERS}, o AS (SELECT header, coalesce(sum(length(sequence)) OVER (ORDER BY seq_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM r) SELECT header, start::BIGINT AS start, count(pos) AS n, coalesce(min(start + pos), -1)::BIGINT AS first, coalesce(max(start + pos), -1)::BIGINT AS last FROM o LEFT JOIN km USING (header) GROUP BY header, start")
+def folder_positions(spark, sf_dir):
+    """Places of k-mers over all bases of all files of a folder, invalid ones and those of other records included."""
+    pieces = feeds.stitched(spark, _masked_files(spark, sf_dir, "folder"), K, 50_000)
+    # places in a record and in the folder differ by where the record's first piece begins
+    heads = pieces.filter("header IS NOT NULL").select("path", "record", "header", F.col("file_start").alias("begin"))
+    rows = feeds.fed_kmers(pieces, K, ["path", "record"]).groupBy("path", "record").agg(F.count("*").alias("n"), F.min("pos").alias("a"), F.max("pos").alias("b"))
+    out = heads.join(rows, ["path", "record"], "left")
+    return out.select("header", F.col("begin").alias("start"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.col("begin") + F.col("a"), F.lit(-1)).alias("first"), F.coalesce(F.col("begin") + F.col("b"), F.lit(-1)).alias("last"))
 
 
 @query(f"{_RECORDS} SELECT header, md5(sequence) AS checked_md5 FROM r WHERE sequence <> ''")

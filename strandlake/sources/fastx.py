@@ -1,8 +1,10 @@
 """FASTA and FASTQ as a Spark data source, ``spark.read.format("fastx")``, and native readers and writers.
 
 Options: path (a file, or a folder of files), format (fasta or fastq; from the suffix otherwise), strict (true: malformed input is an error,
-false: it is skipped), strict_terminator (true: an unterminated last record is dropped), split_bytes. Splits are byte
-ranges; a reader starts at the first record that begins in its range and reads the last one to its end.
+false: it is skipped), strict_terminator (true: an unterminated last record is dropped), split_bytes, layout. Splits are byte
+ranges; a reader starts at the first record that begins in its range and reads the last one to its end. With the layout
+``pieces`` (FASTA only) a reader takes the bytes of its range alone, wherever records begin and end, so that a record of
+any length is read by as many tasks as it has ranges; ``strandlake.operators.feeds.stitched`` puts its pieces in order.
 """
 
 from __future__ import annotations
@@ -14,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+#: Bytes of a split, unless the option says otherwise.
+SPLIT_BYTES = 32 << 20
+PIECES = "path string, split long, row int, record long, header string, rest string, rest_ended boolean, sequence string, before long, last boolean, header_open boolean"
 SCHEMA = "offset long, header string, sequence string, quality string"
 SUFFIXES = {".fa": "fasta", ".fasta": "fasta", ".fq": "fastq", ".fastq": "fastq"}
 
@@ -117,6 +122,40 @@ def read_range(data, start: int, end: int, kind: str, strict: bool = True, stric
         yield offset, header, sequence.decode("latin-1"), None
 
 
+def read_pieces(data, start: int, end: int) -> list[tuple]:
+    """What the bytes [start, end) of a seekable FASTA file hold, as rows of ``PIECES`` after path and split.
+
+    Without a record: ``rest`` (of a line that begins before the range; whether it is a header is known to earlier ranges
+    only) and the sequence up to the first header. Then a row per record that begins in the range, with its whole header
+    line, even if that ends behind the range. ``before`` counts the bases of the range's rows before, without the rest.
+    """
+    data.seek(max(0, start - 1))
+    block = data.read(end - max(0, start - 1))
+    fresh = start == 0 or block[:1] == b"\n"
+    block = block[min(start, 1) :]
+    heads, at = [], 0 if fresh and block[:1] == b">" else block.find(b"\n>") + 1
+    while at or fresh and not heads and block[:1] == b">":
+        heads.append(at)
+        at = block.find(b"\n>", at) + 1
+    bases = lambda b: b.translate(None, b"\r\n").decode("latin-1")
+    rows: list[list] = []
+    if not heads or heads[0]:
+        top = block[: heads[0]] if heads else block
+        cut = 0 if fresh else (top.find(b"\n") + 1 or len(top))
+        ended = fresh or top[cut - 1 : cut] == b"\n"
+        rows.append([None, None, bases(top[:cut]), ended, bases(top[cut:]), False if ended else None])
+    for a, z in zip(heads, [*heads, len(block)][1:], strict=True):
+        line = block.find(b"\n", a, z)
+        whole = line >= 0
+        head = block[a + 1 : line] if whole else block[a + 1 : z] + data.readline()
+        rows.append([start + a, _bare(head).decode("latin-1"), None, None, bases(block[line + 1 : z]) if whole else "", not whole])
+    out, before = [], 0
+    for n, (record, header, rest, ended, sequence, header_open) in enumerate(rows):
+        out.append((n, record, header, rest, ended, sequence, before, n == len(rows) - 1, header_open))
+        before += len(sequence)
+    return out
+
+
 def _open(path: str):
     if "://" not in path or path.startswith("file:"):
         return open(path.removeprefix("file://").removeprefix("file:"), "rb")
@@ -143,8 +182,21 @@ def _files(path: str) -> list[tuple[str, int]]:
     return sorted((prefix + f.path, f.size) for f in found)
 
 
-#: Rows of an Arrow batch.
-BATCH_ROWS = 4096
+#: Rows of an Arrow batch, and characters of its sequences, about: a longer record is a batch of its own.
+BATCH_ROWS, BATCH_CHARS = 4096, 16 << 20
+
+
+def _by_size(rows: Iterator[tuple], at: int) -> Iterator[list[tuple]]:
+    """Rows in runs of bounded number and size of the text at place ``at``."""
+    held, chars = [], 0
+    for r in rows:
+        held.append(r)
+        chars += len(r[at])
+        if len(held) == BATCH_ROWS or chars >= BATCH_CHARS:
+            yield held
+            held, chars = [], 0
+    if held:
+        yield held
 
 
 class FastxReader(DataSourceReader):
@@ -153,7 +205,8 @@ class FastxReader(DataSourceReader):
         self.kind = options.get("format")
         self.strict = options.get("strict", "true").lower() == "true"
         self.strict_terminator = options.get("strict_terminator", "false").lower() == "true"
-        self.split = int(options.get("split_bytes", 32 << 20))
+        self.split = int(options.get("split_bytes", SPLIT_BYTES))
+        self.pieces = options.get("layout", "records") == "pieces"
         if not self.kind:
             for path, _ in _files(self.path):
                 format_of(path)
@@ -163,27 +216,34 @@ class FastxReader(DataSourceReader):
         return found or [ByteRange(0, 0, "")]
 
     def read(self, partition: ByteRange) -> Iterator:
-        """The records of a byte range, as Arrow batches."""
+        """The records or pieces of a byte range, as Arrow batches."""
         import pyarrow as pa
-        from itertools import batched
 
         if not partition.path:
             return
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.string())
+        kind = self.kind or format_of(partition.path)
         with _open(partition.path) as f:
-            for rows in batched(read_range(f, partition.start, partition.end, self.kind or format_of(partition.path), self.strict, self.strict_terminator), BATCH_ROWS):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["offset", "header", "sequence", "quality"])
+            if self.pieces:
+                if kind != "fasta":
+                    raise ValueError("only FASTA is read in pieces")
+                kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.bool_(), pa.bool_())
+                rows, at, names = ((partition.path, partition.start, *r) for r in read_pieces(f, partition.start, partition.end)), 7, [c.split()[0] for c in PIECES.split(", ")]
+            else:
+                kinds = (pa.int64(), pa.string(), pa.string(), pa.string())
+                rows, at, names = read_range(f, partition.start, partition.end, kind, self.strict, self.strict_terminator), 2, ["offset", "header", "sequence", "quality"]
+            for part in _by_size(rows, at):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), kinds, strict=True)], names)
 
 
 class FastxSource(DataSource):
-    """``fastx``: rows of offset (byte place of the record), header, sequence and quality (null for FASTA)."""
+    """``fastx``: rows of offset (byte place of the record), header, sequence and quality (null for FASTA), or of ``PIECES``."""
 
     @classmethod
     def name(cls) -> str:
         return "fastx"
 
     def schema(self) -> str:
-        return SCHEMA
+        return PIECES if self.options.get("layout") == "pieces" else SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
         return FastxReader(self.options)

@@ -1,11 +1,16 @@
-"""Streaming k-mer counts (an extension): FASTA files that arrive in a folder, counted by micro-batch."""
+"""Streams (an extension): FASTA files that arrive in a folder, and sequences whose chunks arrive one after the other."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from strandlake.operators.kmers import kmers
+from strandlake.operators.kmers import _scan, kmers
 
 
 def stream_fasta(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,3 +22,46 @@ def stream_fasta(spark: SparkSession, folder: str) -> DataFrame:
 def stream_counts(seqs: DataFrame, k: int) -> DataFrame:
     """Running counts by code; the state holds every k-mer seen (4^k at most), and no watermark applies."""
     return kmers(seqs.withColumn("seq_id", F.xxhash64("header")), k).groupBy("code").agg(F.count("*").alias("count"))
+
+
+class ChunkFeed(StatefulProcessor):
+    """The state of a sequence that arrives in chunks: its last k - 1 characters, its place, and chunks before their turn."""
+
+    def __init__(self, k: int, first_part: int = 0):
+        self.k, self.first_part = k, first_part
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.feed = handle.getValueState("feed", "carry string, pos long, part long")
+        self.waiting = handle.getMapState("waiting", "part long", "sequence string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        carry, pos, part = self.feed.get() if self.feed.exists() else ("", 0, self.first_part)
+        for batch in rows:
+            for n, text in zip(batch["part"].tolist(), batch["sequence"].tolist(), strict=True):
+                self.waiting.updateValue((n,), (text or "",))
+        while self.waiting.containsKey((part,)):
+            text = carry + self.waiting.getValue((part,))[0]
+            self.waiting.removeKey((part,))
+            for _, at, code in _scan(text, self.k):
+                if len(at):
+                    yield pd.DataFrame({"seq_id": np.full(len(at), key[0]), "pos": at + (pos - len(carry)), "code": code})
+            pos, part = pos + len(text) - len(carry), part + 1
+            carry = text[len(text) - min(len(text), self.k - 1) :]
+        self.feed.update((carry, pos, part))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_chunked_kmers(chunks: DataFrame, k: int, first_part: int = 0) -> DataFrame:
+    """seq_id, pos and code of the k-mers of a stream of chunks (seq_id, part, sequence), also of those across chunks.
+
+    Parts count on from ``first_part``; a chunk that arrives before its turn waits in the state, so the order of arrival
+    doesn't matter. A sequence's state is its last k - 1 characters, its place and what waits. Needs the RocksDB state
+    store, which this sets for the session unless it has another provider than Spark's default.
+    """
+    spark = chunks.sparkSession
+    conf = "spark.sql.streaming.stateStore.providerClass"
+    if "HDFSBacked" in spark.conf.get(conf):
+        spark.conf.set(conf, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return chunks.select("seq_id", "part", "sequence").groupBy("seq_id").transformWithStateInPandas(ChunkFeed(k, first_part), "seq_id long, pos long, code long", "Append", "None")
