@@ -18,12 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandlake.llm.blocks import BLOCK_ROWS, in_blocks, meet, shares, sound_vector, vectors_by_size
 from strandlake.llm.common import written
 
 #: Cells of a dimension.
 CELLS = 256
-#: Rows of a block and anchors of a part at 64 dimensions (fewer at more), and parts that one file is built for.
-BLOCK_ROWS, PART_ROWS, PARTS = 16_384, 512, 32
+#: Anchors of a part at 64 dimensions (fewer at more).
+PART_ROWS = 512
 #: Components are below this in the approximation file; rows with others are scored exactly, without bounds.
 SMALL = 1 << 24
 LONG = (1 << 63) - 1
@@ -139,68 +140,27 @@ class VectorFile:
         return out
 
 
-def _blob(table: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_table(table)
-    return sink.getvalue().to_pybytes()
-
-
-def _blocks(rows: DataFrame, n: int, by: str) -> DataFrame:
-    """``rows`` in ``n`` blocks, dealt by a hash of the column ``by``: block and the block's rows as bytes."""
-
-    def one(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([_blob(table.drop_columns(["block"]))], pa.binary())})
-
-    keyed = rows.withColumn("block", F.pmod(F.xxhash64(by), F.lit(n)).cast("long"))
-    return keyed.groupBy("block").applyInArrow(one, "block long, data binary")
-
+def _files(table: pa.Table) -> dict[int, VectorFile]:
+    """A file for each number of dimensions among the rows."""
+    ids, labels = (np.asarray(table.column(c).combine_chunks(), np.int64) for c in ("vec_id", "label"))
+    return {dim: VectorFile(ids[at], labels[at], [components(x) for x in v]) for dim, (at, v) in vectors_by_size(table).items()}
 
-def _meet(blocks: DataFrame, n_blocks: int, parts: DataFrame, n_parts: int, ask: Callable[[dict[int, VectorFile], dict], Iterator[tuple]], schema: str) -> DataFrame:
-    """What ``ask`` makes of each anchor and the files of a block, for all blocks and all parts of anchors.
 
-    A partition is one block and a lane of parts, the block first: its files are built once for up to ``PARTS`` parts.
-    """
-    cores = blocks.sparkSession.sparkContext.defaultParallelism
-    lanes = min(n_parts, max(math.ceil(n_parts / PARTS), math.ceil(cores / n_blocks)))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    left = blocks.select("block", each(lanes).alias("lane"), F.lit(-1).cast("long").alias("part"), "data")
-    right = parts.select(each(n_blocks).alias("to"), (F.col("block") % lanes).alias("lane"), F.col("block").alias("part"), "data").withColumnRenamed("to", "block")
-    met = left.unionByName(right).repartitionById(n_blocks * lanes, (F.col("block") * lanes + F.col("lane")).cast("int")).sortWithinPartitions("block", "lane", "part")
+def _asking(ask: Callable[[VectorFile, np.ndarray, dict], Iterator[tuple]], schema: str) -> Callable[[dict[int, VectorFile], pa.Table], Iterator[pa.RecordBatch]]:
+    """The rows of longs that ``ask`` makes of each anchor of a part and the file of its number of dimensions."""
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files: dict[int, VectorFile] = {}
-        for b in batches:
-            for part, data in zip(b.column("part").to_pylist(), b.column("data"), strict=True):
-                table = pa.ipc.open_stream(data.as_buffer()).read_all()
-                if part < 0:
-                    files = _files(table)
-                    continue
-                found = [row for anchor in table.to_pylist() for row in ask(files, anchor)]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names)
-
-    return met.mapInArrow(run, schema)
-
+    def run(files: dict[int, VectorFile], table: pa.Table) -> Iterator[pa.RecordBatch]:
+        found = [row for r in table.to_pylist() if len(r["v"]) in files for row in ask(files[len(r["v"])], components(np.array(r["v"], np.float64)), r)]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names)
 
-def _files(table: pa.Table) -> dict[int, VectorFile]:
-    """A file for each number of dimensions among the rows."""
-    ids, labels = (np.asarray(table.column(c).combine_chunks(), np.int64) for c in ("vec_id", "label"))
-    v = table.column("v").combine_chunks()
-    sizes, flat = np.asarray(v.value_lengths(), np.int64), np.asarray(v.flatten(), np.float64)
-    starts = np.cumsum(sizes) - sizes
-    out = {}
-    for dim in np.unique(sizes).tolist():
-        at = np.flatnonzero(sizes == dim)
-        out[dim] = VectorFile(ids[at], labels[at], [components(flat[s : s + dim]) for s in starts[at].tolist()])
-    return out
+    return run
 
 
 def sound(rows: DataFrame, relabel_every: int = 7, labels: int = 10) -> DataFrame:
     """vec_id, label and v of the rows that take part; every ``relabel_every``-th id has the next label."""
-    v = F.col("embedding").cast("array<double>")
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    v, fine = sound_vector()
     i, label = F.col("vec_id").cast("long"), F.col("label").cast("long")
     moved = F.when(i % relabel_every == 0, (label + 1) % labels).otherwise(label)
     return rows.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull()).select(i.alias("vec_id"), moved.alias("label"), v.alias("v")).filter(fine)
@@ -218,30 +178,29 @@ def hard_negatives(rows: DataFrame, anchors: DataFrame, positives: int = 5, nega
     spark = rows.sparkSession
     file = written(rows, "vectors")
     asked = written(anchors.select(F.monotonically_increasing_id().alias("anchor"), "vec_id", "label", "v"), "anchors")
-    total = lambda df: df.agg(F.coalesce(F.sum(F.greatest(F.size("v"), F.lit(64))), F.lit(0)).alias("n")).first()["n"] / 64
-    n_blocks, n_parts = max(1, math.ceil(total(file) / block_rows)), max(1, math.ceil(total(asked) / part_rows))
-    blocks = written(_blocks(file, n_blocks, "vec_id"), "vector-files")
+    n_blocks, n_parts = shares(file, block_rows), shares(asked, part_rows)
+    blocks = written(in_blocks(file, n_blocks, "vec_id"), "vector-files")
 
-    def near(files: dict[int, VectorFile], r: dict) -> Iterator[tuple]:
-        if (f := files.get(len(r["v"]))) is not None:
-            ids, scores = f.nearest(components(np.array(r["v"], np.float64)), r["vec_id"], r["label"], positives)
-            yield from ((r["anchor"], i, s) for i, s in zip(ids.tolist(), scores.tolist(), strict=True))
+    def near(f: VectorFile, query: np.ndarray, r: dict) -> Iterator[tuple]:
+        ids, scores = f.nearest(query, r["vec_id"], r["label"], positives)
+        yield from ((r["anchor"], i, s) for i, s in zip(ids.tolist(), scores.tolist(), strict=True))
 
-    found = _meet(blocks, n_blocks, _blocks(asked, n_parts, "anchor"), n_parts, near, "anchor long, positive_id long, positive_score long")
+    schema = "anchor long, positive_id long, positive_score long"
+    found = meet(blocks, n_blocks, in_blocks(asked, n_parts, "anchor"), n_parts, _files, _asking(near, schema), schema)
     best = Window.partitionBy("anchor").orderBy(F.desc("positive_score"), "positive_id")
     ranked = found.withColumn("no", F.row_number().over(best)).filter(F.col("no") <= positives)
     lists = ranked.groupBy("anchor").agg(F.sort_array(F.collect_list(F.struct("no", "positive_id", "positive_score"))).alias("p"))
     with_windows = written(asked.join(lists, "anchor").select(*asked.columns, F.transform("p", lambda x: x["no"].cast("long")).alias("no"), F.col("p.positive_id").alias("positive_id"), F.col("p.positive_score").alias("positive_score")), "anchors-with-positives")
 
-    def hard(files: dict[int, VectorFile], r: dict) -> Iterator[tuple]:
+    def hard(f: VectorFile, query: np.ndarray, r: dict) -> Iterator[tuple]:
         open_ = [(no, i, s, window(s)) for no, i, s in zip(r["no"], r["positive_id"], r["positive_score"], strict=True) if window(s)[0] <= window(s)[1]]
-        if open_ and (f := files.get(len(r["v"]))) is not None:
-            got = f.between(components(np.array(r["v"], np.float64)), r["label"], [w for *_, w in open_], negatives)
+        if open_:
+            got = f.between(query, r["label"], [w for *_, w in open_], negatives)
             for (no, i, s, _), (ids, scores) in zip(open_, got, strict=True):
                 yield from ((r["anchor"], no, r["vec_id"], i, s, n, t) for n, t in zip(ids.tolist(), scores.tolist(), strict=True))
 
     schema = "anchor long, no long, anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long"
-    held = _meet(blocks, n_blocks, _blocks(with_windows, n_parts, "anchor"), n_parts, hard, schema)
+    held = meet(blocks, n_blocks, in_blocks(with_windows, n_parts, "anchor"), n_parts, _files, _asking(hard, schema), schema)
     first = Window.partitionBy("anchor", "no").orderBy(F.desc("negative_score"), "negative_id")
     out = held.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= negatives)
     return out.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

@@ -1,11 +1,13 @@
 """Approximate nearest neighbours by collision counting (Huang et al., 2015), for the largest inner product.
 
 Vectors x of norm at most M become (x, sqrt(M^2 - |x|^2)) / M and a query q becomes (q, 0) / |q|: then the largest
-inner product is the smallest distance. A line is one random projection; a block of vectors keeps, per line, its
-projections in one sorted array. A query stands in the middle of a window on every line. Virtual rehashing widens all
-windows by a factor at a time and counts only what each widening adds; a vector whose count reaches the threshold is
-verified by its exact inner product, and widening stops by the distance of the k-th best verified vector. Equal vectors
-are one entry of a block. Queries travel to the blocks, an index is built once for up to PARTS parts of them.
+inner product is the smallest distance. A line is one random projection; an index keeps, per line, its projections in
+one sorted array. A query stands in the middle of a window on every line. Virtual rehashing widens all windows by a
+factor at a time and counts only what each widening adds; a vector whose count reaches the threshold is verified by its
+exact inner product, and widening stops by the distance of the k-th best verified vector. Equal vectors are one entry.
+A block of vectors has one index for each range of norms (a factor of two), so that a few long vectors don't press the
+others together; ranges that can't hold better ones are left out, few vectors are all verified. Queries travel to the
+blocks. All sizes are held as powers of two beside scaled vectors, so no finite vector over- or underflows.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import pack, written
+from strandlake.llm.blocks import BLOCK_ROWS, in_blocks, meet, shares, sound_vector, vectors_by_size
+from strandlake.llm.common import written
 
 #: Lines, share of them in which a vector must collide, first half-width over the median projection, and its factor.
 LINES, SHARE, FIRST, WIDER = 64, 0.75, 1.6, 1.1
@@ -26,28 +29,58 @@ LINES, SHARE, FIRST, WIDER = 64, 0.75, 1.6, 1.1
 #: vector: one at that distance collides in a line with probability erf(REACH / sqrt 2) = 0.81, so that it misses the
 #: threshold with 0.1, and nearer ones with less. Measured recall is in the README.
 REACH = 1.3
-#: Vectors of a block and queries of a part at 64 dimensions (fewer at more), and parts that one index is built for.
-BLOCK_ROWS, QUERY_ROWS, PARTS = 16_384, 1_024, 32
+#: Queries of a part at 64 dimensions (fewer at more), and vectors of a range of norms that are verified without an index.
+QUERY_ROWS, FEW = 1_024, 64
+
+
+def scaled(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors over a power of two that makes their largest component 0.5 to 1, its exponent, and log2 of their norm.
+
+    Powers of two change no digit: inner products of scaled vectors, scaled back, are those of the vectors.
+    """
+    _, e = np.frexp(np.abs(vectors).max(axis=1))
+    out = np.ldexp(vectors, -e[:, None])
+    return out, e, e + 0.5 * np.log2(np.einsum("ij,ij->i", out, out))
+
+
+#: Scores below this have lost digits or all of themselves to underflow.
+TINY = 2.0**-1000
 
 
 class CollisionIndex:
-    """One block's sorted projections, and its search."""
+    """The sorted projections of some vectors (none of them zero), and their search."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, norm: float, lines: int = LINES, seed: int = 7):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, lines: int = LINES, seed: int = 7):
         order = np.argsort(ids, kind="stable")
         ids, vectors = ids[order], vectors[order]
         _, first, which = np.unique(np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.dtype.itemsize * vectors.shape[1]))).ravel(), return_index=True, return_inverse=True)
-        self.vectors, self.norm, self.threshold = vectors[first], norm, max(1, int(SHARE * lines))
+        self.raw = vectors[first]
+        self.vectors, self.exponents, norms = scaled(self.raw)
+        self.threshold, self.top = max(1, int(SHARE * lines)), float(norms.max())
         by = np.argsort(which, kind="stable")
         self.ids, self.starts = ids[by], np.searchsorted(which[by], np.arange(len(first) + 1))
+        #: what makes a scaled vector one of norm 1 at most, the longest of 1
+        self.shrink = np.exp2(self.exponents - self.top)
+        if len(first) <= FEW:
+            return
         self.lines = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, lines))
-        lift = np.sqrt(np.maximum(0.0, 1.0 - np.einsum("ij,ij->i", self.vectors, self.vectors) / norm**2))
-        at = np.hstack([self.vectors / norm, lift[:, None]]) @ self.lines
+        unit = self.vectors * self.shrink[:, None]
+        lift = np.sqrt(np.maximum(0.0, 1.0 - np.einsum("ij,ij->i", unit, unit)))
+        at = np.hstack([unit, lift[:, None]]) @ self.lines
         self.order = np.argsort(at, axis=0, kind="stable").T.astype(np.intp, order="C")
         self.sorted = np.take_along_axis(at, self.order.T, axis=0).T.copy()
         self.room = np.empty(self.order.size, np.intp)
         self.width = float(np.median(np.abs(at))) * FIRST or 1e-3
 
+    def scores(self, at: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """The inner products in double precision; where partial sums leave the doubles, those of scaled vectors, scaled back."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            out = np.einsum("ij,j->i", self.raw[at], query)
+            if (odd := np.flatnonzero(~np.isfinite(out))).size:
+                small, e, _ = scaled(query[None])
+                out[odd] = np.ldexp(np.einsum("ij,j->i", self.vectors[at[odd]], small[0]), self.exponents[at[odd]] + e[0])
+        return out
+
     def windows(self, centres: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
         """For each query and line, where the window of half-width ``width`` begins and ends in the sorted array."""
         low = np.stack([np.searchsorted(s, c - width) for s, c in zip(self.sorted, centres.T, strict=True)], axis=1)
@@ -60,18 +93,22 @@ class CollisionIndex:
         size = int((b - a + d - c).sum())
         return np.concatenate([part for o, i, j, k, m in places for part in (o[i:j], o[k:m])], out=self.room[:size])
 
-    def candidates(self, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each query the entries that reached the threshold, and their exact scores, in the order of verification.
+    def candidates(self, queries: np.ndarray, k: int) -> Iterator[np.ndarray]:
+        """For each query the entries that reached the threshold, in that order.
 
         Windows widen by steps, the last one to REACH times the ``k``-th best distance so far, or hold the whole block.
         """
         n = len(self.vectors)
-        lengths = np.linalg.norm(queries, axis=1)
-        centres = (queries / lengths[:, None]) @ self.lines[:-1]
+        small, exponents, norms = scaled(queries)
+        unit = small * np.exp2(exponents - norms)[:, None]
+        if n <= FEW:
+            yield from [np.arange(n)] * len(queries)
+            return
+        centres = unit @ self.lines[:-1]
         middle = self.windows(centres, 0.0)[0]
         steps: list[tuple[np.ndarray, np.ndarray]] = []  # windows after each widening, for all queries
-        for q, query in enumerate(queries):
-            counts, new, found, scores = np.zeros(n, np.int64), np.ones(n, bool), [], []
+        for q, query in enumerate(small):
+            counts, new, found, products = np.zeros(n, np.int64), np.ones(n, bool), [], []
             step, width, goal = 0, self.width, math.inf
             low = high = middle[q]  # empty windows
             while True:
@@ -93,13 +130,13 @@ class CollisionIndex:
                 if len(reached):
                     new[reached] = False
                     found.append(reached)
-                    scores.append(np.einsum("ij,j->i", self.vectors[reached], query))
+                    products.append(np.einsum("ij,j->i", self.vectors[reached], query))
                     if sum(map(len, found)) >= k:
-                        kth = float(np.partition(np.concatenate(scores), -k)[-k])
+                        near = np.concatenate(products) * self.shrink[np.concatenate(found)] * np.exp2(exponents[q] - norms[q])
                         # of the lifted unit vectors: the squared distance is 2 - 2 <x, q> / (norm |q|)
-                        goal = REACH * math.sqrt(max(0.0, 2.0 - 2.0 * kth / (self.norm * lengths[q])))
+                        goal = REACH * math.sqrt(max(0.0, 2.0 - 2.0 * float(np.partition(near, -k)[-k])))
                 if goal <= width or not low.any() and (high == n).all():
-                    yield np.concatenate(found), np.concatenate(scores)
+                    yield np.concatenate(found)
                     break
                 step, width = step + 1, width * WIDER
 
@@ -107,7 +144,11 @@ class CollisionIndex:
         """Per query the ids and exact scores of the k best candidates, ties to the smaller id, without its own id."""
         out = []
         # its own entry may hold a query's own id alone, hence k + 1
-        for query_id, (found, scores) in zip(query_ids.tolist(), self.candidates(queries, k + 1), strict=True):
+        for query_id, query, found in zip(query_ids.tolist(), queries, self.candidates(queries, k + 1), strict=True):
+            scores = self.scores(found, query)
+            if not TINY < np.abs(scores).max() < np.inf and len(found) < len(self.raw):
+                found = np.arange(len(self.raw))  # distances say nothing about scores that all leave the doubles
+                scores = self.scores(found, query)
             best = np.argsort(-scores, kind="stable")
             by_score = scores[best]
             # k + 1 entries and those that tie with the last of them, each with its k + 1 smallest ids
@@ -121,69 +162,63 @@ class CollisionIndex:
         return out
 
 
-def _blocks(rows: DataFrame, name: str, n: int) -> DataFrame:
-    """``rows`` (vec_id, v) packed into ``n`` binary blocks, dealt by a hash of the id."""
+class NormRanges:
+    """The vectors of a block and one number of dimensions: an index for each factor of two of their norms, longest first."""
 
-    def one(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        ids = np.asarray(table.column("vec_id").combine_chunks())
-        flat = np.asarray(table.column("v").combine_chunks().flatten(), np.float64)
-        return pa.table({name: pa.array([key[0].as_py()], pa.int64()), f"{name}_ids": pa.array([pack(ids)], pa.binary()), f"{name}_data": pa.array([flat.tobytes()], pa.binary())})
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        norms = scaled(vectors)[2]
+        rank = np.floor(norms.max() - norms).astype(np.int64)
+        self.indexes = [CollisionIndex(ids[rank == r], vectors[rank == r]) for r in np.unique(rank).tolist()]
 
-    keyed = rows.withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("long"))
-    return keyed.groupBy(name).applyInArrow(one, f"{name} long, {name}_ids binary, {name}_data binary")
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per query the ids and exact scores of the k best found, ties to the smaller id, without its own id."""
+        norms = scaled(queries)[2]
+        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(query_ids)
+        kth = np.full(len(query_ids), -np.inf)  # log2 of the k-th best score, where it is positive and finite
+        for index in self.indexes:
+            todo = np.flatnonzero(kth <= index.top + norms + 1e-9)
+            for q, (ids, scores) in zip(todo.tolist(), index.search(query_ids[todo], queries[todo], k), strict=True):
+                ids, scores = np.concatenate([best[q][0], ids]), np.concatenate([best[q][1], scores])
+                top = np.lexsort([ids, -scores])[:k]
+                best[q] = ids[top], scores[top]
+                if len(top) == k and 0 < scores[top[-1]] < np.inf:
+                    kth[q] = np.log2(scores[top[-1]])
+        return best
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` largest inner products found for each query.
 
     Both tables have vec_id and an array column ``embedding``; a candidate of the query's own id doesn't count. Vectors
-    that are null, zero, hold null or non-finite components, or have another length than most take no part, nor does a
-    null vec_id. Repeated rows are candidates of their own. The queries are a stated set against all rows: blocks of
-    both sides meet pair by pair, each in bounded memory, and every pair yields its k best at most.
+    that are null, zero, or hold null or non-finite components take no part, nor does a null vec_id; vectors of
+    different lengths have no inner product and don't meet. Components may have any finite size: a score that leaves the
+    doubles is infinite or zero. Repeated rows are candidates of their own. The queries are a stated set against all
+    rows: blocks of both sides meet pair by pair, each in bounded memory, and every pair yields its k best at most.
     """
-    spark = vectors.sparkSession
 
     def sound(df: DataFrame) -> DataFrame:
-        v = F.col("embedding").cast("array<double>")
-        fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-        return df.filter(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(fine)
-
-    rows = written(sound(vectors), "vectors")
-    stats = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("norm")).orderBy(F.desc("n"), "dim").first()
-    schema = "query_id long, vec_id long, score double"
-    if stats is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, norm = stats["dim"], float(np.sqrt(stats["norm"]))
-    asked = sound(queries).filter(F.size("v") == dim)
-    thin = max(1.0, dim / 64)  # blocks of few dimensions are no longer than these, of many no larger
-    n_blocks, n_parts = max(1, math.ceil(stats["n"] * thin / block_rows)), max(1, math.ceil(asked.count() * thin / query_rows))
-    # an index serves a lane of parts; there are more lanes only where blocks alone would leave cores idle
-    cores = spark.sparkContext.defaultParallelism
-    lanes = min(n_parts, max(math.ceil(n_parts / PARTS), math.ceil(cores / n_blocks)))
-    left = written(_blocks(rows.filter(F.size("v") == dim), "block", n_blocks), "vector-blocks")
-    right = written(_blocks(asked, "part", n_parts), "query-blocks")
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    of_blocks = left.select("block", each(lanes).alias("lane"), F.lit(-1).cast("long").alias("part"), F.col("block_ids").alias("ids"), F.col("block_data").alias("data"))
-    of_parts = right.select(each(n_blocks).alias("block"), (F.col("part") % lanes).alias("lane"), "part", F.col("part_ids").alias("ids"), F.col("part_data").alias("data"))
-    # a partition is one block and its lane of parts, the block first
-    met = of_blocks.unionByName(of_parts).repartitionById(n_blocks * lanes, (F.col("block") * lanes + F.col("lane")).cast("int")).sortWithinPartitions("block", "lane", "part")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from strandlake.llm.common import unpack
-
-        index = None
-        for b in batches:
-            for r in range(b.num_rows):
-                ids = unpack(b.column("ids")[r].as_py(), np.int64)[0]
-                vectors = np.frombuffer(b.column("data")[r].as_buffer(), np.float64).reshape(-1, dim)
-                if b.column("part")[r].as_py() < 0:
-                    index = CollisionIndex(ids, vectors, norm)
-                elif index is not None:  # a hash may leave a block without vectors
-                    found = index.search(ids, vectors, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(f[0]) for f in found])), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], ["query_id", "vec_id", "score"])
-
+        v, fine = sound_vector()
+        return df.filter(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(fine & F.exists("v", lambda x: x != 0))
+
+    rows, asked = written(sound(vectors), "vectors"), sound(queries)
+    n_blocks, n_parts = shares(rows, block_rows), shares(asked, query_rows)
+    blocks = written(in_blocks(rows, n_blocks, "vec_id"), "vector-blocks")
+    parts = written(in_blocks(asked, n_parts, "vec_id"), "query-blocks")
+
+    def build(table: pa.Table) -> dict[int, NormRanges]:
+        ids = np.asarray(table.column("vec_id").combine_chunks(), np.int64)
+        return {dim: NormRanges(ids[at], v) for dim, (at, v) in vectors_by_size(table).items()}
+
+    def ask(ranges: dict[int, NormRanges], table: pa.Table) -> Iterator[pa.RecordBatch]:
+        all_ids = np.asarray(table.column("vec_id").combine_chunks(), np.int64)
+        for dim, (at, v) in vectors_by_size(table).items():
+            if dim in ranges:
+                ids = all_ids[at]
+                found = ranges[dim].search(ids, v, k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(f[0]) for f in found])), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], ["query_id", "vec_id", "score"])
+
+    found = meet(blocks, n_blocks, parts, n_parts, build, ask, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = met.mapInArrow(search, schema)
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

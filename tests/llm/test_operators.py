@@ -1,6 +1,7 @@
 """Each operator against brute force or its library, on texts with nulls, blanks, ties, repeats and odd columns."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -555,10 +556,10 @@ def test_neighbour_search_stops_by_distance():
     centres = rng.normal(size=(40, 32))
     x = centres[np.arange(4000) % 40] + 0.2 * rng.normal(size=(4000, 32))
     x *= rng.uniform(0.9, 1.0, size=(4000, 1))
-    index = neighbours.CollisionIndex(np.arange(4000), x, float(np.linalg.norm(x, axis=1).max()))
+    index = neighbours.CollisionIndex(np.arange(4000), x)
     asked, hits, judged = np.arange(0, 4000, 100), 0, 0
-    for found, scores in index.candidates(x[asked], 21):
-        assert len(set(found.tolist())) == len(found) == len(scores)
+    for found in index.candidates(x[asked], 21):
+        assert len(set(found.tolist())) == len(found)
         judged += len(found)
     assert judged < 0.1 * 4000 * len(asked)
     for q, (ids, scores) in zip(asked, index.search(asked, x[asked], 20), strict=True):
@@ -584,6 +585,71 @@ def test_neighbours_of_few_rows_in_blocks_of_any_size(spark, block_rows, query_r
     assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got) == sorted(want)
 
 
+def nearest_by_hand(rows, k, every=5):
+    """Exact sums as the nearest doubles; infinite beyond them."""
+    from fractions import Fraction
+
+    def product(v, w):
+        x = sum(Fraction(a) * Fraction(b) for a, b in zip(v, w))
+        try:
+            return float(x)
+        except OverflowError:
+            return math.inf if x > 0 else -math.inf
+
+    out = []
+    for q, v in rows:
+        if q % every == 0:
+            best = sorted((-product(v, w), i) for i, w in rows if i != q and len(w) == len(v))
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block_rows", [3, 1000])
+def test_neighbours_of_vectors_of_any_size(spark, block_rows):
+    rng = random.Random(6)
+    sizes = [1.0, 1e200, 1e-200, 1e308, 5e-324, 1e150, 2.0**-1074, 1e-160, 1e154]
+    rows = [(i, [rng.choice([1.0, -1.0, 0.5, 0.0]) * rng.choice(sizes) for _ in range(3)]) for i in range(70)]
+    rows = [(i, v) for i, v in rows if any(v)] + [(100, [1e200, 1e200, 0.0]), (101, [1e200, -1e200, 0.0]), (105, [1e200, 1e-200, 0.0]), (106, [0.0, 1.0, 0.0]), (110, [2.0]), (111, [3.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in neighbours.nearest(table, table.filter("vec_id % 5 = 0"), 6, block_rows, 4).collect())
+    assert got == nearest_by_hand(rows, 6)
+
+
+def test_neighbours_of_many_vectors_of_extreme_size():
+    """Indexes, not scans: all vectors times 1e200 or 1e-140, scores are brute force's; beyond the doubles ids decide."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 16))
+    usual = [f[0].tolist() for f in neighbours.NormRanges(np.arange(600), x).search(np.arange(30), x[:30], 10)]
+    for size in (2.0**500, 2.0**-400):
+        assert [f[0].tolist() for f in neighbours.NormRanges(np.arange(600), x * size).search(np.arange(30), x[:30] * size, 10)] == usual
+    for size, score in ((2.0**700, np.inf), (2.0**-700, 0.0)):
+        for q, (ids, scores) in enumerate(neighbours.NormRanges(np.arange(600), x * size).search(np.arange(30), x[:30] * size, 10)):
+            want = np.lexsort([np.arange(600), -np.where(x @ x[q] > 0, score, -score if score else 0.0)])
+            assert ids.tolist() == [i for i in want.tolist() if i != q][:10] and (scores == score).all()
+
+
+def test_one_long_vector_does_not_widen_the_search():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(4000, 16)) * np.repeat([1.0, 4.0], [3000, 1000])[:, None] * (1 + 0.2 * np.arange(4000)[:, None] % 2)
+    judged = []
+    for long in (1.0, 100.0):
+        y = x.copy()
+        y[17] *= long
+        asked = np.arange(0, 4000, 100)
+        ranges, counts = neighbours.NormRanges(np.arange(4000), y), []
+        for index in ranges.indexes:
+            search = index.candidates
+            index.candidates = lambda q, k, search=search: (counts.append(len(c)) or c for c in search(q, k))
+        hits = 0
+        for q, (ids, _) in zip(asked, ranges.search(asked, y[asked], 20), strict=True):
+            s = y @ y[q]
+            s[q] = -np.inf
+            hits += len(set(np.argsort(-s)[:20].tolist()) & set(ids.tolist()))
+        assert hits >= 0.9 * 20 * len(asked)
+        judged.append(sum(counts))
+    assert judged[1] < 1.2 * judged[0] < 0.5 * 4000 * len(asked)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
