@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import mix64, slices, written
-from strandlake.llm.places import keyed_text, numbered
+from strandlake.llm.places import keyed_text
 
 #: Documents of one source that a flight handles at a time, in the first round and in those that follow.
 BLOCK = 2_000
@@ -51,24 +51,15 @@ def word_counts(texts: pa.Array) -> np.ndarray:
 
 
 def document_sizes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size (the words of the text; null or empty: 0), a and h (the row's key) and salt.
-
-    Equal rows have one key; the salt numbers those that a worker gets at a time, so that many of them spread.
-    """
+    """doc_id, source, size (the words of the text; null or empty: 0), a and h (the row's key; equal rows share it)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            a, h = np.asarray(b.column("a")), np.asarray(b.column("h"))
-            at, _, _ = numbered(a, h)
-            order = np.argsort(at, kind="stable")
-            first = np.searchsorted(at[order], at[order])
-            salt = np.empty(len(at), np.int64)
-            salt[order] = np.arange(len(at)) - first
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(word_counts(b.column("text"))), b.column("a"), b.column("h"), pa.array(salt)], ["doc_id", "source", "size", "a", "h", "salt"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(word_counts(b.column("text"))), b.column("a"), b.column("h")], ["doc_id", "source", "size", "a", "h"])
 
     source = (F.col(source_col) if source_col in docs.columns else F.lit(None)).cast("string")
     rows = keyed_text(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), source.alias("source")), keep=["source"])
-    return rows.mapInArrow(count, "doc_id long, source string, size long, a long, h long, salt long")
+    return rows.mapInArrow(count, "doc_id long, source string, size long, a long, h long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: float = 3.0) -> DataFrame:
@@ -228,7 +219,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: floa
 
     A null text has size 0, a null source is a source of its own (the last). Rows without a doc_id and rows that repeat
     one are units of their own. A source without words keeps target 0 and takes none. An empty table gives an empty one.
-    The draws depend on the rows and ``seed`` only, so reruns agree; of equal rows any may be the one that is taken.
+    Equal rows are numbered over the whole table, each a unit of its own, so the draws depend on the rows and ``seed`` only,
+    not on files or batches: reruns agree, also over another layout. Of equal rows any may be the one that is taken.
     """
     sizes = written(document_sizes(docs, text_col, id_col, source_col), "sizes")
     targets = source_targets(sizes, weights, cap)
@@ -237,7 +229,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: floa
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(cap))).otherwise(0.0)
     whole = F.floor(F.col("rate") + EPS)
     t = written(t.withColumn("rate", rate).withColumn("base", whole.cast("long")).withColumn("p", F.greatest(F.col("rate") - whole, F.lit(0.0))), "source-rates")
-    rows = sizes.join(t, F.col("source").eqNullSafe(F.col("t_source")))
+    alike = sizes.groupBy("source", "doc_id", "size", "a", "h").agg(F.count("*").alias("m"))
+    units = alike.withColumn("salt", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m")))).drop("m")
+    rows = units.join(t, F.col("source").eqNullSafe(F.col("t_source")))
     flown = cube_sample(rows.select("source", "doc_id", "size", "p", "n", "a", "h", F.xxhash64("a", "h", "salt").alias("key")), seed, block)
     out = flown.join(t.select("t_source", "source_size", "target", "base"), F.col("source").eqNullSafe(F.col("t_source")))
     copies = F.col("base") + F.col("take")

@@ -585,6 +585,23 @@ def test_neighbours_of_few_rows_in_blocks_of_any_size(spark, block_rows, query_r
     assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got) == sorted(want)
 
 
+@pytest.mark.parametrize("block", [12, 60, 2000])
+def test_mix_does_not_depend_on_the_layout(spark, block):
+    """Many repeated rows, in four layouts of files and batches."""
+    rng = random.Random(block)
+    rows = [(i if i % 9 else None, "w " * rng.randint(1, 30), f"s{i % 4}" if i % 11 else None) for i in range(200)]
+    rows += [(7, "one text many times", "s1")] * 340 + [(None, "no id", "s2")] * 60 + rows[:40] * 3
+    results, usual = [], spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n, batch in ((1, 10), (1, 10_000), (7, 33), (3, 1)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+            table = spark.createDataFrame(rng.sample(rows, len(rows)), "doc_id long, text string, source string").repartition(n)
+            results.append(sorted(map(str, mixing.mix(table, block=block).collect())))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", usual)
+    assert len(results[0]) == len(rows) and all(r == results[0] for r in results)
+
+
 def nearest_by_hand(rows, k, every=5):
     """Exact sums as the nearest doubles; infinite beyond them."""
     from fractions import Fraction
