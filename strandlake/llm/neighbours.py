@@ -59,14 +59,13 @@ class CollisionIndex:
         self.threshold, self.top = max(1, int(SHARE * lines)), float(norms.max())
         by = np.argsort(which, kind="stable")
         self.ids, self.starts = ids[by], np.searchsorted(which[by], np.arange(len(first) + 1))
-        #: what makes a scaled vector one of norm 1 at most, the longest of 1
-        self.shrink = np.exp2(self.exponents - self.top)
+        #: vectors of norm 1 at most, the longest of 1
+        self.unit = self.vectors * np.exp2(self.exponents - self.top)[:, None]
         if len(first) <= FEW:
             return
         self.lines = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, lines))
-        unit = self.vectors * self.shrink[:, None]
-        lift = np.sqrt(np.maximum(0.0, 1.0 - np.einsum("ij,ij->i", unit, unit)))
-        at = np.hstack([unit, lift[:, None]]) @ self.lines
+        lift = np.sqrt(np.maximum(0.0, 1.0 - np.einsum("ij,ij->i", self.unit, self.unit)))
+        at = np.hstack([self.unit, lift[:, None]]) @ self.lines
         self.order = np.argsort(at, axis=0, kind="stable").T.astype(np.intp, order="C")
         self.sorted = np.take_along_axis(at, self.order.T, axis=0).T.copy()
         self.room = np.empty(self.order.size, np.intp)
@@ -93,8 +92,8 @@ class CollisionIndex:
         size = int((b - a + d - c).sum())
         return np.concatenate([part for o, i, j, k, m in places for part in (o[i:j], o[k:m])], out=self.room[:size])
 
-    def candidates(self, queries: np.ndarray, k: int) -> Iterator[np.ndarray]:
-        """For each query the entries that reached the threshold, in that order.
+    def candidates(self, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query the entries that reached the threshold, in that order, and their products with the query, both of norm 1 at most.
 
         Windows widen by steps, the last one to REACH times the ``k``-th best distance so far, or hold the whole block.
         """
@@ -102,12 +101,12 @@ class CollisionIndex:
         small, exponents, norms = scaled(queries)
         unit = small * np.exp2(exponents - norms)[:, None]
         if n <= FEW:
-            yield from [np.arange(n)] * len(queries)
+            yield from ((np.arange(n), self.unit @ q) for q in unit)
             return
         centres = unit @ self.lines[:-1]
         middle = self.windows(centres, 0.0)[0]
         steps: list[tuple[np.ndarray, np.ndarray]] = []  # windows after each widening, for all queries
-        for q, query in enumerate(small):
+        for q, query in enumerate(unit):
             counts, new, found, products = np.zeros(n, np.int64), np.ones(n, bool), [], []
             step, width, goal = 0, self.width, math.inf
             low = high = middle[q]  # empty windows
@@ -130,13 +129,12 @@ class CollisionIndex:
                 if len(reached):
                     new[reached] = False
                     found.append(reached)
-                    products.append(np.einsum("ij,j->i", self.vectors[reached], query))
+                    products.append(self.unit[reached] @ query)
                     if sum(map(len, found)) >= k:
-                        near = np.concatenate(products) * self.shrink[np.concatenate(found)] * np.exp2(exponents[q] - norms[q])
                         # of the lifted unit vectors: the squared distance is 2 - 2 <x, q> / (norm |q|)
-                        goal = REACH * math.sqrt(max(0.0, 2.0 - 2.0 * float(np.partition(near, -k)[-k])))
+                        goal = REACH * math.sqrt(max(0.0, 2.0 - 2.0 * float(np.partition(np.concatenate(products), -k)[-k])))
                 if goal <= width or not low.any() and (high == n).all():
-                    yield np.concatenate(found)
+                    yield np.concatenate(found), np.concatenate(products)
                     break
                 step, width = step + 1, width * WIDER
 
@@ -144,7 +142,9 @@ class CollisionIndex:
         """Per query the ids and exact scores of the k best candidates, ties to the smaller id, without its own id."""
         out = []
         # its own entry may hold a query's own id alone, hence k + 1
-        for query_id, query, found in zip(query_ids.tolist(), queries, self.candidates(queries, k + 1), strict=True):
+        for query_id, query, (found, near) in zip(query_ids.tolist(), queries, self.candidates(queries, k + 1), strict=True):
+            if len(found) > k + 1:  # those that rounding can't keep out are scored exactly
+                found = found[near >= np.partition(near, -(k + 1))[-(k + 1)] - 1e-9]
             scores = self.scores(found, query)
             if not TINY < np.abs(scores).max() < np.inf and len(found) < len(self.raw):
                 found = np.arange(len(self.raw))  # distances say nothing about scores that all leave the doubles

@@ -558,8 +558,8 @@ def test_neighbour_search_stops_by_distance():
     x *= rng.uniform(0.9, 1.0, size=(4000, 1))
     index = neighbours.CollisionIndex(np.arange(4000), x)
     asked, hits, judged = np.arange(0, 4000, 100), 0, 0
-    for found in index.candidates(x[asked], 21):
-        assert len(set(found.tolist())) == len(found)
+    for found, products in index.candidates(x[asked], 21):
+        assert len(set(found.tolist())) == len(found) == len(products)
         judged += len(found)
     assert judged < 0.1 * 4000 * len(asked)
     for q, (ids, scores) in zip(asked, index.search(asked, x[asked], 20), strict=True):
@@ -656,7 +656,7 @@ def test_one_long_vector_does_not_widen_the_search():
         ranges, counts = neighbours.NormRanges(np.arange(4000), y), []
         for index in ranges.indexes:
             search = index.candidates
-            index.candidates = lambda q, k, search=search: (counts.append(len(c)) or c for c in search(q, k))
+            index.candidates = lambda q, k, search=search: (counts.append(len(c[0])) or c for c in search(q, k))
         hits = 0
         for q, (ids, _) in zip(asked, ranges.search(asked, y[asked], 20), strict=True):
             s = y @ y[q]
