@@ -2,8 +2,8 @@
 
 Everything on the rows is DataFrame functions. A candidate is a private key block, the value of an assignment (after
 a key word whatever its characters), the password of an address, or a run of key characters with a digit or a known
-prefix in it, of any length; the text around it gives its neighbouring words. One pass of the expression marks the
-candidates, the text is split at the marks, and every candidate becomes a row with its place and surroundings, so a text
+prefix in it, of any length; the text around it gives its neighbouring words. Three passes mark where values begin, one
+more marks the candidates, the text is split at the marks, and every candidate becomes a row with its place and surroundings, so a text
 costs as much as it is long. A forest, grown on the driver from a bounded table of labelled findings, is compiled to a
 column expression over measures of the candidate: its length, transitions between kinds of characters, coverage by
 dictionary words, the path it stands in and the words around it.
@@ -21,21 +21,32 @@ from pyspark.sql import functions as F
 from strandlake.llm.common import written
 
 #: Labelled findings that training reads at most: those of the smallest hashes.
-TRAIN_FINDINGS = 3_000
+TRAIN_FINDINGS = 3_600
 TREES, DEPTH, LEAST = 15, 6, 3
 #: Characters of a candidate, and how much of the text before and after it counts as neighbouring.
 KEY = r"A-Za-z0-9+/_.\-"
 PREFIXES = "AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|sk-|AIza|eyJ|npm_|pypi-"
-WORDS = "key|token|secret|passw|pwd|auth|bearer|credential|private|signature"
+WORDS = "key|token|secret|passw|passphrase|pass(?![a-z])|(?<![a-z])pw(?![a-z])|pwd|auth|bearer|credential|private|signature"
+#: What may stand between a key word and the = or : after it, and those.
+GAP, SET = r"\w \t\"'.\-\]", r"(?::=|=>|[=:])"
+# Contexts of values. Each is marked by a control character where the value begins, in a pass over the text of its own;
+# so names, gaps, blanks and users may be of any length, and what stands in them can be a candidate as well.
+#: A run of gap characters with a key word in it, then = or : and what may open a value.
+KEYED = rf"""(?<![{GAP}])(?=[{GAP}]*?(?i:{WORDS}))[{GAP}]*+{SET}[ \t]*+["']?"""
+#: Another name and =, a quoted name and : before a quoted value, or a scheme of authorization.
+NAMED = rf"""(?<=\w)["'\]]?[ \t]*+(?::=|=>|=)[ \t]*+["']?|(?<=\w)["'][ \t]*+:[ \t]*+["'](?=[^\s"'])|(?<!\w)(?i:bearer|basic)[ \t]++"""
+#: The scheme and user of an address whose password follows.
+USER = r"""://[^\s/@:"']*+:(?=[^\s/@"']++@[\w\[])"""
+_KEY_MARK, _NAME_MARK, _USER_MARK = "\x04", "\x05", "\x06"
+_MARKS = _KEY_MARK + _NAME_MARK
 #: A private key up to its END line, headers included, not past the BEGIN line of another.
-BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----[^-]*+(?:(?!-----(?:BEGIN|END) )-[^-]*+){0,200}+-----END [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
+BLOCK = r"-----BEGIN [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----[^-]*+(?:(?!-----(?:BEGIN|END) )-[^-]*+)*+-----END [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----"
 #: A value up to its closing quote, or else up to white space, a quote that ends it, the next field of an address or a tag.
-QUOTED = r"""(?<=")[^"\n]++(?=")|(?<=')[^'\n]++(?=')"""
-BARE = r"""[^\s"'&<][^\s"'&<]*+(?:(?:&(?!\w{1,30}=)|<(?!/)|["'](?=[A-Za-z0-9]))[^\s"'&<]*+){0,100}+"""
-#: After a key word and = or :, after another name and =, or after a scheme of authorization.
-ASSIGNED = rf"""(?<=[=: \t"'])(?:(?<=[=:][ \t]{{0,2}}["']?)(?:(?<=(?i:{WORDS})[\w \t"'.\-\]]{{0,16}}[=:][ \t]{{0,2}}["']?)|(?<=\w["'\]]?[ \t]?=[ \t]{{0,2}}["']?)|(?<=\w["'][ \t]?:[ \t]{{0,2}}["'])(?=[^\s"']{{8}}))|(?<=(?i:bearer|basic)[ \t])(?=\S{{16}}))(?!(?i:bearer|basic)[ \t]\S)(?:{QUOTED}|{BARE})"""
-#: The password of an address: after a scheme and a user, up to the last @ before the host.
-ADDRESS = r"""(?<=:)(?<=://[\w.+%\-]{0,40}:)[^\s/@"']++(?=@[\w\[])"""
+QUOTED = rf"""(?<="[{_MARKS}]{{1,4}})[^"\n]++(?=")|(?<='[{_MARKS}]{{1,4}})[^'\n]++(?=')"""
+BARE = r"""[^\s"'&<](?:[^\s"'&<]|&(?!\w{1,30}=)|<(?!/)|["'](?=[A-Za-z0-9]))*+"""
+ASSIGNED = rf"(?<=[{_MARKS}])(?![{_MARKS}])(?!(?i:bearer|basic)[ \t]\S)(?:{QUOTED}|{BARE})"
+#: The password of an address, up to the last @ before the host.
+ADDRESS = rf"""(?<={_USER_MARK})[^\s/@"']++(?=@[\w\[])"""
 CANDIDATE = rf"{BLOCK}|{ADDRESS}|{ASSIGNED}|(?<![{KEY}])(?:{PREFIXES})[{KEY}]++={{0,2}}|(?<![{KEY}])[A-Za-z+/_.\-]*+[0-9][{KEY}]*+={{0,2}}"
 #: Characters at the end of a candidate that belong to the sentence or the code around it.
 CLOSING = r"[,;:)\]}>]+$"
@@ -49,7 +60,7 @@ DICTIONARY = (
 ).split()
 
 # The measures by name; a tree's splits refer to their order.
-FEATURES = ["length", "transitions", "changes", "distinct", "digits", "uppers", "hex", "dictionary", "separators", "dots", "slashes", "longest_letters", "longest_digits", "in_path", "after_at", "word_key", "word_hash", "assigned", "quoted", "prefix"]
+FEATURES = ["length", "transitions", "changes", "distinct", "digits", "uppers", "hex", "dictionary", "separators", "dots", "slashes", "longest_letters", "longest_digits", "in_path", "after_at", "word_key", "word_hash", "assigned", "quoted", "prefix", "keyed"]
 
 
 def _runs(c: Column) -> Column:
@@ -61,8 +72,9 @@ def _share(c: Column, pattern: str) -> Column:
     return 1.0 - F.length(F.regexp_replace(c, pattern, "")) / F.greatest(F.length(c), F.lit(1))
 
 
-def measures(before: Column, value: Column, after: Column) -> Column:
-    """The array of measures, in the order of FEATURES."""
+def measures(before: Column, value: Column, after: Column, keyed: Column | None = None) -> Column:
+    """The array of measures, in the order of FEATURES; ``keyed``: whether a key word and = or :, or an address's user, precede (else ``before`` tells)."""
+    keyed = before.rlike(rf"""(?i)({WORDS})[{GAP}]*{SET}[ \t]*["']?$|://[^\s/@:"']*:$""") if keyed is None else keyed
     low, high, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     kinds = F.translate(value, low + high + digit, "a" * 26 + "A" * 26 + "0" * 10)
     n = F.greatest(F.length(value), F.lit(1))
@@ -82,13 +94,14 @@ def measures(before: Column, value: Column, after: Column) -> Column:
         _share(value, "/"),
         F.array_max(F.transform(F.split(value, "[^A-Za-z]+"), lambda x: F.length(x))),
         F.array_max(F.transform(F.split(value, "[^0-9]+"), lambda x: F.length(x))),
-        flag(before.rlike(r"(://|[?&/\\@])[^\s]*$") | value.rlike("^/|://")),
+        flag(before.rlike(r"(://|[?&/\\@])[^\s]*$") | value.rlike("^/|://") | keyed & after.rlike("^@")),
         flag(after.rlike("^@") | before.rlike(r"@$")),
         flag(before.rlike(rf"(?i)({WORDS})[^\n]{{0,16}}$")),
-        flag(before.rlike(r"(?i)(sha|md5|hash|digest|checksum|commit|uuid|guid|version|revision|build|serial|isbn|etag|phone|tel|card|ip|address|order|id)[^a-zA-Z\n]{0,6}$")),
+        flag(before.rlike(r"(?i)(sha|md5|hash|digest|checksum|integrity|commit|uuid|guid|version|revision|build|serial|isbn|etag|phone|tel|card|ip|address|order|id)[^a-zA-Z\n]{0,6}$")),
         flag(before.rlike(r"[=:]\s?['\"]?$")),
         flag(before.rlike(r"['\"]$") & after.rlike(r"^['\"]")),
         flag(value.rlike(f"^({PREFIXES}|-----BEGIN)")),
+        flag(keyed),
     ]
     return F.array(*[r.cast("double") for r in rows])
 
@@ -154,7 +167,7 @@ class Forest:
         return sum(t.value(x) for t in self.trees) / len(self.trees)
 
 
-def example_findings(spark: SparkSession, n: int = 3_000) -> DataFrame:
+def example_findings(spark: SparkSession, n: int = 3_600) -> DataFrame:
     """Labelled findings (before, value, after, label) made by rule: secrets of common forms, and what looks like them."""
     i = F.col("id")
     h = lambda k, m: F.sha2(F.concat_ws("-", i, F.lit(k)), 256).substr(1, m)
@@ -224,6 +237,8 @@ def example_findings(spark: SparkSession, n: int = 3_000) -> DataFrame:
         (address, mixed("a1", 14), F.lit("@db.example.com"), 1),
         (address, coined, F.lit("@10.0.0.5:5432"), 1),
         (address, h("a2", 9), F.lit("@host/name"), 1),
+        (address, F.concat(one("a5", "correct", "horse", "battery", "staple", "purple", "", "monkey"), one("a6", "dragon", "winter", "velvet", "copper", "rocket", "tulip", "hunter")), one("a7", "@db.example.com/x", "@h", "@10.0.0.5:5432"), 1),
+        (address, F.lower(letters("a8", 10)), one("a7", "@db.example.com/x", "@h", "@10.0.0.5:5432"), 1),
         (address, F.concat(letters("a3", 6), one("a4", "!", "1", "99")), F.lit("@cache.local"), 1),
         (named, F.concat_ws("-", *[one(f"b{k}", "correct", "horse", "battery", "staple", "purple", "monkey", "dragon", "winter", "velvet", "copper", "rocket", "tulip") for k in range(4)]), closing, 1),
         (F.concat(word, one("q1", "password=", "pwd=", "passwd: ", "password = \"", "pwd='")), F.concat(letters("b5", 4), number("b6", 99)), one("q2", "\"", "'", " "), 1),
@@ -238,6 +253,31 @@ def example_findings(spark: SparkSession, n: int = 3_000) -> DataFrame:
         (blank, one("bG", "a", "btn", "1", "12", "en", "utf-8", "x1", "main", "100%"), shut, 0),
         (F.concat(word, one("bH", "http", "https", "ftp"), F.lit("://www.example.com:")), number("bI", 9999).cast("string"), F.lit("/index"), 0),
     ]
+    secret_name = one("c1", "password", "passwd", "pwd", "pass", "secret", "db_password", "passphrase", "admin_password")
+    open_value = F.concat(word, F.concat(one("c2", "", "", "\"", "'"), secret_name, one("c3", "", "", "\"", "'")), one("c4", " = \"", "=\"", ": \"", ":\"", " => \"", " := \""))
+    short = one("c5", "hunter", "hunter2", "letmein", "dragon", "swordfish", "trustno1", "qwerty", "sunshine", "tulip", "rosebud")
+    long_name = F.concat(word, one("d1", "password", "token", "secret", "api_key"), one("d2", "_for_the_production_database", "_of_the_billing_service_account", " of the old mail server", "_value_in_staging"), one("d3", " = ", "=", ": ", "   =   ", " = \""))
+    scheme = F.concat(word, one("e1", "bearer", "Bearer", "basic", "Basic", "BASIC"), F.lit(" "))
+    field = F.concat(word, one("f1", "{\"name\": \"", "\"title\":\"", "\"type\": \"", "\"city\":\"", "\"lang\": \"", "label=\"", "\"status\":\"", "'role': '"))
+    kinds += [
+        (open_value, short, F.lit('"'), 1),
+        (open_value, F.concat(letters("c6", 3), one("c7", "!", "#", "@", "$", "-"), letters("c8", 3)), F.lit('"'), 1),
+        (open_value, F.concat(F.lower(letters("c9", 6)), one("cA", "", "1", "!")), F.lit('"'), 1),
+        (open_value, one("cB", "", "*****", "<password>", "your password here", "not set", "none", "null", "changed last week", "{password}", "xxxx", "required", "optional"), F.lit('"'), 0),
+        (long_name, letters("d4", 20), one("d5", " ", "\"", "\n"), 1),
+        (long_name, h("d6", 24), one("d5", " ", "\"", "\n"), 1),
+        (long_name, coined, one("d5", " ", "\"", "\n"), 1),
+        (long_name, prose("d7"), one("d8", " ", ".", "\n"), 0),
+        (asking, F.concat(F.lower(letters("g1", 5)), one("g2", "", "s", "ing", "ed")), one("g3", " ", ".", ",", "\n"), 0),
+        (F.concat(word, one("g4", "the secrets of success: ", "tokens of thanks: ", "the key of all this: ", "the author says: ", "private letters: ", "signature of the mayor: ")), F.concat(F.lower(letters("g5", 6)), one("g2", "", "s", "ing", "ed")), one("g3", " ", ".", ",", "\n"), 0),
+        (scheme, mixed("e2", 12), one("e3", " ", "\n", "\""), 1),
+        (scheme, F.concat(F.translate(F.base64(F.encode(F.concat(one("e4", "user", "admin", "bo"), F.lit(":"), letters("e5", 5)), "UTF-8")), "\n", "")), one("e3", " ", "\n", "\""), 1),
+        (scheme, prose("e6"), one("e7", " ", ".", ",", "\n"), 0),
+        (scheme, one("e8", "of", "English", "training", "rights", "needs", "and", "income", "research", "knowledge", "the", "bonds", "plan"), one("e7", " ", ".", ",", "\n"), 0),
+        (field, prose("f2"), one("f3", "\"", "'"), 0),
+        (field, one("f4", "Bob", "en", "open", "draft", "Paris", "left", "active", "main", "a-b", "v2", "item1", "Ana!", "ok"), one("f3", "\"", "'"), 0),
+        (F.concat(word, one("f5", "\"dbpass\":\"", "\"db_pw\": \"", "\"dbpass\": \"", "smtp_pass=\"")), F.concat(letters("f6", 5), one("f7", "!", "#", "7", "")), F.lit('"'), 1),
+    ]
     parts = []
     for at in range(0, len(kinds), 10):  # by parts, which Java methods can hold
         cases = F.array(*[F.struct(b.alias("before"), v.alias("value"), a.alias("after"), F.lit(y).alias("label")) for b, v, a, y in kinds[at : at + 10]])
@@ -273,15 +313,20 @@ def _starts(lengths: Column, block: int = 256) -> Column:
 
 
 def candidates(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """A row per candidate: the columns ``keep``, __start (characters from 0), __value, __before and __after.
+    """A row per candidate: the columns ``keep``, __start (characters from 0), __value, __before, __after and __keyed.
 
-    The control characters 1 and 2, which mark candidates meanwhile, count as the control character 3.
+    ``__keyed`` says whether a key word and = or :, or the user of an address, precede. The control characters 1, 2 and 4 to 6, which mark candidates and
+    their contexts meanwhile, count as the control character 3. Every pass is linear in the text.
     """
-    mark, end = "\x01", "\x02"
+    mark, end, contexts = "\x01", "\x02", _MARKS + _USER_MARK
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(*keep, text.alias("__text"))
-    marked = F.regexp_replace(F.translate("__text", mark + end, "\x03\x03"), CANDIDATE, f"{mark}$0{end}")
-    rows = _once(rows, "__parts", F.split(marked, mark)).filter(F.size("__parts") > 1)
+    marked = F.translate("__text", mark + end + contexts, "\x03" * 5)
+    for context, sign in ((KEYED, _KEY_MARK), (NAMED, _NAME_MARK), (USER, _USER_MARK)):
+        marked = F.regexp_replace(marked, context, f"$0{sign}")
+    marked = F.regexp_replace(marked, CANDIDATE, f"{mark}$0{end}")
+    rows = _once(rows, "__signed", F.split(marked, mark)).filter(F.size("__signed") > 1)
+    rows = _once(rows, "__parts", F.transform("__signed", lambda p: F.translate(p, contexts, "")))
     parts = F.col("__parts")
     rows = _once(rows, "__at", _starts(F.transform(parts, lambda p, i: F.length(p) - F.when(i > 0, 1).otherwise(0))))
 
@@ -291,7 +336,7 @@ def candidates(docs: DataFrame, keep: list[str], text_col: str = "text") -> Data
         head = lambda k, n: F.translate(F.left(piece(k), n + 1), end, "")
         before = F.concat(*[F.right(F.translate(F.right(piece(i - k), F.lit(BEFORE + 1)), end, ""), F.lit(BEFORE)) for k in range(PARTS, 0, -1)])
         after = F.concat(F.substr(head(i, F.length(value) + AFTER), F.length(value) + 1), head(i + 1, F.lit(AFTER)), head(i + 2, F.lit(AFTER)))
-        return F.struct(F.get(F.col("__at"), i).alias("__start"), value.alias("__value"), F.right(before, F.lit(BEFORE)).alias("__before"), F.left(after, F.lit(AFTER)).alias("__after"))
+        return F.struct(F.get(F.col("__at"), i).alias("__start"), value.alias("__value"), F.right(before, F.lit(BEFORE)).alias("__before"), F.left(after, F.lit(AFTER)).alias("__after"), F.right(F.get(F.col("__signed"), i - 1), F.lit(1)).isin(_KEY_MARK, _USER_MARK).alias("__keyed"))
 
     found = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), cut)
     return rows.select(*keep, F.inline(found)).filter("__value <> ''")
@@ -299,7 +344,7 @@ def candidates(docs: DataFrame, keep: list[str], text_col: str = "text") -> Data
 
 def judged(docs: DataFrame, forest: Forest, keep: list[str], text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The candidates that the forest keeps: the columns ``keep``, __start, __value and __score."""
-    rows = _once(candidates(docs, keep, text_col), "__x", measures(F.col("__before"), F.col("__value"), F.col("__after")))
+    rows = _once(candidates(docs, keep, text_col), "__x", measures(F.col("__before"), F.col("__value"), F.col("__after"), F.col("__keyed")))
     rows = _once(rows, "__score", forest.column(F.col("__x")))
     return rows.filter(F.col("__score") >= least).select(*keep, "__start", "__value", "__score")
 

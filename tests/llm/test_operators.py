@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -477,31 +478,166 @@ def test_short_and_address_secrets_and_look_alikes(spark):
     assert sorted((r.doc_id, r.start, r.secret_sha256) for r in found) == want
 
 
+KEY_WORDS = ("key", "token", "secret", "passw", "passphrase", "pass(?![a-z])", "(?<![a-z])pw(?![a-z])", "pwd", "auth", "bearer", "credential", "private", "signature")
+
+
+def values_by_hand(text):
+    """Where values begin, by walking back from each place: {place: after a key word}, and places of address passwords."""
+    word = lambda c: c.isascii() and (c.isalnum() or c == "_")
+    gap = lambda c: word(c) or c in " \t\"'.-]"
+    begins, users = {}, set()
+    for p in range(len(text)):
+        if text[p] in "=:":
+            if text[p] == "=" and text[p - 1 : p] == ":" and p:
+                continue  # := counts from its colon
+            z = p + 1 + (text[p : p + 2] in (":=", "=>"))
+            a = p
+            while a and gap(text[a - 1]):
+                a -= 1
+            keyed = any(re.search(k, text[a : p + 1].lower()) for k in KEY_WORDS)
+            b = p
+            while b and text[b - 1] in " \t":
+                b -= 1
+            if b and text[b - 1] in "\"']":
+                b -= 1
+            named = (text[p] == "=" or text[p : p + 2] == ":=") and b > 0 and word(text[b - 1])
+            quoted_name = text[p] == ":" and b < p and text[b] in "\"'" and b > 0 and word(text[b - 1])
+            while z < len(text) and text[z] in " \t":
+                z += 1
+            opened = z < len(text) and text[z] in "\"'"
+            z += opened
+            if quoted_name and not named:
+                named = opened and z < len(text) and not text[z].isspace() and text[z] not in "\"'"
+            if keyed or named:
+                begins[z] = begins.get(z, False) or keyed
+        for scheme in ("bearer", "basic"):
+            if text[p : p + len(scheme)].lower() == scheme and not (p and word(text[p - 1])):
+                z = p + len(scheme)
+                while z < len(text) and text[z] in " \t":
+                    z += 1
+                if z > p + len(scheme):
+                    begins.setdefault(z, False)
+        if text[p : p + 3] == "://":
+            z = p + 3
+            while z < len(text) and text[z] not in "/@:\"'" and not text[z].isspace():
+                z += 1
+            if text[z : z + 1] == ":":
+                users.add(z + 1)
+    return begins, users
+
+
+def candidates_by_hand(text):
+    """(start, value, keyed) of the candidates from left to right."""
+    key = lambda c: c.isascii() and c.isalnum() or c in "+/_.-" and c != ""
+    begins, users = values_by_hand(text)
+    out, p = [], 0
+    while p < len(text):
+        end = 0
+        m = re.compile(r"-----BEGIN [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----").match(text, p)
+        if m and (close := re.compile(r"-----(BEGIN |END )").search(text, m.end())) and close[1] == "END ":
+            tail = re.compile(r"-----END [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----").match(text, close.start())
+            end = tail.end() if tail else 0
+        if not end and p in users:
+            z = p
+            while z < len(text) and text[z] not in "/@\"'" and not text[z].isspace():
+                z += 1
+            end = z if z > p and text[z : z + 1] == "@" and re.match(r"[A-Za-z0-9_\[]", text[z + 1 : z + 2]) else 0
+        if not end and p in begins and not re.match(r"(?i)(bearer|basic)[ \t]\S", text[p : p + 8]):
+            q = text[p - 1 : p]
+            z = min((k for k in (text.find(q, p), ) if k >= 0), default=-1) if q and q in "\"'" else -1
+            if z > p and "\n" not in text[p:z]:
+                end = z
+            else:
+                z = p
+                while z < len(text) and not text[z].isspace():
+                    c, nxt = text[z], text[z + 1 : z + 2]
+                    if c in "\"'&<" and z == p or c in "\"'" and not (nxt.isascii() and nxt.isalnum()) or c == "<" and nxt == "/" or c == "&" and re.match(r"\w{1,30}=", text[z + 1 :][:31], re.A):
+                        break
+                    z += 1
+                end = z if z > p else 0
+        if not end and key(text[p]) and not (p and key(text[p - 1])):
+            z = p
+            while z < len(text) and key(text[z]):
+                z += 1
+            if any(text[p:z].startswith(x) and len(text[p:z]) > len(x) for x in "AKIA ASIA ghp_ gho_ ghs_ github_pat_ glpat- xoxa- xoxb- xoxp- xoxr- xoxs- sk_live_ rk_live_ sk- AIza eyJ npm_ pypi-".split()) or re.search("[0-9]", text[p:z]):
+                end = z + len(re.match("={0,2}", text[z:])[0])
+        if end:
+            value = re.sub(r"[,;:)\]}>]+$", "", text[p:end])
+            if value:
+                out.append((p, value, begins.get(p, False) or p in users and (p not in begins or text[p - 1] == ":")))
+            p = end
+        else:
+            p += 1
+    return out
+
+
+def measures_by_hand(before, value, after, keyed):
+    """The measures from their definitions, over plain strings."""
+    n = max(1, len(value))
+    kinds = re.sub("[0-9]", "0", re.sub("[A-Z]", "A", re.sub("[a-z]", "a", value)))
+    changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
+    share = lambda pattern: len("".join(re.findall(pattern, value))) / n
+    longest = lambda pattern: max((len(x) for x in re.findall(pattern, value)), default=0)
+    words = "|".join(sorted({w for w in secrets.DICTIONARY if len(w) > 2}, key=lambda w: (-len(w), w)))
+    near = before[-40:]
+    hashes = "sha md5 hash digest checksum integrity commit uuid guid version revision build serial isbn etag phone tel card ip address order id".split()
+    return [
+        len(value), changes, changes / n, len(set(value)) / n, share("[0-9]"), share("[A-Z]"), share("[0-9a-fA-F]"), len("".join(re.findall(f"(?i){words}", value))) / n, share("[^A-Za-z0-9]"), value.count(".") / n, value.count("/") / n,
+        longest("[A-Za-z]+"), longest("[0-9]+"), bool(re.search(r"(://|[?&/\\@])\S*$", before, re.A) or value.startswith("/") or "://" in value or keyed and after.startswith("@")), after.startswith("@") or before.endswith("@"),
+        any("\n" not in before[m.end() :] and len(before) - m.end() <= 16 for k in KEY_WORDS for m in re.finditer(f"(?i){k}", before)),
+        any(re.search(f"(?i){k}[^a-zA-Z\n]{{0,6}}$", near) for k in hashes), bool(re.search("[=:]\\s?['\"]?$", before, re.A)), before[-1:] in ("'", '"') and after[:1] in ("'", '"') and after != "" and before != "",
+        bool(re.match(f"({secrets.PREFIXES}|-----BEGIN)", value)), keyed,
+    ]
+
+
+def test_candidates_of_any_length_are_found(spark):
+    """Names, gaps, blanks, users, blocks and values far beyond any bound, in linear time."""
+    many = 5_000
+    pem = "-----BEGIN RSA PRIVATE KEY-----\n" + "MIIa-bc\n" * many + "-----END RSA PRIVATE KEY-----"
+    cases = [
+        ("", pem, "\n"), ("Authorization: Bearer ", "abcDEF", "\n"), ("basic    ", "dXNlcjpwYXNz", " x"), (f"postgres://{'u' * many}:", "correcthorse", "@db.example.com/x"), (f"https://{'u' * 41}:", "correcthorse", "@h"),
+        ("password =   ", "correcthorsebattery", "\n"), (f"password{' ' * many}={' ' * many}", "correcthorsebattery", "\n"), (f"password{'_of_it' * many} = ", "correcthorsebattery", "\n"), ("token for the production database: ", "correcthorsebattery", " "),
+        ('{"dbpass":"', "abcxyz!", '"}'), ('{"password":"', "abc!xyz", '"}'), ('password = "', "hunter", '"'), ("token=", "a" + "&b<c'd" * many, " e"), ("password := ", "correcthorsebattery", "\n"), ("'secret' => '", "correcthorsebattery", "'"),
+    ]
+    table = spark.createDataFrame([(i, "".join(c)) for i, c in enumerate(cases)] + [(99, ("key " * many + "\n") * 3 + "a" + " " * many + "b://" * many + "-----BEGIN RSA PRIVATE KEY-----" * 500)], "doc_id long, text string")
+    found = {}
+    for r in secrets.candidates(table, ["doc_id"]).collect():
+        found.setdefault(r.doc_id, {})[r["__start"]] = r["__value"]
+    for i, (before, value, _) in enumerate(cases):
+        assert found[i].get(len(before)) == value, (i, before[:40])
+    forest = secrets.grow(secrets.example_findings(spark))
+    kept = {(r.doc_id, r.start) for r in secrets.find_secrets(table, forest).collect()}
+    assert kept >= {(i, len(before)) for i, (before, *_) in enumerate(cases)} - {(1, len("Authorization: Bearer ")), (12, len("token="))}, sorted(kept)
+
+
+def test_look_alikes_in_the_new_contexts_stay(spark):
+    forest = secrets.grow(secrets.example_findings(spark))
+    clean = ["basic training and basic English", "the bearer of this letter", '{"name":"Bob","city": "Paris", "lang":"en"}', "the key to understanding all of this is simple: patience", "password: required", 'the password = "" of', "tokens of affection: letters", "a = b and c == d", 'type="checkbox" name="agree"', "authors: Johnathan and others", "Basic income: yesterday"]
+    rows = spark.createDataFrame(list(enumerate(clean)), "doc_id long, text string")
+    assert secrets.find_secrets(rows, forest).collect() == []
+
+
 def test_secrets_agree_with_forest_and_expression_by_hand(spark):
     """Brute force: candidates by scanning the text once, the forest by walking its trees."""
-    import regex
-
     forest = secrets.grow(secrets.example_findings(spark))
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     odd = [(-1, "\x01 key\x02=ab12cd34 \x01"), (-2, "é☃ token = 'Zx9Kq81LmNopQ2' 😀 pwd=1"), (-3, None), (None, "pwd=Ab9!x")]
     docs = docs.union(spark.createDataFrame(odd, "doc_id long, text string"))
     got = {}
     for r in secrets.candidates(docs, ["doc_id"]).collect():
-        got.setdefault(r.doc_id, []).append((r["__start"], r["__value"], r["__before"], r["__after"]))
-    pattern = regex.compile(secrets.CANDIDATE, regex.ASCII)
+        got.setdefault(r.doc_id, []).append((r["__start"], r["__value"], r["__before"], r["__after"], r["__keyed"]))
     for r in docs.collect():
-        text, want = r.text or "", []
-        clean = text.replace("\x01", "\x03").replace("\x02", "\x03")
-        for m in pattern.finditer(clean):
-            value = regex.sub(secrets.CLOSING, "", m.group())
-            if value:
-                want.append((m.start(), value, m.start(), value))
-        assert [(a, b) for a, b, _, _ in got.get(r.doc_id, [])] == [(a, b) for a, b, _, _ in want], r.doc_id
-        for (start, value, before, after), _ in zip(got.get(r.doc_id, []), want, strict=True):
+        clean = re.sub("[\x01\x02\x04-\x06]", "\x03", r.text or "")
+        want = candidates_by_hand(clean)
+        assert [(a, b, k) for a, b, _, _, k in got.get(r.doc_id, [])] == want, r.doc_id
+        for start, value, before, after, _ in got.get(r.doc_id, []):
             assert clean[:start].endswith(before) and (len(before) == secrets.BEFORE or start == len(before) or len(want) > secrets.PARTS)
             assert clean[start + len(value) :].startswith(after)
-    rows = secrets.candidates(docs, ["doc_id"]).select(secrets.measures(F.col("__before"), F.col("__value"), F.col("__after")).alias("x"))
-    scored = rows.select("x", forest.column(F.col("x")).alias("score")).collect()
+    parts = ["__before", "__value", "__after", "__keyed"]
+    rows = secrets.candidates(docs, ["doc_id"]).select(secrets.measures(*map(F.col, parts)).alias("x"), *parts)
+    scored = rows.select("x", forest.column(F.col("x")).alias("score"), *parts).collect()
+    for r in scored:
+        assert list(r.x) == pytest.approx([float(v) for v in measures_by_hand(*(r[c] for c in parts))]), r
     assert len(scored) > 40 and all(abs(forest.value(list(r.x)) - r.score) < 1e-12 for r in scored)
 
 
