@@ -89,6 +89,19 @@ def byte_swap(x: Column, width: int = 64) -> Column:
     return reverse_groups(x, 8, width)
 
 
+def byte_swap_wide(hi: Column, lo: Column) -> tuple[Column, Column]:
+    """The 16 bytes of two words in reverse order."""
+    return byte_swap(lo), byte_swap(hi)
+
+
+def split_offset(n: Column, word_bits: int = 64) -> tuple[Column, Column]:
+    """The word of a bit offset, and the bit in it."""
+    shift = word_bits.bit_length() - 1
+    if word_bits != 1 << shift:
+        raise ValueError("words have a power of two of bits")
+    return F.shiftright(n, shift), n.bitwiseAND(F.lit(word_bits - 1).cast("long"))
+
+
 def variable_bytes(x: Column) -> Column:
     """A non-negative long in seven-bit groups, lowest first, with the high bit set on all but the last."""
     groups = F.greatest(F.ceil(bit_length(x) / 7), F.lit(1)).cast("int")

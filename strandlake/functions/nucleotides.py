@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandlake.functions.bits import shift_right_wide
+
 ALPHABET = "ACTG"
 #: In this order a letter's class cycles through the alphabet: how sequences are derived from prose.
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -50,13 +52,34 @@ def decode_kmer(code: Column, k: int) -> Column:
     return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", ALPHABET)
 
 
-def reverse_complement_code(code: Column, k: int) -> Column:
-    """Swap two-bit groups of the whole word by halves, flip the high bit of each base, and move down."""
-    x = code
+def _other_strand(x: Column) -> Column:
+    """All 32 bases of a word in reverse order and complemented: two-bit groups swapped by halves, high bits flipped."""
     for shift, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF)):
         x = F.shiftrightunsigned(x, shift).bitwiseAND(_hex(mask)).bitwiseOR(F.shiftleft(x.bitwiseAND(_hex(mask)), shift))
     x = F.shiftrightunsigned(x, 32).bitwiseOR(F.shiftleft(x, 32))
-    return F.shiftrightunsigned(x.bitwiseXOR(_hex(0xAAAAAAAAAAAAAAAA)), 64 - 2 * k)
+    return x.bitwiseXOR(_hex(0xAAAAAAAAAAAAAAAA))
+
+
+def reverse_complement_code(code: Column, k: int) -> Column:
+    return F.shiftrightunsigned(_other_strand(code), 64 - 2 * k)
+
+
+def reverse_complement_words(hi: Column, lo: Column, k: int) -> tuple[Column, Column]:
+    """The other strand of a k-mer of 32 to 63 bases in two words: words change places, then all moves down."""
+    low, high = shift_right_wide([_other_strand(hi), _other_strand(lo)], 128 - 2 * k)
+    return high, low
+
+
+def unsigned(x: Column) -> Column:
+    """A long whose signed order is the unsigned order of ``x``."""
+    return x.bitwiseXOR(_hex(1 << 63))
+
+
+def canonical_words(hi: Column, lo: Column, k: int) -> tuple[Column, Column]:
+    """The smaller of the two strands, both words read as unsigned."""
+    other_hi, other_lo = reverse_complement_words(hi, lo, k)
+    mine = (unsigned(hi) < unsigned(other_hi)) | (hi == other_hi) & (unsigned(lo) <= unsigned(other_lo))
+    return F.when(mine, hi).otherwise(other_hi), F.when(mine, lo).otherwise(other_lo)
 
 
 def canonical(code: Column, k: int) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,6 +96,69 @@ def kmers(seqs: DataFrame, k: int, id_col: str = "seq_id", seq_col: str = "seque
     return _each(seqs, scan, {"run": "int", "pos": "long", "code": "long"}, id_col, seq_col)
 
 
+def windows(seqs: DataFrame, k: int, id_col: str = "seq_id", seq_col: str = "sequence") -> DataFrame:
+    """One row per window of k characters, also of invalid ones: (id, pos, code, valid). k is 31 at most.
+
+    A bit per base says whether it is one; it goes with the window. Bases that are none count as code 0 (A).
+    """
+    _check(k)
+
+    def scan(text: str) -> Iterator[tuple[np.ndarray, ...]]:
+        b = np.frombuffer(text.encode("latin-1", "replace"), np.uint8)
+        for s in range(0, max(0, len(b) - k + 1), SLICE):
+            code = _CODE[b[s : s + SLICE + k - 1]]
+            wrong = np.concatenate([[0], np.cumsum(code == 255)])
+            code = np.where(code == 255, 0, code).astype(np.int64)
+            n = len(code) - k + 1
+            value = np.zeros(n, np.int64)
+            for j in range(k):
+                value = value << 2 | code[j : j + n]
+            yield np.arange(s, s + n), value, wrong[k:] == wrong[:-k]
+
+    return _each(seqs, scan, {"pos": "long", "code": "long", "valid": "boolean"}, id_col, seq_col)
+
+
+def validity(seq: Column) -> Column:
+    """A bit for each character of a sequence, one if it is a base: the bitmap's bytes, lowest bit first."""
+
+    @F.pandas_udf("binary")
+    def bits(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else np.packbits(_CODE[np.frombuffer(t.encode("latin-1", "replace"), np.uint8)] != 255, bitorder="little").tobytes() for t in texts])
+
+    return bits(seq)
+
+
+def two_word_kmers(seqs: DataFrame, k: int, id_col: str = "seq_id", seq_col: str = "sequence") -> DataFrame:
+    """One row per k-mer of valid bases for k of 32 to 63: (id, run, pos, hi, lo), the two words of its 2k-bit code.
+
+    ``lo`` has the last 32 bases and all 64 bits, so both words are to be read as unsigned.
+    """
+    if not 32 <= k <= 63:
+        raise ValueError("k must be 32 to 63")
+
+    def wide(text: str) -> Iterator[tuple[np.ndarray, ...]]:
+        b = np.frombuffer(text.encode("latin-1", "replace"), np.uint8)
+        before, going = 0, False
+        for s in range(0, max(0, len(b) - k + 1), SLICE):
+            code = _CODE[b[s : s + SLICE + k - 1]]
+            wrong = np.concatenate([[0], np.cumsum(code == 255)])
+            at = np.flatnonzero(wrong[k:] == wrong[:-k])
+            hi, lo = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+            for j in range(k):
+                word = hi if j < k - 32 else lo
+                word <<= np.uint64(2)
+                word |= code[at + j]
+            new = np.ones(len(at), bool)
+            new[1:] = np.diff(at) > 1
+            if len(at) and at[0] == 0 and going:
+                new[0] = False
+            yield (before + np.cumsum(new) - 1).astype(np.int32), at + s, hi.view(np.int64), lo.view(np.int64)
+            before += int(np.count_nonzero(new))
+            going = bool(len(at)) and int(at[-1]) == SLICE - 1
+
+    return _each(seqs, wide, {"run": "int", "pos": "long", "hi": "long", "lo": "long"}, id_col, seq_col)
+
+
 def wide_kmers(seqs: DataFrame, k: int, id_col: str = "seq_id", seq_col: str = "sequence") -> DataFrame:
     """One row per k-mer of valid bases of any length k: (id, kmer in upper case). Batches are of bounded size."""
     found = runs(seqs, k, id_col, seq_col).select(id_col, F.upper("bases").alias("bases"))
@@ -124,20 +188,40 @@ def reverse_complement_codes(code: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def _minima(x: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least of each w consecutive values and its place, the rightmost if several; linear for any w.
+
+    A window over blocks of w values is the end of one and the begin of the next: running minima of the blocks from
+    either side, with the places where they last changed.
+    """
+    n = len(x) - w + 1
+    top = np.iinfo(np.int64).max
+    rows = np.append(x, np.full(-len(x) % w, top)).reshape(-1, w)
+    at = np.arange(rows.size).reshape(rows.shape)
+    ahead = np.minimum.accumulate(rows, axis=1)
+    ahead_at = np.maximum.accumulate(np.where(rows == ahead, at, -1), axis=1)
+    back = np.minimum.accumulate(rows[:, ::-1], axis=1)
+    new = np.ones(back.shape, bool)
+    new[:, 1:] = back[:, 1:] < back[:, :-1]
+    back_at = np.minimum.accumulate(np.where(new, at[:, ::-1], rows.size), axis=1)[:, ::-1].ravel()[:n]
+    back = back[:, ::-1].ravel()[:n]
+    ahead, ahead_at = ahead.ravel()[w - 1 : w - 1 + n], ahead_at.ravel()[w - 1 : w - 1 + n]
+    right = ahead <= back
+    return np.where(right, ahead, back), np.where(right, ahead_at, back_at)
+
+
 def _window_minima(text: str, k: int, w: int, canonical: bool, allowed: np.ndarray | None) -> Iterator[tuple[np.ndarray, ...]]:
     """Run, place of the last k-mer, minimum and its place, for each w consecutive k-mers of a run."""
     for run, at, value in _scan(text, k, w - 1):
         if canonical:
             value = np.minimum(value, reverse_complement_codes(value, k))
-        rank = value if allowed is None else np.where(allowed[value], value, np.int64(4**k))
+        rank = value if allowed is None else np.where(allowed[value >> 3] >> (value & 7).astype(np.uint8) & 1, value, np.int64(4**k))
         n = len(at) - w + 1
         if n <= 0:
             yield run[:0].astype(np.int32), at[:0], value[:0], at[:0]
             continue
-        best, place = rank[:n].copy(), at[:n].copy()
-        for j in range(1, w):
-            better = rank[j : j + n] <= best  # of several the rightmost
-            best[better], place[better] = rank[j : j + n][better], at[j : j + n][better]
+        best, which = _minima(rank, w)
+        place = at[which]
         whole = at[w - 1 :] - at[:n] == w - 1
         if allowed is not None:
             whole &= best < 4**k
@@ -145,13 +229,14 @@ def _window_minima(text: str, k: int, w: int, canonical: bool, allowed: np.ndarr
 
 
 def _allowed(k: int, codes: set[int] | None) -> np.ndarray | None:
-    """A table of the k-mers that may be minimizers, without ``codes``."""
+    """A bitmap of the k-mers that may be minimizers, without ``codes``: 4^k bits, 32 MB at most."""
     if codes is None:
         return None
-    if k > 12:
-        raise ValueError("a table of k-mers needs k of at most 12")
-    table = np.ones(4**k, bool)
-    table[list(codes)] = False
+    if k > 14:
+        raise ValueError("a bitmap of k-mers needs k of at most 14")
+    table = np.full(-(-(4**k) // 8), 255, np.uint8)
+    bad = np.fromiter(codes, np.int64, len(codes))
+    np.bitwise_and.at(table, bad >> 3, ~(np.uint8(1) << (bad & 7).astype(np.uint8)))
     return table
 
 

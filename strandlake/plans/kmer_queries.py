@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import bits, packed, vectorised
 from strandlake.functions import nucleotides as nt
-from strandlake.operators import feeds, ordering
+from strandlake.operators import feeds, ordering, packed_sequences, tables
 from strandlake.operators import kmers as ops
 from strandlake.scratch import scratch_path
 from strandlake.sources import fastx
@@ -156,6 +156,16 @@ def rank_lookup(spark, sf_dir):
     return ops.ranked(rows, F.broadcast(ranks)).groupBy("seq_id").agg(F.count("*").alias("n"), F.sum("rank").alias("rank_sum"))  # 4^4 ranks at most
 
 
+@query(f"WITH {_fast_kmers_sql(14)}, c AS (SELECT kmer, count(*) AS n FROM km GROUP BY kmer), t AS (SELECT kmer, row_number() OVER (ORDER BY n DESC, {DIGITS.format('kmer')}) AS rank FROM c) SELECT km.seq_id, count(*) AS n, sum(t.rank)::BIGINT AS rank_sum FROM km JOIN t USING (kmer) GROUP BY km.seq_id")
+def direct_lookup(spark, sf_dir):
+    """Ranks by frequency of all 14-mers, from a table addressed by their codes that no task holds as a whole."""
+    rows = ops.kmers(sequences(spark, sf_dir), 14).select("seq_id", "code")
+    ranks = ordering.numbered(rows.groupBy("code").agg(F.count("*").alias("n")), F.desc("n"), "code", name="rank")
+    per_code = rows.groupBy("seq_id", "code").agg(F.count("*").alias("n"))
+    out = tables.looked_up(per_code, tables.direct_table(ranks))
+    return out.groupBy("seq_id").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rank")).alias("rank_sum"))
+
+
 @query(f"{_distinct_sql(12)} SELECT kmer, row_number() OVER (ORDER BY {DIGITS.format('right(kmer, 3)')}, code) AS place FROM d")
 def extracted_sort(spark, sf_dir):
     rows = distinct_kmers(spark, sf_dir, 12).select("kmer", F.translate("kmer", "ACTG", "0123").alias("order"))
@@ -431,6 +441,48 @@ def canonical_wide(spark, sf_dir):
     return out.select("header", "n", nt.from_digits(F.col("a")).alias("least"), nt.from_digits(F.col("z")).alias("most"))
 
 
+_WIDE_CODE = "list_reduce(list_transform(string_split({0}, ''), lambda d: d::HUGEINT), lambda a, b: a * 4 + b)"
+_WORD = "CASE WHEN {0} >= 9223372036854775808::HUGEINT THEN ({0} - 18446744073709551616::HUGEINT)::BIGINT ELSE ({0})::BIGINT END"
+
+
+@query(f"{_WIDE_KMERS}, m AS (SELECT header, count(*) AS n, min(digits) AS a, max(digits) AS z FROM c GROUP BY header), w AS (SELECT header, n, {_WIDE_CODE.format('a')} AS a, {_WIDE_CODE.format('z')} AS z FROM m) SELECT header, n, (a // 18446744073709551616::HUGEINT)::BIGINT AS least_hi, {_WORD.format('(a % 18446744073709551616::HUGEINT)')} AS least_lo, (z // 18446744073709551616::HUGEINT)::BIGINT AS most_hi, {_WORD.format('(z % 18446744073709551616::HUGEINT)')} AS most_lo FROM w")
+def canonical_words(spark, sf_dir):
+    """The least and the greatest canonical 40-mer of a document as codes of two words, compared as unsigned."""
+    rows = ops.two_word_kmers(_records(spark, sf_dir).withColumn("seq_id", F.substr("header", F.lit(2)).cast("long")), _WIDE)
+    hi, lo = nt.canonical_words(F.col("hi"), F.col("lo"), _WIDE)
+    code = F.struct(nt.unsigned(hi).alias("hi"), nt.unsigned(lo).alias("lo"))
+    out = rows.groupBy("seq_id").agg(F.count("*").alias("n"), F.min(code).alias("a"), F.max(code).alias("z"))
+    word = lambda c: nt.unsigned(F.col(c))
+    return out.select(F.concat(F.lit("s"), F.col("seq_id").cast("string")).alias("header"), "n", word("a.hi").alias("least_hi"), word("a.lo").alias("least_lo"), word("z.hi").alias("most_hi"), word("z.lo").alias("most_lo"))
+
+
+@query(f"{_RECORDS}, km AS (SELECT header, i - 1 AS pos, substr(sequence, i, 5) AS kmer FROM (SELECT header, sequence, unnest(range(1, length(sequence) - 3)) AS i FROM r)), c AS (SELECT header, pos, {DIGITS.format('kmer')} * {1 << 30} + ({(1 << 30) - 1} - pos) AS v FROM km), w AS (SELECT header, min(v) OVER f AS m, count(*) OVER f AS n FROM c WINDOW f AS (PARTITION BY header ORDER BY pos ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)) SELECT header, count(*) AS n, count(DISTINCT m) AS n_minima, sum(m // {1 << 30})::BIGINT AS codes, sum({(1 << 30) - 1} - m % {1 << 30})::BIGINT AS places FROM w WHERE n = 200 GROUP BY header")
+def window_wide(spark, sf_dir):
+    """Minima of windows of 200 k-mers over all bases of a document: the cost doesn't depend on the window."""
+    rows = ops.minimizers(_records(spark, sf_dir).withColumn("seq_id", F.substr("header", F.lit(2)).cast("long")), 5, 200)
+    out = rows.groupBy("seq_id").agg(F.count("*").alias("n"), F.count_distinct("min_pos").alias("n_minima"), F.sum("min_value").alias("codes"), F.sum("min_pos").alias("places"))
+    return out.select(F.concat(F.lit("s"), F.col("seq_id").cast("string")).alias("header"), "n", "n_minima", "codes", "places")
+
+
+_ANY_KMERS = f"{SEQ}, p AS (SELECT seq_id, sequence, unnest(range(1, length(sequence) - 5)) AS i FROM s), v AS (SELECT seq_id, substr(sequence, i, 7) AS kmer FROM p), d AS (SELECT seq_id, regexp_full_match(kmer, '[ACGT]+') AS valid, regexp_replace(kmer, '[^ACGT]', 'A', 'g') AS kmer FROM v)"
+
+
+@query(f"WITH {_ANY_KMERS} SELECT seq_id, count(*) AS n, count(*) FILTER (WHERE valid) AS n_valid, sum(valid::INT + least({DIGITS.format('kmer')}, {DIGITS.format(_rc_sql('kmer'))}))::BIGINT AS checksum FROM d GROUP BY seq_id")
+def valid_windows(spark, sf_dir):
+    """All windows of seven bases with their validity, invalid ones included, and the checksum that adds it."""
+    rows = ops.windows(sequences(spark, sf_dir), 7)
+    return rows.groupBy("seq_id").agg(F.count("*").alias("n"), F.count_if("valid").alias("n_valid"), F.sum(F.col("valid").cast("long") + nt.canonical(F.col("code"), 7)).alias("checksum"))
+
+
+@query(f"WITH {_kmers_sql(K)}, c AS (SELECT seq_id, count(*) AS n, sum({DIGITS.format('kmer')})::BIGINT AS codes, sum(pos)::BIGINT AS places FROM km GROUP BY seq_id) SELECT s.seq_id, md5(sequence) AS sequence_md5, length(sequence) AS length, coalesce(n, 0) AS n, coalesce(codes, 0) AS codes, coalesce(places, 0) AS places FROM s LEFT JOIN c USING (seq_id)")
+def packed_sequences_scan(spark, sf_dir):
+    """Sequences in two bits a base with their other letters beside: unpacked again, and k-mers from the packed words."""
+    packed_rows = packed_sequences.pack_sequences(sequences(spark, sf_dir))
+    back = packed_sequences.unpack_sequences(packed_rows).select("seq_id", F.md5("sequence").alias("sequence_md5"), F.length("sequence").alias("length"))
+    rows = packed_sequences.packed_kmers(packed_rows, K).groupBy("seq_id").agg(F.count("*").alias("n"), F.sum("code").alias("codes"), F.sum("pos").alias("places"))
+    return back.join(rows, "seq_id", "left").select("seq_id", "sequence_md5", "length", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "codes", "places")])
+
+
 _POOR = "'AAAAA', 'CCCCC', 'TTTTT', 'GGGGG'"
 
 
@@ -541,3 +593,5 @@ on_words("load_store", lambda x: {"le": F.lower(F.hex(bits.store_le(x, 4))), "be
 _PAIR = "(x::HUGEINT * 4294967296 + o_orderkey)"
 on_words("wide_shift", lambda x: dict(zip(("left_high", "left_low", "right_high", "right_low"), (*bits.shift_left_wide([F.col("o_orderkey"), x], 13, 32)[::-1], *bits.shift_right_wide([F.col("o_orderkey"), x], 13, 32)[::-1]))), f"(({_PAIR} * 8192) // 4294967296 % 4294967296)::BIGINT AS left_high, ({_PAIR} * 8192 % 4294967296)::BIGINT AS left_low, ({_PAIR} // 8192 // 4294967296)::BIGINT AS right_high, ({_PAIR} // 8192 % 4294967296)::BIGINT AS right_low")
 on_words("wide_peek", lambda x: {"group": bits.peek_wide([F.col("o_orderkey"), x], 20, 22, 32), "poked": bits.peek_wide(bits.poke_wide([F.col("o_orderkey"), x], F.lit(0xABCDE).cast("long"), 20, 22, 32), 30, 17, 32)}, f"({_PAIR} // 4194304 % 1048576)::BIGINT AS \"group\", (({_PAIR} - {_PAIR} // 4194304 % 1048576 * 4194304 + 703710::HUGEINT * 4194304) // 131072 % 1073741824)::BIGINT AS poked")
+_SWAPPED = "(x % 256 * 16777216 + x // 256 % 256 * 65536 + x // 65536 % 256 * 256 + x // 16777216)"
+on_words("wide_swap", lambda x: dict(zip(("hi", "lo"), bits.byte_swap_wide(F.col("o_orderkey"), x))) | dict(zip(("word", "bit"), bits.split_offset(x))), f"({_SWAPPED} * 4294967296::HUGEINT - CASE WHEN {_SWAPPED} >= 2147483648 THEN 18446744073709551616::HUGEINT ELSE 0::HUGEINT END)::BIGINT AS hi, ({_SWAPPED.replace('x', 'o_orderkey')} * 4294967296::HUGEINT - CASE WHEN {_SWAPPED.replace('x', 'o_orderkey')} >= 2147483648 THEN 18446744073709551616::HUGEINT ELSE 0::HUGEINT END)::BIGINT AS lo, x // 64 AS word, x % 64 AS bit")
