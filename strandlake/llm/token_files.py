@@ -5,8 +5,9 @@ those ids that need one, and so on; a continuation bitmap beside each level says
 directory (ones before each 512-bit block) says where in the next level they stand. So id i is read with a few lookups,
 without decoding its neighbours.
 
-Layout of a segment (little-endian): magic ``DAC1``, uint32 version, uint64 ids, uint64 documents, uint32 levels,
-uint32 chunk bits; then int64 doc_id and uint64 end offset of each document; then per level a uint64 count, its chunks
+Layout of a segment (little-endian): magic ``DAC1``, uint32 version (2), uint64 ids, uint64 documents, uint32 levels,
+uint32 chunk bits, uint64 documents without a doc_id (the first ones; their doc_id is stored as 0; version 1 lacks this);
+then int64 doc_id and uint64 end offset of each document; then per level a uint64 count, its chunks
 (one or two bytes each) and, but for the last level, its bitmap in 64-bit words and its rank directory in uint32.
 """
 
@@ -31,8 +32,10 @@ BLOCK_BITS = 512
 MAGIC = b"DAC1"
 #: Ids of a segment, about; a longer document makes a longer segment.
 SEGMENT_IDS = 1 << 20
-#: Ranges of doc_id at most, each written by one task.
+#: Ranges of doc_id at most, each written by one task (a doc_id that many rows share is more ranges than one).
 MOST_PARTS = 65_536
+#: log2 of the ids by which positions and segments are brought together.
+BUCKET_BITS = 20
 
 
 class Dac:
@@ -40,6 +43,7 @@ class Dac:
 
     def __init__(self, n: int, levels: list[np.ndarray], bitmaps: list[np.ndarray], ranks: list[np.ndarray], chunk: int = CHUNK):
         self.n, self.levels, self.bitmaps, self.ranks, self.chunk = n, levels, bitmaps, ranks, chunk
+        self.nulls = 0
 
     @classmethod
     def encode(cls, ids: np.ndarray, chunk: int = CHUNK) -> Dac:
@@ -118,8 +122,9 @@ class Dac:
             ones += int(self.bitmaps[k][at >> 6] & np.uint64((1 << (at & 63)) - 1)).bit_count()
         return ones
 
-    def to_bytes(self, doc_ids: np.ndarray, ends: np.ndarray) -> bytes:
-        parts = [MAGIC, np.uint32(1).tobytes(), np.array([self.n, len(doc_ids)], np.uint64).tobytes(), np.array([len(self.levels), self.chunk], np.uint32).tobytes()]
+    def to_bytes(self, doc_ids: np.ndarray, ends: np.ndarray, nulls: int = 0) -> bytes:
+        """The segment of these ids and documents, of which the first ``nulls`` have no doc_id."""
+        parts = [MAGIC, np.uint32(2).tobytes(), np.array([self.n, len(doc_ids)], np.uint64).tobytes(), np.array([len(self.levels), self.chunk], np.uint32).tobytes(), np.uint64(nulls).tobytes()]
         parts += [np.asarray(doc_ids, np.int64).tobytes(), np.asarray(ends, np.uint64).tobytes()]
         for k, level in enumerate(self.levels):
             parts += [np.uint64(len(level)).tobytes(), level.tobytes()]
@@ -129,12 +134,14 @@ class Dac:
 
     @classmethod
     def from_bytes(cls, data: bytes) -> tuple[Dac, np.ndarray, np.ndarray]:
-        """The codes, the doc_ids and the end offset of each document."""
-        if data[:4] != MAGIC or int(np.frombuffer(data, np.uint32, 1, 4)[0]) != 1:
-            raise ValueError("not a token segment of version 1")
+        """The codes (with ``nulls``, the number of documents without a doc_id), the doc_ids and the end offset of each document."""
+        version = int(np.frombuffer(data, np.uint32, 1, 4)[0]) if data[:4] == MAGIC else 0
+        if version not in (1, 2):
+            raise ValueError("not a token segment of version 1 or 2")
         n, docs = (int(x) for x in np.frombuffer(data, np.uint64, 2, 8))
         count, chunk = (int(x) for x in np.frombuffer(data, np.uint32, 2, 24))
-        at = 32
+        nulls = int(np.frombuffer(data, np.uint64, 1, 32)[0]) if version == 2 else 0
+        at = 32 + 8 * (version == 2)
         doc_ids = np.frombuffer(data, np.int64, docs, at)
         ends = np.frombuffer(data, np.uint64, docs, at + 8 * docs).astype(np.int64)
         at += 16 * docs
@@ -150,7 +157,9 @@ class Dac:
                 at += blocks * BLOCK_BITS // 8
                 ranks.append(np.frombuffer(data, np.uint32, blocks, at))
                 at += blocks * 4
-        return cls(n, levels, bitmaps, ranks, chunk), doc_ids, ends
+        dac = cls(n, levels, bitmaps, ranks, chunk)
+        dac.nulls = nulls
+        return dac, doc_ids, ends
 
 
 #: White space that may join what stands beside it: two in a row, or any but space and line feed.
@@ -275,28 +284,51 @@ def _range_of(x: Column, bounds: list[int]) -> Column:
     return coarse * step + F.coalesce(F.when(coarse < len(blocks), below(inside)), F.lit(len(bounds) - len(blocks) * step))
 
 
+def _parts(ids: DataFrame, parts: int) -> tuple[Column, int]:
+    """The part of a row with doc_id and ``order`` (a hash whose signed order counts), and the number of parts.
+
+    Bounds come from the ids alone: a range exchange would read the texts once more to sample them. An id that is
+    several bounds has a range of its own, cut into as many parts by the hash; so have rows without an id.
+    """
+    found = ids.agg(F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nulls"), F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], max(10_000, 4 * parts)).alias("b")).first()
+    raw = (found["b"] or []) if parts > 1 else []
+    shares = {b: n for b in set(raw) if (n := raw.count(b)) > 1}
+    bounds = sorted(set(raw) | {b - 1 for b in shares if b > -(2**63)})
+    nulls = min(parts, math.ceil(parts * found["nulls"] / found["n"])) if found["nulls"] else 0
+    cuts = [shares.get(b, 1) for b in bounds] + [1]  # of the ranges up to each bound, and of what is beyond
+    starts = [nulls]
+    for c in cuts:
+        starts.append(starts[-1] + c)
+    at = _range_of(F.col("doc_id"), bounds)
+    get = lambda xs: F.get(F.split(F.lit(",".join(map(str, xs))), ",").cast("array<int>"), at)
+    # the upper 31 bits of the hash, shifted to be unsigned
+    share = lambda n: F.floor(F.shiftrightunsigned(F.col("order").bitwiseXOR(F.lit(-(2**63)).cast("long")), 33) * n / F.lit(2.0**31))
+    of_ids = get(starts[:-1]) + (F.when(get(cuts) > 1, share(get(cuts))).otherwise(0) if shares else F.lit(0))
+    return (F.when(F.col("doc_id").isNull(), share(F.lit(nulls))).otherwise(of_ids) if nulls else of_ids), starts[-1]
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", segment_ids: int = SEGMENT_IDS) -> None:
     """Encode every document and write segments, in ascending doc_id order, to the folder ``path``.
 
     The folder is a Parquet table with one row per segment: part and segment number (their order is the order of the
     documents), the counts of ids and documents, and the segment's bytes, so any store that Spark can write to will do.
-    A null or empty text has the end id only. Documents of the same doc_id stay next to each other; a null doc_id comes
-    first and is written as the smallest long. Parts are ranges of doc_id, so equal texts or sources make no hot part.
+    A null or empty text has the end id only. Documents without a doc_id come first; those of one doc_id (or of none)
+    stand in the order of a hash of their text, then of the text, so the files depend on the rows alone and not on where
+    they lay. Parts are ranges of doc_id; a doc_id, or the lack of one, that many rows share is cut by the hash, so only
+    rows that are equal altogether have to share a part.
     """
     spark = docs.sparkSession
     rows = id_text(docs, id_col, text_col, as_binary=False)
     parts = max(1, min(MOST_PARTS, -(-plan_bytes(rows) // (8 << 20))), int(spark.conf.get("spark.sql.shuffle.partitions")) if plan_bytes(rows) > (8 << 20) else 1)
-    # bounds come from the ids alone: a range exchange would read the texts once more to sample them
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
-    bounds = (ids.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], max(10_000, 4 * parts)).alias("b")).first()["b"] or []) if parts > 1 else []
-    bounds = sorted(set(bounds))
-    part = F.when(F.col("doc_id").isNull(), 0).otherwise(_range_of(F.col("doc_id"), bounds))
-    rows = rows.withColumn("part", part.cast("int")).repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first())
+    part, n_parts = _parts(docs.select(F.col(id_col).cast("long").alias("doc_id")), parts)
+    order = F.xxhash64("text").bitwiseXOR(F.lit(-(2**63)).cast("long"))
+    rows = rows.withColumn("order", order).withColumn("part", part.cast("int"))
+    rows = rows.repartitionById(n_parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "order", "text").select("doc_id", "text", "part")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, e = -1, 0, encoder(tokenizer)
         end = np.uint32(end_id).tobytes()
-        ids: list[int] = []
+        ids: list[int | None] = []
         codes: list[bytes] = []
         held = 0
 
@@ -304,7 +336,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
             nonlocal ids, codes, held, number
             ends = np.cumsum([len(c) // 4 for c in codes])
             dac = Dac.encode(np.frombuffer(b"".join(codes), np.uint32))
-            row = [[part], [number], [held], [len(ids)], [dac.to_bytes(np.asarray(ids), ends)]]
+            nulls = ids.count(None)
+            row = [[part], [number], [held], [len(ids)], [dac.to_bytes(np.asarray([0] * nulls + ids[nulls:], np.int64), ends, nulls)]]
             ids, codes, held, number = [], [], 0, number + 1
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "segment", "n_ids", "n_docs", "data"])
 
@@ -315,7 +348,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
                     if ids:
                         yield segment()
                     part, number = p, 0
-                ids.append(-(2**63) if i is None else i)
+                ids.append(i)
                 codes.append(c + end)
                 held += len(c) // 4 + 1
                 if held >= segment_ids:
@@ -346,16 +379,27 @@ def tokens_at(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     """
     table = spark.read.parquet(path)
     starts = _segment_starts(table)
-    places = wanted.select(F.col("position").cast("long").alias("position")).join(starts, (F.col("position") >= F.col("first")) & (F.col("position") < F.col("first") + F.col("n")))
-    asked = places.groupBy("part", "segment").agg(F.collect_list("position").alias("positions"), F.first("first").alias("first"))
+    bucket = lambda c: F.shiftright(c, BUCKET_BITS)
+    held = starts.filter("n > 0").withColumn("bucket", F.explode(F.sequence(bucket(F.col("first")), bucket(F.col("first") + F.col("n") - 1))))
+    asked = wanted.select(F.col("position").cast("long").alias("position")).filter("position >= 0").withColumn("bucket", bucket(F.col("position")))
+    places = asked.join(held, "bucket").filter("position >= first AND position < first + n").select("part", "segment", F.lit(1).alias("kind"), (F.col("position") - F.col("first")).alias("at"), "position", F.lit(None).cast("binary").alias("data"))
+    read = table.select("part", "segment", "data").join(places.select("part", "segment").distinct(), ["part", "segment"], "left_semi")
+    rows = read.select("part", "segment", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("at"), F.lit(-1).cast("long").alias("position"), "data").unionByName(places)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dac = None
         for b in batches:
-            for data, positions, first in zip(*(b.column(c).to_pylist() for c in ("data", "positions", "first")), strict=True):
-                at = np.array(positions, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(Dac.from_bytes(data)[0].access(at - first).astype(np.int64))], ["position", "id"])
+            kind = np.asarray(b.column("kind"))
+            cuts = np.flatnonzero(kind == 0).tolist()
+            for s, e in zip([-1, *cuts], [*cuts, b.num_rows], strict=True):
+                if s >= 0:
+                    dac = Dac.from_bytes(b.column("data")[s].as_py())[0]
+                part = b.slice(s + 1, e - s - 1)
+                if part.num_rows and dac is not None:
+                    yield pa.RecordBatch.from_arrays([part.column("position"), pa.array(dac.access(np.asarray(part.column("at"))).astype(np.int64))], ["position", "id"])
 
-    return table.select("part", "segment", "data").join(asked, ["part", "segment"]).select("data", "positions", "first").mapInArrow(look, "position long, id long")
+    # a segment comes first, then the positions in it: a worker holds one segment and one batch
+    return rows.repartition("part", "segment").sortWithinPartitions("part", "segment", "kind", "at").mapInArrow(look, "position long, id long")
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -370,11 +414,11 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 crcs = [zlib.crc32(dac.slice(s, e).tobytes()) for s, e in zip(begins.tolist(), ends.tolist(), strict=True)]
                 n = len(doc_ids)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, number, np.int32)), pa.array(doc_ids), pa.array(begins), pa.array(ends - begins), pa.array(crcs, pa.int64())], ["part", "segment", "doc_id", "begin", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, number, np.int32)), pa.array(doc_ids, mask=np.arange(n) < dac.nulls), pa.array(begins), pa.array(ends - begins), pa.array(crcs, pa.int64())], ["part", "segment", "doc_id", "begin", "n_tokens", "ids_crc32"])
 
     out = table.select("part", "segment", "data").mapInArrow(documents, "part int, segment int, doc_id long, begin long, n_tokens long, ids_crc32 long")
     out = out.join(starts, ["part", "segment"])
-    return out.select(F.when(F.col("doc_id") != -(2**63), F.col("doc_id")).alias("doc_id"), (F.col("first") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32")
+    return out.select("doc_id", (F.col("first") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,6 +111,36 @@ def test_token_files(spark, docs, empty, tmp_path):
     assert token_files.read_token_files(spark, f"{path}0").collect() == []
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_token_files_do_not_depend_on_the_layout(spark, tmp_path, monkeypatch, parts):
+    """Ids that many rows share, none at all, the smallest long, and equal rows, in three layouts."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(BPE)
+    rng = random.Random(parts)
+    rows = [(i, f"text {i} " * (i % 5)) for i in range(40)] + [(17, f"hot {i}") for i in range(80)] + [(None, f"none {i}") for i in range(60)] + [(-(2**63), "least"), (2**63 - 1, "most"), (17, "hot 3"), (None, None), (3, None)]
+    results, sizes = [], []
+    real = token_files._parts
+    monkeypatch.setattr(token_files, "_parts", lambda ids, n: real(ids, parts))
+    for k, n in enumerate((1, 3, 8)):
+        path = f"file://{tmp_path}/layout{parts}-{k}"
+        token_files.write_token_files(spark.createDataFrame(rng.sample(rows, len(rows)), "doc_id long, text string").repartition(n), BPE, path, segment_ids=50)
+        results.append(sorted((r.start, r.n_tokens, r.ids_crc32, r.doc_id) for r in token_files.read_token_files(spark, path).collect()))
+        sizes = [r["sum(n_docs)"] for r in spark.read.parquet(path).groupBy("part").sum("n_docs").collect()]
+    assert results[0] == results[1] == results[2]
+    ids = [r[3] for r in results[0]]
+    assert ids == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0)) and -(2**63) in ids
+    assert sorted((r[1], r[2], str(r[3])) for r in results[0]) == sorted((len(e), zlib.crc32(np.array(e, np.uint32).tobytes()), str(i)) for i, x in rows for e in [[*t.encode(x or "", add_special_tokens=False).ids, 2]])
+    if parts > 1:  # rows of one id, or of none, are more parts than one
+        assert max(sizes) < 60 and len(sizes) >= 6
+    flat = [x for _, _, _, x in results[0]]
+    starts = [r[0] for r in results[0]]
+    asked = spark.createDataFrame([(p,) for p in starts for _ in range(2)], "position long")
+    assert token_files.tokens_at(spark, path, asked).count() == 2 * len(flat)
+    plan = token_files.tokens_at(spark, path, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 10, 99])
 def test_ranges_of_ids(spark, n):
     bounds = [5 * k - 20 for k in range(n)]
