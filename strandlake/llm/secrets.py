@@ -32,7 +32,7 @@ GAP, SET = r"\w \t\"'.\-\]", r"(?::=|=>|[=:])"
 # Contexts of values. Each is marked by a control character where the value begins, in a pass over the text of its own;
 # so names, gaps, blanks and users may be of any length, and what stands in them can be a candidate as well.
 #: A run of gap characters with a key word in it, then = or : and what may open a value.
-KEYED = rf"""(?<![{GAP}])(?=[{GAP}]*?(?i:{WORDS}))[{GAP}]*+{SET}[ \t]*+["']?"""
+KEYED = rf"""(?<![{GAP}])(?=[{GAP}]*+{SET})(?=[{GAP}]*?(?i:{WORDS}))[{GAP}]*+{SET}[ \t]*+["']?"""
 #: Another name and =, a quoted name and : before a quoted value, or a scheme of authorization.
 NAMED = rf"""(?<=\w)["'\]]?[ \t]*+(?::=|=>|=)[ \t]*+["']?|(?<=\w)["'][ \t]*+:[ \t]*+["'](?=[^\s"'])|(?<!\w)(?i:bearer|basic)[ \t]++"""
 #: The scheme and user of an address whose password follows.
