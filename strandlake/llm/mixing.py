@@ -251,11 +251,13 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
     taken = taken.groupBy("a", "h", "source").agg(F.sum("copies").alias("__c"), F.count("*").alias("__m")).select(F.col("a").alias("__x"), F.col("h").alias("__y"), never_null(F.col("source")).alias("__z"), "__c", "__m")
     source = (F.col(source_col) if source_col in docs.columns else F.lit(None)).cast("string")
-    keyed = keyed_text(docs.withColumns({"__id": F.col(id_col), "__text": F.col(text_col), "__s": never_null(source)}), "__id", "__text", keep=[*docs.columns, "__s"], names=("__doc", "__a", "__h", "__bytes"))
-    one = Window.partitionBy("__a", "__h", "__s").orderBy(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map" not in kind])
+    # the row travels as one column, so that its own names can't clash with those used here
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    keyed = keyed_text(docs.select(row, F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), never_null(source).alias("__s")), "__id", "__text", keep=["__row", "__s"], names=("__doc", "__a", "__h", "__bytes"))
+    one = Window.partitionBy("__a", "__h", "__s").orderBy(*[F.col("__row").getField(c) for c, kind in docs.dtypes if "map" not in kind])
     rows = keyed.drop("__doc", "__bytes").join(written(taken, "copies"), (F.col("__a") == F.col("__x")) & (F.col("__h") == F.col("__y")) & (F.col("__s") == F.col("__z")))
     share = F.floor((F.col("__c") + F.col("__m") - F.row_number().over(one)) / F.col("__m"))
-    return rows.withColumn("__n", share.cast("long")).filter("__n > 0").withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.withColumn("__n", share.cast("long")).filter("__n > 0").withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select("__row.*")
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

@@ -367,17 +367,19 @@ def redact_secrets(docs: DataFrame, forest: Forest, text_col: str = "text", mark
     get the same result; null and empty texts stay. The findings are written; if they are few (Spark's own threshold on
     the size of what was written decides) they are broadcast, otherwise both sides are dealt by the hashes.
     """
+    both = lambda t: (F.xxhash64(t).alias("__a"), F.xxhash64(F.lit("again"), F.reverse(t)).alias("__b"))
     text = F.col(text_col).cast("string")
-    keys = {"__a": F.xxhash64(text), "__b": F.xxhash64(F.lit("again"), F.reverse(text))}
-    found = judged(docs.select(F.col(text_col).alias("__t")).select(F.xxhash64(F.col("__t").cast("string")).alias("__a"), F.xxhash64(F.lit("again"), F.reverse(F.col("__t").cast("string"))).alias("__b"), "__t"), forest, ["__a", "__b"], "__t", least)
+    found = judged(docs.select(*both(text), text.alias("__t")), forest, ["__a", "__b"], "__t", least)
     places = written(found.select("__a", "__b", F.struct(F.col("__start").alias("start"), F.length("__value").alias("n")).alias("s")).groupBy("__a", "__b").agg(F.sort_array(F.collect_set("s")).alias("__found")), "secret-places")
-    rows = docs.withColumns(keys).join(places, ["__a", "__b"], "left")
+    # the row travels as one column, so that its own names can't clash with those used here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), text.alias("__t"), *both(text)).join(places, ["__a", "__b"], "left")
 
     def put(acc: Column, s: Column) -> Column:
-        return F.struct((s["start"] + s["n"]).alias("at"), F.array_append(F.array_append(acc["done"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"])), F.lit(mark)).alias("done"))
+        return F.struct((s["start"] + s["n"]).alias("at"), F.array_append(F.array_append(acc["done"], F.substr("__t", acc["at"] + 1, s["start"] - acc["at"])), F.lit(mark)).alias("done"))
 
-    clean = F.aggregate("__found", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("done")), put, lambda acc: F.concat(F.concat_ws("", acc["done"]), F.substr(text, acc["at"] + 1)))
-    return rows.withColumn(text_col, F.when(F.size("__found") > 0, clean).otherwise(F.col(text_col))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    clean = F.aggregate("__found", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("done")), put, lambda acc: F.concat(F.concat_ws("", acc["done"]), F.substr("__t", acc["at"] + 1)))
+    own = lambda c: F.col("__row").getField(c)
+    return rows.select(*[(F.when(F.size("__found") > 0, clean).otherwise(own(c)) if c == text_col else own(c)).alias(c) for c in docs.columns])
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,9 +22,8 @@ from strandlake.llm.components import components
 from strandlake.llm.passages import _HASHES
 
 WIDTH, SIMILARITY = 5, 0.8
-BITS, RADIUS = 256, 72
-#: Two sets of at most so many shingles are compared up to a wider radius: few shingles decide a bit by few votes.
-SMALL, SMALL_RADIUS = 64, 96
+#: Bits of a fingerprint, and the radius for sets of any size: few shingles decide a bit by few votes, so it is wide.
+BITS, RADIUS = 256, 96
 BANDS, ROWS = 26, 5
 SIDE = 512
 _SEEDS = mix64(np.arange(1, BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -77,8 +76,6 @@ def tile_links(prints: np.ndarray, sets: list[np.ndarray], similarity: float, ra
     pop = np.bitwise_count(prints).sum(axis=1).astype(np.int64)
     order = np.argsort(pop, kind="stable")
     pop = pop[order]
-    small = np.fromiter((len(sets[i]) <= SMALL for i in order.tolist()), bool, n)
-    widest = max(radius, SMALL_RADIUS) if small.any() else radius
     top = list(range(n))
 
     def find(i: int) -> int:
@@ -90,15 +87,13 @@ def tile_links(prints: np.ndarray, sets: list[np.ndarray], similarity: float, ra
     links = []
     for i in range(0, n, side):
         for j in range(i, n, side):
-            if pop[j] - pop[min(i + side, n) - 1] > widest:
+            if pop[j] - pop[min(i + side, n) - 1] > radius:
                 break
             a, b = prints[order[i : i + side]], prints[order[j : j + side]]
             far = np.zeros((len(a), len(b)), np.uint16)
             for k in range(prints.shape[1]):
                 far += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
             near = far <= radius
-            if widest > radius:
-                near |= (far <= widest) & small[i : i + side, None] & small[None, j : j + side]
             if i == j:
                 near = np.triu(near, 1)
             for x in np.flatnonzero(near.any(axis=1)).tolist():
