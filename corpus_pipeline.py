@@ -13,7 +13,11 @@ REJECT_BELOW = 0.5
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line classifier does not reject."""
+    """Documents that the line classifier does not reject.
+
+    A null text is scored as an empty one; repeated rows, null doc_ids and rows of equal text are judged each by the text
+    alone; all columns pass through. Without labelled documents, or rows at all, nothing is rejected.
+    """
     judged = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.filtered(docs, judged, REJECT_BELOW)
 
@@ -24,12 +28,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows of one doc_id with different texts are judged each by its own text; rows of a null doc_id all stay.
     """
     groups = shingles.near_duplicate_groups(docs)
-    gone = written(groups.filter("doc_id <> group").select("doc_id", F.col("text_hash").alias("__text")).distinct(), "duplicates")
-    return docs.withColumn("__text", shingles.text_key("text")).join(gone, ["doc_id", "__text"], "left_anti").select(*docs.columns)
+    gone = written(groups.filter("doc_id <> group").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text")).distinct(), "duplicates")
+    # the row travels as one column, so that its own names can't clash with those used here
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    rows = docs.select(row, F.col("doc_id").cast("long").alias("__id"), shingles.text_key("text").alias("__text"))
+    return rows.join(gone, ["__id", "__text"], "left_anti").select("__row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the secrets in their texts replaced; n_chars follows the text."""
+    """All documents, with the secrets in their texts replaced; n_chars follows the text.
+
+    Null and empty texts stay; repeated rows are changed alike; a text of any length is searched as a whole.
+    """
     clean = secrets.redact_secrets(docs, secrets.grow(secrets.example_findings(spark)))
     return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
@@ -40,7 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document and the digest of what they decode to."""
+    """Piece ids of every row and the digest of what they decode to; a null or empty text has the end id only."""
     import public_tokenizers
 
     return pieces.piece_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
