@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from strandlake.llm.blocks import BLOCK_ROWS, in_blocks, meet, shares, sound_vector, vectors_by_size
 from strandlake.llm.common import written
 
-#: Lines, share of them in which a vector must collide, first half-width over the median projection, and its factor.
-LINES, SHARE, FIRST, WIDER = 64, 0.75, 1.6, 1.1
+#: Lines, share of them in which a vector must collide, and the factor by which windows widen.
+LINES, SHARE, WIDER = 64, 0.75, 1.05
+#: The first half-width is so much of the usual last one, by so many vectors of the index taken as queries.
+FIRST, TRIED = 0.95, 32
 #: A query is done with a block once its windows' half-width is so many times the distance of its k-th best verified
 #: vector: one at that distance collides in a line with probability erf(REACH / sqrt 2) = 0.81, so that it misses the
 #: threshold with 0.1, and nearer ones with less. Measured recall is in the README.
@@ -50,7 +52,7 @@ TINY = 2.0**-1000
 class CollisionIndex:
     """The sorted projections of some vectors (none of them zero), and their search."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, lines: int = LINES, seed: int = 7):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, lines: int = LINES, seed: int = 7, k: int = 20):
         order = np.argsort(ids, kind="stable")
         ids, vectors = ids[order], vectors[order]
         _, first, which = np.unique(np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.dtype.itemsize * vectors.shape[1]))).ravel(), return_index=True, return_inverse=True)
@@ -69,7 +71,9 @@ class CollisionIndex:
         self.order = np.argsort(at, axis=0, kind="stable").T.astype(np.intp, order="C")
         self.sorted = np.take_along_axis(at, self.order.T, axis=0).T.copy()
         self.room = np.empty(self.order.size, np.intp)
-        self.width = float(np.median(np.abs(at))) * FIRST or 1e-3
+        tried = self.unit[:: -(-len(first) // TRIED)]
+        near = np.partition(tried @ self.unit.T / np.linalg.norm(tried, axis=1)[:, None], -min(k + 1, len(first)), axis=1)[:, -min(k + 1, len(first))]
+        self.width = max(1e-3, FIRST * REACH * float(np.median(np.sqrt(np.maximum(0.0, 2.0 - 2.0 * near)))))
 
     def scores(self, at: np.ndarray, query: np.ndarray) -> np.ndarray:
         """The inner products in double precision; where partial sums leave the doubles, those of scaled vectors, scaled back."""
@@ -165,10 +169,10 @@ class CollisionIndex:
 class NormRanges:
     """The vectors of a block and one number of dimensions: an index for each factor of two of their norms, longest first."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int = 20):
         norms = scaled(vectors)[2]
         rank = np.floor(norms.max() - norms).astype(np.int64)
-        self.indexes = [CollisionIndex(ids[rank == r], vectors[rank == r]) for r in np.unique(rank).tolist()]
+        self.indexes = [CollisionIndex(ids[rank == r], vectors[rank == r], k=k) for r in np.unique(rank).tolist()]
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per query the ids and exact scores of the k best found, ties to the smaller id, without its own id."""
@@ -207,7 +211,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int
 
     def build(table: pa.Table) -> dict[int, NormRanges]:
         ids = np.asarray(table.column("vec_id").combine_chunks(), np.int64)
-        return {dim: NormRanges(ids[at], v) for dim, (at, v) in vectors_by_size(table).items()}
+        return {dim: NormRanges(ids[at], v, k) for dim, (at, v) in vectors_by_size(table).items()}
 
     def ask(ranges: dict[int, NormRanges], table: pa.Table) -> Iterator[pa.RecordBatch]:
         all_ids = np.asarray(table.column("vec_id").combine_chunks(), np.int64)
