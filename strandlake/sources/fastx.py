@@ -9,13 +9,18 @@ any length is read by as many tasks as it has ranges; ``strandlake.operators.fee
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from strandlake.scratch import stored
+
 #: Bytes of a split, unless the option says otherwise.
 SPLIT_BYTES = 32 << 20
 PIECES = "path string, split long, row int, record long, header string, rest string, rest_ended boolean, sequence string, before long, last boolean, header_open boolean"
@@ -217,8 +222,6 @@ class FastxReader(DataSourceReader):
 
     def read(self, partition: ByteRange) -> Iterator:
         """The records or pieces of a byte range, as Arrow batches."""
-        import pyarrow as pa
-
         if not partition.path:
             return
         kind = self.kind or format_of(partition.path)
@@ -267,8 +270,6 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("path"), block.alias("block"), "value")
 
     def records(batches):
-        import pyarrow as pa
-
         at = None
         for b in batches:
             keep = []
@@ -285,69 +286,120 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_extract("r", "^([^\r\n]*)", 1).alias("header"), F.regexp_replace(body, "[\r\n]", "").alias("sequence")).filter("header <> '' OR sequence <> ''")
 
 
-def _step(state: int, line: str) -> int:
-    """The place in a record after a line: 0 between records, 1 to 3 after so many of its lines. Counting needs no marks inside."""
-    return (state + 1) % 4 if state or line.startswith("@") else 0
-
-
-def _block_lines(batches) -> Iterator[tuple[tuple[str, int], list[str]]]:
-    """The lines of each batch by the block they stand in; a block's lines come in order."""
-    for batch in batches:
-        paths, blocks, lines = (batch.column(k) for k in range(3))
-        cuts = [i for i in range(1, len(lines)) if blocks[i] != blocks[i - 1] or paths[i] != paths[i - 1]] if len(set(blocks.to_pylist())) > 1 or len(paths.unique()) > 1 else []
-        for a, z in zip([0, *cuts], [*cuts, len(lines)]):
-            if z > a:
-                yield (paths[a].as_py(), blocks[a].as_py()), [x.removesuffix("\r") for x in lines.slice(a, z - a).to_pylist()]
-
-
-def _block_ends(batches):
-    """For each block the number of lines and where a record stands at its end, by where it stands at its start."""
-    import pyarrow as pa
-
-    found: dict[tuple[str, int], list] = {}
-    for block, lines in _block_lines(batches):
-        n, ends = found.get(block, (0, [0, 1, 2, 3]))
-        for line in lines:
-            ends = [_step(s, line) for s in ends]
-        found[block] = (n + len(lines), ends)
-    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([b for _, b in found], pa.int64()), pa.array([n for n, _ in found.values()], pa.int64()), pa.array([e for _, e in found.values()], pa.list_(pa.int32()))], ["path", "block", "n", "ends"])
-
-
-def _block_records(starts: dict, strict: bool, crossing: bool):
-    """Records that lie in one block, or (crossing) the lines of those that don't, with the block where they begin."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        def rows(found):
-            columns = list(zip(*found)) or [[], [], [], []]
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string())]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["path", "origin", "block", "lines"])
-
-        at, state, origin, part, found = None, 0, 0, [], []
-        for block, lines in _block_lines(batches):
-            if block != at:
-                if part and crossing:
-                    found.append((at[0], origin, at[1], part))
-                at, (state, origin), part = block, starts[block], []
-            for line in lines:
-                if state == 0:
-                    if not line.startswith("@"):
-                        if strict and line:
-                            raise ValueError("Expected header")
-                        continue
-                    origin, part = block[1], []
-                part.append(line)
-                state = _step(state, line)
-                if state == 0:
-                    if (len(part) < 4) == crossing:
-                        found.append((block[0], origin, block[1], part))
-                    part = []
-            yield rows(found)
-            found = []
-        if part and crossing:
-            found.append((at[0], origin, at[1], part))
-        yield rows(found)
+#: Blocks of FASTQ files at most that Spark's text reader is asked for at once: one slim row each is broadcast.
+MOST_BLOCKS = 1 << 20
+
+
+def _headers(marked: np.ndarray, at: int) -> tuple[np.ndarray, int]:
+    """The lines where records begin, from line ``at`` between two records on, and the lines of the last record at the end.
+
+    Records have four lines each; a line between records that has no mark is none of a record.
+    """
+    found, n = [], len(marked)
+    while at < n:
+        fine = marked[at::4]
+        stop = int(np.argmin(fine)) if not fine.all() else len(fine)
+        found.append(np.arange(at, at + 4 * stop, 4))
+        if stop == len(fine):
+            return np.concatenate(found), (n - at) % 4
+        at += 4 * stop + 1
+    return np.concatenate(found) if found else np.zeros(0, np.int64), 0
+
+
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, pa.RecordBatch]]:
+    """The rows of each batch by the block that they stand in; a block's rows come in order."""
+    for b in batches:
+        path, block = b.column("path"), np.asarray(b.column("block"))
+        new = np.append(True, block[1:] != block[:-1])
+        if len(path) > 1:
+            new[1:] |= np.asarray(pc.not_equal(path.slice(1), path.slice(0, len(path) - 1)))
+        cuts = np.flatnonzero(new).tolist()
+        for s, e in zip(cuts, [*cuts[1:], b.num_rows], strict=True):
+            yield path[s].as_py(), int(block[s]), b.slice(s, e - s)
+
+
+def _bare_lines(lines: pa.Array) -> pa.Array:
+    return pc.replace_substring_regex(lines, "\r$", "")
+
+
+def _block_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each block its lines, the state at its end for each state at its start, and its first and last three lines.
+
+    A state is the number of lines of a record that is open: 0 between records.
+    """
+    kinds = {"path": pa.string(), "block": pa.int64(), "n": pa.int64(), "ends": pa.list_(pa.int32()), "head": pa.list_(pa.string()), "tail": pa.list_(pa.string())}
+    at, marks, head, tail = None, [], [], []
+
+    def done() -> pa.RecordBatch:
+        marked = np.concatenate(marks)
+        ends = [_headers(marked, 0)[1]] + [_headers(marked, 4 - s)[1] if len(marked) >= 4 - s else s + len(marked) for s in (1, 2, 3)]
+        row = [*at, len(marked), ends, head, tail]
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds.values(), strict=True)], list(kinds))
+
+    for path, block, b in _by_block(batches):
+        if (path, block) != at:
+            if at is not None:
+                yield done()
+            at, marks, head, tail = (path, block), [], [], []
+        lines = b.column("value")
+        marks.append(np.asarray(pc.starts_with(lines, "@")))
+        if len(head) < 3:
+            head += _bare_lines(lines.slice(0, 3 - len(head))).to_pylist()
+        tail = (tail + _bare_lines(lines.slice(max(0, len(lines) - 3))).to_pylist())[-3:]
+    if at is not None:
+        yield done()
+
+
+def _joined_blocks(table: pa.Table) -> pa.Table:
+    """Of the blocks of one file, in order: the state where each begins, the records that cross blocks, and whether one stays open."""
+    rows, state, part = [], 0, []
+    path = None
+    for r in sorted(table.to_pylist(), key=lambda r: r["block"]):
+        path = r["path"]
+        rows.append((path, r["block"], state, None))
+        take = min((4 - state) % 4, r["n"])
+        if state:
+            part += r["head"][:take]
+            if len(part) == 4:
+                rows.append((path, None, None, part))
+                part = []
+        was, state = state, r["ends"][state]
+        if state and not (was and take == r["n"] and was + take < 4):
+            part = r["tail"][-state:]
+    if state:
+        rows.append((path, None, state, None))
+    columns = list(zip(*rows, strict=True))
+    return pa.table({n: pa.array(c, k) for n, c, k in zip(("path", "block", "state", "lines"), columns, (pa.string(), pa.int64(), pa.int32(), pa.list_(pa.string())), strict=True)})
+
+
+def _whole_records(strict: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The records that lie in one block, from its lines and the state where it begins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, skip = None, None, 0
+        for path, block, b in _by_block(batches):
+            if (path, block) != at:
+                at, held, skip = (path, block), None, (4 - b.column("state")[0].as_py()) % 4
+            lines = b.column("value")
+            skipped = min(skip, len(lines))
+            skip -= skipped
+            lines = lines.slice(skipped)
+            if held is not None:
+                lines = pa.concat_arrays([held, lines])
+            marked = np.asarray(pc.starts_with(lines, "@"))
+            heads, open_ = _headers(marked, 0)
+            if strict and 4 * len(heads) - (4 - open_) % 4 < len(lines):  # some lines are of no record
+                mine = np.zeros(len(lines) + 4, bool)
+                for k in range(4):
+                    mine[heads + k] = True
+                if any(_bare_lines(lines.filter(pa.array(~mine[: len(lines)]))).to_pylist()):
+                    raise ValueError("Expected header")
+            if open_:
+                heads = heads[:-1]
+            held = lines.slice(len(lines) - open_) if open_ else None
+            if len(heads):
+                columns = [_bare_lines(lines.take(pa.array(heads + k))) for k in range(4)]
+                yield pa.RecordBatch.from_arrays(columns, ["header", "sequence", "plus", "quality"])
 
     return run
 
@@ -355,26 +407,25 @@ def _block_records(starts: dict, strict: bool, crossing: bool):
 def read_fastq(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """header, sequence and quality of FASTQ files or folders by Spark's own text reader, any store.
 
-    Lines are counted from the start of each file, so any line may begin with @ or +. A first pass finds where records
-    stand at the ends of Spark's blocks; the lines of a record that crosses blocks are brought together by a shuffle of
-    those records only. ``strict``: malformed input is an error, otherwise it is skipped.
+    Lines are counted from the start of each file, so any line may begin with @ or +. A first pass makes one slim row per
+    block of Spark's: how it changes the place in a record, and the lines at its edges. The blocks of a file are put in
+    order from these rows, which also gives the records that cross blocks; a second pass reads the others where they lie.
+    ``strict``: malformed input is an error, otherwise it is skipped.
     """
     lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value"))
-    starts, last = {}, {}
-    for r in sorted(lines.mapInArrow(_block_ends, "path string, block long, n long, ends array<int>").collect(), key=lambda r: (r["path"], r["block"])):
-        state, origin = starts[r["path"], r["block"]] = last.get(r["path"], (0, 0))
-        last[r["path"]] = (r["ends"][state], origin if 0 < state and r["n"] < 4 - state else r["block"])
-    if strict and any(state for state, _ in last.values()):
+    blocks = lines.mapInArrow(_block_ends, "path string, block long, n long, ends array<int>, head array<string>, tail array<string>")
+    placed = stored(blocks.groupBy("path").applyInArrow(_joined_blocks, "path string, block long, state int, lines array<string>"), "fastq-blocks")
+    counts = placed.agg(F.count("block").alias("blocks"), F.count_if(F.col("block").isNull() & F.col("state").isNotNull()).alias("open")).first()
+    if strict and counts["open"]:
         raise ValueError("Truncated record")
-    kind = "path string, origin long, block long, lines array<string>"
-    rows = lines.mapInArrow(_block_records(starts, strict, False), kind).select("lines")
-    if any(state for state, _ in starts.values()):
-        parts = lines.mapInArrow(_block_records(starts, strict, True), kind).groupBy("path", "origin").agg(F.sort_array(F.collect_list(F.struct("block", "lines"))).alias("parts"))
-        rows = rows.union(parts.select(F.flatten("parts.lines").alias("lines")).filter(F.size("lines") == 4))
-    header, sequence, plus, quality = (F.get("lines", F.lit(k)) for k in range(4))
-    problem = F.when(~plus.startswith("+"), "Expected quality header").when(F.length(sequence) != F.length(quality), "Expected newline after quality")
+    if counts["blocks"] > MOST_BLOCKS:
+        raise ValueError("too many blocks: raise spark.sql.files.maxPartitionBytes or read fewer files at once")
+    starts = F.broadcast(placed.filter("block IS NOT NULL").select("path", "block", "state"))
+    rows = lines.join(starts, ["path", "block"]).select("path", "block", "value", "state").mapInArrow(_whole_records(strict), "header string, sequence string, plus string, quality string")
+    rows = rows.unionByName(placed.filter("lines IS NOT NULL").select(*[F.get("lines", F.lit(k)).alias(c) for k, c in enumerate(("header", "sequence", "plus", "quality"))]))
+    problem = F.when(~F.col("plus").startswith("+"), "Expected quality header").when(F.length("sequence") != F.length("quality"), "Expected newline after quality")
     right = F.when(problem.isNull(), True).otherwise(F.raise_error(problem).cast("boolean") if strict else F.lit(False))
-    return rows.filter(right).select(header.substr(2, 1 << 30).alias("header"), sequence.alias("sequence"), quality.alias("quality"))
+    return rows.filter(right).select(F.substr("header", F.lit(2)).alias("header"), "sequence", "quality")
 
 
 def write_fasta(df: DataFrame, path: str, header: str = "header", sequence: str = "sequence") -> None:
