@@ -62,6 +62,34 @@ def fed_kmers(chunks: DataFrame, k: int, keys: list[str], seq_col: str = "sequen
     return chunks.select(*keys, "start", "carry", seq_col).mapInArrow(run, schema)
 
 
+def fed_totals(chunks: DataFrame, k: int, keep: list[str], seq_col: str = "sequence") -> DataFrame:
+    """What the k-mers of ``fed_kmers`` add up to: the columns ``keep`` of a chunk, n, first, last, total (of pos), codes (their sum).
+
+    A row for each chunk, also without a k-mer (n is 0, first and last are null), and more of a very long one: rows of
+    k-mers don't leave the worker. k is 21 at most, so that a slice's codes add up in a long.
+    """
+    if not 1 <= k <= 21:
+        raise ValueError("k must be 1 to 21")
+    names = ["n", "first", "last", "total", "codes"]
+    schema = chunks.select(*keep, *[F.lit(None).cast("long").alias(c) for c in names]).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of, rows = [], []
+            for r, (start, carry, text) in enumerate(zip(*(b.column(c) for c in ("start", "carry", seq_col)), strict=True)):
+                carry = carry.as_py() or ""
+                before = start.as_py() - len(carry)
+                found = [(len(at), int(at[0]) + before, int(at[-1]) + before, int(at.sum()) + before * len(at), int(code.sum())) for _, at, code in _scan(carry + (text.as_py() or ""), k) if len(at)]
+                found = found or [(0, None, None, 0, 0)]
+                of += [r] * len(found)
+                rows += found
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            mine = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(mine) for c in keep), *(pa.array(c, pa.int64()) for c in columns)], [*keep, *names])
+
+    return chunks.select(*dict.fromkeys([*keep, "start", "carry", seq_col])).mapInArrow(run, schema)
+
+
 def chunked_kmers(chunks: DataFrame, k: int, id_col: str = "seq_id", part_col: str = "part", seq_col: str = "sequence") -> DataFrame:
     """(id, pos, code) of the k-mers of sequences that come in chunks, also of those across chunks."""
     return fed_kmers(carried(chunks, k, id_col, part_col, seq_col), k, [id_col], seq_col)

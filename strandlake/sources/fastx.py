@@ -2,7 +2,8 @@
 
 Options: path (a file, or a folder of files), format (fasta or fastq; from the suffix otherwise), strict (true: malformed input is an error,
 false: it is skipped), strict_terminator (true: an unterminated last record is dropped), split_bytes, layout. Splits are byte
-ranges; a reader starts at the first record that begins in its range and reads the last one to its end. With the layout
+ranges; a reader starts at the first record that begins in its range and reads the last one to its end. Small neighbouring
+ranges of a file are one task, so tasks grow in number with the bytes and not with the ranges. With the layout
 ``pieces`` (FASTA only) a reader takes the bytes of its range alone, wherever records begin and end, so that a record of
 any length is read by as many tasks as it has ranges; ``strandlake.operators.feeds.stitched`` puts its pieces in order.
 """
@@ -21,8 +22,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from strandlake.scratch import stored
 
-#: Bytes of a split, unless the option says otherwise.
-SPLIT_BYTES = 32 << 20
+#: Bytes of a split, unless the option says otherwise, and of the neighbouring splits that one task reads, about.
+SPLIT_BYTES, TASK_BYTES = 32 << 20, 4 << 20
 PIECES = "path string, split long, row int, record long, header string, rest string, rest_ended boolean, sequence string, before long, last boolean, header_open boolean"
 SCHEMA = "offset long, header string, sequence string, quality string"
 SUFFIXES = {".fa": "fasta", ".fasta": "fasta", ".fq": "fastq", ".fastq": "fastq"}
@@ -37,6 +38,8 @@ def format_of(path: str) -> str:
 
 @dataclass
 class ByteRange(InputPartition):
+    """Bytes of a file that one task reads, in ranges of the reader's ``split`` each."""
+
     start: int
     end: int
     path: str = ""
@@ -217,23 +220,25 @@ class FastxReader(DataSourceReader):
                 format_of(path)
 
     def partitions(self) -> list[ByteRange]:
-        found = [ByteRange(s, min(size, s + self.split), path) for path, size in _files(self.path) for s in range(0, size, self.split)]
+        step = max(1, TASK_BYTES // self.split) * self.split
+        found = [ByteRange(s, min(size, s + step), path) for path, size in _files(self.path) for s in range(0, size, step)]
         return found or [ByteRange(0, 0, "")]
 
     def read(self, partition: ByteRange) -> Iterator:
-        """The records or pieces of a byte range, as Arrow batches."""
+        """The records or pieces of a task's byte ranges, as Arrow batches."""
         if not partition.path:
             return
         kind = self.kind or format_of(partition.path)
+        ranges = [(s, min(partition.end, s + self.split)) for s in range(partition.start, partition.end, self.split)]
         with _open(partition.path) as f:
             if self.pieces:
                 if kind != "fasta":
                     raise ValueError("only FASTA is read in pieces")
                 kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.bool_(), pa.bool_())
-                rows, at, names = ((partition.path, partition.start, *r) for r in read_pieces(f, partition.start, partition.end)), 7, [c.split()[0] for c in PIECES.split(", ")]
+                rows, at, names = ((partition.path, s, *r) for s, e in ranges for r in read_pieces(f, s, e)), 7, [c.split()[0] for c in PIECES.split(", ")]
             else:
                 kinds = (pa.int64(), pa.string(), pa.string(), pa.string())
-                rows, at, names = read_range(f, partition.start, partition.end, kind, self.strict, self.strict_terminator), 2, ["offset", "header", "sequence", "quality"]
+                rows, at, names = (r for s, e in ranges for r in read_range(f, s, e, kind, self.strict, self.strict_terminator)), 2, ["offset", "header", "sequence", "quality"]
             for part in _by_size(rows, at):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), kinds, strict=True)], names)
 

@@ -130,3 +130,26 @@ def test_scan_of_whole_sequences_agrees(spark):
     whole = ops.kmers(table, 3).select("seq_id", "pos", "code")
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, feeds.chunked_kmers(table, 3).select("seq_id", "pos", "code").collect()))
     assert feeds.chunked_kmers(table.filter(F.lit(False)), 3).collect() == []
+
+
+@pytest.mark.parametrize("layout", ["records", "pieces"])
+def test_small_ranges_share_a_task(tmp_path, layout):
+    """Tasks grow with the bytes: ranges of 10 bytes of a small file are one task, and every range is read."""
+    (tmp_path / "a.fa").write_text("".join(f">s{i}\n{'ACGT' * i}\n" for i in range(1, 60)))
+    reader = fastx.FastxReader({"path": str(tmp_path / "a.fa"), "split_bytes": "10", "layout": layout})
+    parts = reader.partitions()
+    assert len(parts) == 1
+    rows = [r for b in reader.read(parts[0]) for r in b.to_pylist()]
+    assert [r["header"] for r in rows if r["header"] is not None] == [f"s{i}" for i in range(1, 60)]
+    if layout == "pieces":
+        assert len({r["split"] for r in rows}) == -(-(tmp_path / "a.fa").stat().st_size // 10)
+
+
+def test_totals_are_those_of_the_kmers(spark, tmp_path):
+    """Chunks without a k-mer keep a row, so that their record isn't lost."""
+    (tmp_path / "a.fa").write_text(">x\n" + "ACGTTGCANNAC\n" * 9 + ">short\nAC\n>none\nNNNNNNN\n>y\nGATTACA\n")
+    pieces = feeds.stitched(spark, str(tmp_path), 4, 7)
+    got = feeds.fed_totals(pieces, 4, ["path", "record"]).groupBy("record").agg(*[getattr(F, f)(c).alias(c) for f, c in (("sum", "n"), ("min", "first"), ("max", "last"), ("sum", "total"), ("sum", "codes"))])
+    want = feeds.fed_kmers(pieces, 4, ["record"]).groupBy("record").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.sum("pos").alias("total"), F.sum("code").alias("codes"))
+    assert sorted(map(tuple, got.filter("n > 0").collect())) == sorted(map(tuple, want.collect()))
+    assert got.filter("n = 0").count() == 2
