@@ -209,6 +209,71 @@ def _minima(x: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
     right = ahead <= back
     return np.where(right, ahead, back), np.where(right, ahead_at, back_at)
 
+def _strand_words(code: np.ndarray, k: int) -> list[np.ndarray]:
+    """The k bases from each place on as words of 32, the first word of what is over; wider parts are made of two narrower ones."""
+    n = len(code) - k + 1
+    powers = [code.astype(np.uint64)]
+    while 2 << len(powers) - 1 <= min(k, 32):
+        half = 1 << len(powers) - 1
+        powers.append(powers[-1][:-half] << np.uint64(2 * half) | powers[-1][half:])
+    words, at = [], 0
+    for width in [k % 32] * (k % 32 > 0) + [32] * (k // 32):
+        word = np.zeros(n, np.uint64)
+        for j in reversed(range(len(powers))):
+            if width >> j & 1:
+                part = powers[j][at : at + n]
+                word = part if 1 << j == 32 else word << np.uint64(2 << j) | part
+                at += 1 << j
+        words.append(word)
+    return words
+
+
+def _extreme(words: list[np.ndarray], most: bool) -> int:
+    """The first place of the least or the greatest row of words."""
+    at = np.arange(len(words[0]))
+    for w in words:
+        x = w[at]
+        at = at[x == (x.max() if most else x.min())]
+    return int(at[0])
+
+
+def canonical_extremes(seqs: DataFrame, k: int, id_col: str = "seq_id", seq_col: str = "sequence") -> DataFrame:
+    """The number of k-mers of valid bases and the least and greatest of their canonical forms, for any k: (id, n, least, most).
+
+    A form is a list of words of 32 bases (the first has what is over) whose top bits are flipped, so that Spark's order of
+    lists is the unsigned one. There is a row for each slice of a sequence: no k-mer leaves the worker.
+    """
+    if k < 1:
+        raise ValueError("k must be positive")
+    flip = np.uint64(1 << 63)
+
+    def scan(text: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        b = np.frombuffer(text.encode("latin-1", "replace"), np.uint8)
+        for s in range(0, max(0, len(b) - k + 1), SLICE):
+            code = _CODE[b[s : s + SLICE + k - 1]]
+            wrong = np.concatenate([[0], np.cumsum(code == 255)])
+            fine = wrong[k:] == wrong[:-k]
+            if not fine.any():
+                continue
+            code &= 3
+            mine, other = _strand_words(code, k), [w[::-1] for w in _strand_words((code ^ 2)[::-1], k)]
+            less, same = np.zeros(len(fine), bool), np.ones(len(fine), bool)
+            for x, y in zip(mine, other, strict=True):
+                less |= same & (x < y)
+                same &= x == y
+            words = [np.where(less, x, y)[fine] for x, y in zip(mine, other, strict=True)]
+            yield len(words[0]), *(np.array([(w[i] ^ flip).view(np.int64) for w in words]) for i in (_extreme(words, False), _extreme(words, True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        for b in batches:
+            rows = [(i.as_py(), *r) for i, text in zip(b.column(0), b.column(1), strict=True) if text.is_valid for r in scan(text.as_py())]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [id_col, "n", "least", "most"])
+
+    return seqs.select(F.col(id_col).cast("long").alias(id_col), seq_col).mapInArrow(run, f"`{id_col}` long, n long, least array<long>, most array<long>")
+
+
 
 def _window_minima(text: str, k: int, w: int, canonical: bool, allowed: np.ndarray | None) -> Iterator[tuple[np.ndarray, ...]]:
     """Run, place of the last k-mer, minimum and its place, for each w consecutive k-mers of a run."""
