@@ -345,6 +345,27 @@ def placed_kmers(seqs: DataFrame, k: int, id_col: str = "seq_id", seq_col: str =
 
     A sequence is sorted where it is scanned: 24 bytes per k-mer of one sequence at a time.
     """
+def minimizer_totals(seqs: DataFrame, k: int, w: int, id_col: str = "seq_id", seq_col: str = "sequence") -> DataFrame:
+    """What the rows of ``minimizers`` add up to: (id, n, n_minima, codes, places), a row for each slice of a sequence.
+
+    ``n_minima`` counts the windows of a run whose minimum is another element than the window's before. As places of
+    rightmost minima don't fall, these are the distinct places. k is 21 at most, so that a slice's codes add up in a long.
+    """
+    if not 1 <= k <= 21:
+        raise ValueError("k must be 1 to 21")
+
+    def scan(text: str) -> Iterator[tuple[np.ndarray, ...]]:
+        last = (-1, -1)
+        for run, _, low, place in _window_minima(text, k, w, False, None):
+            if len(run):
+                new = np.diff(run, prepend=last[0]) != 0
+                new |= np.diff(place, prepend=last[1]) != 0
+                last = (run[-1], place[-1])
+                yield tuple(np.array([x], np.int64) for x in (len(run), np.count_nonzero(new), low.sum(), place.sum()))
+
+    return _each(seqs, scan, {"n": "long", "n_minima": "long", "codes": "long", "places": "long"}, id_col, seq_col)
+
+
     _check(k)
 
     def scan(text: str) -> Iterator[tuple[np.ndarray, ...]]:
