@@ -70,7 +70,7 @@ def _each(seqs: DataFrame, scan: Callable[[str], Iterator[tuple[np.ndarray, ...]
     """The rows that ``scan`` makes of every sequence, with its id; nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((i, arrays) for b in batches for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if text is not None for arrays in scan(text))
+        rows = ((i.as_py(), arrays) for b in batches for i, text in zip(b.column(0), b.column(1), strict=True) if text.is_valid for arrays in scan(text.as_py()))
         yield from _batches(list(columns), rows, id_col)
 
     schema = ", ".join(f"`{c}` {t}" for c, t in ({id_col: "long"} | columns).items())
@@ -96,6 +96,35 @@ def kmers(seqs: DataFrame, k: int, id_col: str = "seq_id", seq_col: str = "seque
     return _each(seqs, scan, {"run": "int", "pos": "long", "code": "long"}, id_col, seq_col)
 
 
+def distinct_codes(seqs: DataFrame, k: int, seq_col: str = "sequence") -> DataFrame:
+    """The codes (code) of all k-mers of valid bases, each once.
+
+    A worker sends a code once per task, from a bitmap of 4^k codes, and for k beyond 12 once per batch.
+    """
+    _check(k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = (value for b in batches for text in b.column(0) if text.is_valid for _, _, value in _scan(text.as_py(), k))
+        if k <= 12:
+            seen = np.zeros(4**k, bool)
+            for value in found:
+                seen[value] = True
+            for s in range(0, len(seen), BATCH):
+                yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen[s : s + BATCH]) + s)], ["code"])
+            return
+        parts, held = [], 0
+        for value in found:
+            parts.append(value)
+            held += len(value)
+            if held > BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(parts)))], ["code"])
+                parts, held = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(parts)))], ["code"])
+
+    return seqs.select(seq_col).mapInArrow(run, "code long").distinct()
+
+
 def windows(seqs: DataFrame, k: int, id_col: str = "seq_id", seq_col: str = "sequence") -> DataFrame:
     """One row per window of k characters, also of invalid ones: (id, pos, code, valid). k is 31 at most.
 
@@ -180,35 +209,6 @@ def wide_kmers(seqs: DataFrame, k: int, id_col: str = "seq_id", seq_col: str = "
     return found.mapInArrow(cut, schema)
 
 
-def reverse_complement_codes(code: np.ndarray, k: int) -> np.ndarray:
-    """The codes of the other strand."""
-    out = np.zeros_like(code)
-    for _ in range(k):
-        out, code = out << 2 | (code & 3 ^ 2), code >> 2
-    return out
-
-
-def _minima(x: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
-    """The least of each w consecutive values and its place, the rightmost if several; linear for any w.
-
-    A window over blocks of w values is the end of one and the begin of the next: running minima of the blocks from
-    either side, with the places where they last changed.
-    """
-    n = len(x) - w + 1
-    top = np.iinfo(np.int64).max
-    rows = np.append(x, np.full(-len(x) % w, top)).reshape(-1, w)
-    at = np.arange(rows.size).reshape(rows.shape)
-    ahead = np.minimum.accumulate(rows, axis=1)
-    ahead_at = np.maximum.accumulate(np.where(rows == ahead, at, -1), axis=1)
-    back = np.minimum.accumulate(rows[:, ::-1], axis=1)
-    new = np.ones(back.shape, bool)
-    new[:, 1:] = back[:, 1:] < back[:, :-1]
-    back_at = np.minimum.accumulate(np.where(new, at[:, ::-1], rows.size), axis=1)[:, ::-1].ravel()[:n]
-    back = back[:, ::-1].ravel()[:n]
-    ahead, ahead_at = ahead.ravel()[w - 1 : w - 1 + n], ahead_at.ravel()[w - 1 : w - 1 + n]
-    right = ahead <= back
-    return np.where(right, ahead, back), np.where(right, ahead_at, back_at)
-
 def _strand_words(code: np.ndarray, k: int) -> list[np.ndarray]:
     """The k bases from each place on as words of 32, the first word of what is over; wider parts are made of two narrower ones."""
     n = len(code) - k + 1
@@ -274,6 +274,35 @@ def canonical_extremes(seqs: DataFrame, k: int, id_col: str = "seq_id", seq_col:
     return seqs.select(F.col(id_col).cast("long").alias(id_col), seq_col).mapInArrow(run, f"`{id_col}` long, n long, least array<long>, most array<long>")
 
 
+def reverse_complement_codes(code: np.ndarray, k: int) -> np.ndarray:
+    """The codes of the other strand."""
+    out = np.zeros_like(code)
+    for _ in range(k):
+        out, code = out << 2 | (code & 3 ^ 2), code >> 2
+    return out
+
+
+def _minima(x: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least of each w consecutive values and its place, the rightmost if several; linear for any w.
+
+    A window over blocks of w values is the end of one and the begin of the next: running minima of the blocks from
+    either side, with the places where they last changed.
+    """
+    n = len(x) - w + 1
+    top = np.iinfo(np.int64).max
+    rows = np.append(x, np.full(-len(x) % w, top)).reshape(-1, w)
+    at = np.arange(rows.size).reshape(rows.shape)
+    ahead = np.minimum.accumulate(rows, axis=1)
+    ahead_at = np.maximum.accumulate(np.where(rows == ahead, at, -1), axis=1)
+    back = np.minimum.accumulate(rows[:, ::-1], axis=1)
+    new = np.ones(back.shape, bool)
+    new[:, 1:] = back[:, 1:] < back[:, :-1]
+    back_at = np.minimum.accumulate(np.where(new, at[:, ::-1], rows.size), axis=1)[:, ::-1].ravel()[:n]
+    back = back[:, ::-1].ravel()[:n]
+    ahead, ahead_at = ahead.ravel()[w - 1 : w - 1 + n], ahead_at.ravel()[w - 1 : w - 1 + n]
+    right = ahead <= back
+    return np.where(right, ahead, back), np.where(right, ahead_at, back_at)
+
 
 def _window_minima(text: str, k: int, w: int, canonical: bool, allowed: np.ndarray | None) -> Iterator[tuple[np.ndarray, ...]]:
     """Run, place of the last k-mer, minimum and its place, for each w consecutive k-mers of a run."""
@@ -316,6 +345,27 @@ def minimizers(seqs: DataFrame, k: int, w: int, canonical: bool = False, forbidd
     return _each(seqs, lambda text: _window_minima(text, k, w, canonical, allowed), {"run": "int", "pos": "long", "min_value": "long", "min_pos": "long"}, id_col, seq_col)
 
 
+def minimizer_totals(seqs: DataFrame, k: int, w: int, id_col: str = "seq_id", seq_col: str = "sequence") -> DataFrame:
+    """What the rows of ``minimizers`` add up to: (id, n, n_minima, codes, places), a row for each slice of a sequence.
+
+    ``n_minima`` counts the windows of a run whose minimum is another element than the window's before. As places of
+    rightmost minima don't fall, these are the distinct places. k is 21 at most, so that a slice's codes add up in a long.
+    """
+    if not 1 <= k <= 21:
+        raise ValueError("k must be 1 to 21")
+
+    def scan(text: str) -> Iterator[tuple[np.ndarray, ...]]:
+        last = (-1, -1)
+        for run, _, low, place in _window_minima(text, k, w, False, None):
+            if len(run):
+                new = np.diff(run, prepend=last[0]) != 0
+                new |= np.diff(place, prepend=last[1]) != 0
+                last = (run[-1], place[-1])
+                yield tuple(np.array([x], np.int64) for x in (len(run), np.count_nonzero(new), low.sum(), place.sum()))
+
+    return _each(seqs, scan, {"n": "long", "n_minima": "long", "codes": "long", "places": "long"}, id_col, seq_col)
+
+
 def ends_of_runs(seqs: DataFrame, k: int, id_col: str = "seq_id", seq_col: str = "sequence") -> DataFrame:
     """The last k-mer of each run: (id, run, pos, code, n: the k-mers of the run)."""
     _check(k)
@@ -345,27 +395,6 @@ def placed_kmers(seqs: DataFrame, k: int, id_col: str = "seq_id", seq_col: str =
 
     A sequence is sorted where it is scanned: 24 bytes per k-mer of one sequence at a time.
     """
-def minimizer_totals(seqs: DataFrame, k: int, w: int, id_col: str = "seq_id", seq_col: str = "sequence") -> DataFrame:
-    """What the rows of ``minimizers`` add up to: (id, n, n_minima, codes, places), a row for each slice of a sequence.
-
-    ``n_minima`` counts the windows of a run whose minimum is another element than the window's before. As places of
-    rightmost minima don't fall, these are the distinct places. k is 21 at most, so that a slice's codes add up in a long.
-    """
-    if not 1 <= k <= 21:
-        raise ValueError("k must be 1 to 21")
-
-    def scan(text: str) -> Iterator[tuple[np.ndarray, ...]]:
-        last = (-1, -1)
-        for run, _, low, place in _window_minima(text, k, w, False, None):
-            if len(run):
-                new = np.diff(run, prepend=last[0]) != 0
-                new |= np.diff(place, prepend=last[1]) != 0
-                last = (run[-1], place[-1])
-                yield tuple(np.array([x], np.int64) for x in (len(run), np.count_nonzero(new), low.sum(), place.sum()))
-
-    return _each(seqs, scan, {"n": "long", "n_minima": "long", "codes": "long", "places": "long"}, id_col, seq_col)
-
-
     _check(k)
 
     def scan(text: str) -> Iterator[tuple[np.ndarray, ...]]:

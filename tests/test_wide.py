@@ -4,6 +4,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -161,3 +162,54 @@ def test_lookup_tables(spark):
         got = {r.i: (r.code, r.data, r.rank) for r in tables.looked_up(rows, table, task_rows=task_rows).collect()}
         assert got == {i: (c, "d", want.get(c)) for i, c in enumerate(codes)}
     assert tables.looked_up(rows.limit(0), table).collect() == []
+
+
+@pytest.mark.parametrize("k", [1, 5, 31, 32, 33, 40, 64, 70])
+def test_canonical_extremes_of_any_length(spark, monkeypatch, k):
+    """Also over slices: the least and greatest of a slice travel, never its k-mers."""
+    monkeypatch.setattr(ops, "SLICE", 50)
+    rng = random.Random(k)
+    seqs = {i: "".join(rng.choice("ACGTacgt") if rng.random() < 0.995 else "N" for _ in range(rng.randint(0, 400))) for i in range(12)}
+    flip = str.maketrans("ACGT", "TGCA")
+    digits = str.maketrans("ACTG", "0123")
+    want = {}
+    for i, s in seqs.items():
+        s = s.upper()
+        found = [min(x.translate(digits), x.translate(flip)[::-1].translate(digits)) for x in (s[p : p + k] for p in range(len(s) - k + 1)) if "N" not in x]
+        if found:
+            want[i] = len(found), int(min(found), 4), int(max(found), 4)
+    table = spark.createDataFrame([*seqs.items(), (99, None)], "seq_id long, sequence string")
+    rows = ops.canonical_extremes(table, k).groupBy("seq_id").agg(F.sum("n").alias("n"), F.min("least").alias("a"), F.max("most").alias("z")).collect()
+    number = lambda words: sum((w + 2**63) << 64 * j for j, w in enumerate(reversed(words)))
+    assert {r.seq_id: (r.n, number(r.a), number(r.z)) for r in rows} == want
+
+
+@pytest.mark.parametrize("w", [1, 4, 200])
+def test_minimizer_totals(spark, w):
+    """The sums of the rows of minimizers, also where a run and its minimum go on in the next slice."""
+    rng = random.Random(w)
+    seqs = ["".join(rng.choice("ACGTN" if i < 6 else "ACGT") for _ in range(n)) for i, n in enumerate([0, 3, 8, 300, 900, 2000, 4000, ops.SLICE + 700])]
+    table = spark.createDataFrame([*enumerate(seqs), (99, None)], "seq_id long, sequence string")
+    each = ops.minimizers(table, 5, w).groupBy("seq_id", "run").agg(F.count("*").alias("n"), F.count_distinct("min_pos").alias("m"), F.sum("min_value").alias("c"), F.sum("min_pos").alias("p"))
+    want = each.groupBy("seq_id").agg(*[F.sum(c) for c in "nmcp"])
+    got = ops.minimizer_totals(table, 5, w).groupBy("seq_id").agg(*[F.sum(c) for c in ("n", "n_minima", "codes", "places")])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("k", [3, 8, 13])
+def test_distinct_codes(spark, k):
+    rng = random.Random(k)
+    table = spark.createDataFrame([(i, "".join(rng.choice("ACGTacgtN") for _ in range(500))) for i in range(20)] + [(99, None)], "seq_id long, sequence string")
+    got = [r.code for r in ops.distinct_codes(table, k).collect()]
+    assert sorted(got) == sorted(r.code for r in ops.kmers(table, k).select("code").distinct().collect())
+
+
+def test_packed_rows_come_in_bounded_batches(spark, monkeypatch):
+    """A batch of many texts is packed and unpacked by parts of bounded size, in order."""
+    monkeypatch.setattr(packed_sequences, "CHARS", 100)
+    texts = {i: "ACGTN acgt"[: i % 11] * (i % 7) for i in range(300)}
+    table = spark.createDataFrame(list(texts.items()), "seq_id long, sequence string").coalesce(1)
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([sum(b.column("n").to_pylist())])], ["chars"]) for b in batches)
+    rows = packed_sequences.pack_sequences(table)
+    assert {r.seq_id: r.sequence for r in packed_sequences.unpack_sequences(rows).collect()} == texts
+    assert max(r.chars for r in rows.mapInArrow(sizes, "chars long").collect()) < 200
