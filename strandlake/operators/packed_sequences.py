@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.packed import PackedInts, load, words_of
-from strandlake.operators.kmers import SLICE, _check
+from strandlake.operators.kmers import SLICE, _batches, _check
 
 _KIND = "n long, data binary, places array<long>, lengths array<int>, letters string"
 _CODE = np.full(128, 255, np.uint8)
@@ -22,8 +22,11 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def pack_text(text: str) -> tuple[int, bytes, list[int], list[int], str]:
-    """Length, 2-bit bases (base i at bits 2i), and the stretches of other letters: where, how long, and which."""
+#: Characters whose packed rows or texts a worker holds at a time, about.
+CHARS = 1 << 20
+
+
+def _packed(text: str) -> tuple[int, bytes, np.ndarray, np.ndarray, str]:
     c = _points(text)
     code = np.where(c < 128, _CODE[np.minimum(c, 127)], 255).astype(np.uint8)
     odd = np.append(code == 255, False)
@@ -32,10 +35,28 @@ def pack_text(text: str) -> tuple[int, bytes, list[int], list[int], str]:
     code[odd[:-1]] = 0
     fours = np.append(code, np.zeros(-len(code) % 4, np.uint8)).reshape(-1, 4)
     data = (fours[:, 0] | fours[:, 1] << 2 | fours[:, 2] << 4 | fours[:, 3] << 6).astype(np.uint8).tobytes()
-    return len(c), data, starts.tolist(), (ends - starts).tolist(), c[odd[:-1]].tobytes().decode("utf-32-le", "surrogatepass")
+    return len(c), data, starts, (ends - starts).astype(np.int32), c[odd[:-1]].tobytes().decode("utf-32-le", "surrogatepass")
 
 
-def _places(starts: list[int], lengths: list[int]) -> np.ndarray:
+def pack_text(text: str) -> tuple[int, bytes, list[int], list[int], str]:
+    """Length, 2-bit bases (base i at bits 2i), and the stretches of other letters: where, how long, and which."""
+    n, data, starts, lengths, letters = _packed(text)
+    return n, data, starts.tolist(), lengths.tolist(), letters
+
+
+def _lists(arrays: tuple[np.ndarray, ...]) -> pa.Array:
+    """Arrays as a column of lists, without an object per number."""
+    offsets = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(arrays)))
+
+
+def _parts(b: pa.RecordBatch, id_col: str) -> Iterator[tuple]:
+    """The packed rows of a batch one after the other: id, n, data, starts, lengths, letters."""
+    for i, n, data, starts, lengths, letters in zip(*(b.column(c) for c in (id_col, "n", "data", "places", "lengths", "letters")), strict=True):
+        yield i.as_py(), n.as_py(), data.as_py(), starts.values.to_numpy(), lengths.values.to_numpy(), letters.as_py()
+
+
+def _places(starts: list[int] | np.ndarray, lengths: list[int] | np.ndarray) -> np.ndarray:
     n = np.array(lengths, np.int64)
     return np.repeat(np.array(starts, np.int64) - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
@@ -54,11 +75,16 @@ def pack_sequences(seqs: DataFrame, id_col: str = "seq_id", seq_col: str = "sequ
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.string()]
         for b in batches:
-            rows = [pack_text(t) for t in b.column(1).to_pylist()]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [id_col, "n", "data", "places", "lengths", "letters"])
+            rows, chars, done = [], 0, 0
+            for r, text in enumerate(b.column(1), 1):
+                rows.append(_packed(text.as_py()))
+                chars += rows[-1][0]
+                if chars >= CHARS or r == b.num_rows:
+                    n, data, starts, lengths, letters = zip(*rows, strict=True)
+                    columns = [pa.array(n, pa.int64()), pa.array(data, pa.binary()), _lists(starts), _lists(lengths), pa.array(letters, pa.string())]
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(done, r - done), *columns], [id_col, "n", "data", "places", "lengths", "letters"])
+                    rows, chars, done = [], 0, r
 
     return seqs.filter(F.col(seq_col).isNotNull()).select(F.col(id_col).cast("long").alias(id_col), seq_col).mapInArrow(run, f"`{id_col}` long, {_KIND}")
 
@@ -68,8 +94,13 @@ def unpack_sequences(packed: DataFrame, id_col: str = "seq_id", seq_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [unpack_text(*r) for r in zip(*(b.column(c).to_pylist() for c in ("n", "data", "places", "lengths", "letters")), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], [id_col, seq_col])
+            texts, chars, done = [], 0, 0
+            for r, (_, *row) in enumerate(_parts(b, id_col), 1):
+                texts.append(unpack_text(*row))
+                chars += row[0]
+                if chars >= CHARS or r == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(done, r - done), pa.array(texts, pa.string())], [id_col, seq_col])
+                    texts, chars, done = [], 0, r
 
     return packed.select(id_col, "n", "data", "places", "lengths", "letters").mapInArrow(run, f"`{id_col}` long, `{seq_col}` string")
 
@@ -101,10 +132,6 @@ def packed_kmers(packed: DataFrame, k: int, id_col: str = "seq_id") -> DataFrame
             yield pos, _first_base_highest(load(words, 2 * pos, 2 * k), k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, *row in zip(*(b.column(c).to_pylist() for c in (id_col, "n", "data", "places", "lengths", "letters")), strict=True):
-                for pos, code in scan(*row):
-                    if len(pos):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pos), i)), pa.array(pos), pa.array(code)], [id_col, "pos", "code"])
+        yield from _batches(["pos", "code"], ((i, found) for b in batches for i, *row in _parts(b, id_col) for found in scan(*row)), id_col)
 
     return packed.select(id_col, "n", "data", "places", "lengths", "letters").mapInArrow(run, f"`{id_col}` long, pos long, code long")
