@@ -304,7 +304,7 @@ def decode_ids(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: s
     """
     rows = written(encoded.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")), "ids-to-decode")
     each = rows.select("row", F.posexplode("ids").alias("pos", "id")).join(piece_table(rows.sparkSession, path), "id")
-    parts = each.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", F.decode("piece", F.lit("ISO-8859-1")).alias("piece")))).alias("parts"))
+    parts = each.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", F.decode("piece", "ISO-8859-1").alias("piece")))).alias("parts"))
     raw = parts.select("row", F.encode(F.array_join("parts.piece", ""), "ISO-8859-1").alias("raw"))
 
     def lossy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
