@@ -284,8 +284,8 @@ def _refuted(docs: DataFrame, asked: DataFrame, width: int, bits: int) -> DataFr
                         bad.add(h)
             yield pa.RecordBatch.from_arrays([pa.array(sorted(bad), pa.int64())], ["fp"])
 
-    owners = docs.select("a", "h", "text").join(asked.select("a", "h").distinct(), ["a", "h"], "left_semi")
-    both = owners.withColumn("kind", F.lit(0)).unionByName(asked.select("a", "h", F.col("words").alias("text"), F.lit(1).alias("kind")))
+    # all texts move once: to keep the owners alone would move all texts to the join, and the owners' again
+    both = docs.select("a", "h", "text", F.lit(0).alias("kind")).unionByName(asked.select("a", "h", F.col("words").alias("text"), F.lit(1).alias("kind")))
     return both.repartition("a", "h").sortWithinPartitions("a", "h", "kind").mapInArrow(run, "fp long")
 
 
@@ -348,13 +348,13 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, batches: int = BATCHES,
         batch = batch.filter(F.col("doc_id") <= high) if high is not None else batch
         found.append(index.ingest(batch, keep=high is not None))
         release(spark)
+    for path, _ in index.runs:  # nothing is looked up any more
+        index.drop(path, 0)
     candidates = found[0]
     for f in found[1:]:
         candidates = candidates.unionByName(f)
     hits = written(collected(candidates, _HIT, "hits"), "passages")
     release(spark)
-    for path, _ in index.runs:
-        index.drop(path, 0)
     for path in index.hits:
         index.drop(path, 2)
     first = written(_remove(rows, hits, width, spell=True), "kept", 1000)
