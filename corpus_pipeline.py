@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import mixing, pieces, quality, secrets, shingles
-from strandlake.llm.common import written
+from strandlake.llm.common import maybe_among, written
 
 #: A document goes only if the classifier is sure that it is bad.
 REJECT_BELOW = 0.5
@@ -32,7 +32,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     # the row travels as one column, so that its own names can't clash with those used here
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
     rows = docs.select(row, F.col("doc_id").cast("long").alias("__id"), shingles.text_key("text").alias("__text"))
-    return rows.join(gone, ["__id", "__text"], "left_anti").select("__row.*")
+    rows = maybe_among(rows, gone, ["__id", "__text"], "__maybe")
+    # rows that surely stay are not shuffled
+    stay = rows.filter("NOT __maybe").select("__row.*")
+    return stay.union(rows.filter("__maybe").join(gone, ["__id", "__text"], "left_anti").select("__row.*"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

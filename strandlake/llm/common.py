@@ -18,6 +18,9 @@ SLICE_BYTES = 2 << 20
 #: Rows that Spark hands to a Python worker at a time, where the session has its default of 10,000: texts are wide rows.
 BATCH_ROWS = 1_500
 
+#: Bits of a key map for each key (of other rows one in about as many passes it by chance), and in all: 32 MB.
+KEY_BITS, MOST_KEY_BITS = 16, 1 << 28
+
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -93,6 +96,20 @@ def plan_bytes(df: DataFrame) -> int:
     return size if size < 1 << 60 else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) << 23
 
 
+def maybe_among(df: DataFrame, keys: DataFrame, cols: list[str], flag: str) -> DataFrame:
+    """``df`` with a boolean ``flag``: false where ``cols`` are surely not among the rows of ``keys``, a written table.
+
+    Only flagged rows need an exact join, so wide rows that match nothing are not shuffled. The keys' hashes set bits of a
+    map that is broadcast, about two bytes a key and 32 MB at most; of more keys, more rows are flagged by chance.
+    """
+    at = F.pmod(F.xxhash64(*cols), F.lit(min(MOST_KEY_BITS, max(1, KEY_BITS * keys.count())))) + 1
+    piece, bit = F.bitmap_bucket_number(at), F.bitmap_bit_position(at)
+    pieces = keys.select(piece.alias("__piece"), bit.alias("__bit")).groupBy("__piece").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = df.withColumn("__piece", piece).join(F.broadcast(pieces), "__piece", "left")
+    return found.select(*df.columns, F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False)).alias(flag))
+
+
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_binary: bool = True) -> DataFrame:
     """The two columns that the operators read, whatever else ``df`` has; a null text is an empty one."""
     small_batches(df.sparkSession)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import id_text, mix64, pack, slices, unpack, written
+from strandlake.llm.common import id_text, maybe_among, mix64, pack, slices, unpack, written
 from strandlake.llm.components import components
 from strandlake.llm.passages import _HASHES
 
@@ -146,8 +146,10 @@ def near_duplicate_groups(docs: DataFrame, width: int = WIDTH, similarity: float
     met = met.withColumn("p", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("rep"), F.col("parts"))).otherwise(0).cast("int"))
     met = met.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("band", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "rep")
     met = written(met, "band-members")
-    asked = rep.join(met.select("rep").distinct(), "rep").select("rep", "doc_id", "text_hash", "print")
-    sets = written(texts.join(asked, ["doc_id", "text_hash"]).mapInArrow(spell, "rep long, print binary, shingles binary"), "shingle-sets", 2000).dropDuplicates(["rep"])
+    asked = written(rep.join(met.select("rep").distinct(), "rep").select("rep", "doc_id", "text_hash", "print"), "asked")
+    # of the texts only those that meet another one travel
+    found = maybe_among(texts, asked, ["doc_id", "text_hash"], "maybe").filter("maybe").drop("maybe")
+    sets = written(found.join(asked, ["doc_id", "text_hash"]).mapInArrow(spell, "rep long, print binary, shingles binary"), "shingle-sets", 2000).dropDuplicates(["rep"])
 
     def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         ids = np.asarray(table.column("rep").combine_chunks())

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandlake.llm import shingles
+from strandlake.llm import common, shingles
 
 SF = "/root/testdata/sf0.001"
 KIND = "doc_id long, text string, lang string, source string, n_chars long, __text string, __a long, group string, size int, score double"
@@ -107,3 +107,51 @@ def test_recall_of_near_duplicates_on_a_table(spark):
     assert len(links) > 50
     assert np.mean([got[a] == got[b] for a, b in links]) >= 0.999
     assert got == {i: find(i) for i in sets}
+
+
+def shuffled(spark):
+    """Bytes that the session's finished stages have written to shuffles."""
+    sc = spark._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_near_duplicates_move_few_texts(spark, tmp_path):
+    """Texts like no other stay where they are, also where nothing is small enough for Spark to broadcast by itself."""
+    rng = random.Random(8)
+    texts = [" ".join(f"{rng.getrandbits(48):x}" for _ in range(2_000)) for _ in range(150)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(200, texts[3]), (201, texts[4] + " more"), (None, texts[5])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        kept = corpus_pipeline.drop_near_duplicates(spark, spark.read.parquet(f"{tmp_path}/docs"), SF)
+        assert rows_of(kept) == Counter(rows[:150] + rows[152:])
+        moved = shuffled(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert 0 < moved < 0.3 * sum(len(t) for _, t in rows)
+
+
+@pytest.mark.parametrize("most", [1, 64, 1 << 28])
+def test_maybe_among(spark, monkeypatch, most):
+    """No key is missed in a map of any size, and few other rows are taken for keys in a large one."""
+    monkeypatch.setattr(common, "MOST_KEY_BITS", most)
+    ids = spark.range(20_000).selectExpr("id AS a", "IF(id % 10 = 3, NULL, -id) AS b", "CAST(id AS string) AS text")
+    keys = ids.filter("a % 7 = 0 AND b IS NOT NULL").select("a", "b")
+    out = common.maybe_among(ids, keys, ["a", "b"], "maybe")
+    assert out.columns == ["a", "b", "text", "maybe"] and out.count() == 20_000 and not out.filter("maybe IS NULL").count()
+    n, maybe = keys.count(), out.filter("maybe")
+    assert maybe.join(keys, ["a", "b"], "left_semi").count() == n
+    assert most < 1000 or maybe.count() - n < 0.1 * (20_000 - n)
+    assert not common.maybe_among(ids, keys.limit(0), ["a", "b"], "maybe").filter("maybe").count()
+
+
+@pytest.mark.parametrize("most", [1, 1 << 28])
+def test_near_duplicate_stage_with_any_map(spark, odd, monkeypatch, most):
+    """However many rows the map takes for keys by chance, the exact join decides."""
+    monkeypatch.setattr(common, "MOST_KEY_BITS", most)
+    kept = rows_of(corpus_pipeline.drop_near_duplicates(spark, odd, SF))
+    assert sorted(str(k[0]) for k in kept.elements()) == ["1", "4", "5", "6", "8", "9", "None", "None"]
